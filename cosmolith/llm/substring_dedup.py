@@ -257,7 +257,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
     packed = texts.select("doc_key", "text_key", "text").mapInArrow(_probes(window, n), _PACKED)
     hits = packed.groupBy("bucket").applyInPandas(_hits(n), _PACKED)
     near = hits.groupBy("chunk").applyInPandas(_by_document(window, True), span).dropDuplicates(by_key)
-    found = texts.join(near, by_key).select("doc_key", "text_key", "text", "spans").mapInArrow(_windows(window, n), _PACKED)
+    # doc_id is not needed here, but with it this exchange of the texts is the same as the last one, and is reused.
+    found = texts.join(near, by_key).select("doc_key", "text_key", "doc_id", "text", "spans").mapInArrow(_windows(window, n), _PACKED)
     again = found.groupBy("bucket").applyInPandas(_repeats, _PACKED)
     return texts, again.groupBy("chunk").applyInPandas(_by_document(window, False), span).dropDuplicates(by_key)
 
