@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,38 +109,76 @@ def _meet(how: CrossPolytope, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return first, at.min(axis=(1, 2))
 
 
-def _verify(how: CrossPolytope):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows.embedding.to_numpy()).astype(np.float64)
-        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-        left, right = np.flatnonzero(rows.block.to_numpy() == rows.lo.iloc[0]), np.flatnonzero(rows.block.to_numpy() == rows.hi.iloc[0])
-        within = rows.lo.iloc[0] == rows.hi.iloc[0]
-        bucket = rows.bucket.iloc[0]
-        code = np.stack(rows.codes.to_numpy())
-        weight, cid = rows.n.to_numpy(), rows.cid.to_numpy()
-        count, label = np.zeros(len(x), np.int64), np.arange(len(x))
-        edges: list[tuple[int, int]] = []
-        for lo in range(0, len(left), 512):
-            i = left[lo : lo + 512]
-            near = (x[i] @ x[right].T) / np.outer(norm[i], norm[right]) >= how.least
-            if within:
-                near &= right[None, :] > i[:, None]
-            r, c = np.nonzero(near)
-            for k in range(0, len(r), 1 << 18):
-                a, b = i[r[k : k + (1 << 18)]], right[c[k : k + (1 << 18)]]
-                table, first = _meet(how, code[a], code[b])
-                new = first * how.tables + table == bucket
-                np.add.at(count, a[new], weight[b[new]])
-                np.add.at(count, b[new], weight[a[new]])
-            for q in range(len(i)):  # a row joins the trees of those it is linked with; trees are relabelled at once
-                others = right[near[q]]
-                roots = np.unique(label[others])
-                for root in roots[roots != label[i[q]]]:
-                    edges.append((cid[i[q]], cid[others[label[others] == root][0]]))
+def _group(how: CrossPolytope, x: np.ndarray, code: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, within: bool, bucket: int, count: np.ndarray) -> list[tuple[int, int]]:
+    """Adds a group's links to count; returns the edges, as rows, of a spanning forest of its links."""
+    norm, label, edges = np.sqrt(np.einsum("ij,ij->i", x, x)), np.arange(len(x)), []
+    for lo in range(0, len(left), 512):
+        i = left[lo : lo + 512]
+        near = (x[i] @ x[right].T) / np.outer(norm[i], norm[right]) >= how.least
+        if within:
+            near &= right[None, :] > i[:, None]
+        r, c = np.nonzero(near)
+        for k in range(0, len(r), 1 << 18):
+            a, b = i[r[k : k + (1 << 18)]], right[c[k : k + (1 << 18)]]
+            table, first = _meet(how, code[a], code[b])
+            new = first * how.tables + table == bucket
+            np.add.at(count, a[new], weight[b[new]])
+            np.add.at(count, b[new], weight[a[new]])
+        for q in np.unique(r):  # a row joins the trees of those it is linked with; trees are relabelled at once
+            others = right[near[q]]
+            roots, at = np.unique(label[others], return_index=True)
+            for root, o in zip(roots, others[at], strict=True):
+                if root != label[i[q]]:
+                    edges.append((i[q], o))
                     label[label == root] = label[i[q]]
-        hit = np.flatnonzero(count)
-        out = [(int(cid[k]), int(count[k]), None) for k in hit] + [(int(u), 0, int(v)) for u, v in edges]
-        return pd.DataFrame(out, columns=["u", "n", "v"]).astype({"u": "Int64", "n": "Int64", "v": "Int64"})
+    return edges
+
+
+def _verify(how: CrossPolytope):
+    names = ["cid", "n", "bucket", "block", "lo", "hi"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive sorted by group; a group may span batches."""
+        held: pa.Table | None = None
+
+        def work(t: pa.Table) -> pa.RecordBatch:
+            col = {n: t.column(n).to_numpy() for n in [*names, "grp"]}
+            code = _lists(t.column("codes").combine_chunks() if t.column("codes").num_chunks != 1 else t.column("codes").chunk(0))
+            vectors = t.column("embedding").combine_chunks() if t.column("embedding").num_chunks != 1 else t.column("embedding").chunk(0)
+            new = np.zeros(len(t), bool)
+            for n in ("grp", "bucket", "lo", "hi"):
+                new |= np.concatenate(([True], col[n][1:] != col[n][:-1]))
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(t))
+            flat, at = vectors.flatten().to_numpy(), np.concatenate(([0], np.cumsum(vectors.value_lengths().to_numpy())))
+            count, edges = np.zeros(len(t), np.int64), []
+            for lo, hi in zip(first, last, strict=True):
+                if hi - lo < 2:
+                    continue
+                for width in np.unique(np.diff(at[lo : hi + 1])):
+                    own = np.arange(lo, hi)[np.diff(at[lo : hi + 1]) == width]
+                    x = flat[at[own][:, None] + np.arange(width)]
+                    left, right = np.flatnonzero(col["block"][own] == col["lo"][lo]), np.flatnonzero(col["block"][own] == col["hi"][lo])
+                    part = np.zeros(len(own), np.int64)
+                    edges += [(own[u], own[v]) for u, v in _group(how, x, code[own], col["n"][own], left, right, col["lo"][lo] == col["hi"][lo], int(col["bucket"][lo]), part)]
+                    count[own] += part
+            hit = np.flatnonzero(count)
+            e = np.array(edges, np.int64).reshape(-1, 2)
+            u = np.concatenate((col["cid"][hit], col["cid"][e[:, 0]]))
+            n = np.concatenate((count[hit], np.zeros(len(e), np.int64)))
+            v = pa.array(np.concatenate((np.zeros(len(hit), np.int64), col["cid"][e[:, 1]])), mask=np.arange(len(u)) < len(hit))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(n), v], ["u", "n", "v"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            grp = t.column("grp").to_numpy()
+            cut = int(np.searchsorted(grp, grp[-1], "left"))
+            held = t.slice(cut)
+            if cut:
+                yield work(t.slice(0, cut))
+        if held is not None:
+            yield work(held)
 
     return run
 
@@ -166,7 +203,9 @@ def embedding_dedup(vectors: DataFrame, how: CrossPolytope = HOW) -> DataFrame:
     large = put.groupBy("label", "bucket").count().where(F.col("count") > 1).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
     dealt = put.join(large, ["label", "bucket"]).withColumn("block", F.pmod(F.hash("cid"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    found, _ = written(dealt.groupBy("label", "bucket", "lo", "hi").applyInPandas(_verify(how), "u long, n long, v long"), "found")
+    dealt = dealt.select("cid", "n", "embedding", "bucket", "codes", "block", "lo", "hi", F.xxhash64("label", "bucket", "lo", "hi").alias("grp"))
+    order = ["grp", "bucket", "lo", "hi"]
+    found, _ = written(dealt.repartition("grp").sortWithinPartitions(*order).mapInArrow(_verify(how), "u long, n long, v long"), "found")
     linked = components(found.where("v is not null").select("u", "v"))
     counts = found.groupBy("u").agg(F.sum("n").alias("links")).withColumnRenamed("u", "cid")
     label = classes.select("cid", "n", "least").join(linked.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
