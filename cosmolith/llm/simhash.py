@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cosmolith.llm.common import mix, table, written
+from cosmolith.llm.common import NO_ID, mix, table, written
 from cosmolith.llm.components import components
 
 BLOCK = 1024
@@ -211,11 +211,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one with its least doc_id (of rows that share that id, the first by text).
 
-    A row with a null doc_id stays only if its class has no other id, one row for each fingerprint.
+    Rows with a null doc_id are one document; it stays if one of its classes has no other id.
     """
     classes = simhash_classes(docs.select("doc_id", "text"), ["doc_id"], STAGE)
-    heads, _ = written(classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head_id")).distinct(), "heads")
-    kept = docs.join(heads, docs.doc_id.eqNullSafe(heads.head_id), "left_semi")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_key")
+    heads, _ = written(classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct(), "heads")
+    # One exchange of the texts, by _key, serves both the join and the choice among rows that share an id.
+    kept = docs.select("*", key).join(heads, "_key", "left_semi")
     rest = [c for c in docs.columns if c != "doc_id"]
-    first = F.min(F.struct("text", *(c for c in rest if c != "text"))).alias("first")
-    return kept.groupBy("doc_id").agg(first).select(*(F.col("doc_id") if c == "doc_id" else F.col(f"first.{c}").alias(c) for c in docs.columns))
+    first = F.min(F.struct("text", "doc_id", *(c for c in rest if c != "text"))).alias("first")
+    return kept.groupBy("_key").agg(first).select(*(F.col(f"first.{c}").alias(c) for c in docs.columns))
