@@ -143,5 +143,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    out = mix(docs, docs.columns)
-    return out.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows = docs.select("doc_id", "source", "text", F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
+    out = mix(rows, ["_row"]).where("copies > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

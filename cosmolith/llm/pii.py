@@ -184,7 +184,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pseudonymise(docs, docs.columns)
-    if "n_chars" in docs.columns:  # the dotted quads of an address may change in length
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    """docs with its texts replaced, and n_chars, where there is one, kept true: an address may change in length."""
+    rows = docs.select("text", F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
+    out, kinds = pseudonymise(rows, ["_row"]), dict(docs.dtypes)
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("text").isNull(), F.col("_row")["n_chars"] if "n_chars" in kinds else None).otherwise(F.length("text")).cast(kinds.get("n_chars", "long"))}
+    return out.select(*(new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns))

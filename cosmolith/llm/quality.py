@@ -143,4 +143,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are kept."""
-    return quality(docs, docs.columns).where("kept").select(*docs.columns)
+    rows = docs.select("text", F.struct(*(docs[c] for c in docs.columns)).alias("_row"))  # as a struct, so that no name clashes
+    return quality(rows, ["_row"]).where("kept").select("_row.*")

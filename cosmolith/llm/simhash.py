@@ -217,7 +217,6 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_key")
     heads, _ = written(classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct(), "heads")
     # One exchange of the texts, by _key, serves both the join and the choice among rows that share an id.
-    kept = docs.select("*", key).join(heads, "_key", "left_semi")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    first = F.min(F.struct("text", "doc_id", *(c for c in rest if c != "text"))).alias("first")
-    return kept.groupBy("_key").agg(first).select(*(F.col(f"first.{c}").alias(c) for c in docs.columns))
+    kept = docs.select(key, F.struct(*(docs[c] for c in docs.columns)).alias("_row")).join(heads, "_key", "left_semi")
+    first = F.min(F.struct(F.col("_row")["text"].alias("text"), F.col("_row").alias("row"))).alias("first")
+    return kept.groupBy("_key").agg(first).select("first.row.*")
