@@ -92,8 +92,14 @@ def fit_profile(radius: float, r: np.ndarray, m: np.ndarray, resolution: float =
 
     top = 10 * radius
     (rs1,), c1 = descend(lambda p: chi2(amplitude(enclosed(r, p[0]))), np.array([radius / 12]), [(radius / 1000, top)])
-    (rs2, a2), c2 = descend(lambda p: chi2(p[1] * enclosed(r, p[0])), np.array([rs1, m[-1] / enclosed(r, rs1)[-1]]), [(radius / 1000, top), (0, np.inf)])
-    (rs3, a3, g3), c3 = descend(lambda p: chi2(p[1] * enclosed(r, p[0], p[2])), np.array([rs2, a2, 1.0]), [(radius / 1000, top), (0, np.inf), (0.0, 2.5)])
+
+    def best(shape: np.ndarray) -> float:
+        """The amplitude is linear, so its least-squares value is known for any shape."""
+        return max(0.0, float((w * m * shape).sum() / (w * shape * shape).sum()))
+
+    (rs2,), c2 = descend(lambda p: chi2((s := enclosed(r, p[0])) * best(s)), np.array([rs1]), [(radius / 1000, top)])
+    (rs3, g3), c3 = descend(lambda p: chi2((s := enclosed(r, p[0], p[1])) * best(s)), np.array([rs2, 1.0]), [(radius / 1000, top), (0.0, 2.5)], rounds=100)
+    a2, a3 = best(enclosed(r, rs2)), best(enclosed(r, rs3, g3))
     gof = lambda c, k: c / (nb - k) if nb > k else float("nan")
     return rs1, c1, gof(c1, 1), rs2, a2, c2, gof(c2, 2), rs3, a3, g3, c3, gof(c3, 3), radius / rs2, nb
 
