@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FORCE_RESOLUTION = 1.0
+NODES = np.polynomial.legendre.leggauss(24)
 
 
 def natural_spline(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -42,7 +43,7 @@ def enclosed(r: np.ndarray, rs: float, inner: float = 1.0) -> np.ndarray:
         return np.log1p(x) - x / (1 + x)
     if abs(inner - 2) < 1e-9:
         return np.log1p(x)
-    u, w = np.polynomial.legendre.leggauss(24)
+    u, w = NODES
     v = (u + 1) / 2  # s = x v**4 smooths the power law at the centre
     s = v[None, :] ** 4 * x[:, None]
     return (w[None, :] / 2 * 4 * v[None, :] ** (4 * (3 - inner) - 1) * (1 + s) ** (inner - 3)).sum(axis=1) * x ** (3 - inner)
