@@ -26,6 +26,30 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-#: None of the methods can be told in one SQL statement over whole tables at bounded cost; tests/llm holds each against
-#: a brute-force version, a round trip or held-out accuracy.
-ORACLE_SQL: dict[str, str] = {}
+#: The queries whose result SQL can state over whole tables. The others rest on a fitted model, a tokenizer, XXH64 or a
+#: keyed permutation; tests/llm holds each of them against a brute-force version, a round trip or held-out accuracy.
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+ n AS (SELECT doc_id, w, len(w) n FROM d),
+ s AS (SELECT doc_id, unnest(range(1, n - 11)) i FROM n WHERE n >= 13),
+ g AS (SELECT s.doc_id, i, array_to_string(w[i:i + 12], ' ') g FROM s JOIN n USING (doc_id)),
+ f AS (SELECT g, min(doc_id) least FROM g GROUP BY 1),
+ hit AS (SELECT g.doc_id, i FROM g JOIN f USING (g) WHERE least < g.doc_id),
+ gone AS (SELECT DISTINCT doc_id, i + k.k AS i FROM hit, range(13) k(k)),
+ island AS (SELECT doc_id, min(i) lo, max(i) hi FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) p FROM gone) GROUP BY doc_id, p),
+ l AS (SELECT doc_id, sum(hi - lo + 1) removed, list([cast(lo - 1 AS integer), cast(hi AS integer)] ORDER BY lo) spans FROM island GROUP BY 1),
+ word AS (SELECT doc_id, unnest(w) word, generate_subscripts(w, 1) i FROM n WHERE doc_id IN (SELECT doc_id FROM l)),
+ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT n.doc_id, cast(n AS bigint) n_words, cast(coalesce(removed, 0) AS bigint) n_removed,
+ sha256(CASE WHEN removed IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) kept_sha256, coalesce(spans, []) removed_spans
+FROM n LEFT JOIN l USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op7_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, cast(embedding AS double[]) e FROM embeddings),
+ ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+ link AS MATERIALIZED (SELECT a.vec_id u, b.vec_id v FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+ reach AS (SELECT DISTINCT u, u v FROM link UNION SELECT r.u, l.v FROM reach r JOIN link l ON r.v = l.u),
+ n AS (SELECT u, count(*) n FROM link GROUP BY 1), c AS (SELECT u, min(v) c FROM reach GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) n_links, coalesce(c, vec_id) component_id, coalesce(c, vec_id) = vec_id kept
+FROM embeddings LEFT JOIN n ON n.u = vec_id LEFT JOIN c ON c.u = vec_id""",
+}
