@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # Fixed values of the domain.
 OMEGA_M, OMEGA_L, HUBBLE = 0.307, 0.693, 0.678
 AGE_GYR, AGE_RATIO = 11.5570, 1.50244
+HUBBLE_GYR = 0.06934
+STELLAR_ALPHA, STELLAR_DELTA, STELLAR_GAMMA = -1.84754, 3.85767, 0.44557
+STELLAR_EPS, STELLAR_M1 = -1.959715, 11.483698
 
 
 def _c(x: str | Column) -> Column:
@@ -31,13 +34,23 @@ def cosmic_time(a) -> Column:
 
 
 def dynamical_time(a) -> Column:
-    """Gyr; by the virial overdensity of Bryan and Norman (1998)."""
-    z1 = F.pow(_c(a), F.lit(-3.0))
-    e2 = OMEGA_M * z1 + OMEGA_L
-    x = OMEGA_M * z1 / e2 - 1.0
-    over = 18 * math.pi**2 + 82.0 * x - 39.0 * x * x
-    hubble_time = 9.778 / HUBBLE
-    return hubble_time * F.sqrt(F.lit(2.0) / (over * e2))
+    """Gyr: (3 d H**2 / 8 pi)**-0.5, with d the virial overdensity of Bryan and Norman (1998) over the matter share."""
+    y = OMEGA_M * F.pow(_c(a), F.lit(-3.0))
+    share = y / (y + OMEGA_L)
+    x = share - 1.0
+    over = (18 * math.pi**2 + 82.0 * x - 39.0 * x * x) / share
+    return F.pow(over * 3.0 * HUBBLE_GYR**2 * (y + OMEGA_L) / (8 * math.pi), F.lit(-0.5))
+
+
+def stellar_mass(halo) -> Column:
+    """Mass of the galaxy that a halo hosts (Behroozi et al., 2013, equation 3); a value under 100 is taken for a log10."""
+    mean = F.when(_c(halo) < 100, _c(halo)).otherwise(safe_log10(halo))
+
+    def f(x: Column) -> Column:
+        rise = STELLAR_DELTA * F.pow(F.log10(1.0 + F.exp(x)), F.lit(STELLAR_GAMMA)) / (1.0 + F.exp(F.pow(F.lit(10.0), -x)))
+        return rise - F.log10(F.pow(F.lit(10.0), STELLAR_ALPHA * x) + 1.0)
+
+    return F.pow(F.lit(10.0), STELLAR_EPS + STELLAR_M1 + f(mean - STELLAR_M1) - f(F.lit(0.0))) / HUBBLE
 
 
 def concentration(radius, scale) -> Column:
@@ -56,10 +69,12 @@ def alignment(x: list[str], y: list[str]) -> Column:
 
 
 def rotation(x, y, z) -> tuple[Column, Column]:
-    """(about x, about z) in degrees, each folded into [-90, 90]."""
-    fold = lambda d: F.when(d > 90, d - 180).when(d < -90, d + 180).otherwise(d)
+    """(about x, about z) in degrees: the polar angle, where what is over 90 counts back as 90 - angle, and the angle of
+    the line y / x. A zero vector has none, so both are 0."""
     r = F.sqrt(_c(x) * _c(x) + _c(y) * _c(y) + _c(z) * _c(z))
-    return fold(F.degrees(F.acos(F.try_divide(_c(z), r)))), fold(F.degrees(F.atan2(_c(y), _c(x))))
+    tilt = F.degrees(F.acos(F.try_divide(_c(z), r)))
+    line = F.when(_c(x) == 0, 90.0 * F.signum(_c(y))).otherwise(F.degrees(F.atan(F.try_divide(_c(y), _c(x)))))
+    return F.when(r == 0, 0.0).otherwise(F.when(tilt > 90, 90.0 - tilt).otherwise(tilt)), F.when(r == 0, 0.0).otherwise(line)
 
 
 def physical(r, a) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FORCE_RESOLUTION = 1.0
-NODES = np.polynomial.legendre.leggauss(24)
 
 
 def natural_spline(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -36,30 +35,56 @@ def spline_at(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     return a[i] + t * (b[i] + t * (c[i] + t * d[i]))
 
 
-def enclosed(r: np.ndarray, rs: float, inner: float = 1.0) -> np.ndarray:
-    """Shape of the mass within r for a density r**-inner (1 + r / rs)**(inner - 3); inner = 1 is the closed form."""
+def enclosed(r: np.ndarray, rs: float, outer: float = 2.0) -> np.ndarray:
+    """Shape of the mass within r for a density (r / rs)**-1 (1 + r / rs)**-outer; 2 is the Navarro-Frenk-White profile.
+
+    The whole mass is c0 rs**3 times this. The integral is closed, with limits of its own at outer = 1 and 2.
+    """
     x = r / rs
-    if abs(inner - 1) < 1e-9:
+    if abs(outer - 1) < 1e-6:
+        return x - np.log1p(x)
+    if abs(outer - 2) < 1e-6:
         return np.log1p(x) - x / (1 + x)
-    if abs(inner - 2) < 1e-9:
-        return np.log1p(x)
-    u, w = NODES
-    v = (u + 1) / 2  # s = x v**4 smooths the power law at the centre
-    s = v[None, :] ** 4 * x[:, None]
-    return (w[None, :] / 2 * 4 * v[None, :] ** (4 * (3 - inner) - 1) * (1 + s) ** (inner - 3)).sum(axis=1) * x ** (3 - inner)
+    return (1 - (1 + x) ** (1 - outer) * (1 + (outer - 1) * x)) / ((outer - 1) * (outer - 2))
+
+
+Residuals = Callable[[np.ndarray], np.ndarray]
+Bounds = list[tuple[float, float]]
+
+
+def _cost(f: Residuals, p: np.ndarray) -> float:
+    v = f(p)
+    c = float(v @ v)
+    return c if np.isfinite(c) else float("inf")
+
+
+def _jacobian(f: Residuals, p: np.ndarray, bounds: Bounds) -> np.ndarray:
+    """Forward differences, backward at an upper bound."""
+    base, columns = f(p), []
+    for k in range(len(p)):
+        h = 1e-6 * max(abs(p[k]), 1e-3)
+        h = h if p[k] + h <= bounds[k][1] else -h
+        q = p.copy()
+        q[k] += h
+        columns.append((f(q) - base) / h)
+    return np.stack(columns, axis=1)
+
+
+def _held(p: np.ndarray, bounds: Bounds) -> np.ndarray:
+    return np.array([min(max(v, lo), hi) for v, (lo, hi) in zip(p, bounds, strict=True)])
 
 
-def descend(objective: Callable[[np.ndarray], float], start: np.ndarray, bounds: list[tuple[float, float]], rounds: int = 400) -> tuple[np.ndarray, float]:
+def descend(f: Residuals, start: np.ndarray, bounds: Bounds, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Bounded descent, each parameter with a rate of its own that doubles after a gain and falls to a fifth after a loss."""
     p = np.array(start, float)
-    step, best, still = np.abs(p) * 0.1 + 1e-3, objective(p), 0
+    step, best, still = np.abs(p) * 0.1 + 1e-3, _cost(f, p), 0
     for _ in range(rounds):
         before = best
         for k in range(len(p)):
             for sign in (1, -1):
                 q = p.copy()
-                q[k] = np.clip(q[k] + sign * step[k], *bounds[k])
-                value = objective(q)
+                q[k] = min(max(q[k] + sign * step[k], bounds[k][0]), bounds[k][1])
+                value = _cost(f, q)
                 if value < best:
                     p, best = q, value
                     step[k] *= 2
@@ -69,48 +94,133 @@ def descend(objective: Callable[[np.ndarray], float], start: np.ndarray, bounds:
         still = still + 1 if before - best <= 1e-9 * max(abs(best), 1e-300) else 0
         if still >= 5:
             break
-    return p, float(best)
+    return p, best
 
 
+def levenberg_marquardt(f: Residuals, start: np.ndarray, bounds: Bounds, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Damped least squares; the damping falls after a gain and rises after a loss."""
+    p, damping = np.array(start, float), 1e-3
+    best = _cost(f, p)
+    for _ in range(rounds):
+        j = _jacobian(f, p, bounds)
+        g, h = j.T @ f(p), j.T @ j
+        if not (np.isfinite(g).all() and np.isfinite(h).all()):
+            break
+        while damping < 1e12:
+            q = _held(p - np.linalg.lstsq(h + damping * np.diag(np.diag(h) + 1e-12), g, rcond=None)[0], bounds)
+            value = _cost(f, q)
+            if value < best:
+                break
+            damping *= 4
+        else:
+            break
+        gain, p, best, damping = best - value, q, value, max(damping / 9, 1e-12)
+        if gain <= 1e-12 * max(best, 1e-300):
+            break
+    return p, best
+
+
+def adadelta(f: Residuals, start: np.ndarray, bounds: Bounds, rounds: int = 4000, decay: float = 0.95) -> tuple[np.ndarray, float]:
+    """Gradient steps scaled by running means of squared gradients and steps (Zeiler, 2012), in units of the start."""
+    p = np.array(start, float)
+    unit = np.abs(p) + 1e-3
+    seen, moved, best, at = np.zeros(len(p)), np.full(len(p), 1e-6), _cost(f, p), p
+    for _ in range(rounds):
+        g = 2 * (_jacobian(f, p, bounds).T @ f(p)) * unit
+        if not np.isfinite(g).all():
+            break
+        seen = decay * seen + (1 - decay) * g * g
+        d = -np.sqrt((moved + 1e-8) / (seen + 1e-8)) * g
+        moved = decay * moved + (1 - decay) * d * d
+        p = _held(p + d * unit, bounds)
+        if (value := _cost(f, p)) < best:
+            best, at = value, p
+        if np.abs(d).max() < 1e-9:
+            break
+    return at, best
+
+
+def newton(f: Residuals, start: np.ndarray, bounds: Bounds, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Gauss-Newton steps, halved until they gain."""
+    p = np.array(start, float)
+    best = _cost(f, p)
+    for _ in range(rounds):
+        j = _jacobian(f, p, bounds)
+        if not np.isfinite(j).all():
+            break
+        d = np.linalg.lstsq(j, f(p), rcond=None)[0]
+        for k in range(30):
+            q = _held(p - d * 0.5**k, bounds)
+            if (value := _cost(f, q)) < best:
+                break
+        else:
+            break
+        gain, p, best = best - value, q, value
+        if gain <= 1e-12 * max(best, 1e-300):
+            break
+    return p, best
+
+
+def combined(f: Residuals, start: np.ndarray, bounds: Bounds) -> tuple[np.ndarray, float]:
+    """A short descent, then Newton steps from where it ends, then a short run of adadelta."""
+    p, _ = newton(f, descend(f, start, bounds, rounds=40)[0], bounds)
+    return adadelta(f, p, bounds, rounds=100)
+
+
+OPTIMISERS = {"descent": descend, "levenberg-marquardt": levenberg_marquardt, "adadelta": adadelta, "newton": newton, "combined": combined}
+
 _FIT = "rs1 double, chi2_1 double, gof_1 double, rs2 double, c02 double, chi2_2 double, gof_2 double, rs3 double, c03 double, gamma3 double, chi2_3 double, gof_3 double, concentration double, nb_rvir int"
 
 
-def fit_profile(radius: float, r: np.ndarray, m: np.ndarray, resolution: float = FORCE_RESOLUTION) -> tuple | None:
-    """Three fits in turn, each started from the one before; None for under 4 bins within the radius."""
+def fit_profile(radius: float, r: np.ndarray, m: np.ndarray, resolution: float = FORCE_RESOLUTION, optimiser: str = "descent") -> tuple | None:
+    """Three fits in turn, each started from the one before; None for under 4 bins within the radius.
+
+    What is fitted is the mass of each shell over the observed one, less 1, with a weight of 0.1 under three resolutions.
+    The first fit takes its amplitude from the whole mass. Those of the others are linear, so the best one for a shape is
+    known, and only the scale radius (up to the radius) and the outer slope (0 to 100) are searched.
+    """
     inside = r <= radius
     nb = int(inside.sum())
     if nb < 4:
         return None
     r, m = r[inside], m[inside]
+    shell, prior = np.diff(m, prepend=0.0), np.concatenate(([0.0], r[:-1]))
+    use = (shell > 0) & (r > 0)
+    if use.sum() < 3:
+        return None
+    r, prior, shell = r[use], prior[use], shell[use]
     w = np.where(r < 3 * resolution, 0.1, 1.0)
-    scale = m[-1] or 1.0
+    least, minimise = radius * 1e-4, OPTIMISERS[optimiser]
 
-    def chi2(model: np.ndarray) -> float:
-        return float((w * ((m - model) / scale) ** 2).sum())
+    def ratio(rs: float, outer: float = 2.0) -> np.ndarray:
+        return (enclosed(r, rs, outer) - enclosed(prior, rs, outer)) / shell
 
-    def amplitude(shape: np.ndarray) -> np.ndarray:
-        return shape * (m[-1] / shape[-1])
+    def given(p: np.ndarray) -> np.ndarray:
+        x = ratio(p[0])
+        return w * (x * shell.sum() / (x * shell).sum() - 1)
 
-    top = 10 * radius
-    (rs1,), c1 = descend(lambda p: chi2(amplitude(enclosed(r, p[0]))), np.array([radius / 12]), [(radius / 1000, top)])
+    def best(x: np.ndarray) -> float:
+        return max(0.0, float((w * w * x).sum() / (w * w * x * x).sum()))
 
-    def best(shape: np.ndarray) -> float:
-        """The amplitude is linear, so its least-squares value is known for any shape."""
-        return max(0.0, float((w * m * shape).sum() / (w * shape * shape).sum()))
+    def free(p: np.ndarray) -> np.ndarray:
+        x = ratio(*p)
+        return w * (x * best(x) - 1)
 
-    (rs2,), c2 = descend(lambda p: chi2((s := enclosed(r, p[0])) * best(s)), np.array([rs1]), [(radius / 1000, top)])
-    (rs3, g3), c3 = descend(lambda p: chi2((s := enclosed(r, p[0], p[1])) * best(s)), np.array([rs2, 1.0]), [(radius / 1000, top), (0.0, 2.5)], rounds=100)
-    a2, a3 = best(enclosed(r, rs2)), best(enclosed(r, rs3, g3))
+    with np.errstate(all="ignore"):
+        (rs1,), c1 = minimise(given, np.array([radius / 12]), [(least, radius)])
+        (rs2,), c2 = minimise(free, np.array([rs1]), [(least, radius)])
+        (rs3, g3), c3 = minimise(free, np.array([rs2, 2.0]), [(least, radius), (0.0, 100.0)])
+        a2, a3 = best(ratio(rs2)) / rs2**3, best(ratio(rs3, g3)) / rs3**3
     gof = lambda c, k: c / (nb - k) if nb > k else float("nan")
     return rs1, c1, gof(c1, 1), rs2, a2, c2, gof(c2, 2), rs3, a3, g3, c3, gof(c3, 3), radius / rs2, nb
 
 
-def fit_profiles(profiles: DataFrame, resolution: float = FORCE_RESOLUTION, least_particles: int = 100) -> DataFrame:
+def fit_profiles(profiles: DataFrame, resolution: float = FORCE_RESOLUTION, least_particles: int = 100, optimiser: str = "descent") -> DataFrame:
     """profiles(id, mass, radius, np, radii, masses) with the fits' columns; small ones are left out."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in _FIT.split(", ")]
         for rows in batches:
-            fits = [fit_profile(x.radius, np.asarray(x.radii, float), np.asarray(x.masses, float), resolution) for x in rows.itertuples()]
+            fits = [fit_profile(x.radius, np.asarray(x.radii, float), np.asarray(x.masses, float), resolution, optimiser) for x in rows.itertuples()]
             ok = [f is not None for f in fits]
             out = rows.loc[ok, ["id", "mass", "radius"]].reset_index(drop=True)
             yield pd.concat([out, pd.DataFrame([f for f in fits if f is not None], columns=names)], axis=1)

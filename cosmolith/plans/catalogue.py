@@ -294,10 +294,13 @@ def central_sam_join(spark, d):
     return j.join(o, "l_orderkey").select("l_orderkey", "l_partkey", "l_quantity", "o_totalprice", "c_acctbal")
 
 
-@query("""SELECT l_orderkey, l_linenumber, round(1.0 / a - 1, 6) z, round(11.5570 * asinh(1.50244 * power(a, 1.5)), 6) age, round(power(rs, 3) * (ln((rs + r) / rs) - r / (rs + r)), 6) nfw, round(1 - sqrt(b * b + c * c) / sqrt(2), 6) elongation FROM (SELECT l_orderkey, l_linenumber, l_quantity / 50.0 a, l_extendedprice / 1000 r, l_quantity rs, l_discount b, l_tax c FROM lineitem)""")
+@query("""WITH d AS (SELECT l_orderkey, l_linenumber, l_quantity / 50.0 a, l_extendedprice / 1000 r, l_quantity rs, l_discount b, l_tax c, 10 + l_quantity / 10.0 m, 0.307 * power(l_quantity / 50.0, -3.0) y FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(1.0 / a - 1, 6) z, round(11.5570 * asinh(1.50244 * power(a, 1.5)), 6) age, round(power(rs, 3) * (ln((rs + r) / rs) - r / (rs + r)), 6) nfw, round(1 - sqrt(b * b + c * c) / sqrt(2), 6) elongation,
+ round(power((18 * pi() * pi() + 82 * (y / (y + 0.693) - 1) - 39 * power(y / (y + 0.693) - 1, 2)) / (y / (y + 0.693)) * 3 * power(0.06934, 2) * (y + 0.693) / (8 * pi()), -0.5), 6) t_dyn,
+ round(log10(power(10, -1.959715 + 11.483698 - log10(power(10, -1.84754 * (m - 11.483698)) + 1) + 3.85767 * power(log10(1 + exp(m - 11.483698)), 0.44557) / (1 + exp(power(10, 11.483698 - m))) + log10(2) - 3.85767 * power(log10(2), 0.44557) / (1 + exp(1))) / 0.678), 6) log_stellar FROM d""")
 def domain_functions(spark, d):
-    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50.0).alias("a"), (F.col("l_extendedprice") / 1000).alias("r"), F.col("l_quantity").alias("rs"), F.col("l_discount").alias("b"), F.col("l_tax").alias("c"))
-    return _round(li.select("l_orderkey", "l_linenumber", astro.redshift("a").alias("z"), astro.cosmic_time("a").alias("age"), astro.nfw_mass("r", "rs").alias("nfw"), astro.elongation("b", "c").alias("elongation")))
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50.0).alias("a"), (F.col("l_extendedprice") / 1000).alias("r"), F.col("l_quantity").alias("rs"), F.col("l_discount").alias("b"), F.col("l_tax").alias("c"), (10 + F.col("l_quantity") / 10.0).alias("m"))
+    return _round(li.select("l_orderkey", "l_linenumber", astro.redshift("a").alias("z"), astro.cosmic_time("a").alias("age"), astro.nfw_mass("r", "rs").alias("nfw"), astro.elongation("b", "c").alias("elongation"), astro.dynamical_time("a").alias("t_dyn"), F.log10(astro.stellar_mass("m")).alias("log_stellar")))
 
 
 def _positions(spark, d) -> DataFrame:
@@ -308,7 +311,7 @@ def _positions(spark, d) -> DataFrame:
 _POS = "p AS (SELECT vec_id id, label structure, " + ", ".join(f"(cast(embedding[{i + 1}] AS double) * 40 + 50) - 100 * floor((cast(embedding[{i + 1}] AS double) * 40 + 50) / 100) {a}" for i, a in enumerate("xyz")) + " FROM embeddings)"
 
 
-@query(f"WITH {_POS}, r AS (SELECT id, degrees(acos(z / sqrt(x * x + y * y + z * z))) a, degrees(atan2(y, x)) b FROM p) SELECT id, round(CASE WHEN a > 90 THEN a - 180 ELSE a END, 6) xrot, round(CASE WHEN b > 90 THEN b - 180 WHEN b < -90 THEN b + 180 ELSE b END, 6) zrot FROM r")
+@query(f"WITH {_POS}, r AS (SELECT id, degrees(acos(z / sqrt(x * x + y * y + z * z))) a, degrees(atan(y / x)) b FROM p) SELECT id, round(CASE WHEN a > 90 THEN 90 - a ELSE a END, 6) xrot, round(b, 6) zrot FROM r")
 def viz_angles(spark, d):
     a, b = astro.rotation("x", "y", "z")
     return _round(_positions(spark, d).select("id", a.alias("xrot"), b.alias("zrot")))
