@@ -115,18 +115,21 @@ def history(rows: DataFrame, track: str, step: str, columns: list[str]) -> DataF
     return order_stats(long, [step, "prop"], "v", mad=False)
 
 
-def balance(rows: DataFrame, track: str, step: str, value: str) -> DataFrame:
-    """Tracks that stay, by step: when tracks end, as many of the opposite rank at the first step are dropped with them.
+def balance(rows: DataFrame, track: str, step: str, value: str, by: list[str] | None = None) -> DataFrame:
+    """Tracks that stay, by step (within `by`): when a track ends, the one of the opposite rank at step 0 ends with it.
 
-    The loop is over steps; what it holds is one rank per track, by step, in a table.
+    Ranks come from a range exchange, so no task holds all tracks.
     """
-    first = rows.where(F.col(step) == 0).withColumn("_rank", F.row_number().over(Window.orderBy(value, track))).select(track, "_rank")
-    n = first.count()
-    last = rows.groupBy(track).agg(F.max(step).alias("_end"))
-    ranks = first.join(last, track)
-    mirror = ranks.select((F.lit(n + 1) - F.col("_rank")).alias("_rank"), F.col("_end").alias("_mirror_end"))
-    keep = ranks.join(mirror, "_rank").select(track, F.least("_end", "_mirror_end").alias("_until"))
-    return rows.join(keep, track).where(F.col(step) <= F.col("_until")).drop("_until")
+    from cosmolith.functions.shared import ranked
+
+    by = by or []
+    first = ranked(rows.where(F.col(step) == 0).select(*by, track, value), [value, track], "_rank", by).select(*by, track, "_rank")
+    size = first.groupBy(*by).agg(F.count("*").alias("_n"))
+    first = first.join(F.broadcast(size), by) if by else first.crossJoin(F.broadcast(size))  # a row for each of `by`
+    ranks = first.join(rows.groupBy(*by, track).agg(F.max(step).alias("_end")), [*by, track])
+    mirror = ranks.select(*by, (F.col("_n") - 1 - F.col("_rank")).alias("_rank"), F.col("_end").alias("_mirror_end"))
+    keep = ranks.join(mirror, [*by, "_rank"]).select(*by, track, F.least("_end", "_mirror_end").alias("_until"))
+    return rows.join(keep, [*by, track]).where(F.col(step) <= F.col("_until")).drop("_until")
 
 
 def mobility(rows: DataFrame, track: str, step: str, value: str) -> DataFrame:

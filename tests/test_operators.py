@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cosmolith.functions import astro
 from cosmolith.functions.shared import ranked
 from cosmolith.operators import aggregates as agg
-from cosmolith.operators import binning, grid, profiles, tracks, tree
+from cosmolith.operators import binning, forest, grid, profiles, tracks, tree
 from cosmolith.sources import legacy
 
 NAN, INF = float("nan"), float("inf")
@@ -177,3 +177,61 @@ def test_tree_numbers_by_root_rows(spark):
 def test_match_downsample_needs_every_cell(spark):
     df = spark.createDataFrame([(x, y, k) for k, (x, y) in enumerate([(0, 0)] * 5 + [(1, 0)] * 2 + [(0, 1)] * 3)], "ix int, iy int, k int")
     assert {(r.ix, r.iy): r["count"] for r in agg.match_downsample(df, "ix", "iy", "k", 2).groupBy("ix", "iy").count().collect()} == {(0, 0): 2, (1, 0): 2}
+
+
+def small_forest(spark):
+    rows = [  # id, desc_id, upid, epoch, mass, tf, spin, tu, almm
+        (1, -1, -1, 1.0, 8.0, 0.5, 0.2, 0.4, 0.5), (2, 1, 9, 0.75, 9.0, 2.0, 0.1, 0.5, 0.5), (3, 2, 9, 0.5, 10.0, 0.1, 0.3, 0.6, 0.5),
+        (4, 2, -1, 0.5, 2.0, 0.1, 0.1, 0.1, 0.1), (5, 3, -1, 0.25, 4.0, 0.2, 0.1, 0.2, 0.1), (7, -1, -1, 1.0, 20.0, 0.0, 0.1, 0.1, 0.0),
+    ]
+    return spark.createDataFrame(rows, "id long, desc_id long, upid long, epoch double, mass double, tf double, spin double, tu double, almm double")
+
+
+def test_histories_and_branch_fields(spark):
+    n = small_forest(spark)
+    h = {r.id: r for r in forest.histories(n).collect()}
+    assert (h[1].mpeak, h[1].a_mpeak, h[1].maxtf_peak, h[1].a_maxtf_peak) == (10.0, 0.5, 2.0, 0.75)
+    assert (h[1].min_bsr_peak, h[1].a_min_bsr_peak, h[2].min_bsr_lmm) == (0.8, 1.0, 0.9)
+    assert (h[1].mass_lost_peak, h[1].mass_lost_as_sub, h[1].spin_peak, h[1].tu_peak) == (2.0, 1.0, 0.3, 0.6)
+    b = {r.id: r for r in forest.branch_fields(n).collect()}
+    assert sorted(b) == [1, 2, 3, 5, 7] and forest.branch_fields(n).columns == n.columns + forest.APPENDED
+    assert (b[1].npt, b[1].high_tf, b[3].high_tf, b[1].mass_lost_mpeak) == (1.0, 1.0, 0.0, 0.5)
+    assert b[1].spin_peak == pytest.approx(0.2 / 0.3) and b[5].mdot_dyn == b[3].mdot_dyn and b[7].mdot_dyn is None
+    run = {r.id: r for r in forest.full_run(n.where("id in (1, 7)").select("id", F.col("mass").alias("m0")), n, 1.0).collect()}
+    assert run[1].mpeak == 10.0 and run[7].npt == 0.0 and run[1].m0 == 8.0
+
+
+def test_accreted_mass_is_summed_along_tracks(spark):
+    a = {r.id: r for r in forest.accreted(small_forest(spark)).collect()}
+    assert (a[5].smooth, a[3].smooth, a[2].lumpy, a[2].n_mergers, a[1].lumpy, a[1].merger_mean) == (4.0, 10.0, 2.0, 1, 2.0, 2.0)
+    assert a[1].lumpy_share + a[1].smooth_share == pytest.approx(1)
+
+
+def test_span_rates_interpolate_and_take_the_first_row(spark):
+    df = spark.createDataFrame([(1, t, float(t * t)) for t in (0, 2, 4, 8)], "k int, t int, m double")
+    got = {r.t: r.m_dyn for r in forest.span_rates(df, "k", "t", ["m"], F.lit(3.0)).collect()}
+    want = {0: 2.0, 2: 2.0, 4: (16 - 2) / 3, 8: (64 - 28) / 3}
+    assert {t: pytest.approx(v) for t, v in want.items()} == got
+
+
+def test_exported_counts_epochs_trees_and_tracks(spark):
+    n = small_forest(spark).withColumns({"ax": F.lit(0.0), "ay": F.lit(0.0), "az": F.lit(-1.0)})
+    e = {r.id: r for r in forest.exported(n, ["id", "mass"]).collect()}
+    assert len(e) == 6 and (e[1].list_count, e[1].tree_count, e[7].tree_count) == (4, 2, 1)
+    assert (e[1].track, e[4].track, e[1].mar, e[5].mar, e[1].xrot, e[1].zrot) == (1, 2, -1.0, 0.0, -90.0, 0.0)
+
+
+def test_history_table_has_all_columns(spark):
+    t = forest.Table()
+    rows = spark.range(40).selectExpr("id % 10 AS track", "cast(id div 10 AS int) AS step", "id")
+    rows = rows.where("track <> 3 or step < 2").withColumns({c: (F.col("id") * 7 % 11).cast("double") for c in {*t.ordered, *t.means, t.merger}})
+    rows = rows.withColumns({"z": F.col("step") * 0.5, t.flag: F.when(F.col("track") < 4, 1).otherwise(0)})
+    out = forest.history_table(rows, "track", "step", "z").drop("step")
+    assert len(out.columns) == 153
+    got = out.orderBy("z").collect()
+    assert [r.z for r in got] == [0.0, 0.5, 1.0, 1.5] and [r.high_kept for r in got] == [1.0, 1.0, 0.75, 0.75]
+    flat = [(r.track, r.mvir) for r in rows.where("step = 2").collect()]
+    order = sorted(rows.where("step = 0").select("mvir", "track").collect())
+    gone = {3, order[9 - [r.track for r in order].index(3)].track}
+    assert got[2].mvir_median == np.median([m for k, m in flat if k not in gone])
+    assert got[0].merger_count_d80 - got[0].merger_count_median == pytest.approx(np.std([r.mvir for r in rows.where("step = 0").collect()]))
