@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cosmolith.functions import astro
 from cosmolith.functions.shared import ranked
 from cosmolith.operators import aggregates as agg
-from cosmolith.operators import binning, catalog, grid, profiles, tracks, tree
+from cosmolith.operators import binning, catalog, forest, grid, profiles, tracks, tree
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -545,3 +545,81 @@ SELECT id, round(sum(power(m - 1000 * power(3.0, 3) * (ln((3.0 + k) / 3.0) - k /
 def profile_chi2(spark, d):
     p = _profiles(spark, d).withColumn("model", F.transform("radii", lambda r: astro.nfw_mass(r, F.lit(3.0), 1000.0))).withColumn("w", F.transform("radii", lambda r: F.lit(1.0)))
     return p.select("id", F.round(astro.chi2("masses", "model", "w"), 2).alias("chi2"))
+
+
+# ---- whole forests -----------------------------------------------------------------------------------------------
+
+
+@query(f"""{_EV}, n AS (SELECT *, 3600 * (1 + event_id % 24) s, lead(t) OVER w nt, lead(value) OVER w nv, first(t) OVER w ft, first(value) OVER w fv FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+ q AS (SELECT *, t - s asked FROM n), j AS (SELECT a.event_id, a.user_id, a.t, a.value, a.s, a.ft, a.fv, b.t bt, b.value bv, b.nt, b.nv FROM q a ASOF LEFT JOIN n b ON a.user_id = b.user_id AND a.asked >= b.t),
+ r AS (SELECT *, CASE WHEN bt IS NOT NULL THEN (value - (bv + (nv - bv) * (t - s - bt)::double / (nt - bt))) / s ELSE (value - fv) / nullif(t - ft, 0) END x FROM j)
+SELECT event_id, round(coalesce(x, lead(x) OVER (PARTITION BY user_id ORDER BY t)), 9) value_dyn FROM r""")
+def span_rates(spark, d):
+    span = 3600 * (1 + F.col("event_id") % 24)
+    return forest.span_rates(_events(spark, d), "user_id", "t", ["value"], span).select("event_id", F.round("value_dyn", 9).alias("value_dyn"))
+
+
+_HEADS = "h AS (SELECT n.id, CASE WHEN b.is_mmp AND n.desc_id <> -1 THEN n.desc_id END up FROM nodes n JOIN best b ON b.id = n.id), w AS (SELECT id, id head FROM h WHERE up IS NULL UNION ALL SELECT h.id, w.head FROM h JOIN w ON h.up = w.id)"
+
+
+@query(f"""{_TREE}, {_HEADS}, p AS (SELECT n.desc_id id, sum(CASE WHEN is_mmp THEN 0 ELSE mass END) lumpy, sum(CASE WHEN is_mmp THEN 0 ELSE 1 END) k, max(CASE WHEN is_mmp THEN mass END) m FROM nodes n JOIN best b ON b.id = n.id GROUP BY 1),
+ a AS (SELECT n.id, head, epoch, coalesce(lumpy, 0) l, coalesce(k, 0) k, CASE WHEN row_number() OVER (PARTITION BY head ORDER BY epoch) = 1 THEN mass ELSE greatest(mass - coalesce(m, mass) - coalesce(lumpy, 0), 0) END s FROM nodes n JOIN w ON w.id = n.id LEFT JOIN p ON p.id = n.id)
+SELECT id, round(sum(l) OVER t, 2) lumpy, round(sum(s) OVER t, 2) smooth, cast(sum(k) OVER t AS bigint) n_mergers FROM a WINDOW t AS (PARTITION BY head ORDER BY epoch ROWS UNBOUNDED PRECEDING)""")
+def accreted_mass(spark, d):
+    return _round(forest.accreted(_nodes(spark, d)).select("id", "lumpy", "smooth", "n_mergers"), 2)
+
+
+def _forest(spark, d) -> DataFrame:
+    m = F.col("mass")
+    return _nodes(spark, d).withColumns({"tf": F.pmod(F.col("id"), F.lit(7)) / 3.0, "spin": F.pmod(F.col("id"), F.lit(11)) / 10.0, "tu": F.pmod(F.col("id"), F.lit(13)) / 10.0, "almm": F.when(F.pmod(F.col("id"), F.lit(2)) == 0, F.col("epoch")).otherwise(0.5), "mass": m.cast("double")})
+
+
+def _level_sql(e: int) -> str:
+    """The nodes of one level with their histories, from those of the level before."""
+    own = f"(SELECT *, id % 7 / 3.0::double tf, id % 11 / 10.0::double spin, CASE WHEN id % 2 = 0 THEN epoch ELSE 0.5 END almm FROM nodes WHERE epoch = {e})"
+    if e == 1:
+        return f"l1 AS (SELECT id, desc_id, epoch, mass::double mass, mass::double mpeak, epoch a_mpeak, tf maxtf_peak, 1.0::double min_bsr_peak, 1.0::double min_bsr_lmm, spin spin_peak, 0.0::double mass_lost_peak, 0.0::double mass_lost_as_sub FROM {own})"
+    new, merged = "(p IS NULL OR mass > p.mpeak)", "(p IS NULL OR epoch = almm)"
+    peak = f"CASE WHEN {new} THEN mass::double ELSE p.mpeak END"
+    lost = "greatest(m - mass, 0)"
+    return f"""b{e} AS (SELECT desc_id up, arg_max(l, (l.mpeak, l.mass, -l.id)) p, max(l.mass) m FROM l{e - 1} l GROUP BY 1),
+ l{e} AS (SELECT id, desc_id, epoch, mass::double mass, {peak} mpeak, CASE WHEN {new} THEN epoch ELSE p.a_mpeak END a_mpeak, CASE WHEN {new} THEN tf ELSE greatest(tf, p.maxtf_peak) END maxtf_peak,
+  CASE WHEN {new} THEN 1.0 ELSE least(mass / ({peak}), p.min_bsr_peak) END min_bsr_peak, CASE WHEN {merged} THEN 1.0 ELSE least(mass / ({peak}), p.min_bsr_lmm) END min_bsr_lmm,
+  CASE WHEN {merged} THEN spin ELSE greatest(spin, p.spin_peak) END spin_peak, CASE WHEN {new} THEN 0.0 ELSE p.mass_lost_peak + {lost} END mass_lost_peak,
+  CASE WHEN {new} THEN 0.0 ELSE p.mass_lost_as_sub + CASE WHEN desc_id <> -1 THEN {lost} ELSE 0 END END mass_lost_as_sub FROM {own} LEFT JOIN b{e} ON up = id)"""
+
+
+_KEPT = ["mpeak", "a_mpeak", "maxtf_peak", "min_bsr_peak", "min_bsr_lmm", "spin_peak", "mass_lost_peak", "mass_lost_as_sub"]
+
+
+@query(f"{_TREE}, {', '.join(_level_sql(e) for e in (1, 2, 3, 4))} SELECT id, {', '.join(f'round({c}, 6) {c}' for c in _KEPT)} FROM ({' UNION ALL '.join(f'SELECT * FROM l{e}' for e in (1, 2, 3, 4))})")
+def tree_histories(spark, d):
+    return _round(forest.histories(_forest(spark, d)).select("id", *_KEPT))
+
+
+@query()
+def branch_fields(spark, d):
+    return _round(forest.branch_fields(_forest(spark, d)))
+
+
+@query()
+def full_tree_run(spark, d):
+    objects = _t(spark, d, "region").select((F.col("r_regionkey") + 1).cast("long").alias("id"), "r_name")
+    return _round(forest.full_run(objects, _forest(spark, d), 4.0))
+
+
+@query(f"""{_TREE}, {_HEADS}, r AS (SELECT id, id root FROM nodes WHERE desc_id = -1 UNION ALL SELECT n.id, r.root FROM nodes n JOIN r ON n.desc_id = r.id),
+ o AS (SELECT id root, row_number() OVER (ORDER BY mass DESC, id) tree_count FROM nodes WHERE desc_id = -1),
+ k AS (SELECT w.head, row_number() OVER (PARTITION BY root ORDER BY epoch DESC, mass DESC, w.head) track FROM w JOIN r ON r.id = w.id JOIN nodes n ON n.id = w.id WHERE w.id = w.head)
+SELECT n.id, cast(epoch AS int) list_count, tree_count, track, round(coalesce(mass - lag(mass) OVER (PARTITION BY w.head ORDER BY epoch), 0), 2) mar, round(CASE WHEN degrees(acos(z / sqrt(1 + z * z))) > 90 THEN 90 - degrees(acos(z / sqrt(1 + z * z))) ELSE degrees(acos(z / sqrt(1 + z * z))) END, 2) xrot, 0.0::double zrot
+FROM (SELECT *, mass / 1000.0 - 50 z FROM nodes) n JOIN w ON w.id = n.id JOIN k ON k.head = w.head JOIN r ON r.id = n.id JOIN o ON o.root = r.root""")
+def viewer_export(spark, d):
+    n = _nodes(spark, d).withColumns({"ax": F.lit(1.0), "ay": F.lit(0.0), "az": F.col("mass") / 1000.0 - 50})
+    return _round(forest.exported(n, ["id"]), 2)
+
+
+@query()
+def history_table(spark, d):
+    t = forest.Table(ordered=("value", "doubled"), means=("errors",), mobile=("value",), flag="flag", merger="errors")
+    rows = _steps(spark, d).withColumns({"doubled": 2 * F.col("value"), "errors": (F.col("event_type") == "error").cast("double"), "flag": (F.col("value") > 50).cast("int"), "z": F.col("step") / 10.0})
+    return _round(forest.history_table(rows, "user_id", "step", "z", t))
