@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cosmolith.functions.shared import finite, ranked, written
-from cosmolith.operators.binning import bucket, span
+from cosmolith.operators.binning import bucket, order_values, span
 
 
 def binned_avg(df: DataFrame, x: str, y: str, n_bins: int) -> DataFrame:
@@ -188,6 +188,13 @@ def spearman(df: DataFrame, x: str, y: str, tie: list[str]) -> DataFrame:
     return b.agg(F.count("*").alias("n"), F.sum(d * d).cast("double").alias("_d")).select("n", (1 - 6 * F.col("_d") / (F.col("n").cast("double") * (F.col("n").cast("double") * F.col("n") - 1))).alias("rho"))
 
 
+def medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with {c}_median of the finite values of each column, by ranks over a range exchange."""
+    found = {c: order_values(df, c, lambda n: [(n - 1) // 2, n // 2]) for c in columns}
+    row = tuple(sum(v) / 2 if v else None for v in found.values())
+    return df.sparkSession.createDataFrame([row], ", ".join(f"`{c}_median` double" for c in found))
+
+
 def contingency(df: DataFrame, x: str, y: str, cut: float) -> DataFrame:
     """Code 1..4 of (x < cut, y < cut), counts and fractions."""
     a, b = F.col(x) < cut, F.col(y) < cut
