@@ -29,6 +29,13 @@ def finite(name: str | Column) -> Column:
     return c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(float("inf")))
 
 
+def with_groups(df: DataFrame, groups: DataFrame, by: list[str], most: int = 100_000) -> DataFrame:
+    """df joined with groups, which holds one row for each value of `by`. That table is written and counted first: up to
+    `most` rows it is broadcast, so df stays where it is; with more groups both sides are exchanged, as then keys are many."""
+    kept = written(groups)
+    return df.join(F.broadcast(kept) if kept.count() <= most else kept, by)
+
+
 def ranked(df: DataFrame, order: list[str], rank: str = "rank", by: list[str] | None = None) -> DataFrame:
     """df with the 0-based rank of each row by `order` (within `by`), in parallel: a range exchange sorts the rows, each
     partition numbers its own, and the partitions' counts (one row each) give where a partition starts. A group that
@@ -45,5 +52,5 @@ def ranked(df: DataFrame, order: list[str], rank: str = "rank", by: list[str] |
     out = kept.join(F.broadcast(starts), "_part").withColumn(rank, F.col("_start") + F.col("_low")).drop("_part", "_low", "_start")
     if by:
         first = out.groupBy(*by).agg(F.min(rank).alias("_first"))
-        out = out.join(first, by).withColumn(rank, F.col(rank) - F.col("_first")).drop("_first")
+        out = with_groups(out, first, by).withColumn(rank, F.col(rank) - F.col("_first")).drop("_first")
     return out

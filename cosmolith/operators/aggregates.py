@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cosmolith.functions.shared import finite, ranked, written
+from cosmolith.functions.shared import finite, ranked, with_groups, written
 from cosmolith.operators.binning import bucket, order_values, span
 
 
@@ -37,13 +37,13 @@ def order_stats(df: DataFrame, by: list[str], y: str, mad: bool = True) -> DataF
     """by, n, median, d20, d80, ci_lo, ci_hi (and mad) of the finite y of each group, by ranks over range exchanges."""
     rows = ranked(df.where(finite(y)).select(*by, F.col(y).cast("double").alias("_y")), ["_y"], "_r", by)
     n = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    rows = rows.join(F.broadcast(n), by)  # a row for each bin
+    rows = with_groups(rows, n, by)
     at = _indices(F.col("n"))
     pick = {k: F.max(F.when(F.col("_r") == i, F.col("_y"))).alias(k) for k, i in at.items()}
     stats = rows.groupBy(*by, "n").agg(*pick.values()).withColumn("median", (F.col("m_lo") + F.col("m_hi")) / 2).drop("m_lo", "m_hi")
     if mad:
         stats = written(stats)
-        dev = rows.drop("n", "_r").join(F.broadcast(stats.select(*by, "n", "median")), by).withColumn("_d", F.abs(F.col("_y") - F.col("median")))
+        dev = with_groups(rows.drop("n", "_r"), stats.select(*by, "n", "median"), by).withColumn("_d", F.abs(F.col("_y") - F.col("median")))
         dev = ranked(dev.select(*by, "n", "_d"), ["_d"], "_r", by).where(F.col("_r") == F.floor(F.col("n") * F.lit(0.5)))
         stats = stats.join(dev.select(*by, F.col("_d").alias("mad")), by, "left")
     return stats
@@ -236,5 +236,5 @@ def match_downsample(df: DataFrame, ix: str, iy: str, key: str, n_x: int, seed:
     """Of each cell keeps as many rows as the emptiest of the n_x cells in its y-row has, by a seeded hash of key."""
     n = df.groupBy(ix, iy).agg(F.count("*").alias("_n"))
     least = n.groupBy(iy).agg(F.when(F.count("*") < n_x, F.lit(0)).otherwise(F.min("_n")).alias("_keep"))
-    order = Window.partitionBy(ix, iy).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    return df.join(F.broadcast(least), iy).where("_keep > 0").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("_keep")).drop("_r", "_keep")
+    rows = with_groups(df, least, [iy]).where("_keep > 0").withColumn("_h", F.xxhash64(key, F.lit(seed)))
+    return ranked(rows, ["_h", key], "_r", [ix, iy]).where(F.col("_r") < F.col("_keep")).drop("_r", "_h", "_keep").select(*df.columns)

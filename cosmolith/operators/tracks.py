@@ -136,8 +136,8 @@ def rescale_axis(df: DataFrame, series: str, x: str, lo: float, hi: float) -> Da
 
 def mass_history(df: DataFrame, track: str, z: str, m: str) -> DataFrame:
     """Per epoch the upper median, sorted[n // 2], of m over the track's last m."""
-    from cosmolith.functions.shared import ranked
+    from cosmolith.functions.shared import ranked, with_groups
 
     rows = normalised(df, track, z, [m]).where(finite(f"{m}_norm")).select(z, F.col(f"{m}_norm").alias("v"))
     n = rows.groupBy(z).agg(F.count("*").alias("n"))
-    return ranked(rows, ["v"], "_r", [z]).join(n, z).where(F.col("_r") == F.floor(F.col("n") / 2)).select(z, "n", F.col("v").alias("median"))
+    return with_groups(ranked(rows, ["v"], "_r", [z]), n, [z]).where(F.col("_r") == F.floor(F.col("n") / 2)).select(z, "n", F.col("v").alias("median"))

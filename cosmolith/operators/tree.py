@@ -120,12 +120,12 @@ def balance(rows: DataFrame, track: str, step: str, value: str, by: list[str] |
 
     Ranks come from a range exchange, so no task holds all tracks.
     """
-    from cosmolith.functions.shared import ranked
+    from cosmolith.functions.shared import ranked, with_groups
 
     by = by or []
     first = ranked(rows.where(F.col(step) == 0).select(*by, track, value), [value, track], "_rank", by).select(*by, track, "_rank")
     size = first.groupBy(*by).agg(F.count("*").alias("_n"))
-    first = first.join(F.broadcast(size), by) if by else first.crossJoin(F.broadcast(size))  # a row for each of `by`
+    first = with_groups(first, size, by) if by else first.crossJoin(F.broadcast(size))  # one row
     ranks = first.join(rows.groupBy(*by, track).agg(F.max(step).alias("_end")), [*by, track])
     mirror = ranks.select(*by, (F.col("_n") - 1 - F.col("_rank")).alias("_rank"), F.col("_end").alias("_mirror_end"))
     keep = ranks.join(mirror, [*by, "_rank"]).select(*by, track, F.least("_end", "_mirror_end").alias("_until"))
@@ -134,7 +134,7 @@ def balance(rows: DataFrame, track: str, step: str, value: str, by: list[str] |
 
 def mobility(rows: DataFrame, track: str, step: str, value: str) -> DataFrame:
     """Populations under 20 %, 40 to 60 % and over 80 % by rank at step 0, and their value at 20, 40, 60, 80 % per step."""
-    from cosmolith.functions.shared import ranked
+    from cosmolith.functions.shared import ranked, with_groups
 
     start = ranked(rows.where(F.col(step) == 0).select(track, value), [value, track], "_r")
     n = start.count()
@@ -143,6 +143,6 @@ def mobility(rows: DataFrame, track: str, step: str, value: str) -> DataFrame:
     member = start.select(track, pop.alias("population")).where("population is not null")
     of = rows.join(member, track).select(step, "population", value)
     size = of.groupBy(step, "population").agg(F.count("*").alias("n"))
-    r = ranked(of, [value], "_r", [step, "population"]).join(F.broadcast(size), [step, "population"])
+    r = with_groups(ranked(of, [value], "_r", [step, "population"]), size, [step, "population"])
     at = [F.max(F.when(F.col("_r") == F.least(F.floor(F.col("n") * F.lit(p / 100)), F.col("n") - 1), F.col(value))).alias(f"p{p}") for p in (20, 40, 60, 80)]
     return r.groupBy(step, "population", "n").agg(*at)
