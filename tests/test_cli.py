@@ -104,3 +104,21 @@ def test_profile_binary_round_trip(spark, tmp_path):
 def test_plot_commands():
     assert plots.track_plot("t_%d.dat", 2) == "plot 't_0.dat' using 2:(log10($12)) with lines linewidth 1 linecolor rgb 'black' notitle, 't_1.dat' using 2:(log10($12)) with lines linewidth 1 linecolor rgb 'black' notitle"
     assert "2:5" in plots.histogram_plot("h", cdf=True) and "image" in plots.map_plot("m")
+
+
+def test_cube_profile_and_matching_commands(spark, tmp_path):
+    cube = np.full((8, 8, 8), -1.0)
+    cube[1, 1, 1], cube[6, 6, 6] = 4, 9
+    (tmp_path / "ids.cube").write_bytes(cube.astype("<f8").tobytes())
+    (tmp_path / "d.cube").write_bytes(np.ones((8, 8, 8)).astype("<f8").tobytes())
+    path = tree_file(tmp_path / "trees.dat")
+    near = run(spark, path, "-type=other", "-otherparam=doSpineCatalogAnalysis", f"-mergeTo={tmp_path}/ids.cube", "-box=16").collect()
+    assert len(near) == 6 and {r.structure for r in near} <= {4, 9}
+    smooth = run(spark, f"{tmp_path}/d.cube", "-type=other", "-otherparam=gaussianSmoothDensity", "-box=16", "-slen=2").collect()
+    assert len(smooth) == 512 and all(r.v == pytest.approx(1) for r in smooth)
+    assert run(spark, path, "-type=other", "-otherparam=buildDensityCatalog", f"-mergeTo={tmp_path}/d.cube", "-box=16").agg(F.sum("density")).first()[0] == 6
+    lines = [" ".join(map(str, [i, -1, 10.0, 6.0, *[0.0] * 7, 700, 8, 100, *range(8)])) for i in (1, 2, 3)]
+    (tmp_path / "p.txt").write_text("# profiles\n" + "\n".join(lines) + "\n")
+    assert run(spark, f"{tmp_path}/p.txt", "-type=other", "-otherparam=doStackProfiles", "-nbinsx=4").count() > 0
+    assert run(spark, f"{tmp_path}/p.txt", "-profiles").count() == 3
+    assert run(spark, path, "-type=other", "-otherparam=doReweightMassDistribution", "-x=17").columns == run(spark, path, "-type=toAscii").columns
