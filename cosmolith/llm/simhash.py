@@ -6,14 +6,15 @@ the 56 triples, 20 suffice, as any 4 shared positions hold one of those (a Turan
 positional bytes of a pair are tallied, pairs under the guaranteed minimum are dropped, and the rest is verified on the
 bits. Lists hold distinct fingerprints only and yield a spanning forest, not pairs, so copies cost nothing.
 
-The pipeline stage uses the same index on 256-bit fingerprints of 5-word shingles, as 64 bits tell a Jaccard similarity
-of 0.8 (about 15 % of the bits) too coarsely. There no count of shared bytes is guaranteed; 96 triples find a pair of
-similarity 0.8 with a probability of about 0.85, of 0.85 with 0.97, and of 0.9 with more than 0.99.
+The pipeline stage links texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, which 64 bits tell
+too coarsely. Candidates are pairs that agree in one of 20 bands of 4 minima (MinHash: a pair of similarity s is missed with
+probability (1 - s^4)^20, 3e-5 at 0.8), in 48 of all 80 minima, and in size to 0.8; each is then verified on the shingles of
+the two texts. A first round verifies a spanning forest of each list of candidates. Where links of it prove false, the
+forest may have gone through them, so a second round verifies every candidate pair whose texts are still in two classes.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -21,10 +22,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cosmolith.llm.common import NO_ID, mix, table, written
+from cosmolith.llm.common import NO_ID, delete, mix, table, written
 from cosmolith.llm.components import components
 
 BLOCK = 1024
@@ -42,16 +43,6 @@ def guaranteed_triples() -> list[tuple[int, ...]]:
     return keep
 
 
-def spread_triples(n_bytes: int, count: int, seed: int = 7) -> list[tuple[int, ...]]:
-    """`count` distinct triples that use all byte positions about equally often."""
-    rng, keep = random.Random(seed), {}
-    while len(keep) < count:
-        at = list(range(n_bytes))
-        rng.shuffle(at)
-        keep |= dict.fromkeys(tuple(sorted(at[i : i + 3])) for i in range(0, n_bytes - 2, 3))
-    return list(keep)[:count]
-
-
 @dataclass(frozen=True)
 class SimHash:
     """shingle words, 64-bit lanes, differing bits that still link, shared positional bytes a pair must have, index keys."""
@@ -64,7 +55,6 @@ class SimHash:
 
 
 CONTRACT = SimHash()
-STAGE = SimHash(shingle=5, lanes=4, max_bits=40, min_shared=3, keys=tuple(spread_triples(32, 96)))
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -208,14 +198,245 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+# ---- the pipeline's stage: verified similarity of shingle sets ---------------------------------------------------
+
+
+@dataclass(frozen=True)
+class NearDuplicates:
+    """shingle words, least similarity (a fraction), bands of the index, minima a band, minima that candidates share."""
+
+    shingle: int = 5
+    similarity: tuple[int, int] = (4, 5)
+    bands: int = 20
+    rows: int = 4
+    min_shared: int = 48
+
+    @property
+    def minima(self) -> int:
+        return self.bands * self.rows
+
+
+STAGE = NearDuplicates()
+
+
+def text_node() -> Column:
+    """What stands for a text: its MD5; a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
+def minima(hashes: np.ndarray, count: int) -> np.ndarray:
+    """The least value of the hashes under each of `count` fixed permutations of 64-bit numbers."""
+    rng = np.random.default_rng(11)
+    by, plus = (rng.integers(0, 1 << 64, (count, 1), np.uint64, endpoint=False) for _ in range(2))
+    out = np.full(count, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(hashes), BLOCK):
+        np.minimum(out, (hashes[lo : lo + BLOCK] * (by | np.uint64(1)) + plus).min(axis=1), out=out)
+    return out
+
+
+def _fixed(m: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    m = np.ascontiguousarray(m)
+    offsets = np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(offsets), pa.py_buffer(m)])
+
+
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[column.offset * width : (column.offset + len(column)) * width]
+    return data.reshape(len(column), width)
+
+
+def _sketches(how: NearDuplicates):
+    """Of each text: how many distinct shingles, a byte of each minimum, and the key of each band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, low, keys = [], np.zeros((batch.num_rows, how.minima), np.uint8), np.zeros((batch.num_rows, how.bands), np.uint64)
+            for i, text in enumerate(batch.column("text")):
+                h = np.unique(shingle_hashes(text.as_py(), how.shingle))
+                sizes.append(len(h))
+                least = minima(h, how.minima)
+                low[i] = least & np.uint64(255)
+                key = np.arange(1, how.bands + 1, dtype=np.uint64)
+                for part in least.reshape(how.bands, how.rows).T:
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + part)
+                keys[i] = key
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), _fixed(low), _fixed(keys.view(np.uint8))], ["node", "n", "low", "keys"])
+
+    return run
+
+
+def _post_bands(how: NearDuplicates):
+    """Each text under the key of each of its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 5_000):
+                part = batch.slice(lo, 5_000)
+                key = _bytes(part.column("keys"), 8 * how.bands).view(np.int64).T.ravel()
+                names = [x for x in part.schema.names if x != "keys"]
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.concat_arrays([part.column(x)] * how.bands) for x in names)], ["key", *names])
+
+    return run
+
+
+def _candidates(n: np.ndarray, low: np.ndarray, one, many, how: NearDuplicates) -> np.ndarray:
+    """Which of the rows `many` may, by size and minima, be similar enough to `one` (a row, or as many rows)."""
+    num, den = how.similarity
+    a, b = n[one], n[many]
+    return (den * np.minimum(a, b) >= num * np.maximum(a, b)) & ((low[one] == low[many]).sum(axis=1) >= how.min_shared)
+
+
+def _spanning(n: np.ndarray, low: np.ndarray, how: NearDuplicates) -> list[tuple[int, int]]:
+    """Pairs of rows that join all candidates of a list: each row is compared with those not reached yet."""
+    pairs, rest = [], np.arange(len(n))
+    while len(rest) > 1:
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            hit = _candidates(n, low, x, rest, how)
+            if hit.any():
+                pairs += [(x, y) for y in rest[hit]]
+                queue += list(rest[hit])
+                rest = rest[~hit]
+    return pairs
+
+
+def _crossing(n: np.ndarray, low: np.ndarray, label: np.ndarray, how: NearDuplicates) -> list[tuple[int, int]]:
+    """All candidate pairs of a list whose rows have two labels; the rows of its largest class look for no pairs themselves."""
+    kinds, of = np.unique(label, return_inverse=True)
+    if len(kinds) < 2:
+        return []
+    large = np.argmax(np.bincount(of))
+    pairs, every, small = [], np.arange(len(n)), of != large
+    for x in np.flatnonzero(small):
+        other = every[(of != of[x]) & (~small | (every > x))]
+        pairs += [(x, y) for y in other[_candidates(n, low, x, other, how)]]
+    return pairs
+
+
+def _search_bands(how: NearDuplicates, labelled: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive sorted by key; a list may span batches. Without labels a spanning forest, with them all pairs between two."""
+
+        def found(node, n, low, label) -> list[tuple[int, int]]:
+            return _crossing(n, low, label, how) if labelled else _spanning(n, low, how)
+
+        def out(node: np.ndarray, pairs: list) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(pairs), 50_000):
+                at = np.array(pairs[lo : lo + 50_000])
+                u, v = node[at[:, 0]], node[at[:, 1]]
+                low_first = np.array([a.tobytes() <= b.tobytes() for a, b in zip(u, v, strict=True)])[:, None]
+                yield pa.RecordBatch.from_arrays([_fixed(np.where(low_first, u, v)), _fixed(np.where(low_first, v, u))], ["u", "v"])
+
+        held_key, held = None, []
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            node, n, low = _bytes(batch.column("node"), 16), batch.column("n").to_numpy(), _bytes(batch.column("low"), how.minima)
+            label = _bytes(batch.column("label"), 16).copy().view("S16").ravel() if labelled else n
+            cols = (node, n, low, label)
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            last = np.append(first[1:], len(key))
+            if held and key[0] == held_key:
+                held.append([c[: last[0]].copy() for c in cols])
+                if len(first) == 1:
+                    continue
+                first, last = first[1:], last[1:]
+            if held:
+                whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+                yield from out(whole[0], found(*whole))
+            held_key, held = key[first[-1]], [[c[first[-1] :].copy() for c in cols]]
+            first, last = first[:-1], last[:-1]
+            two = first[last - first == 2]
+            two = two[_candidates(n, low, two, two + 1, how) & ((label[two] != label[two + 1]) | (not labelled))]
+            pairs = [(i, i + 1) for i in two]
+            for lo, hi in zip(first[last - first > 2], last[last - first > 2], strict=True):
+                pairs += [(lo + x, lo + y) for x, y in found(*(c[lo:hi] for c in cols))]
+            yield from out(node, pairs)
+        if held:
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            yield from out(whole[0], found(*whole))
+
+    return run
+
+
+def similar(a: np.ndarray, b: np.ndarray, how: NearDuplicates = STAGE) -> bool:
+    """Whether two sets, as sorted distinct hashes, have the least similarity; two empty ones do."""
+    num, den = how.similarity
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return den * both >= num * (len(a) + len(b) - both)
+
+
+def _verify(how: NearDuplicates):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, np.ndarray] = {}
+
+        def shingles(node: bytes, text: str | None) -> np.ndarray:
+            if (own := known.get(node)) is None:
+                own = np.unique(shingle_hashes(text, how.shingle))
+                if len(own) < 10_000:  # a few MB in all
+                    if len(known) >= 256:
+                        known.pop(next(iter(known)))
+                    known[node] = own
+            return own
+
+        for batch in batches:
+            u, v, a, b = (batch.column(x) for x in ("u", "v", "text_u", "text_v"))
+            ok = [similar(shingles(u[i].as_py(), a[i].as_py()), shingles(v[i].as_py(), b[i].as_py()), how) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([u, v, pa.array(ok, pa.bool_())], ["u", "v", "ok"])
+
+    return run
+
+
+def verified(pairs: DataFrame, texts: DataFrame, how: NearDuplicates) -> DataFrame:
+    """pairs(u, v), and whether the shingles of their texts(node, text) are similar enough."""
+    with_u = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
+    with_both = with_u.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
+    return with_both.select("u", "v", "text_u", "text_v").mapInArrow(_verify(how), "u binary, v binary, ok boolean")
+
+
+def band_pairs(prints: DataFrame, how: NearDuplicates) -> DataFrame:
+    """Distinct candidate pairs (u, v) of prints(node, n, low, keys): a spanning forest of each list, or, if prints have
+    a label, all pairs between two labels."""
+    labelled = "label" in prints.columns
+    more, schema = (["label"], ", label binary") if labelled else ([], "")
+    posted = prints.select("node", "n", "low", *more, "keys").mapInArrow(_post_bands(how), f"key long, node binary, n int, low binary{schema}")
+    lists = posted.repartition("key").sortWithinPartitions("key")
+    return lists.mapInArrow(_search_bands(how, labelled), "u binary, v binary").distinct()
+
+
+def near_classes(docs: DataFrame, how: NearDuplicates = STAGE) -> DataFrame:
+    """(node, label) of every text that has near duplicates; the label is the least node of its class."""
+    keyed = docs.select(text_node().alias("node"), "text")
+    sketches = keyed.mapInArrow(_sketches(how), "node binary, n int, low binary, keys binary")
+    prints, prints_at = written(sketches.dropDuplicates(["node"]), "prints")
+    pairs, pairs_at = written(band_pairs(prints, how), "pairs")
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    texts, texts_at = written(keyed.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    first, first_at = written(verified(pairs, texts, how), "verified")
+    links = components(first.where("ok").select("u", "v"))
+    if not first.where("not ok").isEmpty():
+        label = links.withColumnRenamed("component", "label")
+        named = prints.join(nodes, "node", "left_semi").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        untested = band_pairs(named, how).join(first.select("u", "v"), ["u", "v"], "left_anti")
+        second, second_at = written(verified(untested, texts, how).where("ok").select("u", "v"), "verified")
+        if not second.isEmpty():
+            links = components(links.select(F.col("node").alias("u"), F.col("component").alias("v")).union(second))
+        delete(docs.sparkSession, second_at)
+    out, _ = written(links.withColumnRenamed("component", "label"), "classes")
+    for path in (prints_at, pairs_at, texts_at, first_at):
+        delete(docs.sparkSession, path)
+    return out
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one with its least doc_id (of rows that share that id, the first by text).
 
     Rows with a null doc_id are one document; it stays if one of its classes has no other id.
     """
-    classes = simhash_classes(docs.select("doc_id", "text"), ["doc_id"], STAGE)
+    rows = docs.select("doc_id", text_node().alias("node")).join(near_classes(docs), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_key")
-    heads, _ = written(classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct(), "heads")
+    heads, _ = written(rows.groupBy("label").agg(F.min("doc_id").alias("doc_id")).select(key).distinct(), "heads")
     # One exchange of the texts, by _key, serves both the join and the choice among rows that share an id.
     kept = docs.select(key, F.struct(*(docs[c] for c in docs.columns)).alias("_row")).join(heads, "_key", "left_semi")
     first = F.min(F.struct(F.col("_row")["text"].alias("text"), F.col("_row").alias("row"))).alias("first")
