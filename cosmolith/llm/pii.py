@@ -21,14 +21,14 @@ DATE_FROM, DATE_SPLIT = "1900-01-01", (250, 292)  # 73 000 days, to 2099-11-13
 #: What is looked for, in this order at any place.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
-ALPHABETS = {"digit": "0123456789", "hex": "0123456789abcdef", "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+ALPHABETS = {"digit": "0123456789", "hex": "0123456789abcdef", "a-f": "abcdef", "A-F": "ABCDEF", "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
 def _hash(key: str, kind: str, turn: Column, other: Column) -> Column:
@@ -146,9 +146,13 @@ def pseudonym(key: str, m: Column) -> tuple[Column, Column]:
         moved = feistel_pair(key, "date", F.floor(day / DATE_SPLIT[1]), day % DATE_SPLIT[1], DATE_SPLIT)
         return _bound(moved, lambda p: F.date_add(F.lit(DATE_FROM).cast("date"), (p["a"] * DATE_SPLIT[1] + p["b"]).cast("int")).cast("string"))
 
+    def secret() -> Column:  # the upper-case form of a value gets the upper-case form of its pseudonym; mixed case stays in place
+        moved = F.when(m == F.lower(m), feistel_text(key, "secret", m, ["hex"])).when(m == F.upper(m), F.upper(feistel_text(key, "secret", F.lower(m), ["hex"])))
+        return moved.otherwise(feistel_text(key, "secret", m, ["digit", "a-f", "A-F"]))
+
     at = F.call_function("instr", m, F.lit("@"))
     email = F.concat(feistel_text(key, "email", F.substr(m, F.lit(1), at - 1), ["digit", "lower", "upper"]), F.substr(m, at, F.length(m)))
-    made = {"email": email, "secret": feistel_text(key, "secret", m, ["hex"]), "phone": phone(), "ssn": ssn(), "date": date(), "ip": ip(), "card": card()}
+    made = {"email": email, "secret": secret(), "phone": phone(), "ssn": ssn(), "date": date(), "ip": ip(), "card": card()}
     out = m
     for name in PATTERNS:
         out = F.when(kind == name, made[name]).otherwise(out)
