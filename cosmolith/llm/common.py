@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where the session sets none (tests, local runs)."""
+    """The folder all executors share: spark.checkpoint.dir. A session in one process (tests, local runs) that sets none gets one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cosmolith-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,9 +35,40 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def create_once(spark: SparkSession, path: str, body: str) -> bool:
+    """A file with body at path, whole or not at all; False if there is one already, by whichever writer.
+
+    The body is written aside. On a local file system it is then linked into place, which fails if the name is taken; on
+    others renamed, which fails in the same way on HDFS. An object store needs a single writer.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs, to = file_system(spark, path), at(path)
+    aside = at(to.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    out.write(bytearray(body.encode()))
+    out.close()
+    local = lambda p: p.toUri().getPath()
+    if to.toUri().getScheme() == "file" and os.path.exists(local(aside)):
+        try:
+            os.link(local(aside), local(to))
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            fs.delete(aside, False)
+    if fs.exists(to) or not fs.rename(aside, to):
+        fs.delete(aside, False)
+        return False
+    return True
 
 
 def written(df: DataFrame, kind: str) -> tuple[DataFrame, str]:

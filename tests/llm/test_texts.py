@@ -276,6 +276,33 @@ def test_sharding_round_trip(spark, cluttered, tmp_path):
     assert same(store.read().drop("shard", "shard_bytes"), cluttered)
 
 
+def test_manifest_parts_are_shared_and_rewritten(spark, docs, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/t", target=1 << 20, fanout=3, part=2)
+    for k in range(5):
+        store.append(docs.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(5)) == k).coalesce(1), f"a{k}")
+    first = store.manifest()[1]["parts"]
+    assert len(first) == 5 and len(store.shards()) == 5
+    gone = {store.shards()[0].path}
+    store._change("", gone, [])
+    now = store.manifest()[1]["parts"]
+    assert set(now) < set(first) and len(store.shards()) == 4
+    with pytest.raises(RuntimeError):
+        store._change("", gone, [])
+    store.compact()
+    assert len(store.shards()) == 1
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_sharding_query_on_odd_tables(spark, cluttered, tmp_path, empty):
+    names = ["shard", "shard_bytes", "_arrival", "_metadata", "row", "tier", "version", "row_hash"]
+    d = cluttered.select("*", *(F.lit(7).alias(n) for n in names)).where("false" if empty else "true")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op1_sharding(spark, f"file://{tmp_path}")
+    want = d.select("doc_id", F.xxhash64("text", "lang", "source").alias("row_hash"))
+    assert sorted(map(str, got.select("doc_id", "row_hash").collect())) == sorted(map(str, want.collect()))
+    assert got.columns == ["doc_id", "shard", "shard_bytes", "tier", "version", "row_hash"]
+
+
 def test_runs_hold_similar_sizes_up_to_the_target():
     s = [sharding.Shard(f"p{k:02}", b, "a") for k, b in enumerate([10] * 9 + [300] * 3 + [2000])]
     runs = sharding.plan_runs(s, 1000, 3)
