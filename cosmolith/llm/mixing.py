@@ -1,10 +1,13 @@
 """Operator 9: mixing sources to target weights by subset-sum budget fitting.
 
 Sizes are words. A source gives all its documents as often as its target holds whole times; what is left of the target
-is filled from a histogram of its documents by exact size. Every size first gives its share of the budget, rounded
-down; then a bounded-knapsack dynamic programme over the sizes' spare counts fits the little that is left. Which
-documents of a size are taken follows a seeded hash, so reruns agree. Only histograms meet in one task: a source of T
-words has at most sqrt(2 T) sizes.
+is filled from a histogram of its documents by exact size. Every size first gives its share of the budget, rounded down.
+The words that the rounding leaves are fitted by a bounded-knapsack dynamic programme over the sizes' spare counts, in
+blocks of sizes from the longest down: a block holds sizes of BLOCK words in all, fits its own remainder and hands on
+what it cannot reach. The last block, of the shortest sizes, may also give documents back and fit them anew, so a source
+of at most BLOCK words comes as near its budget as any choice can. Which documents of a size are taken follows a seeded
+hash of id and text, so reruns agree; rows alike in both are told apart by their place. Only histograms meet in one
+task: a source of T words has at most sqrt(2 T) sizes.
 """
 
 from __future__ import annotations
@@ -14,11 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cosmolith.llm.common import WORD_GAP, table, written
+from cosmolith.llm.common import NO_ID, WORD_GAP, delete, table, written
 
 SEED = 20240
 MOST_COPIES = 3
-MAX_BUDGET = 1 << 17  # words that the dynamic programme fits; what is above is filled greedily, longest first
+BLOCK = 1 << 16  # words, so bits of the dynamic programme's state
 SLOTS = 4096
 
 
@@ -44,38 +47,20 @@ def targets(sizes: dict, weights=(1, 2, 3), most: int = MOST_COPIES) -> dict:
     return out
 
 
-def fit(sizes: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each size to take (at most counts) so that they hold budget words, or as near below it as
-    the dynamic programme finds."""
-    total = sum(s * c for s, c in zip(sizes, counts, strict=True))
-    if budget <= 0 or not total:
-        return [0] * len(sizes)
-    if budget >= total:
-        return list(counts)
-    take = [c * budget // total for c in counts]
-    left = budget - sum(s * t for s, t in zip(sizes, take, strict=True))
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    for i in order:
-        if left <= MAX_BUDGET:
-            break
-        if sizes[i]:
-            more = min(counts[i] - take[i], (left - MAX_BUDGET + sizes[i] - 1) // sizes[i], left // sizes[i])
-            take[i] += more
-            left -= more * sizes[i]
-    # Bounded knapsack: binary multiples of each spare size; bit s of `reached` tells that s words can be had.
-    reached, mask, steps = 1, (1 << left + 1) - 1, []
-    for i in order:
-        spare, m = min(counts[i] - take[i], left // sizes[i] if sizes[i] else 0), 1
-        while spare > 0 and not reached >> left & 1:
-            m = min(m, spare)
+def knapsack(sizes: list[int], spare: list[int], left: int) -> list[int]:
+    """How many of each size to take (at most spare) for the most words up to left, by bounded knapsack."""
+    # Binary multiples of each spare size; bit s of `reached` tells that s words can be had.
+    reached, mask, steps, take = 1, (1 << left + 1) - 1, [], [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        n, m = min(spare[i], left // sizes[i]), 1
+        while n > 0 and not reached >> left & 1:
+            m = min(m, n)
             after = (reached | reached << m * sizes[i]) & mask
             if after != reached:
                 steps.append((i, m, reached))
                 reached = after
-            spare -= m
+            n -= m
             m *= 2
-        if reached >> left & 1:
-            break
     at = reached.bit_length() - 1
     for i, m, before in reversed(steps):
         if not before >> at & 1:
@@ -84,6 +69,59 @@ def fit(sizes: list[int], counts: list[int], budget: int) -> list[int]:
     return take
 
 
+def _fit_block(sizes: list[int], spare: list[int], left: int) -> list[int]:
+    """The share of left of each size, rounded down, and the knapsack of what that leaves, which is less than the sizes' sum."""
+    words = lambda take: sum(s * t for s, t in zip(sizes, take, strict=True))
+    total = words(spare)
+    if left >= total:
+        return list(spare)
+    take = [n * left // total for n in spare]
+    rest = left - words(take)
+    if len(sizes) == 1:
+        return [take[0] + min(spare[0] - take[0], rest // sizes[0])]
+    return [t + m for t, m in zip(take, knapsack(sizes, [n - t for n, t in zip(spare, take, strict=True)], rest), strict=True)]
+
+
+def fit(sizes: list[int], counts: list[int], budget: int) -> list[int]:
+    """How many documents of each size to take (at most counts) so that they hold budget words, or as near below it as
+    the dynamic programme finds."""
+    total = sum(s * c for s, c in zip(sizes, counts, strict=True))
+    if budget <= 0 or not total:
+        return [0] * len(sizes)
+    if budget >= total:
+        return list(counts)
+    take, blocks, held = [0] * len(sizes), [], BLOCK
+    for i in sorted((i for i in range(len(sizes)) if sizes[i]), key=lambda i: -sizes[i]):
+        if held + sizes[i] > BLOCK:
+            blocks.append([])
+            held = 0
+        blocks[-1].append(i)
+        held += sizes[i]
+    seen = taken = 0
+    for k, block in enumerate(blocks):
+        own, n = [sizes[i] for i in block], [counts[i] for i in block]
+        seen += sum(s * c for s, c in zip(own, n, strict=True))
+        left = (budget * seen // total if k + 1 < len(blocks) else budget) - taken
+        got = _fit_block(own, n, left)
+        words = sum(s * t for s, t in zip(own, got, strict=True))
+        back = 1
+        while k + 1 == len(blocks) and words < left and any(got):  # documents are given back until the budget is met
+            given = [max(0, t - back) for t in got]
+            rest = left - sum(s * t for s, t in zip(own, given, strict=True))
+            if rest > BLOCK:
+                break
+            new = [g + m for g, m in zip(given, knapsack(own, [c - g for c, g in zip(n, given, strict=True)], rest), strict=True)]
+            if (more := sum(s * t for s, t in zip(own, new, strict=True))) > words:
+                got, words = new, more
+            if not any(given):
+                break
+            back *= 2
+        for i, t in zip(block, got, strict=True):
+            take[i] = t
+        taken += words
+    return take
+
+
 def _plan(rows: pd.DataFrame) -> pd.DataFrame:
     """Of one source's histogram: copies that every document gets, and how many documents of each size get one more."""
     rows = rows.sort_values("size", kind="stable")
@@ -91,48 +129,82 @@ def _plan(rows: pd.DataFrame) -> pd.DataFrame:
     total, want = sum(s * c for s, c in zip(sizes, counts, strict=True)), int(rows["target"].iloc[0] + 0.5)
     whole = min(want // total, MOST_COPIES) if total else 0
     extra = fit(sizes, counts, want - whole * total) if whole < MOST_COPIES else [0] * len(sizes)
-    return pd.DataFrame({"_ps": rows["source"], "_pz": rows["size"], "whole": whole, "extra": extra})
+    return pd.DataFrame({"_ps": rows["source"], "_pz": rows["size"], "whole": whole, "extra": extra, "_pn": counts})
 
 
-def _sized(docs: DataFrame, keep: list[str], seed: int) -> DataFrame:
-    need = [c for c in ("source", "doc_id") if c not in keep]
-    return docs.select(*keep, *need, n_words("text").alias("size"), F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)).alias("_h"))
+def _sized(docs: DataFrame, keep: list[str], seed: int, place: Column) -> DataFrame:
+    need = [c for c in ("source",) if c not in keep]
+    return docs.select(*keep, *need, n_words("text").alias("size"), F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 52)).alias("_h"), place.alias("_place"))
 
 
-def mix(docs: DataFrame, keep: list[str], weights=(1, 2, 3), seed: int = SEED) -> DataFrame:
+def _of(left: tuple[str, str], right: tuple[str, str] = ("_ps", "_pz")) -> Column:
+    return F.col(left[0]).eqNullSafe(F.col(right[0])) & (F.col(left[1]) == F.col(right[1]))
+
+
+def _last_places(slim: DataFrame, cells: DataFrame, plan: DataFrame) -> tuple[DataFrame, bool]:
+    """(_ls, _lz, _last, _last_place) of each size of which some documents, not all, are taken: the last one in the order of
+    hash and place; and whether places are needed, as a choice falls among rows alike in id and text."""
+    size, top = ("source", "size"), F.lit(NO_ID)
+    before = Window.partitionBy("source", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("extra") - F.col("_before")
+    some = plan.where("extra > 0 and extra < _pn").select("_ps", "_pz", "extra")
+    cut = cells.join(some, _of(size)).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    cut = cut.where((room > 0) & (room <= F.col("n"))).select("_ps", "_pz", F.col("slot").alias("_cl"), room.alias("_room"))
+    # In the cell where the cut falls, rows with one hash are counted before they meet.
+    own = slim.join(cut, _of(size) & (F.col("slot") == F.col("_cl"))).groupBy("_ps", "_pz", "_room", "_h").agg(F.count("*").alias("_n"))
+    run = F.sum("_n").over(Window.partitionBy("_ps", "_pz").orderBy("_h"))
+    last = own.withColumn("_run", run).where("_run >= _room and _run - _n < _room")
+    last, _ = written(last.select("_ps", "_pz", F.col("_h").alias("_last"), (F.col("_room") - F.col("_run") + F.col("_n")).alias("_take"), "_n"), "last")
+    names = [F.col("_ps").alias("_ls"), F.col("_pz").alias("_lz"), "_last"]
+    alike = last.where("_take < _n")
+    if alike.isEmpty():
+        return last.select(*names, top.alias("_last_place")), False
+    # A place is a partition and a row in it: rows are counted by partition, and ranked in the one where the cut falls.
+    tied, _ = written(slim.join(alike, _of(size) & (F.col("_h") == F.col("_last"))).select("_ps", "_pz", "_last", "_take", "_place", F.shiftright("_place", 33).alias("_part")), "tied")
+    parts = tied.groupBy("_ps", "_pz", "_take", "_part").agg(F.count("*").alias("_n"))
+    parts = parts.withColumn("_run", F.sum("_n").over(Window.partitionBy("_ps", "_pz").orderBy("_part"))).where("_run >= _take and _run - _n < _take")
+    parts = parts.select(F.col("_ps").alias("_qs"), F.col("_pz").alias("_qz"), F.col("_part").alias("_qp"), (F.col("_take") - F.col("_run") + F.col("_n")).alias("_at"))
+    ranked = tied.join(parts, _of(("_ps", "_pz"), ("_qs", "_qz")) & (F.col("_part") == F.col("_qp")))
+    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("_ps", "_pz").orderBy("_place"))).where("_rank = _at")
+    return last.where("_take = _n").select(*names, top.alias("_last_place")).union(ranked.select(*names, F.col("_place").alias("_last_place"))), True
+
+
+def mix(docs: DataFrame, keep: list[str], weights=(1, 2, 3), seed: int = SEED, placed: bool = False) -> DataFrame:
     """docs' columns `keep` (which may hold the text) with size, source_size, target, copies and taken = copies * size.
 
     A null text has size 0; a null source is a source of its own, the last. Documents without words are never taken.
-    Of a size, the documents with the least hash of their doc_id get one copy more; rows that share doc_id and size get
-    it together. Clashing columns (size, target ...) among `keep` are replaced. An empty table gives an empty result.
+    Of a size, the documents with the least hash of their id and text get one copy more; of rows alike in both, those
+    that come first (placed: docs has their places as `_place`). Clashing columns (size, target ...) among `keep` are
+    replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     keep = [c for c in keep if c not in {"size", "source_size", "target", "copies", "taken"}]
+    place = F.col("_place") if placed else F.monotonically_increasing_id()
     width = (1 << 52) // SLOTS
     slot = F.floor(F.col("_h") / F.lit(width)).cast("int").alias("slot")
-    slim, _ = written(_sized(docs, [], seed), "sized")
-    cells, _ = written(slim.groupBy("source", "size", slot).agg(F.count("*").alias("n")), "cells")
+    light = set(keep) <= {"doc_id", "source"}
+    slim, slim_at = written(_sized(docs, keep if light else [], seed, place).withColumn("slot", slot), "sized")
+    cells, cells_at = written(slim.groupBy("source", "size", "slot").agg(F.count("*").alias("n")), "cells")
     hist = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
     totals = {r.source: int(r.t) for r in hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("t")).collect()}
     goal = targets(totals, weights)  # a few numbers for each source, as each has a weight
     wanted = spark.createDataFrame([(s, totals[s], float(goal[s])) for s in totals], "_source string, source_size long, target double")
-    plan = hist.join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("_source"))).select("source", "size", "n", "target").groupBy("source").applyInPandas(_plan, "_ps string, _pz long, whole int, extra long")
-    plan, _ = written(plan, "plan")
-    # The cell in which a size's cut falls, and in it the last document that is taken.
-    before = Window.partitionBy("source", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    room = F.col("extra") - F.col("_before")
-    cut = cells.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(plan.where("extra > 0"), F.col("source").eqNullSafe(F.col("_ps")) & (F.col("size") == F.col("_pz")))
-    cut = cut.where((room > 0) & (room <= F.col("n"))).select("_ps", "_pz", F.col("slot").alias("_cl"), room.alias("_room"), (F.col("n") == room).alias("_all"))
-    ranked = slim.withColumn("slot", slot).join(cut.where("not _all"), F.col("source").eqNullSafe(F.col("_ps")) & (F.col("size") == F.col("_pz")) & (F.col("slot") == F.col("_cl")))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "slot").orderBy("_h", "doc_id"))
-    last = ranked.withColumn("_rank", rank).where("_rank = _room").select("_ps", "_pz", F.col("_h").alias("_last"))
-    last = last.union(cut.where("_all").select("_ps", "_pz", ((F.col("_cl") + 1) * F.lit(width) - 1).alias("_last")))
-    last = last.withColumnsRenamed({"_ps": "_ls", "_pz": "_lz"})
-    plan = plan.join(last, F.col("_ps").eqNullSafe(F.col("_ls")) & (F.col("_pz") == F.col("_lz")), "left").select("_ps", "_pz", "whole", F.coalesce("_last", F.lit(-1)).alias("_last"))
-    plan, _ = written(plan, "plan")
-    sized = slim if set(keep) <= {"doc_id", "source"} else _sized(docs, keep, seed)
-    out = sized.join(plan, F.col("source").eqNullSafe(F.col("_ps")) & (F.col("size") == F.col("_pz"))).join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("_source")))
-    copies = F.when(F.col("size") > 0, F.col("whole") + (F.col("_h") <= F.col("_last")).cast("int")).otherwise(0)
+    # Sources have a weight each, so they are few; beyond Spark's own limit of size the joins with them are no broadcasts.
+    plan = hist.join(wanted, F.col("source").eqNullSafe(F.col("_source"))).select("source", "size", "n", "target").groupBy("source").applyInPandas(_plan, "_ps string, _pz long, whole int, extra long, _pn long")
+    plan, plan_at = written(plan, "plan")
+    last, alike = _last_places(slim, cells, plan)
+    if alike and not light and not placed:  # the rows are written with their places, so that these hold for both reads
+        whole, _ = written(docs.withColumn("_place", place), "placed")
+        delete(spark, slim_at, cells_at, plan_at)
+        return mix(whole, keep, weights, seed, True)
+    least = F.when(F.col("extra") == F.col("_pn"), NO_ID).otherwise(F.coalesce("_last", F.lit(-1)))
+    cuts = plan.join(last, _of(("_ps", "_pz"), ("_ls", "_lz")), "left").select("_ps", "_pz", "whole", least.alias("_last"), F.coalesce("_last_place", F.lit(NO_ID)).alias("_last_place"))
+    cuts, _ = written(cuts, "cuts")
+    delete(spark, cells_at, plan_at, *([] if light else [slim_at]))
+    sized = slim if light else _sized(docs, keep, seed, place)
+    out = sized.join(cuts, _of(("source", "size"))).join(wanted, F.col("source").eqNullSafe(F.col("_source")))
+    chosen = (F.col("_h") < F.col("_last")) | ((F.col("_h") == F.col("_last")) & (F.col("_place") <= F.col("_last_place")))
+    copies = F.when(F.col("size") > 0, F.col("whole") + chosen.cast("int")).otherwise(0)
     return out.select(*keep, "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 

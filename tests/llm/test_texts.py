@@ -165,7 +165,37 @@ def test_subset_sum_is_exact_where_it_can_be():
         counts = counts[: len(sizes)]
         budget = int(rng.integers(0, sum(s * c for s, c in zip(sizes, counts, strict=True)) + 1))
         take = mixing.fit(sizes, counts, budget)
-        assert all(0 <= t <= c for t, c in zip(take, counts, strict=True)) and sum(s * t for s, t in zip(sizes, take, strict=True)) <= budget
+        assert all(0 <= t <= c for t, c in zip(take, counts, strict=True))
+        best = {0}
+        for x, c in zip(sizes, counts, strict=True):
+            best = {v + x * k for v in best for k in range(c + 1) if v + x * k <= budget}
+        assert sum(s * t for s, t in zip(sizes, take, strict=True)) == max(best)
+
+
+def test_budgets_of_many_blocks_are_met():
+    rng = np.random.default_rng(2)
+    for top in (2_000, 300_000):
+        sizes = sorted(set(rng.integers(1, top, 900).tolist()))
+        counts = rng.integers(1, 2_000, len(sizes)).tolist()
+        total = sum(s * c for s, c in zip(sizes, counts, strict=True))
+        for share in (0.1, 0.5, 0.93):
+            take = mixing.fit(sizes, counts, int(total * share))
+            assert all(0 <= t <= c for t, c in zip(take, counts, strict=True))
+            assert int(total * share) - sum(s * t for s, t in zip(sizes, take, strict=True)) == 0
+            # no size is favoured: its share is the budget's, but for a few documents
+            assert max(abs(t - c * share) for t, c in zip(take, counts, strict=True)) < 0.2 * max(counts)
+
+
+def test_rows_alike_are_taken_one_by_one(spark):
+    rows = [(None, "a b c", "s0")] * 1000 + [(1, "x " * 700, "s1"), (2, "y " * 700, "s1")] + [(7, "d e", "s2")] * 500
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(d, ["doc_id", "source"]).collect()
+    want = {r.source: r.target for r in got}
+    for s in want:
+        assert abs(sum(r.taken for r in got if r.source == s) - want[s]) <= max(r["size"] for r in got if r.source == s)
+    assert len(got) == len(rows) and len({r.copies for r in got if r.source == "s0"}) == 2
+    out = mixing.mixing_stage(spark, d, "")
+    assert sorted(map(str, out.groupBy("source").count().collect())) == sorted(f"Row(source='{s}', count={sum(r.copies for r in got if r.source == s)})" for s in want)
 
 
 def test_quality(docs, prose, cluttered, nothing):
