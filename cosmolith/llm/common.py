@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What separates words everywhere in this subpackage: the ASCII white space.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -79,6 +80,23 @@ def written(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def dealt(rows: DataFrame, keys: DataFrame, by: str, block: int) -> DataFrame:
+    """rows(key, ...) for a search within each key, sorted by key: lists of more than `block` rows are dealt as pairs of blocks.
+
+    keys: the column key of rows, unread. Every two rows of a list meet under one new key at least, and no new key has many
+    more than 2 * block rows; two lists may share one. The table of long lists is joined as Spark sees fit by its size.
+    """
+    long, _ = written(keys.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("_blocks")), "long")
+    if not long.isEmpty():
+        own = [c for c in rows.columns if c != "key"]
+        rows = rows.join(long, "key", "left").withColumn("_own", F.pmod(F.xxhash64(by), F.col("_blocks")).cast("int"))
+        others = F.when(F.col("_blocks").isNull(), F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda x: x != F.col("_own")))
+        rows = rows.withColumn("_other", F.explode(others))
+        pair = F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
+        rows = rows.select(F.when(F.col("_blocks").isNull(), F.col("key")).otherwise(pair).alias("key"), *own)
+    return rows.repartition("key").sortWithinPartitions("key")
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of df, for choosing how many buckets work is dealt to."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

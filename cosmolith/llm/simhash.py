@@ -4,7 +4,8 @@ Two 64-bit fingerprints that differ in at most 4 bits share at least 4 of their
 each single (position, byte) would hold 1/256 of all fingerprints, so the index posts triples of positional bytes: of
 the 56 triples, 20 suffice, as any 4 shared positions hold one of those (a Turan system). Inside a list the shared
 positional bytes of a pair are tallied, pairs under the guaranteed minimum are dropped, and the rest is verified on the
-bits. Lists hold distinct fingerprints only and yield a spanning forest, not pairs, so copies cost nothing.
+bits. Lists hold distinct fingerprints only and yield a spanning forest, not pairs, so copies cost nothing. A list of more
+than LIST rows is dealt out as pairs of blocks, so no task gets it whole.
 
 The pipeline stage links texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, which 64 bits tell
 too coarsely. Candidates are pairs that agree in one of 20 bands of 4 minima (MinHash: a pair of similarity s is missed with
@@ -25,10 +26,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cosmolith.llm.common import NO_ID, delete, mix, table, written
+from cosmolith.llm.common import NO_ID, dealt, delete, mix, table, written
 from cosmolith.llm.components import components
 
 BLOCK = 1024
+LIST = 4096  # rows of a posting list that a task searches at once
 
 
 def guaranteed_triples() -> list[tuple[int, ...]]:
@@ -173,7 +175,7 @@ def _search(how: SimHash):
 def fingerprint_links(prints: DataFrame, how: SimHash) -> DataFrame:
     """Edges (u, v) that join all linked fingerprints of prints(fp), which must be distinct."""
     posted = prints.select("fp").mapInArrow(_post(how), "key long, fp binary")
-    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(_search(how), "u binary, v binary")
+    return dealt(posted, posted.select("key"), "fp", LIST).mapInArrow(_search(how), "u binary, v binary")
 
 
 def simhash_classes(docs: DataFrame, keep: list[str], how: SimHash = CONTRACT) -> DataFrame:
@@ -266,6 +268,14 @@ def _sketches(how: NearDuplicates):
     return run
 
 
+def _band_keys(how: NearDuplicates):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_bytes(batch.column("keys"), 8 * how.bands).view(np.int64).ravel())], ["key"])
+
+    return run
+
+
 def _post_bands(how: NearDuplicates):
     """Each text under the key of each of its bands."""
 
@@ -401,7 +411,8 @@ def band_pairs(prints: DataFrame, how: NearDuplicates) -> DataFrame:
     labelled = "label" in prints.columns
     more, schema = (["label"], ", label binary") if labelled else ([], "")
     posted = prints.select("node", "n", "low", *more, "keys").mapInArrow(_post_bands(how), f"key long, node binary, n int, low binary{schema}")
-    lists = posted.repartition("key").sortWithinPartitions("key")
+    keys = prints.select("keys").mapInArrow(_band_keys(how), "key long")
+    lists = dealt(posted, keys, "node", LIST)
     return lists.mapInArrow(_search_bands(how, labelled), "u binary, v binary").distinct()
 
 
@@ -430,14 +441,16 @@ def near_classes(docs: DataFrame, how: NearDuplicates = STAGE) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one with its least doc_id (of rows that share that id, the first by text).
+    """One document of each class stays: the one with its least doc_id, of those that share it the one with the least MD5.
 
-    Rows with a null doc_id are one document; it stays if one of its classes has no other id.
+    A null doc_id is larger than any other. Rows alike in doc_id and text are one document, of which a row stays. Texts that
+    are not similar all stay, whether their ids are null, repeated or unique.
     """
-    rows = docs.select("doc_id", text_node().alias("node")).join(near_classes(docs), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_key")
-    heads, _ = written(rows.groupBy("label").agg(F.min("doc_id").alias("doc_id")).select(key).distinct(), "heads")
-    # One exchange of the texts, by _key, serves both the join and the choice among rows that share an id.
-    kept = docs.select(key, F.struct(*(docs[c] for c in docs.columns)).alias("_row")).join(heads, "_key", "left_semi")
-    first = F.min(F.struct(F.col("_row")["text"].alias("text"), F.col("_row").alias("row"))).alias("first")
-    return kept.groupBy("_key").agg(first).select("first.row.*")
+    key, node = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_key"), text_node().alias("_node")
+    classes = near_classes(docs).withColumnRenamed("node", "_node")
+    rows = docs.select(key, node).join(classes, "_node", "left").select("_key", "_node", F.coalesce("label", "_node").alias("label"))
+    heads, _ = written(rows.groupBy("label").agg(F.min(F.struct("_key", "_node")).alias("head")).select("head.*"), "heads")
+    # One exchange of the texts, by id and text, serves both the join and the choice among rows alike.
+    kept = docs.select(key, node, F.struct(*(docs[c] for c in docs.columns)).alias("_row")).join(heads, ["_key", "_node"], "left_semi")
+    order = [F.col("_row")[c] for c, t in docs.dtypes if c not in ("text", "doc_id") and not any(x in t for x in ("map<", "variant", "interval"))]
+    return kept.groupBy("_key", "_node").agg(F.min_by("_row", F.struct(*order, F.lit(0))).alias("first")).select("first.*")

@@ -77,3 +77,33 @@ def test_a_false_link_does_not_part_true_ones():
     assert simhash._spanning(n, low, how) == [(0, 1), (0, 2)]
     assert {frozenset(map(int, p)) for p in simhash._crossing(n, low, np.array([b"a", b"b", b"c"]), how)} == {frozenset(p) for p in ((0, 1), (0, 2), (1, 2))}
     assert simhash._crossing(n, low, np.array([b"a"] * 3), how) == []
+
+
+def test_unlike_texts_stay_whatever_their_ids(spark):
+    rows = [(None, "one text"), (None, "another text"), (None, "one text"), (5, "a b c"), (5, "d e f"), (5, "a b c"), (6, "d e f"), (None, None), (9, "")]
+    d = spark.createDataFrame([(*r, {"k": 1}) for r in rows], "doc_id long, text string, extra map<string, int>")
+    got = simhash.near_dedup_stage(spark, d, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(None, "one text"), (None, "another text"), (5, "a b c"), (5, "d e f"), (9, "")], key=str)
+
+
+def test_long_lists_are_dealt_out(spark, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(4)
+    base = ["w%d" % rng.randrange(10**9) for _ in range(120)]
+    texts = [base] + [edited(rng, base, 2) for _ in range(60)] + [["v%d" % rng.randrange(10**9) for _ in range(50)] for _ in range(20)]
+    want = kept(spark, texts)
+    prints = spark.createDataFrame([(bytearray(int(x).to_bytes(8, "big")),) for x in {0xABCDEF << 40 | int(y) for y in np.random.default_rng(1).integers(0, 1 << 40, 300)}], "fp binary")
+    links = lambda: {frozenset((bytes(r.u), bytes(r.v))) for r in simhash.fingerprint_links(prints, simhash.SimHash(max_bits=14, min_shared=3)).collect()}
+
+    def classes(edges):
+        own = {}
+        for e in edges:
+            merged = set(e).union(*(own.get(x, {x}) for x in e))
+            own |= dict.fromkeys(merged, merged)
+        return {frozenset(v) for v in own.values()}
+
+    whole = classes(links())
+    monkeypatch.setattr(simhash, "LIST", 7)
+    assert kept(spark, texts) == want and len(want) == 21
+    assert classes(links()) == whole and whole
