@@ -1,7 +1,7 @@
 """Operator 8: quality by weak supervision. Rules vote good or bad, or abstain; expectation-maximisation over the counts
 of vote patterns estimates each rule's accuracy and the share of good documents; a document is kept by its posterior.
 
-All of it is column expressions. What leaves the executors is one count for each vote pattern (at most 3 ** 6).
+All of it is column expressions. What leaves the executors is one count for each vote pattern (at most 3 ** 8).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from cosmolith.llm.common import WORD_GAP, table, written
 
 SYMBOLS = "#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-RULES = ["length", "word_length", "symbols", "capitals", "dup_lines", "punctuation"]
+RULES = ["length", "word_length", "symbols", "capitals", "dup_lines", "punctuation", "repetition", "variety"]
 
 
 def _repeat_words(words: Column, n: Column) -> Column:
@@ -38,7 +38,7 @@ def _chars_of(text: Column, chars: str) -> Column:
 
 
 def with_base(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep` with the base figures of each whole text (null: no words), n_lines, n_chars_, n_capitals and n_punct."""
+    """`keep` with the base figures of each whole text (null: no words), n_lines, n_capitals, n_punct and n_distinct (words)."""
     t = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select(*keep, *([] if "text" in keep else ["text"])).withColumn("_w", F.filter(F.split(t, WORD_GAP), lambda w: w != ""))
     df = df.withColumn("n_words", F.size("_w")).withColumn("_g", _repeat_words(F.col("_w"), F.col("n_words")))
@@ -55,6 +55,7 @@ def with_base(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.size("_l").cast("long").alias("_n_lines"),
         _chars_of(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("_n_capitals"),
         _chars_of(t, "!?|*#").cast("long").alias("_n_punct"),
+        F.size(F.array_distinct("_w")).cast("long").alias("_n_distinct"),
     )
 
 
@@ -74,14 +75,17 @@ def votes() -> dict[str, Column]:
         "capitals": rule(100 * F.col("_n_capitals") <= 15 * c, 100 * F.col("_n_capitals") > 40 * c),
         "dup_lines": rule(never, (F.col("_n_lines") > 1) & (100 * F.col("n_dup_lines") > 50 * F.col("_n_lines"))),
         "punctuation": rule(100 * F.col("_n_punct") <= 10 * n, 100 * F.col("_n_punct") > 30 * n),
+        "repetition": rule(never, 100 * F.col("n_repeat_words") > 30 * n),
+        "variety": rule(never, (F.col("n_words") >= 50) & (F.col("n_words") <= 5000) & (100 * F.col("_n_distinct") < 25 * n)),
     }
 
 
 def fit_rules(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 200) -> tuple[float, list[tuple[float, float]]]:
     """(share of good documents, each rule's (accuracy on good, accuracy on bad)) from counts of vote patterns.
 
-    Accuracies start at 0.8, carry a prior of Beta(8, 2) in units of a thousandth of the documents, so that a rule is
-    more often right than wrong, and stay in [0.55, 0.999]; a rule that never votes stays where it starts.
+    Accuracies start at 0.8 and carry a prior of Beta(8, 2), the share one of Beta(8, 2) too, in units of a thousandth of the
+    documents: a rule is more often right than wrong unless the votes say otherwise, and none is ever certain. A rule that
+    never votes stays where it starts.
     """
     k = len(patterns[0][0]) if patterns else 0
     total = sum(n for _, n in patterns)
@@ -95,11 +99,11 @@ def fit_rules(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int =
             seen = [prior * 10, prior * 10]
             for p, n, q in post:
                 if p[r] is not None:
-                    for y, w in ((1, q * n), (0, (1 - q) * n)):
+                    for y, w in ((0, (1 - q) * n), (1, q * n)):
                         seen[y] += w
                         hit[y] += w * (p[r] == y)
-            new.append(tuple(min(0.999, max(0.55, hit[y] / seen[y])) for y in (1, 0)))
-        share = min(0.98, max(0.5, sum(n * q for _, n, q in post) / max(total, 1)))
+            new.append(tuple(hit[y] / seen[y] for y in (1, 0)))
+        share = (sum(n * q for _, n, q in post) + 8 * prior) / (total + 10 * prior)
         done = abs(share - good) + sum(abs(a - b) for x, y in zip(acc, new, strict=True) for a, b in zip(x, y, strict=True)) < 1e-9
         good, acc = share, new
         if done:
@@ -114,7 +118,8 @@ def weights(good: float, acc: list[tuple[float, float]]) -> tuple[float, list[tu
 
 def posterior(pattern: tuple[int | None, ...], good: float, acc: list[tuple[float, float]]) -> float:
     base, each = weights(good, acc)
-    return 1 / (1 + math.exp(-base - sum(0.0 if v is None else w[1 - v] for v, w in zip(pattern, each, strict=True))))
+    odds = base + sum(0.0 if v is None else w[1 - v] for v, w in zip(pattern, each, strict=True))
+    return 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
 
 
 def quality(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -127,12 +132,13 @@ def quality(docs: DataFrame, keep: list[str]) -> DataFrame:
     own = {*BASE, *RULES, "base_failed", "quality", "kept"}
     keep = [c for c in keep if c not in own]
     based = with_base(docs, keep).withColumns({f"_v_{r}": v for r, v in rule.items()})
-    based, _ = written(based.drop("_n_lines", "_n_capitals", "_n_punct"), "quality")
-    counts = based.groupBy(*(f"_v_{r}" for r in rule)).count().collect()
+    based, _ = written(based.drop("_n_lines", "_n_capitals", "_n_punct", "_n_distinct"), "quality")
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    # What fails the base is judged; the rules are fitted on the rest, where their verdict counts.
+    counts = based.where(~failed).groupBy(*(f"_v_{r}" for r in rule)).count().collect()
     good, acc = fit_rules(sorted(((tuple(row[:-1]), row[-1]) for row in counts), key=str))
     base, each = weights(good, acc)
     odds = sum((F.when(F.col(f"_v_{r}") == 1, g).when(F.col(f"_v_{r}") == 0, b).otherwise(0.0) for r, (g, b) in zip(rule, each, strict=False)), F.lit(base))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = based.withColumn("base_failed", failed).withColumn("quality", 1 / (1 + F.exp(-odds)))
     return out.select(*keep, *BASE, "base_failed", "quality", (~F.col("base_failed") & (F.col("quality") >= 0.5)).alias("kept"))
 

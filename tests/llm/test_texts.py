@@ -213,6 +213,46 @@ def test_quality(docs, prose, cluttered, nothing):
     assert out.columns == cluttered.columns and {r.quality for r in out.select("quality").collect()} == {7}
 
 
+def test_verdicts_against_plain_python_and_labels(spark, sf_dir):
+    """Every vote, the fit document by document, and the verdict, in numpy; then the verdict against labels it never saw."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = quality.quality(d, ["doc_id", "text"]).collect()
+    votes = np.full((len(rows), len(quality.RULES)), np.nan)
+    for i, r in enumerate(rows):
+        t, w = r.text or "", split(r.text)
+        n, c = max(1, len(w)), max(1, sum(map(len, w)))
+        lines = [x for x in t.split("\n") if split(x)]
+        many = lambda chars: sum(x in chars for x in t)  # noqa: E731, B023
+        symbols, capitals, marks = many("#*$%&|<>"), many("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), many("!?|*#")
+        share = lambda x, of, good, bad: 0 if 100 * x > bad * of else 1 if 100 * x <= good * of else np.nan
+        votes[i] = [
+            0 if len(w) < 50 else np.nan, 0 if not 2 * n <= c <= 14 * n else np.nan, share(symbols, n, 5, 25), share(capitals, c, 15, 40),
+            0 if len(lines) > 1 and 2 * (len(lines) - len(set(lines))) > len(lines) else np.nan, share(marks, n, 10, 30), 0 if 100 * r.n_repeat_words > 30 * n else np.nan,
+            0 if 50 <= len(w) <= 5000 and 100 * len(set(w)) < 25 * n else np.nan,
+        ]
+    good, a, b = 0.8, np.full(votes.shape[1], 0.8), np.full(votes.shape[1], 0.8)
+    fit = np.array([not r.base_failed for r in rows])
+    prior = fit.sum() / 1000
+
+    def posterior():
+        like = lambda right, y: np.where(np.isnan(votes), 1, np.where(votes == y, right, 1 - right)).prod(axis=1)
+        up, down = good * like(a, 1), (1 - good) * like(b, 0)
+        return up / (up + down)
+
+    for _ in range(200):
+        q, voted, cast = posterior()[fit], ~np.isnan(votes)[fit], votes[fit]
+        a = (8 * prior + (q[:, None] * (cast == 1)).sum(axis=0)) / (10 * prior + (q[:, None] * voted).sum(axis=0))
+        b = (8 * prior + ((1 - q)[:, None] * (cast == 0)).sum(axis=0)) / (10 * prior + ((1 - q)[:, None] * voted).sum(axis=0))
+        good = (q.sum() + 8 * prior) / (fit.sum() + 10 * prior)
+    q = posterior()
+    assert np.allclose([r.quality for r in rows], q, atol=1e-5)
+    assert [r.kept for r in rows] == [bool(not r.base_failed and x >= 0.5) for r, x in zip(rows, q, strict=True)]
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    seen = [(r.quality, label[r.doc_id]) for r in rows if r.doc_id in label and not r.base_failed]
+    ranked = [x > y for x, i in seen for y, j in seen if i == 1 and j == 0]
+    assert np.mean(ranked) > 0.97 and np.mean([(x >= 0.5) == i for x, i in seen]) > 0.95 and len(seen) > 20
+
+
 def test_weak_supervision_recovers_accuracies():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.8
