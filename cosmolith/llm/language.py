@@ -2,8 +2,9 @@
 
 Training counts hashed byte trigrams of all training texts for each language. A document's words are the items of a
 mixture: a word's likelihood in a language is the product over its trigrams, and EM estimates the document's language
-proportions. The set of languages is chosen among the one, two and three likeliest by a penalised likelihood (BIC).
-Texts are worked on as byte buffers, thousands of documents at a time; the model is languages x 65536 numbers.
+proportions, to a tolerance. The set of languages grows from the likeliest one by the next likeliest while a penalised
+likelihood (BIC) rises. Texts are worked on as byte buffers, thousands of documents at a time. Trigrams are counted sparsely
+in each task and summed by Spark; the model is languages x 65536 numbers, and more languages than MOST are refused.
 """
 
 from __future__ import annotations
@@ -11,17 +12,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cosmolith.llm.common import buffers, runs, table, words
+from cosmolith.llm.common import buffers, delete, runs, table, words, written
 
 BUCKETS = 1 << 16
-PIECE = 1 << 12  # buckets that travel together when counts are added up
-ROUNDS = 8
-MOST = 3
+ROUNDS, TOLERANCE = 100, 1e-3  # of EM: at most so many rounds, until no share moves by more
+MOST = 2000  # languages; a model of 1 GB on the driver and 0.5 GB in a worker
 UNKNOWN = "und"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -55,15 +54,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = np.bincount(gram_lang * BUCKETS + grams, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
             for name, row in zip(names, both, strict=True):
                 sums[name] = sums.get(name, 0) + row
-    rows = [(name, k, v[k * PIECE : (k + 1) * PIECE].astype("<i8").tobytes()) for name, v in sums.items() for k in range(BUCKETS // PIECE)]
-    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary()))], ["lang", "piece", "n"])
-
-
-def _add(rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(PIECE, np.int64)
-    for x in rows.n:
-        total += np.frombuffer(x, "<i8")
-    return pd.DataFrame({"lang": rows.lang.iloc[:1], "piece": rows.piece.iloc[:1], "n": [total.tobytes()]})
+    for name, v in sums.items():
+        at = np.flatnonzero(v)
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(v[at], pa.int64())], ["lang", "bucket", "n"])
 
 
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -72,23 +65,38 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     Rows with a null text or language teach nothing. Without any such row there are no languages, and every prediction
     is `und`.
     """
-    counted = labelled.where("lang is not null and text is not null").select("lang", "text").mapInArrow(_count, "lang string, piece int, n binary")
-    rows = counted.groupBy("lang", "piece").applyInPandas(_add, "lang string, piece int, n binary").collect()  # languages x 512 KB
-    names = sorted({r.lang for r in rows})
-    n = np.zeros((len(names), BUCKETS))
-    for r in rows:
-        n[names.index(r.lang), r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.n, "<i8")
+    taught = labelled.where("lang is not null and text is not null").select("lang", "text")
+    counted = taught.mapInArrow(_count, "lang string, bucket int, n long")
+    packed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("cells"))
+    model, at = written(packed.select("lang", F.col("cells.bucket").alias("bucket"), F.col("cells.n").alias("n")), "model")
+    if (k := model.count()) > MOST:
+        raise ValueError(f"{k} languages are more than a model holds; map rare ones to a common name first")
+    names, n = [], np.zeros((k, BUCKETS))
+    for i, r in enumerate(model.orderBy("lang").toLocalIterator()):  # languages x 65536 cells at most
+        names.append(r.lang)
+        n[i, r.bucket] = r.n
+    delete(labelled.sparkSession, at)
     smooth = n + 0.5
     return names, np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def _em(like: np.ndarray, share: np.ndarray, first: np.ndarray, counts: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shares, log-likelihoods) of documents whose words have the likelihoods `like`, from the shares given."""
-    n = counts[:, None].astype(np.float32)
-    for _ in range(rounds):
-        mixed = like * np.repeat(share, counts, axis=0)
+def _em(like: np.ndarray, share: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shares, log-likelihoods) of documents whose words have the likelihoods `like`, from the shares given. Documents
+    that have settled are left alone."""
+    share, on = share.copy(), np.arange(len(share))
+    words, starts, n, own = np.arange(len(like)), first, counts, like
+    for _ in range(ROUNDS):
+        mixed = own * np.repeat(share[on], n, axis=0)
         mixed /= mixed.sum(axis=1, keepdims=True) + 1e-30
-        share = np.add.reduceat(mixed, first, axis=0) / n
+        new = np.add.reduceat(mixed, starts, axis=0) / n[:, None].astype(np.float32)
+        moves = np.abs(new - share[on]).max(axis=1) > TOLERANCE
+        share[on] = new
+        if not moves.any():
+            break
+        if not moves.all():
+            words = words[np.repeat(moves, n)]
+            on, n = on[moves], n[moves]
+            own, starts = like[words], np.concatenate(([0], np.cumsum(n)))[:-1]
     each = np.log((like * np.repeat(share, counts, axis=0)).sum(axis=1) + 1e-30)
     return share, np.add.reduceat(each, first)
 
@@ -107,20 +115,24 @@ def infer(buf: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> np.ndarray
     top = logs.max(axis=1, keepdims=True)
     like, floor = np.exp(logs - top), np.add.reduceat(top[:, 0], first)
     k = len(model)
-    share, _ = _em(like, np.full((len(n), k), 1 / k, np.float32), first, n, ROUNDS)
+    share, _ = _em(like, np.full((len(n), k), 1 / k, np.float32), first, n)
     order = np.argsort(-share, axis=1, kind="stable")
     best = np.zeros_like(share)
     best[np.arange(len(n)), sums.argmax(axis=1)] = 1
-    score = sums.max(axis=1)
-    for size in range(2, min(MOST, k) + 1):
-        start = np.zeros_like(share)
-        rows = np.arange(len(n))[:, None]
-        start[rows, order[:, :size]] = share[rows, order[:, :size]] + 1e-3
+    score, on = sums.max(axis=1), np.arange(len(n))
+    for size in range(2, k + 1):  # documents whose score rose try the next larger set
+        words = np.flatnonzero(np.repeat(np.isin(np.arange(len(n)), on), n))
+        own, starts = n[on], np.concatenate(([0], np.cumsum(n[on])))[:-1]
+        start, rows = np.zeros((len(on), k), np.float32), np.arange(len(on))[:, None]
+        start[rows, order[on, :size]] = share[on[:, None], order[on, :size]] + 1e-3
         start /= start.sum(axis=1, keepdims=True)
-        found, ll = _em(like, start, first, n, ROUNDS // 2)
-        ll = ll + floor - (size - 1) * np.log(n + 1)
-        better = ll > score
-        best[better], score = found[better], np.maximum(ll, score)
+        found, ll = _em(like[words], start, starts, own)
+        ll = ll + floor[on] - (size - 1) * np.log(own + 1)
+        better = ll > score[on]
+        on, found = on[better], found[better]
+        if not len(on):
+            break
+        best[on], score[on] = found, ll[better]
     out[use] = best
     return out
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cosmolith.llm import language, mixing, packing, pii, quality, sharding, simhash, substring_dedup, token_counts
-from cosmolith.llm.common import new_path, pack_gaps, unpack_gaps
+from cosmolith.llm.common import create_once, new_path, pack_gaps, unpack_gaps
 from cosmolith.llm.components import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -398,3 +398,31 @@ def test_rollup(spark, docs, prose, tmp_path):
     assert token_counts.Rollup(spark, f"file://{tmp_path}/r").committed() == ["b1", "b2", "b3"] and new_path(spark, "x")
     with pytest.raises(ValueError):
         r.commit("a/b", counted)
+    before = sorted(map(str, r.totals().collect()))
+    assert r.compact() and not r.compact() and sorted(map(str, r.totals().collect())) == before
+    r.vacuum()
+    assert sorted(map(str, r.totals().collect())) == before and r.committed() == ["b1", "b2", "b3"]
+    assert not r.commit("b2", token_counts.inserts(counted, "v1"))
+    # a second writer that passes the look-up too late finds the name taken, and leaves nothing behind
+    assert r.commit("b4", token_counts.inserts(counted, "v3")) and not create_once(spark, f"{r.path}/commits/b4", "{}")
+    r.compact()
+    assert r.compact() is False and len(r._names("snapshots")) == 2
+    r.vacuum()
+    assert len(r._names("data")) == 1 and r._names("commits") == [] and r.totals().where("tokenizer_version = 'v3'").count() == len(want)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_token_counts_query_on_odd_tables(spark, cluttered, tmp_path, empty):
+    from cosmolith.llm.tokens import encoder
+
+    d = cluttered.select("*", *(F.lit(7).alias(n) for n in ("n_tokens", "sign", "tokenizer_version", "n_docs"))).where("false" if empty else "true")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 1), (1, 0, 1), (None, 0, 1), (9, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = collections.Counter()
+    for r in d.collect():
+        if r.doc_id != 1:
+            revised = r.lang != "en"
+            n = len(encoder().exact.encode(r.text or "", add_special_tokens=False).ids) + revised
+            want.update({(r.source, r.lang, "byte_bpe_50k" + "+end" * revised, "docs"): 1, (r.source, r.lang, "byte_bpe_50k" + "+end" * revised, "tokens"): n})
+    got = token_counts.op4_token_counts(spark, f"file://{tmp_path}").collect()
+    assert {(r.source, r.lang, r.tokenizer_version, k): v for r in got for k, v in (("docs", r.n_docs), ("tokens", r.n_tokens))} == dict(want)
