@@ -4,7 +4,8 @@ A hash rotates a vector by three rounds of random signs and a fast Hadamard tran
 with its sign; two such hashes make a bucket of a table. A vector is put into its own bucket and into the next likeliest
 one of every table. Pairs of a bucket are compared exactly, in blocks; a pair that meets in several buckets counts in
 the first. Buckets yield counts and a spanning forest, never pairs. A bucket of more than BLOCK vectors is dealt out as
-pairs of blocks, so no task gets it whole. Exact copies are one class, hashed once.
+pairs of blocks, so no task gets it whole. Buckets are formed on ids alone; vectors are sent only to those that hold two
+or more. Exact copies are one class, hashed once.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cosmolith.llm.common import table, written
+from cosmolith.llm.common import delete, table, written
 from cosmolith.llm.components import components
 
 BLOCK = 2048
+CODES = (1 << 31) - 1  # buckets of vectors of over 16 384 components may share a code, which costs comparisons only
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def codes(x: np.ndarray, how: CrossPolytope) -> np.ndarray:
-    """[rows, tables, probes]: the bucket of each vector in each table, then the next likeliest buckets."""
+    """[rows, tables, probes]: the bucket of each vector in each table, then the next likeliest buckets; below CODES."""
     n = max(2, 1 << (x.shape[1] - 1).bit_length())
     padded = np.zeros((len(x), n), np.float32)
     padded[:, : x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -71,7 +73,7 @@ def codes(x: np.ndarray, how: CrossPolytope) -> np.ndarray:
         out[:, t, 0] = code
         cheap = np.argsort(np.stack(losses, 1), axis=1, kind="stable")[:, : how.probes - 1]
         out[:, t, 1:] = code[:, None] + np.take_along_axis(np.stack(alternatives, 1), cheap, 1)
-    return out
+    return out % CODES
 
 
 def _lists(column: pa.Array) -> np.ndarray:
@@ -79,8 +81,8 @@ def _lists(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1), flat.dtype)
 
 
-def _insert(how: CrossPolytope):
-    """A row for each table and probe of each vector; the vector's codes travel with it to tell the first meeting."""
+def _sketch(how: CrossPolytope):
+    """Each vector with its codes: tables x probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,12 +91,9 @@ def _insert(how: CrossPolytope):
                 size = np.diff(part.column("embedding").offsets.to_numpy())
                 for width in np.unique(size):
                     own = part.filter(pa.array(size == width))
-                    c = codes(_lists(own.column("embedding")).astype(np.float32 if width else float), how)
-                    flat = pa.array(list(c.reshape(len(c), -1)), pa.list_(pa.int64()))
-                    for t in range(how.tables):
-                        for p in range(how.probes):
-                            bucket = pa.array(c[:, t, p] * how.tables + t)
-                            yield pa.RecordBatch.from_arrays([*(own.column(x) for x in ("label", "cid", "n", "embedding")), bucket, flat], ["label", "cid", "n", "embedding", "bucket", "codes"])
+                    c = codes(_lists(own.column("embedding")).astype(np.float64), how)
+                    flat = pa.array(list(c.reshape(len(c), -1).astype(np.int32)), pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*own.columns, flat], [*own.schema.names, "codes"])
 
     return run
 
@@ -105,7 +104,7 @@ def _meet(how: CrossPolytope, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     same = a == b
     first = same.any(axis=(2, 3)).argmax(axis=1)
     rows = np.arange(len(a))
-    at = np.where(same[rows, first], np.broadcast_to(a[rows, first], (len(a), how.probes, how.probes)), np.iinfo(np.int64).max)
+    at = np.where(same[rows, first], np.broadcast_to(a[rows, first], (len(a), how.probes, how.probes)), np.iinfo(np.int32).max)
     return first, at.min(axis=(1, 2))
 
 
@@ -121,7 +120,7 @@ def _group(how: CrossPolytope, x: np.ndarray, code: np.ndarray, weight: np.ndarr
         for k in range(0, len(r), 1 << 18):
             a, b = i[r[k : k + (1 << 18)]], right[c[k : k + (1 << 18)]]
             table, first = _meet(how, code[a], code[b])
-            new = first * how.tables + table == bucket
+            new = first.astype(np.int64) * how.tables + table == bucket
             np.add.at(count, a[new], weight[b[new]])
             np.add.at(count, b[new], weight[a[new]])
         for q in np.unique(r):  # a row joins the trees of those it is linked with; trees are relabelled at once
@@ -157,7 +156,7 @@ def _verify(how: CrossPolytope):
                     continue
                 for width in np.unique(np.diff(at[lo : hi + 1])):
                     own = np.arange(lo, hi)[np.diff(at[lo : hi + 1]) == width]
-                    x = flat[at[own][:, None] + np.arange(width)]
+                    x = flat[at[own][:, None] + np.arange(width)].astype(np.float64)
                     left, right = np.flatnonzero(col["block"][own] == col["lo"][lo]), np.flatnonzero(col["block"][own] == col["hi"][lo])
                     part = np.zeros(len(own), np.int64)
                     edges += [(own[u], own[v]) for u, v in _group(how, x, code[own], col["n"][own], left, right, col["lo"][lo] == col["hi"][lo], int(col["bucket"][lo]), part)]
@@ -191,27 +190,32 @@ def embedding_dedup(vectors: DataFrame, how: CrossPolytope = HOW) -> DataFrame:
     rows too) link with each other and are one class for the search. A null vec_id is never a component's id unless the
     component has no other; kept is then null. An empty table gives an empty result; other columns are ignored.
     """
-    v = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = dict(vectors.dtypes)["embedding"]
+    kind = kind if kind == "array<float>" else "array<double>"  # floats travel as such and are compared in double precision
+    v = vectors.select("vec_id", "label", F.col("embedding").cast(kind).alias("embedding"))
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fit = F.coalesce(F.col("label").isNotNull() & ~odd & F.exists("embedding", lambda x: x != 0), F.lit(False))
     v = v.withColumn("cid", F.when(fit, F.xxhash64("label", "embedding")))
     marked, _ = written(v.select("vec_id", "cid", F.when(fit, F.col("label")).alias("label"), F.when(fit, F.col("embedding")).alias("embedding")), "vectors")
-    classes, _ = written(marked.where("cid is not null").groupBy("cid").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.any_value("label").alias("label"), F.any_value("embedding").alias("embedding")), "classes")
-    kind = dict(classes.dtypes)["label"]
-    put = classes.select("label", "cid", "n", "embedding").mapInArrow(_insert(how), f"label {kind}, cid long, n long, embedding array<double>, bucket long, codes array<long>")
-    put, _ = written(put, "buckets")
+    classes = marked.where("cid is not null").groupBy("cid").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.any_value("label").alias("label"), F.any_value("embedding").alias("embedding"))
+    schema = ", ".join(f"{n} {t}" for n, t in classes.dtypes) + ", codes array<int>"
+    classes, classes_at = written(classes.mapInArrow(_sketch(how), schema), "classes")
+    put = classes.select("label", "cid", F.posexplode("codes").alias("at", "code"))
+    put = put.select("label", "cid", (F.col("code").cast("long") * how.tables + F.floor(F.col("at") / how.probes)).cast("long").alias("bucket"))
     large = put.groupBy("label", "bucket").count().where(F.col("count") > 1).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
-    dealt = put.join(large, ["label", "bucket"]).withColumn("block", F.pmod(F.hash("cid"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    dealt = dealt.select("cid", "n", "embedding", "bucket", "codes", "block", "lo", "hi", F.xxhash64("label", "bucket", "lo", "hi").alias("grp"))
+    slim = put.join(large, ["label", "bucket"]).withColumn("block", F.pmod(F.hash("cid"), F.col("blocks")))
+    slim = slim.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    slim = slim.select("cid", "bucket", "block", "lo", "hi", F.xxhash64("label", "bucket", "lo", "hi").alias("grp"))
+    dealt = slim.join(classes.select("cid", "n", "embedding", "codes"), "cid")
     order = ["grp", "bucket", "lo", "hi"]
-    found, _ = written(dealt.repartition("grp").sortWithinPartitions(*order).mapInArrow(_verify(how), "u long, n long, v long"), "found")
+    found, found_at = written(dealt.repartition("grp").sortWithinPartitions(*order).mapInArrow(_verify(how), "u long, n long, v long"), "found")
     linked = components(found.where("v is not null").select("u", "v"))
     counts = found.groupBy("u").agg(F.sum("n").alias("links")).withColumnRenamed("u", "cid")
     label = classes.select("cid", "n", "least").join(linked.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     ids = label.groupBy("component").agg(F.min("least").alias("component_id"))
     by_class = label.join(ids, "component").join(counts, "cid", "left").select("cid", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    by_class, _ = written(by_class, "classes")
+    by_class, _ = written(by_class, "links")
+    delete(vectors.sparkSession, found_at, classes_at)
     out = marked.select("vec_id", "cid").join(by_class, "cid", "left")
     own = F.when(F.col("cid").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (F.col("vec_id") == own).alias("kept"))
