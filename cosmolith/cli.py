@@ -153,9 +153,7 @@ def _voxel_hist(spark: SparkSession, df: DataFrame | None, o: dict) -> DataFrame
 
 def _zip(spark: SparkSession, df: DataFrame, o: dict) -> DataFrame:
     """Files of one column each, joined to the catalogue by row."""
-    for i, path in enumerate(o["mergeTo"].split(",")):
-        df = catalog.merge(df, read(spark, path, o).select("row_idx", F.col("c0").alias(f"added_{i}")), "row_idx")
-    return df
+    return catalog.zipped(df, [read(spark, path, o).select("row_idx", F.col("c0").alias(f"added_{i}")) for i, path in enumerate(o["mergeTo"].split(","))])
 
 
 def _stack(spark: SparkSession, df: DataFrame | None, o: dict) -> DataFrame:

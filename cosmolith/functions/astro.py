@@ -87,6 +87,25 @@ def nfw_mass(r, rs, amplitude=1.0) -> Column:
     return a * F.pow(_c(rs), F.lit(3.0)) * (F.log((_c(rs) + _c(r)) / _c(rs)) - _c(r) / (_c(rs) + _c(r)))
 
 
+def profile_mass(r, rs, outer, amplitude=1.0) -> Column:
+    """Mass within r for a density (r / rs)**-1 (1 + r / rs)**-outer, with limits of its own at outer = 1 and 2."""
+    a = F.lit(amplitude) if isinstance(amplitude, float) else _c(amplitude)
+    x, g = _c(r) / _c(rs), _c(outer)
+    near = lambda v: F.abs(g - v) < 1e-6
+    other = (1 - F.pow(1 + x, 1 - g) * (1 + (g - 1) * x)) / ((g - 1) * (g - 2))
+    return a * F.pow(_c(rs), F.lit(3.0)) * F.when(near(1.0), x - F.log1p(x)).when(near(2.0), F.log1p(x) - x / (1 + x)).otherwise(F.when(~near(1.0) & ~near(2.0), other))
+
+
+def accretion_ratios(instant, dynamical, mass) -> tuple[Column, Column]:
+    """Accretion rates over the mass, at once and over a dynamical time."""
+    return F.try_divide(_c(instant), _c(mass)), F.try_divide(_c(dynamical), _c(mass))
+
+
+def formation_epoch(c) -> Column:
+    """The scale factor at which a halo of concentration c formed (Wechsler et al., 2002)."""
+    return F.try_divide(F.lit(4.1), _c(c))
+
+
 def scale_radius_jiang(rvir, rs) -> Column:
     """log10(rs ((rvir / rs) / 7) ** 0.4), as a column of its own."""
     return safe_log10(_c(rs) * F.pow(_c(rvir) / _c(rs) / 7.0, F.lit(0.4)))

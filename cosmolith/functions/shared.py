@@ -1,4 +1,4 @@
-"""Tables in the folder that all executors share, and ranks over whole tables without a single-task window."""
+"""Tables in the folder that all executors share; ranks and counts over whole tables without a single-task window."""
 
 from __future__ import annotations
 
@@ -7,11 +7,15 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. A session in one process (tests, local runs) that sets none gets one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cosmolith-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -24,6 +28,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, column: str, spread: str) -> DataFrame:
+    """written(), with a folder for each value of a column, so that a filter on it reads those rows only. Rows are spread by
+    range on the column and `spread`, so a task writes few folders and a value with many rows has many files."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.repartitionByRange(column, spread).write.partitionBy(column).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def finite(name: str | Column) -> Column:
     c = F.col(name) if isinstance(name, str) else name
     return c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(float("inf")))
@@ -39,9 +51,11 @@ def with_groups(df: DataFrame, groups: DataFrame, by: list[str], most: int = 100
 def ranked(df: DataFrame, order: list[str], rank: str = "rank", by: list[str] | None = None) -> DataFrame:
     """df with the 0-based rank of each row by `order` (within `by`), in parallel: a range exchange sorts the rows, each
     partition numbers its own, and the partitions' counts (one row each) give where a partition starts. A group that
-    holds a third of all rows is spread over partitions like any other."""
+    holds a third of all rows is spread over partitions like any other, and so are rows alike in `order`: a number of the
+    row's place in its input comes last in the order. Which of them is ranked first is open."""
     spark, by = df.sparkSession, by or []
-    sorted_ = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    place = F.xxhash64(F.monotonically_increasing_id())
+    sorted_ = df.withColumn("_place", place).repartitionByRange(*by, *order, "_place").sortWithinPartitions(*by, *order, "_place").drop("_place")
     low = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     kept = written(sorted_.withColumn("_part", F.spark_partition_id()).withColumn("_low", low))
     sizes, start, at = kept.groupBy("_part").count().collect(), [], 0
@@ -54,3 +68,23 @@ def ranked(df: DataFrame, order: list[str], rank: str = "rank", by: list[str] |
         first = out.groupBy(*by).agg(F.min(rank).alias("_first"))
         out = with_groups(out, first, by).withColumn(rank, F.col(rank) - F.col("_first")).drop("_first")
     return out
+
+
+def counted(df: DataFrame, value: str, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
+    """by, value, n (rows with that value, or the sum of their weights), before (those of lesser values) and total (of the
+    group): enough to read any order statistic off. Equal values are summed before any exchange; distinct ones are spread
+    by range, summed up within a partition, and the sums of the partitions (one row for each and group) are carried on."""
+    by = by or []
+    own = df.groupBy(*by, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
+    kept = written(own.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
+    sums = kept.groupBy("_part", *by).agg(F.sum("n").alias("_sum"))
+    w = Window.partitionBy(*by)
+    sums = sums.withColumns({"_start": F.sum("_sum").over(w.orderBy("_part")) - F.col("_sum"), "total": F.sum("_sum").over(w)}).drop("_sum")
+    here = F.sum("n").over(Window.partitionBy("_part", *by).orderBy(value)) - F.col("n")
+    return kept.withColumn("_here", here).join(sums, ["_part", *by]).select(*by, value, "n", (F.col("_start") + F.col("_here")).alias("before"), "total")
+
+
+def at_rank(value: str | Column, rank: Column) -> Column:
+    """Of a group of counted(): the value at a 0-based rank."""
+    v = F.col(value) if isinstance(value, str) else value
+    return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), v))

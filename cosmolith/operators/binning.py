@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cosmolith.functions.shared import finite, ranked
+from cosmolith.functions.shared import at_rank, counted, finite
 
 INF = float("inf")
 
@@ -35,12 +35,13 @@ def parse_thresholds(text: str) -> tuple[str, list]:
 
 def order_values(df: DataFrame, x: str, at) -> list[float]:
     """The finite values of x at the 0-based ranks that at(n) gives, clamped to the table."""
-    values = df.where(finite(x)).select(F.col(x).cast("double").alias("v"))
-    n = values.count()
+    values = counted(df.where(finite(x)).select(F.col(x).cast("double").alias("v")), "v")
+    n = values.agg(F.sum("n")).first()[0]
     if not n:
         return []
     want = [min(max(int(i), 0), n - 1) for i in at(n)]
-    found = {r["rank"]: r.v for r in ranked(values, ["v"]).where(F.col("rank").isin(sorted(set(want)))).collect()}
+    ranks = sorted(set(want))
+    found = dict(zip(ranks, values.agg(*(at_rank("v", F.lit(i)).alias(f"v{i}") for i in ranks)).first(), strict=True))
     return [found[i] for i in want]
 
 

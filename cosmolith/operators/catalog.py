@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from cosmolith.functions import astro
 
+# The positions that the public halo list takes from an augmented one, in its order.
+HLIST = [*range(34), 89, 90, 91, *range(34, 72), 92, *range(72, 79)]
+
 
 def merge(target: DataFrame, other: DataFrame, key: str = "id") -> DataFrame:
     """target with other's columns by key, one to one; a row without a partner gets nulls."""
@@ -15,6 +18,13 @@ def merge(target: DataFrame, other: DataFrame, key: str = "id") -> DataFrame:
     return target.join(other.withColumnsRenamed(clash), key, "left")
 
 
+def zipped(df: DataFrame, others: list[DataFrame], row: str = "row_idx") -> DataFrame:
+    """df with the columns of tables that hold a value for each of its rows, by the row's number in the file."""
+    for o in others:
+        df = merge(df, o, row)
+    return df
+
+
 def not_one_to_one(target: DataFrame, other: DataFrame, key: str = "id") -> DataFrame:
     """The keys that merge() can't pair one to one, with their counts on both sides."""
     a, b = (d.groupBy(key).agg(F.count("*").alias(n)) for d, n in ((target, "n_target"), (other, "n_other")))
@@ -66,6 +76,12 @@ def derived_epochs(df: DataFrame, epoch: str, peak: str, merger: str) -> DataFra
     return df.withColumns({"da_peak": d(peak), "dt_peak": t(peak), "da_merger": d(merger), "dt_merger": t(merger)})
 
 
+def hlist_layout(df: DataFrame) -> DataFrame:
+    """The columns of an augmented halo list in the order of the public one, by their positions."""
+    c = df.columns
+    return df.select(*(c[i] for i in HLIST))
+
+
 def scale_columns(df: DataFrame, columns: list[str], by: float) -> DataFrame:
     return df.withColumns({c: F.col(c) / by for c in columns})
 

@@ -65,31 +65,21 @@ def histories(nodes: DataFrame, names: Names = Names()) -> DataFrame:
     compares its mass with that of its main progenitor. A new peak must exceed the inherited one.
     """
     n = names
-    descends = nodes.select(F.col("id").alias("desc_id"), F.col(n.epoch).alias("_into"))
-    rows = written(nodes.join(descends, "desc_id", "left").select(*nodes.columns, "_into"))
-    pairs = rows.select(n.epoch, "_into").distinct().collect()  # a few for each epoch
-    level, out = {}, None
     state = F.struct("mpeak", *(c for c in HISTORY if c != "mpeak")).alias("state")
     kind = "struct<" + ",".join(f"{c}:double" for c in HISTORY) + ">"
-    for e in sorted({r[0] for r in pairs}):
-        now, older = rows.where(F.col(n.epoch) == e), [level[r[0]] for r in pairs if r[1] == e and r[0] in level]
-        if older:
-            came = older[0]
-            for x in older[1:]:
-                came = came.unionByName(x)
-            came = came.where(F.col("_into") == e)
+
+    def grow(now: DataFrame, came: DataFrame | None) -> DataFrame:
+        if came is None:
+            now = now.withColumns({"_p": F.lit(None).cast(kind), "_m": F.lit(None).cast("struct<mass:double,upid:bigint>")})
+        else:
             best = came.groupBy("desc_id").agg(
                 F.max_by(state, F.struct("mpeak", n.mass, -F.col("id"))).alias("_p"),
                 F.max_by(F.struct(F.col(n.mass).alias("mass"), "upid"), F.struct(n.mass, -F.col("id"))).alias("_m"),
             )
             now = now.join(best.withColumnRenamed("desc_id", "id"), "id", "left")
-        else:
-            now = now.withColumns({"_p": F.lit(None).cast(kind), "_m": F.lit(None).cast("struct<mass:double,upid:bigint>")})
-        level[e] = written(now.select(*rows.columns, *_grown(n).values()))
-        out = level[e] if out is None else out.unionByName(level[e])
-    if out is None:
-        return nodes.withColumns({c: F.lit(None).cast("double") for c in HISTORY})
-    return out.drop("_into")
+        return now.select(*nodes.columns, "_into", *_grown(n).values())
+
+    return tree.by_levels(nodes, n.epoch, grow)
 
 
 def accreted(nodes: DataFrame, names: Names = Names()) -> DataFrame:
@@ -197,6 +187,7 @@ class Table:
     With the default lists it has 153 columns: z, 25 properties of five numbers, three on high spin, two mobility tables.
     """
 
+    # The names of the properties.
     ordered: tuple[str, ...] = ("mvir", "smar", "cnfw", "rvir", "rs", "lambdap", "dlambdap", "tf", "vmax", "xoff", "e", "rsp", "rvirp", "e500", "lambda", "cklypin", "mlumpy", "msmooth", "eratio", "tu", "mdot_dyn", "smdot_dyn")
     means: tuple[str, ...] = ("merger_count", "merger_mass_avg", "merger_ratio_avg")
     mobile: tuple[str, ...] = ("lambdap", "tf")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cosmolith.functions.astro import gaussian_kernel
@@ -22,12 +26,31 @@ def lookup(df: DataFrame, cube: DataFrame, box: float, dim: int, name: str = "de
     return voxelise(df, box, dim).join(cube.select(*AXES, F.col("v").alias(name)), list(AXES), "left")
 
 
+def cut(cube: DataFrame, axis: str = "iz", at: int = 0) -> DataFrame:
+    """A plane of the cube: the other two indices and v."""
+    return cube.where(F.col(axis) == at).drop(axis)
+
+
 def smooth_axis(cube: DataFrame, axis: str, dim: int, kernel: list[tuple[int, float]]) -> DataFrame:
-    """One periodic pass along an axis. Sums are combined before the exchange."""
-    taps = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in kernel)))
+    """One periodic pass along an axis. A line of the cube (dim values at most) is gathered into a row, so a voxel is
+    exchanged once a pass and not once a tap; lines are convolved in numpy, some at a time."""
     others = [a for a in AXES if a != axis]
-    spread = cube.withColumn("_t", taps).select(*others, F.pmod(F.col(axis) + F.col("_t.k"), F.lit(dim)).cast("int").alias(axis), (F.col("v") * F.col("_t.w")).alias("v"))
-    return spread.groupBy(*AXES).agg(F.sum("v").alias("v"))
+    lines = cube.groupBy(*others).agg(F.collect_list(axis).alias("at"), F.collect_list(F.col("v").cast("double")).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                b = batch.slice(lo, 256)
+                at, v = b.column("at"), b.column("v")
+                line = np.repeat(np.arange(len(b)), np.diff(at.offsets.to_numpy()))
+                dense = np.zeros((len(b), dim))
+                np.add.at(dense, (line, at.flatten().to_numpy()), v.flatten().to_numpy())
+                out = sum(w * np.roll(dense, k, axis=1) for k, w in kernel)
+                i, k = np.nonzero(out)
+                made = {axis: k.astype(np.int32), "v": out[i, k], **{c: b.column(c).to_numpy()[i] for c in others}}
+                yield pa.RecordBatch.from_pydict({c: made[c] for c in (*AXES, "v")})
+
+    return lines.mapInArrow(run, "ix int, iy int, iz int, v double")
 
 
 def smooth(cube: DataFrame, dim: int, fwhm: float, over_mean: bool = True) -> DataFrame:
@@ -70,28 +93,49 @@ def structures(voxels: DataFrame, cell: float) -> DataFrame:
     return out.withColumn("volume", extent * cell**3).withColumn("radius", cell * F.sqrt("n") / F.lit(3.141592653589793))
 
 
+FINE = 4
+
+
+def _apart(p: Column, lo: Column, hi: Column, box: float) -> Column:
+    """The least distance on a periodic axis from p to an interval."""
+    return F.least(*(F.greatest(lo - (p + s), (p + s) - hi, F.lit(0.0)) for s in (-box, 0.0, box)))
+
+
 def nearest_structure(points: DataFrame, voxels: DataFrame, box: float, sectors: int) -> DataFrame:
     """Per point(id, x, y, z): dist to, position and structure of the nearest voxel(structure, x, y, z) on the periodic box.
 
-    Points and voxels meet by sector. Rings of sectors around a point are searched outward; a point is settled once its
-    best distance is within the ring that was searched whole. Ties go to the structure of more voxels, then the least id.
+    Rings of sectors around a point are searched outward; a point is settled once its best distance is within the ring that
+    was searched whole. Sectors hold FINE**3 blocks, each known by its bounding box and one of its voxels: a point meets
+    the blocks first, and then the voxels only of blocks that may hold one nearer than the voxels it has seen, so a
+    dense sector is not compared as a whole. Ties go to the structure of more voxels, then the least id.
     """
-    cell = box / sectors
-    at = lambda d, p: d.withColumns({f"_s{a}": F.pmod(F.floor(F.col(a) / cell), F.lit(sectors)).cast("int") for a in "xyz"})
+    cell, fine = box / sectors, box / (sectors * FINE)
+    at = lambda d, name, width, n: d.withColumns({f"_{name}{a}": F.pmod(F.floor(F.col(a) / width), F.lit(n)).cast("int") for a in "xyz"})
     size = voxels.groupBy("structure").agg(F.count("*").alias("_size"))
-    v = at(voxels.where("structure > -1").join(size, "structure"), "v").select("structure", "_size", *(F.col(a).alias(f"v{a}") for a in "xyz"), "_sx", "_sy", "_sz")
+    v = at(at(voxels.where("structure > -1").join(size, "structure"), "s", cell, sectors), "f", fine, sectors * FINE)
+    v = written(v.select("structure", "_size", *(F.col(a).alias(f"v{a}") for a in "xyz"), "_sx", "_sy", "_sz", "_fx", "_fy", "_fz"))
+    one = F.min(F.struct("vx", "vy", "vz"))
+    blocks = written(v.groupBy("_sx", "_sy", "_sz", "_fx", "_fy", "_fz").agg(one.alias("_one"), *(f(f"v{a}").alias(f"_{n}{a}") for a in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi")))))
+
+    def squared(there) -> Column:
+        out = F.lit(0.0)
+        for a in "xyz":
+            d = F.abs(F.col(a) - F.col(there(a)))
+            out = out + F.pow(F.least(d, F.lit(box) - d), F.lit(2.0))
+        return out
+
+    least = sum((F.pow(_apart(F.col(a), F.col(f"_lo{a}"), F.col(f"_hi{a}"), box), F.lit(2.0)) for a in "xyz"), F.lit(0.0))
     left, out, ring = written(points), None, 1
     while True:
         steps = min(2 * ring + 1, sectors)
         offs = F.sequence(F.lit(-(steps // 2)), F.lit(steps - steps // 2 - 1))
-        near = at(left, "p")
+        near = at(left, "s", cell, sectors)
         for a in "xyz":
             near = near.withColumn("_o", F.explode(offs)).withColumn(f"_s{a}", F.pmod(F.col(f"_s{a}") + F.col("_o"), F.lit(sectors)).cast("int")).drop("_o")
-        d2 = F.lit(0.0)
-        for a in "xyz":
-            d = F.abs(F.col(a) - F.col(f"v{a}"))
-            d2 = d2 + F.pow(F.least(d, F.lit(box) - d), F.lit(2.0))
-        best = near.join(v, ["_sx", "_sy", "_sz"]).withColumn("_d2", d2).groupBy("id", "x", "y", "z").agg(F.min(F.struct(F.col("_d2").alias("d2"), (-F.col("_size")).alias("s"), "structure", "vx", "vy", "vz")).alias("b"))
+        met = written(near.join(blocks, ["_sx", "_sy", "_sz"]).select("id", "x", "y", "z", "_fx", "_fy", "_fz", least.alias("_least"), squared(lambda a: f"_one.v{a}").alias("_seen")))
+        bound = met.groupBy("id").agg((F.min("_seen") * (1 + 1e-9)).alias("_bound"))
+        kept = met.join(bound, "id").where("_least <= _bound").drop("_least", "_seen", "_bound")
+        best = kept.join(v, ["_fx", "_fy", "_fz"]).withColumn("_d2", squared(lambda a: f"v{a}")).groupBy("id", "x", "y", "z").agg(F.min(F.struct(F.col("_d2").alias("d2"), (-F.col("_size")).alias("s"), "structure", "vx", "vy", "vz")).alias("b"))
         found = best.select("id", "x", "y", "z", F.sqrt("b.d2").alias("dist"), "b.vx", "b.vy", "b.vz", "b.structure")
         whole = steps >= sectors
         found = written(found if whole else found.where(F.col("dist") <= ring * cell))

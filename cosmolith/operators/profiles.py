@@ -251,6 +251,11 @@ def resample(profiles: DataFrame, bins: int, lo: float, hi: float) -> DataFrame:
     return profiles.select("id", "radii", "masses").mapInPandas(run, "id long, bin_id int, r double, density double")
 
 
+def lookup(objects: DataFrame, profiles: DataFrame) -> DataFrame:
+    """objects(id, ...) with the columns of their profiles, null for an object that has none."""
+    return objects.join(profiles, "id", "left")
+
+
 def stack_profiles(profiles: DataFrame, wanted: DataFrame, bins: int, lo: float, hi: float) -> DataFrame:
     """Median, 20-80 % and confidence interval of the density in each bin over the wanted(id) profiles."""
     from cosmolith.operators.aggregates import order_stats

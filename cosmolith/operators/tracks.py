@@ -90,21 +90,25 @@ def lag2_derivative(df: DataFrame, series: str, t: str, m: str) -> DataFrame:
     return df.withColumn("derivative", d).transform(lambda x: carry_forward(x, series, t, "derivative"))
 
 
-def gaussian_smooth(df: DataFrame, series: str, t: str, m: str, sigma: float) -> DataFrame:
-    """m convolved with a Gaussian cut at 4 sigma, ends mirrored (the end value repeats); one row per series row.
+def gaussian_smooth(df: DataFrame, series: str, t: str, columns: list[str], sigma: float) -> DataFrame:
+    """series, t and {c}_smooth: each column convolved with a Gaussian cut at 4 sigma, ends mirrored (the end value repeats).
 
     A series is gathered into one array, so it must fit in a row: it is an epoch list, not a table.
     """
     reach = int(4 * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
     kernel = F.array(*(F.lit(w / sum(raw)) for w in raw))
-    arr = df.groupBy(series).agg(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(m).cast("double").alias("m")))).alias("_a")).withColumn("_n", F.size("_a"))
+    row = F.struct(F.col(t).alias("t"), *(F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(columns)))
+    arr = df.groupBy(series).agg(F.array_sort(F.collect_list(row)).alias("_a")).withColumn("_n", F.size("_a"))
 
-    def at(i):  # reflect: d c b a | a b c d | d c b a
+    def at(i, name):  # reflect: d c b a | a b c d | d c b a
         j = F.pmod(i, 2 * F.col("_n"))
-        return F.get("_a", F.when(j < F.col("_n"), j).otherwise(2 * F.col("_n") - 1 - j).cast("int"))["m"]
+        return F.get("_a", F.when(j < F.col("_n"), j).otherwise(2 * F.col("_n") - 1 - j).cast("int"))[name]
 
-    smooth = F.transform("_a", lambda x, i: F.struct(x["t"].alias(t), x["m"].alias(m), F.aggregate(F.transform(kernel, lambda w, k: w * at(i + k - reach)), F.lit(0.0), lambda a, v: a + v).alias("smooth")))
+    def made(i, name):
+        return F.aggregate(F.transform(kernel, lambda w, k: w * at(i + k - reach, name)), F.lit(0.0), lambda a, v: a + v)
+
+    smooth = F.transform("_a", lambda x, i: F.struct(x["t"].alias(t), *(made(i, f"m{k}").alias(f"{c}_smooth") for k, c in enumerate(columns))))
     return arr.select(series, F.explode(smooth).alias("s")).select(series, "s.*")
 
 
@@ -134,10 +138,16 @@ def rescale_axis(df: DataFrame, series: str, x: str, lo: float, hi: float) -> Da
     return df.withColumn("x_scaled", F.lit(lo) + share * F.lit(hi - lo))
 
 
-def mass_history(df: DataFrame, track: str, z: str, m: str) -> DataFrame:
-    """Per epoch the upper median, sorted[n // 2], of m over the track's last m."""
-    from cosmolith.functions.shared import ranked, with_groups
+def mass_history(df: DataFrame, track: str, z: str, t: str, m: str) -> DataFrame:
+    """Per epoch the upper median, sorted[n // 2], of m over the track's newest m, of its rate to the next older row, and of
+    that rate over the newest m. z is an epoch's redshift (0 the newest), t its time; a track's oldest row has no rate."""
+    from cosmolith.functions.shared import at_rank, counted
 
-    rows = normalised(df, track, z, [m]).where(finite(f"{m}_norm")).select(z, F.col(f"{m}_norm").alias("v"))
-    n = rows.groupBy(z).agg(F.count("*").alias("n"))
-    return with_groups(ranked(rows, ["v"], "_r", [z]), n, [z]).where(F.col("_r") == F.floor(F.col("n") / 2)).select(z, "n", F.col("v").alias("median"))
+    w = _w(track, z)
+    rate = F.try_divide(F.col(m) - F.lead(m).over(w), F.col(t) - F.lead(t).over(w))
+    rows = df.withColumns({"_m0": F.first(m).over(w), "_rate": rate}).where(F.col("_rate").isNotNull())
+    kinds = {"mass": F.try_divide(F.col(m), F.col("_m0")), "rate": F.col("_rate"), "specific_rate": F.try_divide(F.col("_rate"), F.col("_m0"))}
+    long = rows.select(z, F.explode(F.array(*(F.struct(F.lit(k).alias("k"), c.cast("double").alias("v")) for k, c in kinds.items()))).alias("s")).select(z, "s.*")
+    c = counted(long.where(finite("v")), "v", [z, "k"])
+    out = c.groupBy(z, "k").agg(F.max("total").alias("n"), at_rank("v", F.floor(F.col("total") / 2)).alias("v"))
+    return out.groupBy(z).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("k") == k, F.col("v"))).alias(k) for k in kinds))

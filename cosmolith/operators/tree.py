@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cosmolith.functions.shared import written
+from cosmolith.functions.shared import written, written_by
 
 
 def with_links(nodes: DataFrame) -> DataFrame:
@@ -23,19 +26,66 @@ def most_massive(nodes: DataFrame, mass: str = "mass") -> DataFrame:
     return nodes.join(best, "desc_id", "left").withColumn("is_mmp", F.col("id") == F.col("_best")).drop("_best")
 
 
+def ends(edges: DataFrame, max_levels: int = 200) -> DataFrame:
+    """Of edges(id, to), `to` null or one of the ids: id, end (where its chain ends) and steps, by pointer doubling.
+
+    A round doubles the length of all chains and moves three columns; rows that have reached their end are set aside, so
+    rounds get smaller and no end gathers its whole tree.
+    """
+    start = written(edges.select("id", F.coalesce("to", "id").alias("end"), F.col("to").isNotNull().cast("int").alias("steps"), F.col("to").isNull().alias("done")))
+    out, left = start.where("done"), start.where("not done")
+    for _ in range(max_levels.bit_length() + 2):
+        if left.isEmpty():
+            return out.drop("done")
+        up = out.unionByName(left).select(F.col("id").alias("end"), F.col("end").alias("_up"), F.col("steps").alias("_more"), F.col("done").alias("_done"))
+        nxt = written(left.join(up, "end").select("id", F.col("_up").alias("end"), (F.col("steps") + F.col("_more")).alias("steps"), F.col("_done").alias("done")))
+        out, left = out.unionByName(nxt.where("done")), nxt.where("not done")
+    raise RuntimeError(f"a chain is longer than {max_levels} steps, or has a cycle")
+
+
+def _pointers(nodes: DataFrame, mmp_only: bool, mass: str) -> DataFrame:
+    """id and to, its descendant if that is among the nodes (and, with mmp_only, if the node is its main progenitor)."""
+    rows = most_massive(nodes, mass) if mmp_only else nodes
+    to = F.when(F.col("is_mmp"), F.col("desc_id")) if mmp_only else F.col("desc_id")
+    ids = nodes.select(F.col("id").alias("to"))
+    return rows.select("id", to.alias("_to")).join(ids, F.col("_to") == F.col("to"), "left").select("id", "to")
+
+
 def tree_walk(nodes: DataFrame, roots: DataFrame, max_levels: int = 200, mmp_only: bool = False, mass: str = "mass") -> DataFrame:
-    """All nodes of the trees of roots(id), or their main branches: root_id, level and the node's columns."""
-    pool = most_massive(nodes, mass).where("is_mmp").drop("is_mmp") if mmp_only else nodes
-    level = nodes.join(roots.select(F.col("id")).distinct(), "id").withColumn("root_id", F.col("id")).withColumn("level", F.lit(0))
-    out = written(level)
-    last = out
-    for k in range(1, max_levels + 1):
-        above = last.select(F.col("id").alias("desc_id"), "root_id")
-        nxt = written(pool.join(above, "desc_id").withColumn("level", F.lit(k)).select(*out.columns))
-        if nxt.isEmpty():
-            return out
-        out, last = out.unionByName(nxt), nxt
-    raise RuntimeError(f"a tree is deeper than {max_levels} levels, or has a cycle")
+    """All nodes of the trees of roots(id), or their main branches: the node's columns, root_id and level.
+
+    Chains are followed to the first root above a node. Where a root lies in the tree of another, its nodes are in both.
+    """
+    asked = roots.select("id").distinct().withColumn("_root", F.lit(True))
+    edges = written(_pointers(nodes, mmp_only, mass).join(asked, "id", "left"))
+    chains = ends(edges.select("id", F.when(F.col("_root").isNull(), F.col("to")).alias("to")), max_levels)
+    found = written(chains.join(asked.select(F.col("id").alias("end")), "end").select("id", F.col("end").alias("root_id"), F.col("steps").alias("level")))
+    above = edges.where("_root and to is not null").select(F.col("id").alias("_inner"), F.col("to").alias("id"))
+    above = written(above.join(found, "id").select("_inner", F.col("root_id").alias("_outer"), (F.col("level") + 1).alias("_more")))
+    pairs = last = found
+    for _ in range(max_levels):
+        if above.isEmpty() or last.isEmpty():
+            return nodes.join(pairs, "id")
+        last = written(last.join(above, F.col("root_id") == F.col("_inner")).select("id", F.col("_outer").alias("root_id"), (F.col("level") + F.col("_more")).alias("level")))
+        pairs = pairs.unionByName(last)
+    raise RuntimeError(f"roots are nested deeper than {max_levels}, or have a cycle")
+
+
+def by_levels(nodes: DataFrame, order: str, grow: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
+    """nodes grown from the oldest epoch to the newest: grow(rows, came) gets an epoch's rows and the grown nodes that
+    descend into it (None at first) and returns the rows, _into and what it has made.
+
+    The table has a folder for each epoch, so an epoch reads its own rows; each result is written, so a lost executor
+    costs one epoch.
+    """
+    descends = nodes.select(F.col("id").alias("desc_id"), F.col(order).alias("_into"))
+    rows = written_by(nodes.join(descends, "desc_id", "left").select(*nodes.columns, "_into"), order, "id")
+    pairs = rows.select(order, "_into").distinct().collect()  # a few for each epoch
+    level: dict = {}
+    for e in sorted({r[0] for r in pairs}):
+        older = [level[r[0]].where(F.col("_into") == e) for r in pairs if r[1] == e and r[0] in level]
+        level[e] = written(grow(rows.where(F.col(order) == e), reduce(DataFrame.unionByName, older) if older else None))
+    return reduce(DataFrame.unionByName, level.values()).drop("_into") if level else grow(rows, None).drop("_into")
 
 
 def peaks(nodes: DataFrame, mass: str = "mass", order: str = "epoch") -> DataFrame:
@@ -43,35 +93,24 @@ def peaks(nodes: DataFrame, mass: str = "mass", order: str = "epoch") -> DataFra
 
     A new peak must exceed what is inherited; among progenitors the greatest peak is inherited, the least id on ties.
     """
-    epochs = [r[0] for r in nodes.select(order).distinct().orderBy(order).collect()]  # one per level
-    done, last, least = None, None, F.lit(None)
-    for e in epochs:
-        rows = nodes.where(F.col(order) == e)
-        if last is None:
+
+    def grow(rows: DataFrame, came: DataFrame | None) -> DataFrame:
+        if came is None:
             rows = rows.withColumn("_p", F.lit(None).cast("struct<peak:double,nid:bigint,peak_epoch:double>"))
         else:
-            best = last.groupBy("desc_id").agg(F.max(F.struct("peak", (-F.col("id")).alias("nid"), "peak_epoch")).alias("_p")).withColumnRenamed("desc_id", "id")
+            best = came.groupBy("desc_id").agg(F.max(F.struct("peak", (-F.col("id")).alias("nid"), "peak_epoch")).alias("_p")).withColumnRenamed("desc_id", "id")
             rows = rows.join(best, "id", "left")
         own = F.col("_p").isNull() | (F.col(mass) > F.col("_p.peak"))
-        rows = rows.withColumn("peak", F.when(own, F.col(mass)).otherwise(F.col("_p.peak")).cast("double")).withColumn("peak_epoch", F.when(own, F.col(order)).otherwise(F.col("_p.peak_epoch")).cast("double")).drop("_p")
-        rows = written(rows.select(*nodes.columns, "peak", "peak_epoch"))
-        done = rows if done is None else done.unionByName(rows)
-        last = rows if last is None else last.unionByName(rows)
-    return done
+        peak, at = (F.when(own, F.col(c)).otherwise(F.col(f"_p.{n}")).cast("double").alias(n) for c, n in ((mass, "peak"), (order, "peak_epoch")))
+        return rows.select(*nodes.columns, "_into", peak, at)
+
+    return by_levels(nodes, order, grow)
 
 
 def tracks(nodes: DataFrame, mass: str = "mass", max_levels: int = 200) -> DataFrame:
     """nodes with track_head: the newest node of the branch on which each is the main progenitor of the next."""
-    rows = most_massive(nodes, mass).select(*nodes.columns, F.when(F.col("is_mmp"), F.col("desc_id")).alias("_to"))
-    ids = nodes.select(F.col("id").alias("_i"))
-    jump = written(rows.join(ids, F.col("_to") == F.col("_i"), "left").select(*nodes.columns, F.coalesce("_i", F.col("id")).alias("track_head")))
-    for _ in range(max_levels.bit_length() + 1):  # pointer doubling
-        up = jump.select(F.col("id").alias("track_head"), F.col("track_head").alias("_up"))
-        nxt = written(jump.join(up, "track_head").select(*nodes.columns, F.col("_up").alias("track_head"), (F.col("_up") != F.col("track_head")).alias("_moved")))
-        if nxt.where("_moved").isEmpty():
-            return nxt.drop("_moved")
-        jump = nxt.drop("_moved")
-    raise RuntimeError("the branches have a cycle")
+    heads = ends(_pointers(nodes, True, mass), max_levels).select("id", F.col("end").alias("track_head"))
+    return nodes.join(heads, "id")
 
 
 def track_numbers(nodes: DataFrame, mass: str = "mass") -> DataFrame:
@@ -100,11 +139,49 @@ def merger_ratio(nodes: DataFrame, mass: str = "mass", major: float = 0.3, minor
     return subs.where("n_subs > 1").select(F.col("upid").alias("id"), "n_subs", "largest", ratio.alias("ratio"), (ratio > major).alias("is_major"), ((ratio > minor) & (ratio <= major)).alias("is_minor"))
 
 
-def stellar_merger(nodes: DataFrame, stellar: str = "stellar", ratio: float = 10.0) -> DataFrame:
-    """Nodes with a second progenitor whose stellar mass is over 1 / ratio of the first's."""
-    w = Window.partitionBy("desc_id").orderBy(F.desc(stellar), "id")
-    two = nodes.withColumn("_r", F.row_number().over(w)).where("_r <= 2").groupBy("desc_id").agg(F.max(stellar).alias("first"), F.min(stellar).alias("second"), F.count("*").alias("_n")).where("_n = 2")
-    return two.where(F.col("first") < ratio * F.col("second")).select(F.col("desc_id").alias("id"), "first", "second")
+def second_progenitors(nodes: DataFrame, column: str, mass: str = "mass") -> DataFrame:
+    """id of each node with two progenitors or more, and the column's value of the second most massive one."""
+    others = most_massive(nodes, mass).where("not is_mmp")
+    return others.groupBy("desc_id").agg(F.max_by(column, F.struct(mass, -F.col("id"))).alias("_second")).withColumnRenamed("desc_id", "id")
+
+
+def _inherited(rows: DataFrame, flags: dict[str, Column], order: str, leaf: Column) -> DataFrame:
+    """The newest epoch up to each row of its track at which a flag held; `leaf` where there is none."""
+    w = Window.partitionBy("track_head").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({n: F.coalesce(F.last(F.when(f, F.col(order)), ignorenulls=True).over(w), leaf).cast("double") for n, f in flags.items()})
+
+
+def stellar_merger(nodes: DataFrame, ratio: float = 10.0, pairwise: bool = False, peak: str = "mpeak", mass: str = "mass", order: str = "epoch") -> DataFrame:
+    """nodes(track_head, root_id, peak) with almms, the epoch of the last stellar major merger along the main branch.
+
+    A merger is major if the stellar mass of the second progenitor (from its peak mass) is over 1 / ratio of the stellar
+    mass of the tree's root, or, pairwise, of the first progenitor. Without one almms is -1, pairwise the leaf's epoch.
+    """
+    from cosmolith.functions import astro
+    from cosmolith.functions.shared import with_groups
+
+    star = nodes.withColumn("_star", astro.stellar_mass(peak))
+    rows = star.join(second_progenitors(star, "_star", mass), "id", "left")
+    if pairwise:
+        first = most_massive(star, mass).where("is_mmp").select(F.col("desc_id").alias("id"), F.col("_star").alias("_other"))
+        rows = rows.join(first, "id", "left")
+    else:
+        rows = with_groups(rows, star.where("id = root_id").select("root_id", F.col("_star").alias("_other")), ["root_id"])
+    oldest = F.first(order).over(Window.partitionBy("track_head").orderBy(order))
+    major = F.col("_second").isNotNull() & (F.col("_other") < F.lit(ratio) * F.col("_second"))
+    out = _inherited(rows, {"almms": major}, order, oldest if pairwise else F.lit(-1.0))
+    return out.select(*nodes.columns, "almms")
+
+
+def subhalo_mergers(nodes: DataFrame, mass: str = "mass", order: str = "epoch", major: float = 0.3, minor: float = 0.2) -> DataFrame:
+    """nodes(track_head, upid) with almm2 and alminm, the epochs of the last major and minor merger along the main branch,
+    told by the largest subhalo over the rest of its host's mass; a branch starts with one of each at its leaf."""
+    subs = nodes.where("upid <> -1").groupBy("upid").agg(F.max(mass).alias("_largest")).withColumnRenamed("upid", "id")
+    rows = nodes.join(subs, "id", "left").withColumn("_share", F.try_divide(F.col("_largest"), F.col(mass) - F.col("_largest")))
+    leaf = F.row_number().over(Window.partitionBy("track_head").orderBy(order)) == 1
+    rows = rows.withColumn("_leaf", leaf)
+    out = _inherited(rows, {"almm2": F.col("_leaf") | (F.col("_share") > major), "alminm": F.col("_leaf") | (F.col("_share") > minor)}, order, F.lit(-1.0))
+    return out.select(*nodes.columns, "almm2", "alminm")
 
 
 def history(rows: DataFrame, track: str, step: str, columns: list[str]) -> DataFrame:
@@ -134,15 +211,13 @@ def balance(rows: DataFrame, track: str, step: str, value: str, by: list[str] |
 
 def mobility(rows: DataFrame, track: str, step: str, value: str) -> DataFrame:
     """Populations under 20 %, 40 to 60 % and over 80 % by rank at step 0, and their value at 20, 40, 60, 80 % per step."""
-    from cosmolith.functions.shared import ranked, with_groups
+    from cosmolith.functions.shared import at_rank, counted, ranked
 
     start = ranked(rows.where(F.col(step) == 0).select(track, value), [value, track], "_r")
     n = start.count()
     share = F.col("_r") / F.lit(max(n, 1))
     pop = F.when(share < 0.2, "low").when((share >= 0.4) & (share < 0.6), "middle").when(share >= 0.8, "high")
     member = start.select(track, pop.alias("population")).where("population is not null")
-    of = rows.join(member, track).select(step, "population", value)
-    size = of.groupBy(step, "population").agg(F.count("*").alias("n"))
-    r = with_groups(ranked(of, [value], "_r", [step, "population"]), size, [step, "population"])
-    at = [F.max(F.when(F.col("_r") == F.least(F.floor(F.col("n") * F.lit(p / 100)), F.col("n") - 1), F.col(value))).alias(f"p{p}") for p in (20, 40, 60, 80)]
-    return r.groupBy(step, "population", "n").agg(*at)
+    of = counted(rows.join(member, track).select(step, "population", value), value, [step, "population"])
+    at = [at_rank(value, F.least(F.floor(F.col("total") * F.lit(p / 100)), F.col("total") - 1)).alias(f"p{p}") for p in (20, 40, 60, 80)]
+    return of.groupBy(step, "population").agg(F.max("total").alias("n"), *at)

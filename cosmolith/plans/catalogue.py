@@ -63,11 +63,6 @@ def binned_median(spark, d):
     return _round(agg.binned_median(_t(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 10))
 
 
-@query()
-def binned_median_merged(spark, d):
-    return _round(agg.binned_median(_t(spark, d, "orders"), "o_totalprice", "o_custkey", 40, merge_under=100))
-
-
 def _hist_sql(table: str, x: str, bins: int, norm: bool = False) -> str:
     pdf = f"c.n / (sum(c.n) OVER () * ((hi - lo) / {bins}))" if norm else "cast(c.n AS double)"
     return f"""WITH d AS (SELECT {x} x FROM {table}), s AS (SELECT min(x) lo, max(x) hi, count(*) n_all FROM d),
@@ -97,11 +92,6 @@ def hist1d_discrete(spark, d):
     return _round(agg.hist1d_discrete(_t(spark, d, "lineitem"), "l_quantity"), 9)
 
 
-@query()
-def hist1d_adaptive(spark, d):
-    return _round(agg.hist1d_adaptive(_t(spark, d, "orders"), "o_totalprice", 60, 50))
-
-
 _H2 = """WITH s AS (SELECT min(l_quantity) x0, max(l_quantity) x1, min(l_extendedprice) y0, max(l_extendedprice) y1 FROM lineitem),
  c AS (SELECT least(cast(floor((l_quantity - x0) / ((x1 - x0) / 12)) AS int), 11) ix, least(cast(floor((l_extendedprice - y0) / ((y1 - y0) / 8)) AS int), 7) iy, count(*) n FROM lineitem, s GROUP BY 1, 2),
  g AS (SELECT cast(a.range AS int) ix, cast(b.range AS int) iy, coalesce(cast(n AS double), 0) z FROM range(12) a CROSS JOIN range(8) b LEFT JOIN c ON c.ix = a.range AND c.iy = b.range)"""
@@ -236,11 +226,6 @@ def pdf_percentile(spark, d):
     return _round(agg.pdf_percentile(agg.hist1d(_t(spark, d, "orders"), "o_totalprice", 50), 75))
 
 
-@query()
-def bootstrap_median(spark, d):
-    return agg.bootstrap_median(_t(spark, d, "customer"), "c_custkey", "c_acctbal")
-
-
 # ---- catalogues --------------------------------------------------------------------------------------------------
 
 
@@ -255,12 +240,6 @@ def merge_mismatches(spark, d):
     return catalog.not_one_to_one(_t(spark, d, "orders").select(F.col("o_custkey").alias("id")), _t(spark, d, "customer").select(F.col("c_custkey").alias("id")))
 
 
-@query("SELECT c_custkey, round(CASE WHEN c_acctbal > 0 THEN log10(c_acctbal) END, 9) log_bal FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def unmatched(spark, d):
-    c = catalog.unmatched(_t(spark, d, "customer"), _t(spark, d, "orders"), "c_custkey", "o_custkey", F.col("c_acctbal") > 0)
-    return c.select("c_custkey", F.round(astro.safe_log10("c_acctbal"), 9).alias("log_bal"))
-
-
 @query("SELECT event_id, round(value * power(1 + z, 1), 9) AS value, z FROM events JOIN (VALUES ('click', 0.0::double), ('view', 1.0), ('purchase', 2.0)) t(k, z) ON event_type = k")
 def stack_rescale(spark, d):
     e = _t(spark, d, "events").select("event_id", "value", "event_type")
@@ -400,7 +379,7 @@ def rescale_axis(spark, d):
 SELECT q.event_id, round(sum(q.w * m.value), 6) smooth FROM q JOIN n m ON m.user_id = q.user_id AND m.step = CASE WHEN j < q.n THEN j ELSE 2 * q.n - 1 - j END GROUP BY 1""")
 def gaussian_smooth(spark, d):
     s = _steps(spark, d)
-    return tracks.gaussian_smooth(s, "user_id", "step", "value", 2.0).join(s.select("user_id", "step", "event_id"), ["user_id", "step"]).select("event_id", F.round("smooth", 6).alias("smooth"))
+    return tracks.gaussian_smooth(s, "user_id", "step", ["value"], 2.0).join(s.select("user_id", "step", "event_id"), ["user_id", "step"]).select("event_id", F.round("value_smooth", 6).alias("smooth"))
 
 
 @query(f"{_EV}, r AS (SELECT step, value y, row_number() OVER (PARTITION BY step ORDER BY value) - 1 r, count(*) OVER (PARTITION BY step) n FROM f) SELECT step, 'value' prop, {_STATS} FROM r GROUP BY step, n")
@@ -536,12 +515,6 @@ def profile_fit(spark, d):
     return _round(profiles.fit_profiles(_profiles(spark, d), 0.1))
 
 
-@query()
-def profile_stack(spark, d):
-    p = _profiles(spark, d)
-    return _round(profiles.stack_profiles(p, p.where("mass > 100"), 20, 1.0, 12.0))
-
-
 @query("""WITH q AS (SELECT l_suppkey id, least(cast(floor(l_extendedprice / 8000) AS bigint) + 1, 12) k, sum(l_quantity) q FROM lineitem GROUP BY 1, 2), c AS (SELECT id, k, sum(q) OVER (PARTITION BY id ORDER BY k) m FROM q)
 SELECT id, round(sum(power(m - 1000 * power(3.0, 3) * (ln((3.0 + k) / 3.0) - k / (3.0 + k)), 2)), 2) chi2 FROM c GROUP BY 1""")
 def profile_chi2(spark, d):
@@ -578,9 +551,9 @@ def _forest(spark, d) -> DataFrame:
 
 def _level_sql(e: int) -> str:
     """The nodes of one level with their histories, from those of the level before."""
-    own = f"(SELECT *, id % 7 / 3.0::double tf, id % 11 / 10.0::double spin, CASE WHEN id % 2 = 0 THEN epoch ELSE 0.5 END almm FROM nodes WHERE epoch = {e})"
+    own = f"(SELECT *, id % 7 / 3.0::double tf, id % 11 / 10.0::double spin, id % 13 / 10.0::double tu, CASE WHEN id % 2 = 0 THEN epoch ELSE 0.5 END almm FROM nodes WHERE epoch = {e})"
     if e == 1:
-        return f"l1 AS (SELECT id, desc_id, epoch, mass::double mass, mass::double mpeak, epoch a_mpeak, tf maxtf_peak, 1.0::double min_bsr_peak, 1.0::double min_bsr_lmm, spin spin_peak, 0.0::double mass_lost_peak, 0.0::double mass_lost_as_sub FROM {own})"
+        return f"l1 AS (SELECT id, desc_id, epoch, mass::double mass, mass::double mpeak, epoch a_mpeak, tf maxtf_peak, 1.0::double min_bsr_peak, 1.0::double min_bsr_lmm, spin spin_peak, 0.0::double mass_lost_peak, 0.0::double mass_lost_as_sub, epoch a_maxtf_peak, epoch a_min_bsr_peak, epoch a_min_bsr_lmm, tu tu_peak FROM {own})"
     new, merged = "(p IS NULL OR mass > p.mpeak)", "(p IS NULL OR epoch = almm)"
     peak = f"CASE WHEN {new} THEN mass::double ELSE p.mpeak END"
     lost = "greatest(m - mass, 0)"
@@ -588,10 +561,12 @@ def _level_sql(e: int) -> str:
  l{e} AS (SELECT id, desc_id, epoch, mass::double mass, {peak} mpeak, CASE WHEN {new} THEN epoch ELSE p.a_mpeak END a_mpeak, CASE WHEN {new} THEN tf ELSE greatest(tf, p.maxtf_peak) END maxtf_peak,
   CASE WHEN {new} THEN 1.0 ELSE least(mass / ({peak}), p.min_bsr_peak) END min_bsr_peak, CASE WHEN {merged} THEN 1.0 ELSE least(mass / ({peak}), p.min_bsr_lmm) END min_bsr_lmm,
   CASE WHEN {merged} THEN spin ELSE greatest(spin, p.spin_peak) END spin_peak, CASE WHEN {new} THEN 0.0 ELSE p.mass_lost_peak + {lost} END mass_lost_peak,
-  CASE WHEN {new} THEN 0.0 ELSE p.mass_lost_as_sub + CASE WHEN desc_id <> -1 THEN {lost} ELSE 0 END END mass_lost_as_sub FROM {own} LEFT JOIN b{e} ON up = id)"""
+  CASE WHEN {new} THEN 0.0 ELSE p.mass_lost_as_sub + CASE WHEN desc_id <> -1 THEN {lost} ELSE 0 END END mass_lost_as_sub,
+  CASE WHEN {new} OR tf > p.maxtf_peak THEN epoch ELSE p.a_maxtf_peak END a_maxtf_peak, CASE WHEN {new} OR mass / ({peak}) < p.min_bsr_peak THEN epoch ELSE p.a_min_bsr_peak END a_min_bsr_peak,
+  CASE WHEN {merged} OR mass / ({peak}) < p.min_bsr_lmm THEN epoch ELSE p.a_min_bsr_lmm END a_min_bsr_lmm, CASE WHEN {merged} THEN tu ELSE greatest(tu, p.tu_peak) END tu_peak FROM {own} LEFT JOIN b{e} ON up = id)"""
 
 
-_KEPT = ["mpeak", "a_mpeak", "maxtf_peak", "min_bsr_peak", "min_bsr_lmm", "spin_peak", "mass_lost_peak", "mass_lost_as_sub"]
+_KEPT = forest.HISTORY
 
 
 @query(f"{_TREE}, {', '.join(_level_sql(e) for e in (1, 2, 3, 4))} SELECT id, {', '.join(f'round({c}, 6) {c}' for c in _KEPT)} FROM ({' UNION ALL '.join(f'SELECT * FROM l{e}' for e in (1, 2, 3, 4))})")
@@ -599,17 +574,6 @@ def tree_histories(spark, d):
     return _round(forest.histories(_forest(spark, d)).select("id", *_KEPT))
 
 
-@query()
-def branch_fields(spark, d):
-    return _round(forest.branch_fields(_forest(spark, d)))
-
-
-@query()
-def full_tree_run(spark, d):
-    objects = _t(spark, d, "region").select((F.col("r_regionkey") + 1).cast("long").alias("id"), "r_name")
-    return _round(forest.full_run(objects, _forest(spark, d), 4.0))
-
-
 @query(f"""{_TREE}, {_HEADS}, r AS (SELECT id, id root FROM nodes WHERE desc_id = -1 UNION ALL SELECT n.id, r.root FROM nodes n JOIN r ON n.desc_id = r.id),
  o AS (SELECT id root, row_number() OVER (ORDER BY mass DESC, id) tree_count FROM nodes WHERE desc_id = -1),
  k AS (SELECT w.head, row_number() OVER (PARTITION BY root ORDER BY epoch DESC, mass DESC, w.head) track FROM w JOIN r ON r.id = w.id JOIN nodes n ON n.id = w.id WHERE w.id = w.head)
@@ -618,10 +582,3 @@ FROM (SELECT *, mass / 1000.0 - 50 z FROM nodes) n JOIN w ON w.id = n.id JOIN k
 def viewer_export(spark, d):
     n = _nodes(spark, d).withColumns({"ax": F.lit(1.0), "ay": F.lit(0.0), "az": F.col("mass") / 1000.0 - 50})
     return _round(forest.exported(n, ["id"]), 2)
-
-
-@query()
-def history_table(spark, d):
-    t = forest.Table(ordered=("value", "doubled"), means=("errors",), mobile=("value",), flag="flag", merger="errors")
-    rows = _steps(spark, d).withColumns({"doubled": 2 * F.col("value"), "errors": (F.col("event_type") == "error").cast("double"), "flag": (F.col("value") > 50).cast("int"), "z": F.col("step") / 10.0})
-    return _round(forest.history_table(rows, "user_id", "step", "z", t))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cosmolith.functions.shared import written
-from cosmolith.sources.legacy import PROFILE_FIELDS
+from cosmolith.sources.legacy import PROFILE_FIELDS, created, opened
 
 # Fixed values of the format: two int64, nine doubles, three int32, and padding to a multiple of eight bytes.
 RECORD = np.dtype([("id", "<i8"), ("parent_id", "<i8"), *((c, "<f8") for c in PROFILE_FIELDS[2:11]), ("np", "<i4"), ("n_rbins", "<i4"), ("ppbin", "<i4"), ("pad", "<i4")])
@@ -34,12 +34,12 @@ class _Reader(DataSourceReader):
         self.path, self.size = options["path"], int(options.get("rowsPerPartition", 1 << 16))
 
     def partitions(self) -> list[InputPartition]:
-        with open(self.path, "rb") as f:
+        with opened(self.path) as f:
             (n,) = struct.unpack("<q", f.read(8))
         return [_Profiles(lo, min(n, lo + self.size)) for lo in range(0, n, self.size)]
 
     def read(self, part: InputPartition) -> Iterator[tuple]:
-        with open(self.path, "rb") as f:
+        with opened(self.path) as f:
             (n,) = struct.unpack("<q", f.read(8))
             f.seek(8 + part.lo * RECORD.itemsize)
             records = np.frombuffer(f.read((part.hi - part.lo) * RECORD.itemsize), RECORD)
@@ -80,7 +80,7 @@ def read_profile_binary(spark: SparkSession, path: str, rows_per_partition: int
 def write_profile_binary(profiles: DataFrame, path: str) -> None:
     """One file at a local path, for hand-over to other programs; rows stream through the driver. n_rbins follows radii."""
     kept = written(profiles.withColumn("n_rbins", F.size("radii")).select(*(F.col(c).cast(k) for c, k in zip(PROFILE_FIELDS, KINDS, strict=True)), "radii"))
-    with open(path, "wb") as f:
+    with created(path) as f:
         f.write(struct.pack("<q", kept.count()))
         for r in kept.select(*PROFILE_FIELDS).orderBy(F.desc("n_rbins"), "id").toLocalIterator():
             f.write(np.array([(*r, 0)], RECORD).tobytes())

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from cosmolith.plans.catalogue import ORACLE_SQL, QUERIES
+from cosmolith.plans.registered import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
