@@ -5,8 +5,9 @@ one. The index of anchors is probed with every rolling run of 7 words of every d
 the hit is extended to the windows of 13 words around it; those windows alone are compared over all documents, and a
 maximal run of windows that an earlier document has too is a maximal exact repeat.
 
-Texts are shuffled once (by document); all else that moves are packed hashes, 5 bytes for a probe, 11 for a candidate
-window. No pairs of documents are formed: a passage of a million copies costs a million rows, not their square.
+Texts are shuffled once (by document); all else that moves are packed hashes, 4 bytes for a probe, 11 for a candidate
+window. No pairs of documents are formed, and what is alike within a chunk of about a million words is settled there and
+sent once, so a passage that a third of all documents hold has one row a chunk in its bucket, not one a copy.
 """
 
 from __future__ import annotations
@@ -40,7 +41,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class _Chunk:
-    """Documents whose word hashes are packed together; kind 0 rows carry the documents, kind 1 rows a bucket's hashes."""
+    """Documents whose word hashes are packed together; kind 0 rows carry the documents, kind 1 rows a bucket's hashes, kind
+    2 rows places that the chunk knows to be hits."""
 
     def __init__(self) -> None:
         self.keys: list[np.ndarray] = []
@@ -91,8 +93,25 @@ def _gap_kind(n: int) -> type:
     return np.uint8 if n <= 160 else np.uint16
 
 
+def _alike(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first, of): rows sorted by the keys (the last first), where each group of alike rows starts in that order,
+    and the group of each sorted row. All keys but the last given ones only order rows within a group."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    same = np.ones(max(0, len(order) - 1), bool)
+    for k in keys[-2:] if len(keys) > 1 else keys:
+        same &= k[order][1:] == k[order][:-1]
+    new[1:] = ~same
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def _probes(window: int, n: int):
-    """Each run of block words: 31 bits of its hash, a bit that tells an anchor, and its place."""
+    """Each run of block words: 32 bits of its hash, and of an anchor its place.
+
+    A window of a document holds a whole anchor of that document, so an anchor's place is asked for, and other runs only
+    tell that they are there. What a chunk holds more than once is settled in the chunk: its anchors are hits, and one
+    of the runs is sent. So a passage of any number of copies has one row a chunk.
+    """
     block = block_words(window)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,39 +123,48 @@ def _probes(window: int, n: int):
             left = np.repeat(counts, counts) - at
             h = window_hashes(hashes, block, 0x2545F4914F6CDD1D)
             pos = np.flatnonzero(left[: len(h)] >= block)
-            h = h[pos]
-            code = ((h & np.uint64(0x7FFFFFFF)) << np.uint64(1)).astype(np.uint32) | (at[pos] % block == 0)
+            h, anchor = h[pos], at[pos] % block == 0
+            order, start, of = _alike(h)
+            often = np.zeros(len(h), bool)
+            often[order] = np.diff(np.append(start, len(h)))[of] > 1
+            one = np.zeros(len(h), bool)
+            one[order[start]] = True
+            code, bucket = h.astype(np.uint32), ((h >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
             name = (part << 24) | k
             rows = [(name % n, name, 0, keys[:, 0].tobytes(), keys[:, 1].tobytes(), counts.astype(np.int32).tobytes())]
-            rows += [(b, name, 1, code[i].tobytes(), pack_gaps(pos[i], _gap_kind(n)), None) for b, i in _deal(((h >> np.uint64(32)) % np.uint64(n)).astype(np.int32), n)]
+            if (sure := pos[anchor & often]).size:
+                rows.append((name % n, name, 2, pack_gaps(sure), None, None))
+            asked = anchor & ~often
+            for b, i in _deal(np.where(one, bucket, n), n + 1):
+                if b < n:
+                    ask, told = i[asked[i]], i[~asked[i]]
+                    rows.append((b, name, 1, code[ask].tobytes(), pack_gaps(pos[ask], _gap_kind(n)), code[told].tobytes()))
             yield _rows(rows)
 
     return pack
 
 
+def _settled(rows: pd.DataFrame) -> list[tuple]:
+    """The rows of a bucket that only pass through: chunks' documents, and the places that are known in their chunk."""
+    return [(0, r.chunk, min(r.kind, 1), r.a, r.b, r.c) for r in rows[rows.kind != 1].itertuples(index=False)]
+
+
 def _hits(n: int):
-    """Of a bucket, the places whose hash an anchor has and that occurs more than once."""
+    """Of a bucket, the asked places whose hash is there more than once."""
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
-        out, own = [tuple(r) for r in rows[rows.kind == 0].itertuples(index=False)], rows[rows.kind == 1]
+        out, own = _settled(rows), rows[rows.kind == 1]
         if len(own):
-            codes = [np.frombuffer(x, np.uint32) for x in own.a]
-            c = np.concatenate(codes)
-            packed = ((c.astype(np.uint64) >> np.uint64(1)) << np.uint64(33)) | (np.arange(len(c), dtype=np.uint64) << np.uint64(1)) | (c & 1)
-            packed.sort()
-            key = packed >> np.uint64(33)
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            length = np.diff(np.append(first, len(key)))
-            anchored = np.maximum.reduceat(packed & np.uint64(1), first) > 0
-            hit = np.zeros(len(c), bool)
-            hit[((packed >> np.uint64(1)) & np.uint64(0xFFFFFFFF))[np.repeat(anchored & (length > 1), length)].astype(np.int64)] = True
-            del packed, key
-            to = 0
-            for name, x, raw in zip(own.chunk, codes, own.b, strict=True):
-                at = unpack_gaps(raw, _gap_kind(n))[hit[to : to + len(x)]]
-                to += len(x)
-                if len(at):
-                    out.append((0, name, 1, pack_gaps(at, np.uint8), None, None))
+            every = np.concatenate([np.frombuffer(x, np.uint32) for c in ("a", "c") for x in own[c]])
+            every.sort()
+            twice = np.unique(every[1:][every[1:] == every[:-1]])
+            del every
+            for name, raw, places in zip(own.chunk, own.a, own.b, strict=True):
+                asked = np.frombuffer(raw, np.uint32)
+                if len(asked) and len(twice):
+                    at = unpack_gaps(places, _gap_kind(n))[twice[np.minimum(np.searchsorted(twice, asked), len(twice) - 1)] == asked]
+                    if len(at):
+                        out.append((0, name, 1, pack_gaps(at, np.uint8), None, None))
         return pd.DataFrame(out, columns=["bucket", "chunk", "kind", "a", "b", "c"])
 
     return match
@@ -178,7 +206,10 @@ def _by_document(window: int, extend: bool):
 
 
 def _windows(window: int, n: int):
-    """The candidate windows: 80 bits of hash, their place, and their document's key."""
+    """The candidate windows: 80 bits of hash, their place, and their document's key.
+
+    Of the windows alike in a chunk those of its smallest document are sent; the others are known to repeat it.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -194,12 +225,21 @@ def _windows(window: int, n: int):
             h = window_hashes(hashes, window, 0xD6E8FEB86659FD93)[pos]
             more = window_hashes(hashes, window, 0xA0761D6478BD642F)[pos]
             doc = np.repeat(np.arange(len(counts)), counts)[pos]
+            bucket, more = ((more >> np.uint64(16)) % np.uint64(n)).astype(np.int32), (more & np.uint64(0xFFFF)).astype(np.uint16)
+            key = keys[doc, 0]
+            order, start, of = _alike(key, more, h)
+            sure = np.zeros(len(h), bool)
+            sure[order] = key[order] > key[order[start]][of] if len(h) else False
             name = (part << 24) | k
             rows = [(name % n, name, 0, keys[:, 0].tobytes(), keys[:, 1].tobytes(), counts.astype(np.int32).tobytes())]
-            for b, i in _deal(((more >> np.uint64(16)) % np.uint64(n)).astype(np.int32), n):
+            if sure.any():
+                rows.append((name % n, name, 2, pack_gaps(pos[sure]), None, None))
+            for b, i in _deal(np.where(sure, n, bucket), n + 1):
+                if b == n:
+                    continue
                 head = np.flatnonzero(np.concatenate(([True], doc[i][1:] != doc[i][:-1])))
                 ids = keys[doc[i][head], 0].astype(np.int64)
-                rows.append((b, name, 1, h[i].tobytes() + (more[i] & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), pack_gaps(pos[i], np.uint8), ids.tobytes() + np.diff(np.append(head, len(i))).astype(np.uint32).tobytes()))
+                rows.append((b, name, 1, h[i].tobytes() + more[i].tobytes(), pack_gaps(pos[i], np.uint8), ids.tobytes() + np.diff(np.append(head, len(i))).astype(np.uint32).tobytes()))
             yield _rows(rows)
 
     return pack
@@ -207,7 +247,7 @@ def _windows(window: int, n: int):
 
 def _repeats(rows: pd.DataFrame) -> pd.DataFrame:
     """Of a bucket, the windows that also start in a document with a smaller key."""
-    out, own = [tuple(r) for r in rows[rows.kind == 0].itertuples(index=False)], rows[rows.kind == 1]
+    out, own = _settled(rows), rows[rows.kind == 1]
     if len(own):
         sizes = [len(x) // 10 for x in own.a]
         h = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(own.a, sizes, strict=True)])
