@@ -80,21 +80,56 @@ def written(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def dealt(rows: DataFrame, keys: DataFrame, by: str, block: int) -> DataFrame:
-    """rows(key, ...) for a search within each key, sorted by key: lists of more than `block` rows are dealt as pairs of blocks.
+def by_size(df: DataFrame, most: int) -> DataFrame:
+    """A written table for a join: broadcast up to `most` rows, beyond that joined as Spark sees fit."""
+    return F.broadcast(df) if df.count() <= most else df
 
-    keys: the column key of rows, unread. Every two rows of a list meet under one new key at least, and no new key has many
-    more than 2 * block rows; two lists may share one. The table of long lists is joined as Spark sees fit by its size.
+
+MOST = 200_000  # slim rows that are broadcast, a few MB
+
+
+def in_blocks(rows: DataFrame, keys: DataFrame, by: str, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """(lists, long): rows(key, ...) whose key others have too, each list sorted by `by`, for a search within each key.
+
+    keys: the column key of rows. A list of more than `block` rows is cut into blocks under keys of their own, none with many
+    more than `block` rows. Each block also gets the list's first row, so that what is like that row is joined across
+    blocks; other links between blocks are left to between_labels(). long holds the keys of such lists, or is None.
+    """
+    shared, _ = written(keys.groupBy("key").count().where("count > 1"), "shared")
+    long = shared.where(F.col("count") > block).select("key")
+    own = [c for c in rows.columns if c != "key"]
+    rows = rows.join(by_size(shared, MOST), "key")
+    if long.isEmpty():
+        return rows.select("key", *own).repartition("key").sortWithinPartitions("key", by), None
+    first, _ = written(rows.where(F.col("count") > block).groupBy("key").agg(F.min(by).alias("_first")), "first")
+    rows = rows.join(by_size(first, MOST), "key", "left")
+    blocks = F.ceil(F.col("count") / block).cast("int")
+    to = F.when(F.col("_first").isNull(), F.array(F.lit(-1))).when(F.col(by) == F.col("_first"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64(by), blocks).cast("int")))
+    rows = rows.withColumn("_to", F.explode(to))
+    rows = rows.select(F.when(F.col("_to") < 0, F.col("key")).otherwise(F.xxhash64("key", "_to")).alias("key"), *own)
+    return rows.repartition("key").sortWithinPartitions("key", by), long
+
+
+def between_labels(rows: DataFrame, keys: DataFrame, by: str, block: int) -> DataFrame:
+    """rows(key, label, ...) for a search of the pairs of each key that have two labels, sorted by key and `by`.
+
+    keys: the columns key and label of rows. A list of one label is left out. A list of more than 2 * block rows is dealt out:
+    the rows of its largest label are cut into blocks, so are the others, and every block of others meets every block of
+    either kind under a key of its own. So a large class is sent once for each block of other rows, not as pairs of its own.
     """
-    long, _ = written(keys.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("_blocks")), "long")
-    if not long.isEmpty():
-        own = [c for c in rows.columns if c != "key"]
-        rows = rows.join(long, "key", "left").withColumn("_own", F.pmod(F.xxhash64(by), F.col("_blocks")).cast("int"))
-        others = F.when(F.col("_blocks").isNull(), F.array(F.lit(-1))).otherwise(F.filter(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda x: x != F.col("_own")))
-        rows = rows.withColumn("_other", F.explode(others))
-        pair = F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
-        rows = rows.select(F.when(F.col("_blocks").isNull(), F.col("key")).otherwise(pair).alias("key"), *own)
-    return rows.repartition("key").sortWithinPartitions("key")
+    sums = keys.groupBy("key", "label").count()
+    lists = sums.groupBy("key").agg(F.sum("count").alias("_all"), F.max(F.struct("count", "label")).alias("_top"), F.count("*").alias("_labels")).where("_labels > 1")
+    kept, _ = written(lists.select("key", F.col("_top.label").alias("_large"), F.col("_top.count").alias("_most"), (F.col("_all") - F.col("_top.count")).alias("_few")), "lists")
+    own = [c for c in rows.columns if c != "key"]
+    rows = rows.join(by_size(kept, MOST), "key")
+    many, few = F.ceil(F.col("_most") / block).cast("int"), F.ceil(F.col("_few") / block).cast("int")
+    hashed, large = F.xxhash64(by), F.col("label") == F.col("_large")
+    at = F.when(large, few + F.pmod(hashed, many)).otherwise(F.pmod(hashed, few)).cast("int")
+    rows = rows.withColumn("_at", at)
+    others = F.when(large, F.sequence(F.lit(0), few - 1)).otherwise(F.filter(F.sequence(F.lit(0), few + many - 1), lambda x: x != F.col("_at")))
+    rows = rows.withColumn("_other", F.explode(F.when(F.col("_few") + F.col("_most") <= 2 * block, F.array(F.lit(-1))).otherwise(others)))
+    pair = F.xxhash64("key", F.least("_at", "_other"), F.greatest("_at", "_other"))
+    return rows.select(F.when(F.col("_other") < 0, F.col("key")).otherwise(pair).alias("key"), *own).repartition("key").sortWithinPartitions("key", by)
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -5,7 +5,8 @@ each single (position, byte) would hold 1/256 of all fingerprints, so the index
 the 56 triples, 20 suffice, as any 4 shared positions hold one of those (a Turan system). Inside a list the shared
 positional bytes of a pair are tallied, pairs under the guaranteed minimum are dropped, and the rest is verified on the
 bits. Lists hold distinct fingerprints only and yield a spanning forest, not pairs, so copies cost nothing. A list of more
-than LIST rows is dealt out as pairs of blocks, so no task gets it whole.
+than LIST rows is cut into blocks, so no task gets it whole; when classes are known, rows of different classes meet across
+blocks.
 
 The pipeline stage links texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, which 64 bits tell
 too coarsely. Candidates are pairs that agree in one of 20 bands of 4 minima (MinHash: a pair of similarity s is missed with
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cosmolith.llm.common import NO_ID, dealt, delete, mix, table, written
+from cosmolith.llm.common import MOST, NO_ID, between_labels, by_size, delete, in_blocks, mix, table, written
 from cosmolith.llm.components import components
 
 BLOCK = 1024
@@ -174,8 +175,15 @@ def _search(how: SimHash):
 
 def fingerprint_links(prints: DataFrame, how: SimHash) -> DataFrame:
     """Edges (u, v) that join all linked fingerprints of prints(fp), which must be distinct."""
-    posted = prints.select("fp").mapInArrow(_post(how), "key long, fp binary")
-    return dealt(posted, posted.select("key"), "fp", LIST).mapInArrow(_search(how), "u binary, v binary")
+    posted, kind = prints.select("fp").mapInArrow(_post(how), "key long, fp binary"), "u binary, v binary"
+    lists, long = in_blocks(posted, posted.select("key"), "fp", LIST)
+    edges = lists.mapInArrow(_search(how), kind)
+    if long is None:
+        return edges
+    edges, _ = written(edges.distinct(), "links")
+    label = components(edges).withColumnsRenamed({"node": "fp", "component": "label"})
+    rows = posted.join(by_size(long, MOST), "key", "left_semi").join(label, "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("label"))
+    return edges.union(between_labels(rows, rows.select("key", "label"), "fp", LIST).select("key", "fp").mapInArrow(_search(how), kind))
 
 
 def simhash_classes(docs: DataFrame, keep: list[str], how: SimHash = CONTRACT) -> DataFrame:
@@ -405,15 +413,23 @@ def verified(pairs: DataFrame, texts: DataFrame, how: NearDuplicates) -> DataFra
     return with_both.select("u", "v", "text_u", "text_v").mapInArrow(_verify(how), "u binary, v binary, ok boolean")
 
 
-def band_pairs(prints: DataFrame, how: NearDuplicates) -> DataFrame:
-    """Distinct candidate pairs (u, v) of prints(node, n, low, keys): a spanning forest of each list, or, if prints have
-    a label, all pairs between two labels."""
-    labelled = "label" in prints.columns
-    more, schema = (["label"], ", label binary") if labelled else ([], "")
-    posted = prints.select("node", "n", "low", *more, "keys").mapInArrow(_post_bands(how), f"key long, node binary, n int, low binary{schema}")
+def _posted(prints: DataFrame, how: NearDuplicates) -> DataFrame:
+    more, schema = (["label"], ", label binary") if "label" in prints.columns else ([], "")
+    return prints.select("node", "n", "low", *more, "keys").mapInArrow(_post_bands(how), f"key long, node binary, n int, low binary{schema}")
+
+
+def forest_pairs(prints: DataFrame, how: NearDuplicates) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct pairs (u, v) that join the candidates of each list of prints(node, n, low, keys), but for links between the
+    blocks of long lists; and the keys of those. Lists are sorted, so the first text of a group is the same in all bands."""
     keys = prints.select("keys").mapInArrow(_band_keys(how), "key long")
-    lists = dealt(posted, keys, "node", LIST)
-    return lists.mapInArrow(_search_bands(how, labelled), "u binary, v binary").distinct()
+    lists, long = in_blocks(_posted(prints, how), keys, "node", LIST)
+    return lists.mapInArrow(_search_bands(how, False), "u binary, v binary").distinct(), long
+
+
+def crossing_pairs(prints: DataFrame, how: NearDuplicates) -> DataFrame:
+    """All distinct candidate pairs (u, v) of prints(node, n, low, label, keys) that have two labels."""
+    rows = _posted(prints, how)
+    return between_labels(rows, rows.select("key", "label"), "node", LIST).mapInArrow(_search_bands(how, True), "u binary, v binary").distinct()
 
 
 def near_classes(docs: DataFrame, how: NearDuplicates = STAGE) -> DataFrame:
@@ -421,21 +437,25 @@ def near_classes(docs: DataFrame, how: NearDuplicates = STAGE) -> DataFrame:
     keyed = docs.select(text_node().alias("node"), "text")
     sketches = keyed.mapInArrow(_sketches(how), "node binary, n int, low binary, keys binary")
     prints, prints_at = written(sketches.dropDuplicates(["node"]), "prints")
-    pairs, pairs_at = written(band_pairs(prints, how), "pairs")
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    texts, texts_at = written(keyed.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    found, long = forest_pairs(prints, how)
+    pairs, pairs_at = written(found, "pairs")
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v"))
+    if long is not None:
+        nodes = nodes.union(_posted(prints, how).join(by_size(long, MOST), "key", "left_semi").select("node"))
+    nodes, nodes_at = written(nodes.distinct(), "nodes")
+    texts, texts_at = written(keyed.join(by_size(nodes, MOST), "node", "left_semi").dropDuplicates(["node"]), "texts")
     first, first_at = written(verified(pairs, texts, how), "verified")
     links = components(first.where("ok").select("u", "v"))
-    if not first.where("not ok").isEmpty():
+    if long is not None or not first.where("not ok").isEmpty():
         label = links.withColumnRenamed("component", "label")
-        named = prints.join(nodes, "node", "left_semi").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        untested = band_pairs(named, how).join(first.select("u", "v"), ["u", "v"], "left_anti")
+        named = prints.join(by_size(nodes, MOST), "node", "left_semi").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        untested = crossing_pairs(named, how).join(first.select("u", "v"), ["u", "v"], "left_anti")
         second, second_at = written(verified(untested, texts, how).where("ok").select("u", "v"), "verified")
         if not second.isEmpty():
             links = components(links.select(F.col("node").alias("u"), F.col("component").alias("v")).union(second))
         delete(docs.sparkSession, second_at)
     out, _ = written(links.withColumnRenamed("component", "label"), "classes")
-    for path in (prints_at, pairs_at, texts_at, first_at):
+    for path in (prints_at, pairs_at, nodes_at, texts_at, first_at):
         delete(docs.sparkSession, path)
     return out
 
