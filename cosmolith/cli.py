@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cosmolith.functions import astro
-from cosmolith.functions.shared import ranked
 from cosmolith.operators import aggregates as agg
 from cosmolith.operators import binning, catalog, forest, grid, profiles, tree
 from cosmolith.sources import legacy
@@ -24,7 +23,7 @@ from cosmolith.sources.profile_binary import read_profile_binary, with_masses
 
 # The flags with what they are without being given, and the positions of the columns of a tree table.
 WHOLE = {"x": 0, "y": 1, "binx": 0, "nbinsx": 0, "nbinsy": 0, "autotnum": -1, "id": 0, "use_rw": -1, "points_per_cell": 3, "dim": 0}
-REAL = {"binwidthx": 0.0, "binwidthy": 0.0, "exrad": 0.0, "slen": 1.0, "mstar": -1.0, "box": 250.0}
+REAL = {"share_lo": 0.0, "share_hi": 100.0, "binwidthx": 0.0, "binwidthy": 0.0, "exrad": 0.0, "slen": 1.0, "mstar": -1.0, "box": 250.0}
 SWITCH = ["br", "bw", "logx", "logy", "logz", "logbinx", "norm", "smooth", "rank", "cdf", "massfunc", "use_percentiles_x", "use_percentiles_y", "mmp", "profiles", "scatter"]
 TEXT = {"file": "", "output": "", "mergeTo": "", "type": "", "otherparam": "", "nbins": "1", "autobin": "true"}
 TREE = {
@@ -36,6 +35,7 @@ SELECTED_EPOCHS = {0: 1.00231, 1: 0.50112}
 MOVED = {"doReorderFields": [34, 35, 36, 75], "doReorderFields2": [79, 80, 81, 82]}
 STACK_SCALES = {"c85": -2.5, "c86": -2.5, "c79": 1.0}
 REFERENCE_EPOCH = 0.67325
+STRIPPED = "c80"
 
 
 def parse(argv: list[str]) -> dict:
@@ -77,16 +77,12 @@ def _cube(spark: SparkSession, path: str, o: dict) -> tuple[DataFrame, int]:
 
 
 def _bins(df: DataFrame, c: str, width: float, count: int) -> int | None:
-    if width > 0:
-        lo, hi = binning.span(df, c)
-        return max(1, math.ceil((hi - lo) / width))
-    return count or None
+    return agg.bins_of_width(df, c, width) if width > 0 else count or None
 
 
 def _percent(df: DataFrame, c: str) -> DataFrame:
     """df with c replaced by the percentage of rows below it, ties by the other columns."""
-    n = max(1, df.count())
-    return ranked(df, [c, *(x for x in df.columns if x != c)], "_rank").withColumn(c, F.col("_rank") * 100.0 / n).drop("_rank")
+    return agg.percent_ranks(df, c, [x for x in df.columns if x != c], c)
 
 
 def _hist1d(df: DataFrame, o: dict, by: list[str] | None = None) -> DataFrame:
@@ -94,7 +90,9 @@ def _hist1d(df: DataFrame, o: dict, by: list[str] | None = None) -> DataFrame:
     if o["autobin"] == "true" and not by and o["autotnum"] > 0:
         return agg.hist1d_adaptive(df, o["cx"], n or agg.default_bins(df.count()), o["autotnum"])
     out = agg.hist1d(df, o["cx"], n, norm=o["norm"], by=by)
-    return out.withColumn("pdf", F.col("pdf") * df.count() / agg.effective_volume(0, 100, o["box"])) if o["massfunc"] and o["norm"] else out
+    if o["logz"] and not by:
+        return agg.log_counts(out)
+    return agg.mass_function(out, agg.effective_volume(o["share_lo"], o["share_hi"], o["box"])) if o["massfunc"] and o["norm"] else out
 
 
 def _hist2d(df: DataFrame, o: dict) -> DataFrame:
@@ -108,23 +106,46 @@ def _hist2d(df: DataFrame, o: dict) -> DataFrame:
     return agg.hist2d(df, x, y, nx, ny, log=o["logz"], smooth=o["smooth"], norm=o["norm"])
 
 
-def _median(df: DataFrame, o: dict) -> DataFrame:
-    for flag, c in (("use_percentiles_x", "cx"), ("use_percentiles_y", "cy")):
-        df = _percent(df, o[c]) if o[flag] else df
+def _median(df: DataFrame, o: dict, by: list[str] | None = None) -> DataFrame:
+    """Percentages of x leave out stripped rows after they are ranked; those of y are of the statistics, but not of mad."""
     n = _bins(df, o["cx"], o["binwidthx"], o["nbinsx"]) or agg.default_bins(df.count())
-    return agg.binned_median(df, o["cx"], o["cy"], n, (o["autotnum"] if o["autotnum"] > 0 else n) if o["autobin"] == "true" else None)
+    if o["use_percentiles_x"] and not by:
+        keep = F.coalesce(F.col(STRIPPED) <= 0.98, F.lit(True)) if STRIPPED in df.columns else None
+        out = agg.percent_median(df, o["cx"], o["cy"], n, [c for c in df.columns if c != o["cx"]], keep)
+    else:
+        out = agg.binned_median(df, o["cx"], o["cy"], n, (o["autotnum"] if o["autotnum"] > 0 else n) if o["autobin"] == "true" else None, by)
+    return agg.placed(out, df, o["cy"]) if o["use_percentiles_y"] else out
 
 
 def _binned(df: DataFrame, o: dict) -> DataFrame:
     return binning.assign_bins(df, o["cb"], binning.bin_edges(df, o["cb"], o["nbins"]))
 
 
+def _in_bins(df: DataFrame, o: dict) -> DataFrame:
+    """df's rows in each bin of binx, as file_bin. With use_rw the bins are read from the files that hold them, which are
+    named as the output with _BIN_rwNUMBER before the extension."""
+    if o["use_rw"] < 0:
+        return _binned(df, o).drop("lo", "hi").withColumnRenamed("bin_id", "file_bin")
+    stem, dot, end = o["output"].rpartition(".")
+    count, out = len(binning.bin_edges(df, o["cb"], o["nbins"])), None
+    for i in range(count):
+        rows = read(df.sparkSession, f"{stem}_{i}_rw{o['use_rw']}{dot}{end}", o).withColumn("file_bin", F.lit(i))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _binned_hist2d(df: DataFrame, o: dict) -> DataFrame:
+    rows, x, y = _in_bins(df, o), o["cx"], o["cy"]
+    nx = _bins(df, x, o["binwidthx"], o["nbinsx"]) or agg.default_bins(df.count())
+    return agg.hist2d(rows, x, y, nx, _bins(df, y, o["binwidthy"], o["nbinsy"]) or nx, log=o["logz"], smooth=o["smooth"], norm=o["norm"], by=["file_bin"])
+
+
 def _each_bin(operator: Callable, df: DataFrame, o: dict) -> DataFrame:
     """The operator over each bin of binx; there are as many as the thresholds name."""
-    out = None
-    for i, (lo, hi) in enumerate(binning.bin_edges(df, o["cb"], o["nbins"])):
-        rows = operator(df.where((F.col(o["cb"]) > lo) & (F.col(o["cb"]) <= hi)), o).withColumn("file_bin", F.lit(i))
-        out = rows if out is None else out.unionByName(rows)
+    rows, out = _in_bins(df, o), None
+    for i in range(len(binning.bin_edges(df, o["cb"], o["nbins"]))):
+        found = operator(rows.where(F.col("file_bin") == i).drop("file_bin"), o).withColumn("file_bin", F.lit(i))
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -191,9 +212,11 @@ def _history(spark: SparkSession, df: DataFrame, o: dict) -> DataFrame:
     at = spark.createDataFrame(list(steps.items()), "epoch double, step int")
     rows = forest.dynamical_rates(n.join(F.broadcast(at), "epoch"))
     middle = binning.order_values(rows.where("step = 0"), "spin", lambda k: [k // 2])
-    rows = rows.withColumns({"zed": astro.redshift("epoch"), "highspin": (F.col("spin") > F.lit(middle[0] if middle else 0.0)).cast("int"), "cnfw": astro.concentration("rvir", "rs"), "e": astro.elongation("b_to_a", "c_to_a")})
-    ordered = ("mass", "cnfw", "rvir", "rs", "spin", "tf", "vmax", "xoff", "e", "lambda", "lumpy", "smooth", "tu", "mass_dyn")
-    table = forest.Table(ordered=ordered, means=("n_mergers", "merger_mean"), mobile=("spin", "tf"))
+    rows = forest.properties(rows).withColumn("zed", astro.redshift("epoch"))
+    rows = rows.withColumn("highspin", (F.col("lambdap") > F.lit(middle[0] if middle else 0.0)).cast("int"))
+    t, have = forest.Table(), rows.columns
+    rows = rows if t.merger in have else rows.withColumn(t.merger, F.lit(-1.0))
+    table = forest.Table(ordered=tuple(c for c in t.ordered if c in have), means=tuple(c for c in t.means if c in have), mobile=tuple(c for c in t.mobile if c in have))
     main = rows.join(rows.where("step = 0").select("track_head"), "track_head", "left_semi")
     return forest.history_table(main, "track_head", "step", "zed", table)
 
@@ -237,8 +260,8 @@ MERGE = lambda s, d, o: catalog.merge(read(s, o["mergeTo"], o), d, f"c{TREE['id'
 
 TYPES: dict[str, Callable] = {
     "hist1D": lambda s, d, o: _hist1d(d, o), "hist2D": lambda s, d, o: _hist2d(d, o), "avg": lambda s, d, o: agg.binned_avg(d, o["cx"], o["cy"], _bins(d, o["cx"], o["binwidthx"], o["nbinsx"]) or agg.default_bins(d.count())),
-    "median": lambda s, d, o: _median(d, o), "bin": lambda s, d, o: _binned(d, o), "binnedHist1D": lambda s, d, o: _each_bin(_hist1d, d, o), "binnedHist2D": lambda s, d, o: _each_bin(_hist2d, d, o),
-    "binnedMedian": lambda s, d, o: _each_bin(_median, d, o), "toBin": lambda s, d, o: d, "toAscii": lambda s, d, o: d, "treeWalk": TREE_WALK, "merge": MERGE,
+    "median": lambda s, d, o: _median(d, o), "bin": lambda s, d, o: _binned(d, o), "binnedHist1D": lambda s, d, o: _each_bin(_hist1d, d, o), "binnedHist2D": lambda s, d, o: _binned_hist2d(d, o),
+    "binnedMedian": lambda s, d, o: _median(_in_bins(d, o), o, ["file_bin"]), "toBin": lambda s, d, o: d, "toAscii": lambda s, d, o: d, "treeWalk": TREE_WALK, "merge": MERGE,
 }
 
 OTHER: dict[str, Callable] = {
@@ -280,7 +303,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
     if os.path.exists(to):
         raise FileExistsError(to)
     if by:
-        legacy.write_by(out, to, by)
+        legacy.write_by(out, to, by, limit=o["x"] if by == "tree_id" and o["x"] > 0 else None)
+    elif o["bw"] and o["otherparam"] == "gaussianSmoothDensity":
+        legacy.write_cube(out, to, _cube(spark, o["file"], o)[1])
     elif o["bw"] or o["type"] == "toBin":
         legacy.write_bin(out.drop("row_idx"), to, rows=to.endswith(".bin2"))
     else:

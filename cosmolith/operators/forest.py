@@ -195,6 +195,31 @@ class Table:
     merger: str = "almm"
 
 
+def properties(rows: DataFrame, names: Names = Names()) -> DataFrame:
+    """rows of tracks (track_head, epoch, mass and what a tree table holds) with the properties of a history table that
+    their columns allow, all of them for a whole table with its accretion and dynamical rates.
+
+    Masses are over the track's newest mass, accreted ones over its peak so far, rates to the next older row a Gyr.
+    """
+    n, w = names, Window.partitionBy("track_head").orderBy(F.desc(names.epoch))
+    rows = rows.withColumns({"_t": astro.cosmic_time(n.epoch), "_m0": F.first(n.mass).over(w)})
+    rows = rows.withColumn("_mpeak", F.max(n.mass).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    rate = lambda c: F.try_divide(F.col(c) - F.lead(c).over(w), F.col("_t") - F.lead("_t").over(w))
+    over = lambda a, b: F.try_divide(F.col(a), F.col(b))
+    e, e500 = astro.elongation("b_to_a", "c_to_a"), astro.elongation("b_to_a500", "c_to_a500")
+    made = {
+        "mvir": ([n.mass], lambda: over(n.mass, "_m0")), "smar": ([n.mass], lambda: F.try_divide(rate(n.mass), F.col("_m0"))), "cnfw": (["rvir", "rs"], lambda: over("rvir", "rs")),
+        "rvir": (["rvir"], lambda: F.col("rvir")), "rs": (["rs"], lambda: F.col("rs")), "lambdap": ([n.spin], lambda: F.col(n.spin)), "dlambdap": ([n.spin], lambda: rate(n.spin)), "tf": ([n.tide], lambda: F.col(n.tide)),
+        "vmax": (["vmax"], lambda: F.col("vmax")), "xoff": (["xoff", "rvir"], lambda: over("xoff", "rvir")), "e": (["b_to_a", "c_to_a"], lambda: e), "rsp": (["rs"], lambda: astro.physical("rs", n.epoch)),
+        "rvirp": (["rvir"], lambda: astro.physical("rvir", n.epoch)), "e500": (["b_to_a500", "c_to_a500"], lambda: e500), "lambda": (["lambda"], lambda: F.col("lambda")), "cklypin": (["rvir", "rs_klypin"], lambda: over("rvir", "rs_klypin")),
+        "mlumpy": (["lumpy"], lambda: over("lumpy", "_mpeak")), "msmooth": (["smooth"], lambda: over("smooth", "_mpeak")), "eratio": (["b_to_a", "c_to_a", "b_to_a500", "c_to_a500"], lambda: F.try_divide(e, e500)),
+        "tu": ([n.heat], lambda: F.col(n.heat)), "mdot_dyn": ([f"{n.mass}_dyn"], lambda: F.col(f"{n.mass}_dyn")), "smdot_dyn": ([f"{n.mass}_dyn"], lambda: over(f"{n.mass}_dyn", n.mass)),
+        "merger_count": (["n_mergers"], lambda: F.col("n_mergers")), "merger_mass_avg": (["merger_mean"], lambda: F.col("merger_mean")), "merger_ratio_avg": (["merger_mean"], lambda: over("merger_mean", n.mass)),
+    }
+    found = {c: f().cast("double") for c, (needed, f) in made.items() if all(x in rows.columns for x in needed)}
+    return rows.withColumns({f"_of_{c}": x for c, x in found.items()}).select(*(c for c in rows.columns if c[0] != "_" and c not in found), *(F.col(f"_of_{c}").alias(c) for c in found))
+
+
 FIVE = ("median", "d20", "d80", "ci_lo", "ci_hi")
 
 

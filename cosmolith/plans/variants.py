@@ -338,6 +338,26 @@ def history_table(spark, d):
     return _round(forest.history_table(rows, "user_id", "step", "z", t))
 
 
+_HELD = {
+    "mass": "value + 1", "rvir": "value + 2", "rs": "event_id % 5 + 1", "spin": "event_id % 11 / 10.0", "tf": "event_id % 7 / 3.0", "vmax": "value * 2", "xoff": "event_id % 3 + 0.5", "b_to_a": "event_id % 4 / 4.0", "c_to_a": "event_id % 5 / 5.0", "lambda": "event_id % 13 / 9.0",
+    "rs_klypin": "event_id % 6 + 2", "b_to_a500": "event_id % 3 / 4.0", "c_to_a500": "event_id % 4 / 5.0", "lumpy": "event_id % 9", "smooth": "event_id % 10", "tu": "event_id % 8 / 2.0", "mass_dyn": "value - 3", "n_mergers": "event_id % 2", "merger_mean": "event_id % 6 / 1.5",
+}
+_ELONG, _ELONG500 = (f"(1 - sqrt(b_to_a{k} * b_to_a{k} + c_to_a{k} * c_to_a{k}) / sqrt(2))" for k in ("", "500"))
+_PROPERTY = {
+    "mvir": "mass / m0", "smar": "(mass - lead(mass) OVER w) / (t - lead(t) OVER w) / m0", "cnfw": "rvir / rs", "rvir": "rvir", "rs": "rs", "lambdap": "spin", "dlambdap": "(spin - lead(spin) OVER w) / (t - lead(t) OVER w)", "tf": "tf", "vmax": "vmax", "xoff": "xoff / rvir", "e": _ELONG,
+    "rsp": "rs * epoch", "rvirp": "rvir * epoch", "e500": _ELONG500, "lambda": "lambda_", "cklypin": "rvir / rs_klypin", "mlumpy": "lumpy / peak", "msmooth": "smooth / peak", "eratio": f"{_ELONG} / {_ELONG500}", "tu": "tu", "mdot_dyn": "mass_dyn", "smdot_dyn": "mass_dyn / mass",
+    "merger_count": "n_mergers", "merger_mass_avg": "merger_mean", "merger_ratio_avg": "merger_mean / mass",
+}
+
+
+@query(f"""{_EV}, h AS (SELECT event_id, user_id, 1 / (1 + step / 50.0::double) epoch, {', '.join(f'({x})::double {c}' + '_' * (c == 'lambda') for c, x in _HELD.items())} FROM f),
+ q AS (SELECT *, 11.5570 * asinh(1.50244 * power(epoch, 1.5)) t, first(mass) OVER w m0, max(mass) OVER (PARTITION BY user_id ORDER BY epoch DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) peak FROM h WINDOW w AS (PARTITION BY user_id ORDER BY epoch DESC))
+SELECT event_id, {', '.join(f'round({x}, 5) "{c}"' for c, x in _PROPERTY.items())} FROM q WINDOW w AS (PARTITION BY user_id ORDER BY epoch DESC)""")
+def history_properties(spark, d):
+    rows = _steps(spark, d).withColumns({"track_head": F.col("user_id"), "epoch": 1 / (1 + F.col("step") / 50.0), **{c: F.expr(x).cast("double") for c, x in _HELD.items()}})
+    return forest.properties(rows).select("event_id", *(F.round(c, 5).alias(c) for c in _PROPERTY))
+
+
 # ---- grids and profiles -----------------------------------------------------------------------------------------
 
 

@@ -39,6 +39,11 @@ def test_types(spark, table):
     assert run(spark, path, "-type=median", "-x=1", "-y=2", "-nbinsx=4", "-use_percentiles_x", "-autobin=false").agg(F.sum("n")).first()[0] == 200
     assert run(spark, path, "-type=binnedHist1D", "-x=2", "-binx=1", "-nbins=[3,6]", "-nbinsx=4").select("file_bin").distinct().count() == 3
     assert run(spark, path, "-type=bin", "-binx=1", "-nbins=3Q").count() == 199
+    assert [r.bin_id for r in run(spark, path, "-type=hist1D", "-x=1", "-nbinsx=8", "-logz").collect()] == list(range(8))
+    placed = run(spark, path, "-type=median", "-x=1", "-y=2", "-nbinsx=4", "-autobin=false", "-use_percentiles_y").collect()
+    assert all(0 <= r.d20 <= r.median <= r.d80 <= 100 for r in placed) and sum(r.n for r in placed) == 200
+    assert run(spark, path, "-type=binnedMedian", "-x=1", "-y=2", "-binx=1", "-nbins=[3,6]", "-nbinsx=4", "-autobin=false").select("file_bin").distinct().count() == 3
+    assert run(spark, path, "-type=binnedHist2D", "-x=1", "-y=2", "-binx=1", "-nbins=[3,6]", "-nbinsx=4").count() == 48
     stats = run(spark, path, "-type=other", "-otherparam=genPlotStats", "-x=1", "-y=2").first()
     assert stats.c1_median == np.median(rows[:, 1]) and stats.c2_median == np.median(rows[:, 2])
     d = np.argsort(np.argsort(rows[:, 1])) - np.argsort(np.argsort(rows[:, 2]))
@@ -87,7 +92,8 @@ def test_tree_commands(spark, tmp_path):
 def test_history_command(spark, tmp_path):
     path = tree_file(tmp_path / "trees.dat")
     o = cli.parse([f"-file={path}", "-type=other", "-otherparam=doProgenitorHistory"])
-    assert "mass_median" in cli.result(spark, o).columns
+    columns = cli.result(spark, o).columns
+    assert "mvir_median" in columns and len(columns) == 1 + 1 + 25 * 5 + 3 + 2 * 12  # with step
 
 
 def test_profile_binary_round_trip(spark, tmp_path):
