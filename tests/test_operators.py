@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cosmolith.functions import astro
-from cosmolith.functions.shared import ranked
+from cosmolith.functions.shared import counted, ranked
 from cosmolith.operators import aggregates as agg
 from cosmolith.operators import binning, forest, grid, profiles, tracks, tree
 from cosmolith.sources import legacy
@@ -235,3 +235,71 @@ def test_history_table_has_all_columns(spark):
     gone = {3, order[9 - [r.track for r in order].index(3)].track}
     assert got[2].mvir_median == np.median([m for k, m in flat if k not in gone])
     assert got[0].merger_count_d80 - got[0].merger_count_median == pytest.approx(np.std([r.mvir for r in rows.where("step = 0").collect()]))
+
+
+def test_counts_of_values_give_every_rank(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 400), rng.integers(0, 9, 400), strict=True)] + [(5, 1.0)]
+    got = counted(spark.createDataFrame(rows, "g int, v double").repartition(7), "v", ["g"]).collect()
+    for g in {r[0] for r in rows}:
+        flat = [r.v for r in sorted((x for x in got if x.g == g), key=lambda r: r.before) for _ in range(r.n)]
+        assert flat == sorted(v for k, v in rows if k == g) and {x.total for x in got if x.g == g} == {len(flat)}
+
+
+def test_rows_alike_get_ranks_of_their_own(spark):
+    df = spark.createDataFrame([(0.0, i) for i in range(300)], "v double, i int")
+    assert sorted(r["rank"] for r in ranked(df, ["v"]).collect()) == list(range(300))
+
+
+def test_bootstrap_interval_is_the_limit_of_resampling(spark):
+    v = np.sort(np.random.default_rng(2).normal(size=101))
+    r = agg.bootstrap_median(spark.createDataFrame([(float(x),) for x in v], "v double"), "v").first()
+    drawn = np.sort(np.random.default_rng(3).choice(v, (20_000, 101)), axis=1)[:, 50]
+    near = lambda x: np.searchsorted(v, x)
+    assert abs(near(np.quantile(drawn, 0.025, method="higher")) - near(r.ci_lo)) <= 1 and abs(near(np.quantile(drawn, 0.975, method="higher")) - near(r.ci_hi)) <= 1
+    assert agg.beta_share(2, 3, 0.4) == pytest.approx(0.5248)
+    assert agg.bootstrap_median(spark.createDataFrame([], "v double"), "v").first().ci_lo is None
+
+
+def test_percentages_of_statistics(spark):
+    df = spark.createDataFrame([(float(i), float(i // 2)) for i in range(10)], "x double, y double")
+    stats = spark.createDataFrame([(0, 1.5, 0.0, 4.0, 2.0, 9.0, 0.3)], "bin_id int, median double, d20 double, d80 double, ci_lo double, ci_hi double, mad double")
+    r = agg.placed(stats, df, "y").first()
+    assert (r.median, r.d20, r.d80, r.ci_lo, r.ci_hi, r.mad) == (35.0, 0.0, 100.0, 40.0, 100.0, 0.3)
+
+
+def test_walks_of_nested_roots_and_cycles(spark):
+    n = spark.createDataFrame([(1, -1), (2, 1), (3, 2), (4, 3), (5, 2)], "id long, desc_id long").withColumn("mass", F.col("id").cast("double"))
+    got = {(r.id, r.root_id, r.level) for r in tree.tree_walk(n, n.where("id in (1, 2, 3)")).collect()}
+    assert got == {(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 1, 3), (5, 1, 2), (2, 2, 0), (3, 2, 1), (4, 2, 2), (5, 2, 1), (3, 3, 0), (4, 3, 1)}
+    assert tree.tree_walk(n, n.where("id > 9")).count() == 0
+    with pytest.raises(RuntimeError, match="cycle"):
+        tree.ends(spark.createDataFrame([(1, 2), (2, 1)], "id long, to long"))
+
+
+def test_nearest_of_many_voxels_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.uniform(0, 10, (300, 3)) % 10, rng.normal(3, 0.2, (400, 3)) % 10])
+    p = rng.uniform(0, 10, (60, 3))
+    d = np.abs(p[:, None] - v[None])
+    want = np.sqrt((np.minimum(d, 10 - d) ** 2).sum(axis=2)).min(axis=1)
+    points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "id long, x double, y double, z double")
+    voxels = spark.createDataFrame([(i % 7, *map(float, x)) for i, x in enumerate(v)], "structure int, x double, y double, z double")
+    got = {r.id: r.dist for r in grid.nearest_structure(points, voxels, 10.0, 5).collect()}
+    assert np.allclose([got[i] for i in range(60)], want)
+
+
+def test_cubes_are_written_with_empty_planes(spark, tmp_path):
+    cube = spark.createDataFrame([(1, 2, 0, 5.0), (3, 3, 3, 7.0), (1, 0, 1, 2.0)], "ix int, iy int, iz int, v double").repartition(3)
+    legacy.write_cube(cube, str(tmp_path / "c"), 4)
+    want = np.zeros((4, 4, 4))
+    want[1, 2, 0], want[3, 3, 3], want[1, 0, 1] = 5, 7, 2
+    assert np.array_equal(np.fromfile(tmp_path / "c").reshape(4, 4, 4), want)
+
+
+def test_merger_epochs_are_inherited(spark):
+    n = spark.createDataFrame([(1, -1, -1, 1.0, 9.0, 13.0), (2, 1, -1, 0.8, 8.0, 13.0), (3, 2, -1, 0.6, 7.0, 12.9), (4, 2, 2, 0.6, 3.0, 12.8)], "id long, desc_id long, upid long, epoch double, mass double, mpeak double")
+    t = tree.tracks(n).withColumn("root_id", F.lit(1).cast("long"))
+    assert {r.id: r.almms for r in tree.stellar_merger(t).collect()} == {1: 0.8, 2: 0.8, 3: -1.0, 4: -1.0}
+    assert {r.id: r.almms for r in tree.stellar_merger(t, 3.0, pairwise=True).collect()} == {1: 0.8, 2: 0.8, 3: 0.6, 4: 0.6}
+    assert {r.id: (r.almm2, r.alminm) for r in tree.subhalo_mergers(t).collect()} == {1: (0.8, 0.8), 2: (0.8, 0.8), 3: (0.6, 0.6), 4: (0.6, 0.6)}
