@@ -35,11 +35,11 @@ _MERGE = """, cnt AS (SELECT cast(range AS int) i, count(y) n FROM range({bins})
  mp AS (SELECT i.range i, max(x) t, (SELECT min(z) FROM (SELECT unnest(f) z FROM fin) WHERE z > i.range) e FROM range({bins}) i, (SELECT unnest(f) x FROM fin) WHERE x <= i.range GROUP BY 1)"""
 
 
-@query(_median_sql("orders", "o_totalprice", "o_custkey", "40", "(SELECT t FROM mp WHERE i = b0.bin_id)", before=_MERGE.format(bins=40, least=100)) + """
+@query(_median_sql("orders", "o_totalprice", "o_custkey", "40", "(SELECT t FROM mp WHERE i = b0.bin_id)", before=_MERGE.format(bins=40, least=380)) + """
 SELECT cast(st.bin_id AS int) bin_id, n, median, d20, d80, ci_lo, ci_hi, mad, round((lo + bin_id * ((hi - lo) / 40) + lo + e * ((hi - lo) / 40)) / 2, 6) center, round(s.lo + bin_id * ((hi - s.lo) / 40), 6) lo, round(s.lo + e * ((s.hi - s.lo) / 40), 6) hi
  FROM st JOIN mad USING (bin_id) JOIN (SELECT t, any_value(coalesce(e, 40)) e FROM mp GROUP BY t) ON t = bin_id CROSS JOIN s""")
 def binned_median_merged(spark, d):
-    return _round(agg.binned_median(_t(spark, d, "orders"), "o_totalprice", "o_custkey", 40, merge_under=100))
+    return _round(agg.binned_median(_t(spark, d, "orders"), "o_totalprice", "o_custkey", 40, merge_under=380))
 
 
 @query("""WITH RECURSIVE s AS (SELECT min(o_totalprice) lo, max(o_totalprice) hi FROM orders), b AS (SELECT least(cast(floor((o_totalprice - lo) / ((hi - lo) / 60)) AS int), 59) i, count(*) n FROM orders, s GROUP BY 1),
@@ -47,12 +47,12 @@ def binned_median_merged(spark, d):
  m AS (SELECT list(c ORDER BY i) c, list(w / 2 ORDER BY i) h, list(n ORDER BY i) n, list(n::double ORDER BY i) p, any_value(5 * w) far, 0 step FROM z
   UNION ALL SELECT c[1:a - 1] || [(c[a] - h[a] + c[a + 1] + h[a + 1]) / 2] || c[a + 2:], h[1:a - 1] || [h[a] + h[a + 1]] || h[a + 2:], n[1:a - 1] || [n[a] + n[a + 1]] || n[a + 2:],
    p[1:a - 1] || [(p[a] * h[a] + p[a + 1] * h[a + 1]) / (h[a] + h[a + 1])] || p[a + 2:], far, step + 1
-  FROM (SELECT *, least(best.k, best.j) a FROM (SELECT *, list_min(list_filter(list_transform(range(1, len(n) + 1), lambda k: CASE WHEN n[k] > 0 AND n[k] <= 50 AND h[k] <= far AND ((k > 1 AND h[k - 1] <= far) OR (k < len(n) AND h[k + 1] <= far))
+  FROM (SELECT *, least(best.k, best.j) a FROM (SELECT *, list_min(list_filter(list_transform(range(1, len(n) + 1), lambda k: CASE WHEN n[k] > 0 AND n[k] <= 245 AND h[k] <= far AND ((k > 1 AND h[k - 1] <= far) OR (k < len(n) AND h[k + 1] <= far))
      THEN CASE WHEN k > 1 AND h[k - 1] <= far AND NOT (k < len(n) AND h[k + 1] <= far AND n[k + 1] < n[k - 1]) THEN {'n': n[k], 'm': n[k - 1], 'k': k, 'j': k - 1} ELSE {'n': n[k], 'm': n[k + 1], 'k': k, 'j': k + 1} END END), lambda x: x IS NOT NULL)) best FROM m) WHERE best IS NOT NULL)),
  l AS (SELECT * FROM m ORDER BY step DESC LIMIT 1)
 SELECT cast(k - 1 AS int) bin_id, round(c[k], 6) center, round(2 * h[k], 6) width, cast(n[k] AS bigint) count, round(p[k], 6) pdf FROM l, (SELECT unnest(range(1, 61)) k) WHERE k <= len(c)""")
 def hist1d_adaptive(spark, d):
-    return _round(agg.hist1d_adaptive(_t(spark, d, "orders"), "o_totalprice", 60, 50))
+    return _round(agg.hist1d_adaptive(_t(spark, d, "orders"), "o_totalprice", 60, 245))
 
 
 _SIMPLE = "SELECT cast(bin_id AS int) bin_id, n, median, d20, d80, ci_lo, ci_hi, mad, round((2 * lo + (2 * bin_id + 1) * ((hi - lo) / k)) / 2, 5) center, round(s.lo + bin_id * ((hi - s.lo) / k), 5) lo, round(s.lo + (bin_id + 1) * ((s.hi - s.lo) / k), 5) hi FROM st JOIN mad USING (bin_id) CROSS JOIN s"
@@ -339,8 +339,8 @@ def history_table(spark, d):
 
 
 _HELD = {
-    "mass": "value + 1", "rvir": "value + 2", "rs": "event_id % 5 + 1", "spin": "event_id % 11 / 10.0", "tf": "event_id % 7 / 3.0", "vmax": "value * 2", "xoff": "event_id % 3 + 0.5", "b_to_a": "event_id % 4 / 4.0", "c_to_a": "event_id % 5 / 5.0", "lambda": "event_id % 13 / 9.0",
-    "rs_klypin": "event_id % 6 + 2", "b_to_a500": "event_id % 3 / 4.0", "c_to_a500": "event_id % 4 / 5.0", "lumpy": "event_id % 9", "smooth": "event_id % 10", "tu": "event_id % 8 / 2.0", "mass_dyn": "value - 3", "n_mergers": "event_id % 2", "merger_mean": "event_id % 6 / 1.5",
+    "mass": "value + 1.0013731", "rvir": "value + 2.0007137", "rs": "event_id % 5 + 1", "spin": "event_id % 11 / 10.0", "tf": "event_id % 7 / 3.0", "vmax": "value * 2", "xoff": "event_id % 3 + 0.5", "b_to_a": "event_id % 4 / 4.0", "c_to_a": "event_id % 5 / 5.0", "lambda": "event_id % 13 / 9.0",
+    "rs_klypin": "event_id % 6 + 2", "b_to_a500": "event_id % 3 / 4.0", "c_to_a500": "event_id % 4 / 5.0", "lumpy": "event_id % 9", "smooth": "event_id % 10", "tu": "event_id % 8 / 2.0", "mass_dyn": "value - 3", "n_mergers": "event_id % 2", "merger_mean": "event_id % 6 / 2.0",
 }
 _ELONG, _ELONG500 = (f"(1 - sqrt(b_to_a{k} * b_to_a{k} + c_to_a{k} * c_to_a{k}) / sqrt(2))" for k in ("", "500"))
 _PROPERTY = {
