@@ -184,3 +184,25 @@ def scale_columns(spark, d):
     return catalog.scale_columns(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"), ["l_extendedprice", "l_quantity"], 8)
 
 
+
+
+@query("SELECT DISTINCT event_type, 'tables/' || event_type || '.dat.out_3_7' AS plain, 'made/' || event_type || '.dat.hist' AS starred FROM events")
+def output_names(spark, d):
+    """What results are called, by default and by a pattern."""
+    from cosmolith.cli import output_name
+
+    kinds = [r[0] for r in _t(spark, d, "events").select("event_type").distinct().collect()]
+    named = [(k, *(output_name({"file": f"tables/{k}.dat", "output": o, "x": 3, "y": 7}) for o in ("", "made/*.hist"))) for k in kinds]
+    return spark.createDataFrame(named, "event_type string, plain string, starred string")
+
+
+_TRACK = "_{0}.dat'' using 2:(log10($12)) with lines linewidth 1 linecolor rgb ''black'' notitle"
+
+
+@query(f"""SELECT DISTINCT event_type, 'plot ''' || event_type || '.dat'' using 2:3:4 with boxes linewidth 1 notitle' AS histogram, 'plot ''' || event_type || '.dat'' using 3:4:5 with image linewidth 1 notitle' AS map,
+ 'plot ''' || event_type || '{_TRACK.format(0)}, ''' || event_type || '{_TRACK.format(1)}' AS tracks FROM events""")
+def plot_commands(spark, d):
+    from cosmolith.plans import plots
+
+    kinds = [r[0] for r in _t(spark, d, "events").select("event_type").distinct().collect()]
+    return spark.createDataFrame([(k, plots.histogram_plot(f"{k}.dat"), plots.map_plot(f"{k}.dat"), plots.track_plot(f"{k}_%d.dat", 2)) for k in kinds], "event_type string, histogram string, map string, tracks string")
