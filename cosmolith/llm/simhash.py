@@ -12,7 +12,8 @@ The pipeline stage links texts whose sets of 5-word shingles have a Jaccard simi
 too coarsely. Candidates are pairs that agree in one of 20 bands of 4 minima (MinHash: a pair of similarity s is missed with
 probability (1 - s^4)^20, 3e-5 at 0.8), in 48 of all 80 minima, and in size to 0.8; each is then verified on the shingles of
 the two texts. A first round verifies a spanning forest of each list of candidates. Where links of it prove false, the
-forest may have gone through them, so a second round verifies every candidate pair whose texts are still in two classes.
+forest may have gone through them, so in a second round the texts of a family (what the forest's pairs join, true or not) meet
+in one place, and every candidate pair whose texts are still in two classes is verified there; only links leave the task.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from cosmolith.llm.components import components
 
 BLOCK = 1024
 LIST = 4096  # rows of a posting list that a task searches at once
+FAMILY = 512  # texts of a block of a family
 
 
 def guaranteed_triples() -> list[tuple[int, ...]]:
@@ -320,25 +322,9 @@ def _spanning(n: np.ndarray, low: np.ndarray, how: NearDuplicates) -> list[tuple
     return pairs
 
 
-def _crossing(n: np.ndarray, low: np.ndarray, label: np.ndarray, how: NearDuplicates) -> list[tuple[int, int]]:
-    """All candidate pairs of a list whose rows have two labels; the rows of its largest class look for no pairs themselves."""
-    kinds, of = np.unique(label, return_inverse=True)
-    if len(kinds) < 2:
-        return []
-    large = np.argmax(np.bincount(of))
-    pairs, every, small = [], np.arange(len(n)), of != large
-    for x in np.flatnonzero(small):
-        other = every[(of != of[x]) & (~small | (every > x))]
-        pairs += [(x, y) for y in other[_candidates(n, low, x, other, how)]]
-    return pairs
-
-
-def _search_bands(how: NearDuplicates, labelled: bool):
+def _search_bands(how: NearDuplicates):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by key; a list may span batches. Without labels a spanning forest, with them all pairs between two."""
-
-        def found(node, n, low, label) -> list[tuple[int, int]]:
-            return _crossing(n, low, label, how) if labelled else _spanning(n, low, how)
+        """Rows arrive sorted by key; a list may span batches."""
 
         def out(node: np.ndarray, pairs: list) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(pairs), 50_000):
@@ -351,8 +337,7 @@ def _search_bands(how: NearDuplicates, labelled: bool):
         for batch in batches:
             key = batch.column("key").to_numpy()
             node, n, low = _bytes(batch.column("node"), 16), batch.column("n").to_numpy(), _bytes(batch.column("low"), how.minima)
-            label = _bytes(batch.column("label"), 16).copy().view("S16").ravel() if labelled else n
-            cols = (node, n, low, label)
+            cols = (node, n, low)
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             last = np.append(first[1:], len(key))
             if held and key[0] == held_key:
@@ -362,18 +347,18 @@ def _search_bands(how: NearDuplicates, labelled: bool):
                 first, last = first[1:], last[1:]
             if held:
                 whole = [np.concatenate(c) for c in zip(*held, strict=True)]
-                yield from out(whole[0], found(*whole))
+                yield from out(whole[0], _spanning(*whole[1:], how))
             held_key, held = key[first[-1]], [[c[first[-1] :].copy() for c in cols]]
             first, last = first[:-1], last[:-1]
             two = first[last - first == 2]
-            two = two[_candidates(n, low, two, two + 1, how) & ((label[two] != label[two + 1]) | (not labelled))]
+            two = two[_candidates(n, low, two, two + 1, how)]
             pairs = [(i, i + 1) for i in two]
             for lo, hi in zip(first[last - first > 2], last[last - first > 2], strict=True):
-                pairs += [(lo + x, lo + y) for x, y in found(*(c[lo:hi] for c in cols))]
+                pairs += [(lo + x, lo + y) for x, y in _spanning(n[lo:hi], low[lo:hi], how)]
             yield from out(node, pairs)
         if held:
             whole = [np.concatenate(c) for c in zip(*held, strict=True)]
-            yield from out(whole[0], found(*whole))
+            yield from out(whole[0], _spanning(*whole[1:], how))
 
     return run
 
@@ -385,19 +370,24 @@ def similar(a: np.ndarray, b: np.ndarray, how: NearDuplicates = STAGE) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def _verify(how: NearDuplicates):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, np.ndarray] = {}
+class Shingles:
+    """The shingles of texts as they are asked for, the last few hundred thousand of them kept."""
+
+    def __init__(self, how: NearDuplicates, most: int = 1 << 20) -> None:
+        self.how, self.most, self.size, self.known = how, most, 0, {}
 
-        def shingles(node: bytes, text: str | None) -> np.ndarray:
-            if (own := known.get(node)) is None:
-                own = np.unique(shingle_hashes(text, how.shingle))
-                if len(own) < 10_000:  # a few MB in all
-                    if len(known) >= 256:
-                        known.pop(next(iter(known)))
-                    known[node] = own
-            return own
+    def __call__(self, node: bytes, text: str | None) -> np.ndarray:
+        if (own := self.known.get(node)) is None:
+            own = np.unique(shingle_hashes(text, self.how.shingle))
+            self.known[node], self.size = own, self.size + len(own)
+            while self.size > self.most and len(self.known) > 1:
+                self.size -= len(self.known.pop(next(iter(self.known))))
+        return own
 
+
+def _verify(how: NearDuplicates):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(how)
         for batch in batches:
             u, v, a, b = (batch.column(x) for x in ("u", "v", "text_u", "text_v"))
             ok = [similar(shingles(u[i].as_py(), a[i].as_py()), shingles(v[i].as_py(), b[i].as_py()), how) for i in range(batch.num_rows)]
@@ -406,6 +396,52 @@ def _verify(how: NearDuplicates):
     return run
 
 
+def joining(n: np.ndarray, low: np.ndarray, label: np.ndarray, alike, how: NearDuplicates) -> list[tuple[int, int]]:
+    """Similar pairs of rows that join the classes of a list, as many as join something: every candidate pair whose rows are
+    still in two classes is put to alike(x, y). The rows of the largest class look for no pairs themselves."""
+    kinds, of = np.unique(label, return_inverse=True)
+    if len(kinds) < 2:
+        return []
+    small, every, out = of != np.argmax(np.bincount(of)), np.arange(len(n)), []
+    for x in np.flatnonzero(small):
+        other = every[(of != of[x]) & (~small | (every > x))]
+        other = other[_candidates(n, low, x, other, how)]
+        for y in other[np.argsort(-(low[other] == low[x]).sum(axis=1), kind="stable")]:
+            if of[y] != of[x] and alike(x, y):
+                out.append((int(x), int(y)))
+                of[of == of[y]] = of[x]
+    return out
+
+
+def _search_families(how: NearDuplicates):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive sorted by key; a family, or a pair of its blocks, may span batches."""
+        held_key, held, shingles = None, [], Shingles(how)
+
+        def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            rows = rows.combine_chunks().to_batches()[0]
+            node, text = rows.column("node"), rows.column("text")
+            own = lambda i: shingles(node[int(i)].as_py(), text[int(i)].as_py())
+            alike = lambda x, y: similar(own(x), own(y), how)
+            pairs = joining(rows.column("n").to_numpy(), _bytes(rows.column("low"), how.minima), _bytes(rows.column("label"), 16).copy().view("S16").ravel(), alike, how)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([node.take(pa.array([p[i] for p in pairs])) for i in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            for lo, hi in zip(first, np.append(first[1:], len(key)), strict=True):
+                if held and key[lo] != held_key:
+                    yield from out(pa.Table.from_batches(held))
+                    held = []
+                held_key = key[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from out(pa.Table.from_batches(held))
+
+    return run
+
+
 def verified(pairs: DataFrame, texts: DataFrame, how: NearDuplicates) -> DataFrame:
     """pairs(u, v), and whether the shingles of their texts(node, text) are similar enough."""
     with_u = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
@@ -414,8 +450,7 @@ def verified(pairs: DataFrame, texts: DataFrame, how: NearDuplicates) -> DataFra
 
 
 def _posted(prints: DataFrame, how: NearDuplicates) -> DataFrame:
-    more, schema = (["label"], ", label binary") if "label" in prints.columns else ([], "")
-    return prints.select("node", "n", "low", *more, "keys").mapInArrow(_post_bands(how), f"key long, node binary, n int, low binary{schema}")
+    return prints.select("node", "n", "low", "keys").mapInArrow(_post_bands(how), "key long, node binary, n int, low binary")
 
 
 def forest_pairs(prints: DataFrame, how: NearDuplicates) -> tuple[DataFrame, DataFrame | None]:
@@ -423,13 +458,22 @@ def forest_pairs(prints: DataFrame, how: NearDuplicates) -> tuple[DataFrame, Dat
     blocks of long lists; and the keys of those. Lists are sorted, so the first text of a group is the same in all bands."""
     keys = prints.select("keys").mapInArrow(_band_keys(how), "key long")
     lists, long = in_blocks(_posted(prints, how), keys, "node", LIST)
-    return lists.mapInArrow(_search_bands(how, False), "u binary, v binary").distinct(), long
+    return lists.mapInArrow(_search_bands(how), "u binary, v binary").distinct(), long
 
 
-def crossing_pairs(prints: DataFrame, how: NearDuplicates) -> DataFrame:
-    """All distinct candidate pairs (u, v) of prints(node, n, low, label, keys) that have two labels."""
-    rows = _posted(prints, how)
-    return between_labels(rows, rows.select("key", "label"), "node", LIST).mapInArrow(_search_bands(how, True), "u binary, v binary").distinct()
+def family_links(families: DataFrame, prints: DataFrame, texts: DataFrame, links: DataFrame, how: NearDuplicates) -> DataFrame:
+    """Similar pairs (u, v) that join the classes links(node, component) of each family(node, component) of candidates.
+
+    A family of one class is done. Of the others every text is sent once, and of large ones once for each block of texts
+    outside the largest class; pairs are verified where they meet, and only those that join classes leave the task.
+    """
+    label = links.withColumnRenamed("component", "label")
+    rows = families.select("node", F.xxhash64("component").alias("key")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows, _ = written(rows, "families")
+    open_, _ = written(rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key"), "open")
+    rows = rows.join(by_size(open_, MOST), "key").join(prints.select("node", "n", "low"), "node").join(texts, "node").select("key", "label", "node", "n", "low", "text")
+    rows, _ = written(rows, "members")
+    return between_labels(rows, rows.select("key", "label"), "node", FAMILY).mapInArrow(_search_families(how), "u binary, v binary")
 
 
 def near_classes(docs: DataFrame, how: NearDuplicates = STAGE) -> DataFrame:
@@ -439,23 +483,22 @@ def near_classes(docs: DataFrame, how: NearDuplicates = STAGE) -> DataFrame:
     prints, prints_at = written(sketches.dropDuplicates(["node"]), "prints")
     found, long = forest_pairs(prints, how)
     pairs, pairs_at = written(found, "pairs")
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v"))
-    if long is not None:
-        nodes = nodes.union(_posted(prints, how).join(by_size(long, MOST), "key", "left_semi").select("node"))
-    nodes, nodes_at = written(nodes.distinct(), "nodes")
+    related = pairs
+    if long is not None:  # all of a long list are one family, as its blocks have not met
+        listed = _posted(prints, how).select("key", "node").join(by_size(long, MOST), "key")
+        first = listed.groupBy("key").agg(F.min("node").alias("u"))
+        related = pairs.union(listed.join(by_size(written(first, "first")[0], MOST), "key").select("u", F.col("node").alias("v")))
+    nodes, nodes_at = written(related.select(F.col("u").alias("node")).union(related.select("v")).distinct(), "nodes")
     texts, texts_at = written(keyed.join(by_size(nodes, MOST), "node", "left_semi").dropDuplicates(["node"]), "texts")
-    first, first_at = written(verified(pairs, texts, how), "verified")
-    links = components(first.where("ok").select("u", "v"))
-    if long is not None or not first.where("not ok").isEmpty():
-        label = links.withColumnRenamed("component", "label")
-        named = prints.join(by_size(nodes, MOST), "node", "left_semi").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        untested = crossing_pairs(named, how).join(first.select("u", "v"), ["u", "v"], "left_anti")
-        second, second_at = written(verified(untested, texts, how).where("ok").select("u", "v"), "verified")
-        if not second.isEmpty():
-            links = components(links.select(F.col("node").alias("u"), F.col("component").alias("v")).union(second))
-        delete(docs.sparkSession, second_at)
+    tested, tested_at = written(verified(pairs, texts, how), "verified")
+    links = components(tested.where("ok").select("u", "v"))
+    if long is not None or not tested.where("not ok").isEmpty():
+        more, more_at = written(family_links(components(related), prints, texts, links, how), "links")
+        if not more.isEmpty():
+            links = components(links.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+        delete(docs.sparkSession, more_at)
     out, _ = written(links.withColumnRenamed("component", "label"), "classes")
-    for path in (prints_at, pairs_at, nodes_at, texts_at, first_at):
+    for path in (prints_at, pairs_at, nodes_at, texts_at, tested_at):
         delete(docs.sparkSession, path)
     return out
 
