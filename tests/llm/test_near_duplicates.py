@@ -75,8 +75,11 @@ def test_a_false_link_does_not_part_true_ones():
     how = simhash.STAGE
     n, low = np.full(3, 100), np.zeros((3, how.minima), np.uint8)
     assert simhash._spanning(n, low, how) == [(0, 1), (0, 2)]
-    assert {frozenset(map(int, p)) for p in simhash._crossing(n, low, np.array([b"a", b"b", b"c"]), how)} == {frozenset(p) for p in ((0, 1), (0, 2), (1, 2))}
-    assert simhash._crossing(n, low, np.array([b"a"] * 3), how) == []
+    asked = []
+    alike = lambda x, y: asked.append(frozenset((int(x), int(y)))) or {x, y} == {1, 2}
+    assert [set(p) for p in simhash.joining(n, low, np.array([b"a", b"b", b"c"]), alike, how)] == [{1, 2}]
+    assert set(asked) == {frozenset(p) for p in ((0, 1), (0, 2), (1, 2))}
+    assert simhash.joining(n, low, np.array([b"a"] * 3), alike, how) == []
 
 
 def test_unlike_texts_stay_whatever_their_ids(spark):
@@ -105,5 +108,6 @@ def test_long_lists_are_dealt_out(spark, monkeypatch):
 
     whole = classes(links())
     monkeypatch.setattr(simhash, "LIST", 7)
+    monkeypatch.setattr(simhash, "FAMILY", 5)
     assert kept(spark, texts) == want and len(want) == 21
     assert classes(links()) == whole and whole
