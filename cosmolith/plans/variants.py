@@ -339,7 +339,7 @@ def history_table(spark, d):
 
 
 _HELD = {
-    "mass": "value + 1.0013731", "rvir": "value + 2.0007137", "rs": "event_id % 5 + 1", "spin": "event_id % 11 / 10.0", "tf": "event_id % 7 / 3.0", "vmax": "value * 2", "xoff": "event_id % 3 + 0.5", "b_to_a": "event_id % 4 / 4.0", "c_to_a": "event_id % 5 / 5.0", "lambda": "event_id % 13 / 9.0",
+    "mass": "value + 1.001373117", "rvir": "value + 2.000713793", "rs": "event_id % 5 + 1", "spin": "event_id % 11 / 10.0", "tf": "event_id % 7 / 3.0", "vmax": "value * 2", "xoff": "event_id % 3 + 0.5", "b_to_a": "event_id % 4 / 4.0", "c_to_a": "event_id % 5 / 5.0", "lambda": "event_id % 13 / 9.0",
     "rs_klypin": "event_id % 6 + 2", "b_to_a500": "event_id % 3 / 4.0", "c_to_a500": "event_id % 4 / 5.0", "lumpy": "event_id % 9", "smooth": "event_id % 10", "tu": "event_id % 8 / 2.0", "mass_dyn": "value - 3", "n_mergers": "event_id % 2", "merger_mean": "event_id % 6 / 2.0",
 }
 _ELONG, _ELONG500 = (f"(1 - sqrt(b_to_a{k} * b_to_a{k} + c_to_a{k} * c_to_a{k}) / sqrt(2))" for k in ("", "500"))
