@@ -12,6 +12,8 @@ from cosmolith.llm.sharding import op1_sharding
 from cosmolith.llm.simhash import op3_simhash
 from cosmolith.llm.substring_dedup import op5_substring_dedup
 from cosmolith.llm.token_counts import op4_token_counts
+from cosmolith.llm.token_files import op12_token_files
+from cosmolith.llm.vector_codes import op11_vector_codes
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -24,8 +26,32 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_token_files": op12_token_files,
 }
 
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Four rounds of nearest entries and floored means, then the codes; one CTE for each step."""
+    near = lambda book: f"SELECT vec_id, label, p.part, arg_min(j, struct_pack(e := e, j := j)) j, min(e) e, any_value(p.x) x FROM (SELECT p.*, j, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) e FROM p JOIN {book} b ON p.part = b.part) p GROUP BY 1, 2, 3"
+    steps = []
+    for r in range(rounds):
+        steps += [
+            f"a{r} AS MATERIALIZED ({near(f'b{r}')})",
+            f"m{r} AS (SELECT part, j, list(v ORDER BY pos) c FROM (SELECT part, j, pos, cast(floor(cast(sum(x[pos]) AS double) / count(*)) AS bigint) v FROM a{r}, unnest(range(1, len(x) + 1)) u(pos) GROUP BY 1, 2, 3) GROUP BY 1, 2)",
+            f"b{r + 1} AS MATERIALIZED (SELECT part, j, coalesce(m.c, b.c) c FROM b{r} b LEFT JOIN m{r} m USING (part, j))",
+        ]
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(cast(embedding AS double[]), lambda x: cast(floor(1024 * x) AS bigint)) x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ p AS MATERIALIZED (SELECT vec_id, label, q.part, x[q.part * (len(x) // 4) + 1:(q.part + 1) * (len(x) // 4)] x FROM v, range(4) q(part)),
+ b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 j, x c FROM p QUALIFY j < 256),
+ {", ".join(steps)}, last AS MATERIALIZED ({near(f"b{rounds}")}),
+ s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, j)) codebooks_sha256 FROM b{rounds}),
+ o AS (SELECT vec_id, label, string_agg(printf('%02x', j), '' ORDER BY part) code, cast(sum(e) AS bigint) error FROM last GROUP BY 1, 2)
+SELECT vec_id, code, error, cast(sum(error) OVER (PARTITION BY label) AS bigint) label_error, codebooks_sha256 FROM o, s"""
+
+
 #: The queries whose result SQL can state over whole tables. The others rest on a fitted model, a tokenizer, XXH64 or a
 #: keyed permutation; tests/llm holds each of them against a brute-force version, a round trip or held-out accuracy.
 ORACLE_SQL: dict[str, str] = {
@@ -52,4 +78,5 @@ WITH RECURSIVE v AS (SELECT vec_id, label, cast(embedding AS double[]) e FROM em
  n AS (SELECT u, count(*) n FROM link GROUP BY 1), c AS (SELECT u, min(v) c FROM reach GROUP BY 1)
 SELECT vec_id, coalesce(n, 0) n_links, coalesce(c, vec_id) component_id, coalesce(c, vec_id) = vec_id kept
 FROM embeddings LEFT JOIN n ON n.u = vec_id LEFT JOIN c ON c.u = vec_id""",
+    "op11_vector_codes": _codes_sql(),
 }
