@@ -164,11 +164,12 @@ class _Writer(DataSourceArrowWriter):
         file = _File(fs.open_output_stream(f"{at}/{name}"))
         for batch in iterator:
             ids = batch.column("ids")
-            raw = ids.cast(pa.large_binary()) if not pa.types.is_large_binary(ids.type) else ids
-            offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
-            data = raw.buffers()[2] if len(raw) else None
-            flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view("<u4") if data is not None else np.zeros(0, "<u4")
-            file.add(batch.column("doc_id"), flat, np.diff(offsets) // 4)
+            if not len(ids):
+                continue
+            raw, counts = ids.cast(pa.large_binary()), batch.column("n").to_numpy().astype(np.int64)
+            offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+            data = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+            file.add(batch.column("doc_id"), data.view(f"<u{len(data) // int(counts.sum())}").astype(np.uint32), counts)
         return _Wrote(part, name, *file.close())
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -248,7 +249,7 @@ class _Reader(DataSourceReader):
 
 
 class TokenFiles(DataSource):
-    """`df.write.format("patched_token_ids")` takes doc_id and ids (binary, 4 bytes each); reading gives doc_id, start, ids."""
+    """`df.write.format("patched_token_ids")` takes doc_id, n and ids (binary, 2 or 4 bytes for each of n > 0 ids); reading gives doc_id, start, ids."""
 
     @classmethod
     def name(cls) -> str:
@@ -264,19 +265,51 @@ class TokenFiles(DataSource):
         return _Reader(self.options["path"])
 
 
-def tokenised(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, tie (a hash of the text, for a total order) and ids of each text of docs, closed by the end id, as binary."""
+def _order(docs: DataFrame) -> list:
+    """The total order of documents: ids ascending, null last, then a hash of the text."""
+    return [docs.doc_id.isNull().alias("none"), docs.doc_id.cast("long").alias("doc_id"), F.xxhash64(docs.text).alias("tie")]
+
+
+def _bounds(docs: DataFrame, files: int) -> list[tuple[bool, int, int]]:
+    """Where each file starts: the least (null, id, tie) of each range. One row a file comes to the driver."""
+    keys, at = written(docs.select(*_order(docs)), "keys")
+    ranges = keys.repartitionByRange(files, "none", "doc_id", "tie").groupBy(F.spark_partition_id().alias("part"))
+    found = ranges.agg(F.min(F.struct("none", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tie")).alias("k")).collect()
+    delete(docs.sparkSession, at)
+    return sorted(tuple(r.k) for r in found)
+
+
+def places(none: np.ndarray, ids: np.ndarray, ties: np.ndarray, bounds: list[tuple[bool, int, int]]) -> np.ndarray:
+    """The last bound at or below each key (the first if there is none)."""
+    out = np.zeros(len(ids), np.int64)
+    for null in (False, True):
+        own = np.flatnonzero(none == null)
+        at = [b[1:] for b in bounds if b[0] == null]
+        before = 0 if not null else len(bounds) - len(at)
+        edge, tie = np.array([b[0] for b in at], np.int64), np.array([b[1] for b in at], np.int64)
+        keys = np.zeros(len(own), np.int64) if null else ids[own]
+        below, upto = np.searchsorted(edge, keys, "left"), np.searchsorted(edge, keys, "right")
+        for k in np.unique(below[upto > below]).tolist():  # keys with the id of a bound: their ties tell
+            same = np.flatnonzero((below == k) & (upto > below))
+            below[same] += np.searchsorted(tie[k : upto[same[0]]], ties[own[same]], "right")
+        out[own] = before + below - 1
+    return np.maximum(out, 0).astype(np.int32)
+
+
+def tokenised(docs: DataFrame, bounds: list[tuple[bool, int, int]], vocabulary: str | None = None) -> DataFrame:
+    """part (the file that bounds give), none, doc_id, tie, n and the n ids of each text of docs, closed by the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(vocabulary)
         for batch in batches:
             ids, counts = encoder.encode(batch.column("text"))
-            offsets = np.concatenate(([0], np.cumsum(counts) * 4)).astype(np.int64)
-            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), raw.cast(pa.binary())], ["doc_id", "tie", "ids"])
+            keys = [batch.column(c) for c in ("none", "doc_id", "tie")]
+            part = places(keys[0].to_numpy(zero_copy_only=False), keys[1].fill_null(0).to_numpy(zero_copy_only=False), keys[2].to_numpy(zero_copy_only=False), bounds)
+            offsets = np.concatenate(([0], np.cumsum(counts) * ids.itemsize)).astype(np.int64)
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(f"<u{ids.itemsize}"))])
+            yield pa.RecordBatch.from_arrays([pa.array(part), *keys, pa.array(counts.astype(np.int32)), raw.cast(pa.binary())], ["part", "none", "doc_id", "tie", "n", "ids"])
 
-    own = docs.select(docs.doc_id.cast("long").alias("doc_id"), F.xxhash64(docs.text).alias("tie"), "text")
-    return own.mapInArrow(run, "doc_id long, tie long, ids binary")
+    return docs.select(*_order(docs), "text").mapInArrow(run, "part int, none boolean, doc_id long, tie long, n int, ids binary")
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, files: int | None = None) -> None:
@@ -285,14 +318,13 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     Null ids come last; rows alike in doc_id follow a hash of their texts, so a rerun gives the same ids in the same
     order. A null or empty text is its end id alone; repeated rows are written each; other columns are ignored; an empty
     table gives a manifest of no files. A path that holds token files already is an error. vocabulary is a `tokenizers`
-    file (default: the installed public one). Texts are encoded once, before the exchange; only ids are sorted.
+    file (default: the installed public one). A pass over ids and hashes finds where files begin, so texts are encoded
+    once, in the task that sends their ids to a file.
     """
-    spark = docs.sparkSession
-    spark.dataSource.register(TokenFiles)
-    ids, at = written(tokenised(docs, vocabulary), "ids")
-    keys = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("tie")]
-    ids.repartitionByRange(files or buckets_for(ids), *keys).sortWithinPartitions(*keys).select("doc_id", "ids").write.format(FORMAT).mode("append").save(path)
-    delete(spark, at)
+    docs.sparkSession.dataSource.register(TokenFiles)
+    bounds = _bounds(docs, files or buckets_for(docs))
+    ids = tokenised(docs, bounds, vocabulary).repartitionById(max(1, len(bounds)), "part").sortWithinPartitions("none", "doc_id", "tie")
+    ids.select("doc_id", "n", "ids").write.format(FORMAT).mode("append").save(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,8 @@ met yet go to the `tokenizers` library; words with any other character or with a
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -15,9 +17,10 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from cosmolith.llm.common import buffers, runs, word_hashes, words
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-KNOWN = 1 << 20  # pieces that a worker remembers
+KNOWN = 1 << 18  # pieces that a worker remembers
 LONG = 1 << 20  # bytes of text that are cut at a time
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

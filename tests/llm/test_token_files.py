@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from cosmolith.llm import word_tokens
-from cosmolith.llm.token_files import BLOCK, digests, pack_blocks, read_token_files, unpack_blocks, write_token_files
+from cosmolith.llm.token_files import BLOCK, digests, pack_blocks, places, read_token_files, unpack_blocks, write_token_files
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +58,16 @@ def test_blocks(n):
         assert len(raw) < n
 
 
+def test_places():
+    rng = random.Random(4)
+    keys = [(rng.random() < 0.3, rng.choice([-5, 0, 3, 9]), rng.randint(-4, 4)) for _ in range(300)]
+    keys = [(a, 0 if a else b, c) for a, b, c in keys]
+    for n in (0, 1, 7, 40):
+        bounds = sorted(set(rng.sample(keys, n)))
+        want = [max(0, sum(b <= k for b in bounds) - 1) for k in keys]
+        assert places(np.array([k[0] for k in keys]), np.array([k[1] for k in keys]), np.array([k[2] for k in keys]), bounds).tolist() == want
+
+
 def rows_of(spark, docs, path, files):
     write_token_files(docs, path, files=files)
     return digests(read_token_files(spark, path)).collect()
