@@ -4,14 +4,18 @@ Sizes are words. A source gives all its documents as often as its target holds w
 is filled from a histogram of its documents by exact size. Every size first gives its share of the budget, rounded down.
 The words that the rounding leaves are fitted by a bounded-knapsack dynamic programme over the sizes' spare counts, in
 blocks of sizes from the longest down: a block holds sizes of BLOCK words in all, fits its own remainder and hands on
-what it cannot reach. The last block, of the shortest sizes, may also give documents back and fit them anew, so a source
-of at most BLOCK words comes as near its budget as any choice can. Which documents of a size are taken follows a seeded
+what it cannot reach. Where the budget is missed even so, documents of all sizes are given back, more each time, and what
+they leave is fitted anew, until it is met or all that memory allows (LIMIT, in units of the sizes' common divisor) is
+open to choice: so a budget up to LIMIT is met as nearly as any choice can. Which documents of a size are taken follows a seeded
 hash of id and text, so reruns agree; rows alike in both are told apart by their place. Only histograms meet in one
 task: a source of T words has at most sqrt(2 T) sizes.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +25,8 @@ from cosmolith.llm.common import NO_ID, WORD_GAP, delete, table, written
 
 SEED = 20240
 MOST_COPIES = 3
-BLOCK = 1 << 16  # words, so bits of the dynamic programme's state
+BLOCK = 1 << 16  # words that the sizes of a block have in all
+LIMIT = 1 << 24  # of the dynamic programme's state: 2 MB of bits and 64 MB of steps in a task
 SLOTS = 4096
 
 
@@ -48,24 +53,34 @@ def targets(sizes: dict, weights=(1, 2, 3), most: int = MOST_COPIES) -> dict:
 
 
 def knapsack(sizes: list[int], spare: list[int], left: int) -> list[int]:
-    """How many of each size to take (at most spare) for the most words up to left, by bounded knapsack."""
-    # Binary multiples of each spare size; bit s of `reached` tells that s words can be had.
-    reached, mask, steps, take = 1, (1 << left + 1) - 1, [], [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        n, m = min(spare[i], left // sizes[i]), 1
+    """How many of each size to take (at most spare) for the most words up to left, by bounded knapsack.
+
+    Sizes are divided by their greatest common divisor first. Bit s of `reached` tells that s words can be had, and
+    `first[s]` with which of the steps (binary multiples of a size) that was so first: the rest of s was there before it.
+    """
+    take = [0] * len(sizes)
+    by = math.gcd(*(s for s, n in zip(sizes, spare, strict=True) if s and n)) or 1
+    left //= by
+    reached, mask, steps = 1, (1 << left + 1) - 1, []
+    first = np.zeros(left + 1, np.uint32)
+    for i in sorted((i for i in range(len(sizes)) if sizes[i] and spare[i]), key=lambda i: -sizes[i]):
+        size = sizes[i] // by
+        n, m = min(spare[i], left // size), 1
         while n > 0 and not reached >> left & 1:
             m = min(m, n)
-            after = (reached | reached << m * sizes[i]) & mask
-            if after != reached:
-                steps.append((i, m, reached))
-                reached = after
+            new = reached << m * size & mask & ~reached
+            if new:
+                steps.append((i, m, size))
+                bits = np.unpackbits(np.frombuffer(new.to_bytes(left // 8 + 1, "little"), np.uint8), bitorder="little")
+                first[np.flatnonzero(bits)] = len(steps)
+                reached |= new
             n -= m
             m *= 2
     at = reached.bit_length() - 1
-    for i, m, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += m
-            at -= m * sizes[i]
+    while at:
+        i, m, size = steps[first[at] - 1]
+        take[i] += m
+        at -= m * size
     return take
 
 
@@ -83,8 +98,8 @@ def _fit_block(sizes: list[int], spare: list[int], left: int) -> list[int]:
 
 
 def fit(sizes: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each size to take (at most counts) so that they hold budget words, or as near below it as
-    the dynamic programme finds."""
+    """How many documents of each size to take (at most counts) so that they hold budget words, or as near below it as any
+    choice can (beyond LIMIT: as the dynamic programme finds)."""
     total = sum(s * c for s, c in zip(sizes, counts, strict=True))
     if budget <= 0 or not total:
         return [0] * len(sizes)
@@ -103,22 +118,23 @@ def fit(sizes: list[int], counts: list[int], budget: int) -> list[int]:
         seen += sum(s * c for s, c in zip(own, n, strict=True))
         left = (budget * seen // total if k + 1 < len(blocks) else budget) - taken
         got = _fit_block(own, n, left)
-        words = sum(s * t for s, t in zip(own, got, strict=True))
-        back = 1
-        while k + 1 == len(blocks) and words < left and any(got):  # documents are given back until the budget is met
-            given = [max(0, t - back) for t in got]
-            rest = left - sum(s * t for s, t in zip(own, given, strict=True))
-            if rest > BLOCK:
-                break
-            new = [g + m for g, m in zip(given, knapsack(own, [c - g for c, g in zip(n, given, strict=True)], rest), strict=True)]
-            if (more := sum(s * t for s, t in zip(own, new, strict=True))) > words:
-                got, words = new, more
-            if not any(given):
-                break
-            back *= 2
         for i, t in zip(block, got, strict=True):
             take[i] = t
-        taken += words
+        taken += sum(s * t for s, t in zip(own, got, strict=True))
+    by = math.gcd(*(s for s, c in zip(sizes, counts, strict=True) if s and c))
+    back, held = 1, -1
+    while taken < budget // by * by:  # documents are given back, of all sizes from the shortest up, and all that leaves is fitted anew
+        given, rest = list(take), budget - taken
+        for i in sorted((i for i in range(len(sizes)) if sizes[i] and take[i]), key=lambda i: sizes[i]):
+            n = max(0, min(take[i], back, (LIMIT * by - rest) // sizes[i]))
+            given[i] -= n
+            rest += n * sizes[i]
+        if rest == held or rest > LIMIT * by:
+            break
+        new = [g + m for g, m in zip(given, knapsack(sizes, [c - g for c, g in zip(counts, given, strict=True)], rest), strict=True)]
+        if (words := sum(s * t for s, t in zip(sizes, new, strict=True))) > taken:
+            take, taken = new, words
+        back, held = 2 * back, rest
     return take
 
 
@@ -214,7 +230,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it, with the columns of docs, whatever their names.
+
+    A null text or one without words is never taken, a null source is one of its own. Of rows alike in id and text the
+    first ones are taken; repeated rows count each. Texts may be of any length; an empty table gives an empty one.
+    """
     rows = docs.select("doc_id", "source", "text", F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
     out = mix(rows, ["_row"]).where("copies > 0")
     return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

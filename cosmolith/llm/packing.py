@@ -146,4 +146,6 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of pack(): null and empty texts are their end id alone, long ones are cut, repeated rows are packed each, an
+    empty table gives no pieces, and no column but doc_id and text is read."""
     return pack(docs)

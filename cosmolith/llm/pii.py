@@ -8,11 +8,18 @@ different ones apart. What does not validate stays as it is. All of it is column
 one of @ = : are searched. Every pattern is linear: runs of any length are taken without recursion or a second look.
 
 Whoever has the key can undo the pseudonyms. It is read from `spark.cosmolith.pii.key` or COSMOLITH_PII_KEY; where neither
-is set, a random one holds for the life of the driver, so that pseudonyms of two runs are not linked.
+is set, a random one holds for the life of the driver, so that pseudonyms of two runs are not linked. What stands in the
+plan, and so in explain(), the UI and event logs, is a subkey derived from it: it undoes these pseudonyms, but does not
+tell the key. Set spark.sql.redaction.string.regex to the pattern SUBKEY to keep it out of those, too.
+
+A value after a name and `=`, a quote or a bare `:` is taken whatever it is, from six characters on; after `: ` only if it has
+a digit, as prose has such words.
 """
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 import os
 import secrets
 
@@ -23,6 +30,7 @@ from cosmolith.llm.common import table
 
 KEY_SETTING, KEY_VARIABLE = "spark.cosmolith.pii.key", "COSMOLITH_PII_KEY"
 _OWN_KEY = secrets.token_hex(32)
+SUBKEY = "subkey-[0-9a-f]{64}"
 ROUNDS = 8
 #: Days since 0001-01-01 at which an era starts, and two factors of its number of days: to 1899, to 2099, to 9999. A date
 #: stays in its era.
@@ -31,16 +39,16 @@ FIRST_DAY, LAST_DAY = "0001-01-01", 3_652_058
 
 #: What is looked for, in this order at any place.
 PATTERNS = {
-    "named": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)[ ]{0,3}[=:][ ]{0,3}[\x22\x27]?(?=[^\x20\x09-\x0D\x22\x27]{0,64}?[0-9])[^\x20\x09-\x0D\x22\x27]{6,}+",
+    "named": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)(?:[ ]{0,3}=[ ]{0,3}[\x22\x27]?|:[\x22\x27]?|[ ]{0,3}:[ ]{0,3}[\x22\x27]|[ ]{1,3}:|[ ]{0,3}:[ ]{1,3}(?=[^\x20\x09-\x0D\x22\x27]*?[0-9]))[^\x20\x09-\x0D\x22\x27]{6,}+",
     "email": r"(?<![A-Za-z0-9._%+-])(?=[._%+-]*+[A-Za-z0-9])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "access": r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|rk|ghp|gho|ghs|xoxb|xoxp)[_-][0-9A-Za-z_-]{16,}+)(?![0-9A-Za-z])",
-    "secret": r"(?<![0-9A-Za-z])(?=[0-9]{0,63}[A-Fa-f])(?=[A-Fa-f]{0,63}[0-9])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
     "phone": r"(?<![0-9])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "abroad": r"(?<![0-9A-Za-z+])\+[2-9][0-9](?:[ .-]?[0-9]){7,12}(?![0-9])",
+    "abroad": r"(?<![0-9A-Za-z+])\+[2-9](?:[ .()-]{0,2}[0-9]){8,13}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}(?:-[0-9]{2}-| [0-9]{2} )[0-9]{4}(?![0-9-])",
     "date": r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
-    "ip6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,24}?[0-9])(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![0-9A-Za-z:])",
+    "ip6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,38}?[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
 #: The kinds that are counted; named values and access keys count as secrets.
@@ -49,7 +57,12 @@ ALPHABETS = {"digit": "0123456789", "hex": "0123456789abcdef", "a-f": "abcdef",
 
 
 def key_of(spark: SparkSession) -> str:
-    return spark.conf.get(KEY_SETTING, None) or os.environ.get(KEY_VARIABLE) or _OWN_KEY
+    return subkey(spark.conf.get(KEY_SETTING, None) or os.environ.get(KEY_VARIABLE) or _OWN_KEY)
+
+
+def subkey(key: str) -> str:
+    """The key that enters plans: derived by a keyed hash, equal for equal keys, marked so that it can be redacted."""
+    return "subkey-" + hmac.new(key.encode(), b"format-preserving pseudonyms", hashlib.sha256).hexdigest()
 
 
 def _bound(value: Column, use) -> Column:
@@ -271,13 +284,13 @@ def pseudonym(key: str, kind: Column, m: Column) -> Column:
 
 
 def pseudonymise(docs: DataFrame, keep: list[str], key: str | None = None) -> DataFrame:
-    """`keep` with text, its private data replaced, and n_<kind> for each of KINDS. key: see key_of.
+    """`keep` with text, its private data replaced, and n_<kind> for each of KINDS. key: as in the setting (see key_of).
 
     A null text stays null with counts of 0; rows are treated one by one, so repeated rows give repeated results and an
     empty table an empty one; columns in `keep` that clash with these are replaced. Texts and values may be of any length.
     Dates are yyyy-mm-dd and mm/dd/yyyy; IPv6 groups that hold no decimal digit at all are taken for words.
     """
-    key = key_of(docs.sparkSession) if key is None else key
+    key = key_of(docs.sparkSession) if key is None else subkey(key)
     counts = {f"n_{k}" for k in KINDS}
     keep = [c for c in keep if c not in counts and c != "text"]
     any_of = "|".join(PATTERNS.values())

@@ -15,7 +15,7 @@ from cosmolith.llm.common import WORD_GAP, table, written
 
 SYMBOLS = "#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-RULES = ["length", "word_length", "symbols", "capitals", "dup_lines", "punctuation", "repetition", "variety"]
+RULES = ["short_lines", "word_length", "symbols", "capitals", "dup_lines", "punctuation", "repetition", "variety"]
 
 
 def _repeat_words(words: Column, n: Column) -> Column:
@@ -69,7 +69,7 @@ def votes() -> dict[str, Column]:
         return F.when(bad, 0).when(good, 1)
 
     return {
-        "length": rule(never, F.col("n_words") < 50),
+        "short_lines": rule(never, (F.col("_n_lines") >= 5) & (F.col("n_words") < 3 * F.col("_n_lines"))),
         "word_length": rule(never, (c < 2 * n) | (c > 14 * n)),
         "symbols": rule(100 * F.col("n_symbols") <= 5 * n, 100 * F.col("n_symbols") > 25 * n),
         "capitals": rule(100 * F.col("_n_capitals") <= 15 * c, 100 * F.col("_n_capitals") > 40 * c),
@@ -148,6 +148,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are kept."""
+    """The documents that are kept, with the columns of docs, whatever their names. Null and empty texts go; repeated rows are
+    judged each, alike; texts may be of any length; an empty table gives an empty one."""
     rows = docs.select("text", F.struct(*(docs[c] for c in docs.columns)).alias("_row"))  # as a struct, so that no name clashes
     return quality(rows, ["_row"]).where("kept").select("_row.*")

@@ -53,8 +53,11 @@ class Rollup:
         return sorted([*snapshot["batches"], *since])
 
     def _stored(self, rows: DataFrame) -> str:
+        """The sums in one file. They are worked out in parallel and written first; only their few rows meet in one task."""
         name = f"data/{uuid.uuid4().hex}"
-        rows.coalesce(1).write.parquet(f"{self.path}/{name}")
+        sums, at = written(rows, "sums")
+        sums.coalesce(1).write.parquet(f"{self.path}/{name}")
+        delete(self.spark, at)
         return name
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:

@@ -186,6 +186,47 @@ def test_budgets_of_many_blocks_are_met():
             assert max(abs(t - c * share) for t, c in zip(take, counts, strict=True)) < 0.2 * max(counts)
 
 
+def test_long_documents_are_fitted_too():
+    """Beyond a block's words: documents are given back over all sizes, in units of their common divisor."""
+    words = lambda sizes, counts, budget: sum(s * t for s, t in zip(sizes, mixing.fit(sizes, counts, budget), strict=True))
+    assert words([100_000, 60_000], [3, 3], 260_000) == 260_000 and words([60_000, 100_000], [1, 1], 100_000) == 100_000
+    assert words([100_000, 60_000], [3, 3], 230_000) == 220_000 and words([90_001, 70_003, 11], [4, 4, 2], 230_018) == 230_018
+    rng = np.random.default_rng(5)
+    for _ in range(15):
+        sizes, counts = sorted(set(rng.integers(50_000, 400_000, 4).tolist())), rng.integers(1, 5, 4).tolist()
+        counts = counts[: len(sizes)]
+        budget = int(rng.integers(0, sum(s * c for s, c in zip(sizes, counts, strict=True)) + 1))
+        best = {0}
+        for x, c in zip(sizes, counts, strict=True):
+            best = {v + x * k for v in best for k in range(c + 1) if v + x * k <= budget}
+        assert words(sizes, counts, budget) == max(best)
+
+
+def test_the_whole_mix_against_brute_force(spark):
+    """Words taken of each source are the best sum that any choice reaches, and of a size those of least hash are taken."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{rng.integers(9)}" for _ in range(int(rng.choice([0, 1, 7, 12, 30, 31, 70_000], p=[0.05, 0.2, 0.2, 0.2, 0.2, 0.1, 0.05])))), f"s{i % 4}" if i % 9 else None) for i in range(60)]
+    rows += [(100, "long " * 100_000, "t"), (101, "other " * 60_000, "t"), (102, "long " * 60_000, "u"), (103, "a", "u")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    hashes = {r.doc_id: r.h for r in d.select("doc_id", F.expr(f"pmod(xxhash64(doc_id, text, {mixing.SEED}), {1 << 52})").alias("h")).collect()}
+    got = mixing.mix(d, ["doc_id", "source"]).collect()
+    totals = {}
+    for i, t, s in rows:
+        totals[s] = totals.get(s, 0) + len(split(t))
+    goal = mixing.targets(totals)
+    for s, total in totals.items():
+        own = [r for r in got if r.source == s]
+        want = int(goal[s] + 0.5)
+        whole = min(want // total, 3)
+        best = {0}
+        for r in own:
+            best |= {v + r["size"] for v in best if v + r["size"] <= want - whole * total}
+        assert sum(r.taken for r in own) == whole * total + (max(best) if whole < 3 else 0)
+        for z in {r["size"] for r in own if r["size"]}:
+            alike = sorted((r for r in own if r["size"] == z), key=lambda r: hashes[r.doc_id])
+            assert [r.copies for r in alike] == sorted((r.copies for r in alike), reverse=True) and {r.copies for r in alike} <= {whole, whole + 1}
+
+
 def test_rows_alike_are_taken_one_by_one(spark):
     rows = [(None, "a b c", "s0")] * 1000 + [(1, "x " * 700, "s1"), (2, "y " * 700, "s1")] + [(7, "d e", "s2")] * 500
     d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
@@ -226,7 +267,7 @@ def test_verdicts_against_plain_python_and_labels(spark, sf_dir):
         symbols, capitals, marks = many("#*$%&|<>"), many("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), many("!?|*#")
         share = lambda x, of, good, bad: 0 if 100 * x > bad * of else 1 if 100 * x <= good * of else np.nan
         votes[i] = [
-            0 if len(w) < 50 else np.nan, 0 if not 2 * n <= c <= 14 * n else np.nan, share(symbols, n, 5, 25), share(capitals, c, 15, 40),
+            0 if len(lines) >= 5 and len(w) < 3 * len(lines) else np.nan, 0 if not 2 * n <= c <= 14 * n else np.nan, share(symbols, n, 5, 25), share(capitals, c, 15, 40),
             0 if len(lines) > 1 and 2 * (len(lines) - len(set(lines))) > len(lines) else np.nan, share(marks, n, 10, 30), 0 if 100 * r.n_repeat_words > 30 * n else np.nan,
             0 if 50 <= len(w) <= 5000 and 100 * len(set(w)) < 25 * n else np.nan,
         ]
