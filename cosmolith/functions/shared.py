@@ -41,11 +41,22 @@ def finite(name: str | Column) -> Column:
     return c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(float("inf")))
 
 
+def same_keys(left: DataFrame, right: DataFrame, by: list[str], how: str = "left") -> DataFrame:
+    """left joined with right, which holds one row for each value of `by`; nulls are alike. Without `by`, right is one row."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))  # one row
+    named = right.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(by)})
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & left[c].eqNullSafe(named[f"_k{i}"])
+    return left.join(named, on, how).drop(*(f"_k{i}" for i in range(len(by))))
+
+
 def with_groups(df: DataFrame, groups: DataFrame, by: list[str], most: int = 100_000) -> DataFrame:
-    """df joined with groups, which holds one row for each value of `by`. That table is written and counted first: up to
+    """df joined with groups, which holds one row for each value of `by`; nulls are alike. That table is written and counted first: up to
     `most` rows it is broadcast, so df stays where it is; with more groups both sides are exchanged, as then keys are many."""
     kept = written(groups)
-    return df.join(F.broadcast(kept) if kept.count() <= most else kept, by)
+    return same_keys(df, F.broadcast(kept) if kept.count() <= most else kept, by, "inner")
 
 
 def ranked(df: DataFrame, order: list[str], rank: str = "rank", by: list[str] | None = None) -> DataFrame:
@@ -81,7 +92,7 @@ def counted(df: DataFrame, value: str, by: list[str] | None = None, weight: Colu
     w = Window.partitionBy(*by)
     sums = sums.withColumns({"_start": F.sum("_sum").over(w.orderBy("_part")) - F.col("_sum"), "total": F.sum("_sum").over(w)}).drop("_sum")
     here = F.sum("n").over(Window.partitionBy("_part", *by).orderBy(value)) - F.col("n")
-    return kept.withColumn("_here", here).join(sums, ["_part", *by]).select(*by, value, "n", (F.col("_start") + F.col("_here")).alias("before"), "total")
+    return same_keys(kept.withColumn("_here", here), sums, ["_part", *by], "inner").select(*by, value, "n", (F.col("_start") + F.col("_here")).alias("before"), "total")
 
 
 def at_rank(value: str | Column, rank: Column) -> Column:

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cosmolith.functions.shared import at_rank, counted, finite, ranked, with_groups, written
+from cosmolith.functions.ranks import values_at
+from cosmolith.functions.segments import small
+from cosmolith.functions.shared import counted, finite, ranked, same_keys, with_groups, written
 from cosmolith.operators.binning import bucket, order_values, span
 
 
@@ -34,16 +36,15 @@ def _indices(n):
 
 
 def order_stats(df: DataFrame, by: list[str], y: str, mad: bool = True) -> DataFrame:
-    """by, n, median, d20, d80, ci_lo, ci_hi (and mad) of the finite y of each group, read off counts of the values."""
-    values = written(counted(df.where(finite(y)).select(*by, F.col(y).cast("double").alias("_y")), "_y", by))
-    at = _indices(F.col("total"))
-    stats = values.groupBy(*by).agg(F.max("total").alias("n"), *(at_rank("_y", i).alias(k) for k, i in at.items()))
+    """by, n, median, d20, d80, ci_lo, ci_hi (and mad) of the finite y of each group. Each rank is bracketed by a sketch, so that
+    only values near the wanted ones are exchanged; the deviations are bracketed in the same way."""
+    values = written(df.where(finite(y)).select(*by, F.col(y).cast("double").alias("_y")))
+    stats = values_at(values, "_y", by, _indices(F.col("n")))
     stats = stats.withColumn("median", (F.col("m_lo") + F.col("m_hi")) / 2).drop("m_lo", "m_hi")
     if mad:
         stats = written(stats)
-        dev = with_groups(values, stats.select(*by, "median"), by).withColumn("_d", F.abs(F.col("_y") - F.col("median")))
-        dev = counted(dev, "_d", by, F.col("n"))
-        stats = stats.join(dev.groupBy(*by).agg(at_rank("_d", F.floor(F.col("total") * F.lit(0.5))).alias("mad")), by, "left")
+        dev = same_keys(values, small(stats.select(*by, "median")), by, "inner").select(*by, F.abs(F.col("_y") - F.col("median")).alias("_d"))
+        stats = same_keys(stats, values_at(dev, "_d", by, {"mad": F.floor(F.col("n") * F.lit(0.5))}).drop("n"), by)
     return stats
 
 
@@ -276,11 +277,11 @@ def hist2d_scatter(df: DataFrame, x: str, y: str, nx: int, ny: int, k: int, orde
 
 
 def spearman(df: DataFrame, x: str, y: str, tie: list[str]) -> DataFrame:
-    """n and the rank correlation 1 - 6 sum d**2 / (n (n**2 - 1)); ties are broken by `tie`."""
+    """n and the rank correlation 1 - 6 sum d**2 / (n (n**2 - 1)); ties are broken by `tie`. Under two rows rho is null."""
     a = ranked(df.where(finite(x) & finite(y)).select(x, y, *tie), [x, *tie], "_rx")
     b = ranked(a, [y, *tie], "_ry")
     d = (F.col("_rx") - F.col("_ry")).cast("decimal(38,0)")
-    return b.agg(F.count("*").alias("n"), F.sum(d * d).cast("double").alias("_d")).select("n", (1 - 6 * F.col("_d") / (F.col("n").cast("double") * (F.col("n").cast("double") * F.col("n") - 1))).alias("rho"))
+    return b.agg(F.count("*").alias("n"), F.sum(d * d).cast("double").alias("_d")).select("n", (1 - F.try_divide(6 * F.col("_d"), F.col("n").cast("double") * (F.col("n").cast("double") * F.col("n") - 1))).alias("rho"))
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:

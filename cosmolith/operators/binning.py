@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import bisect
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cosmolith.functions.shared import at_rank, counted, finite
+from cosmolith.functions.ranks import values_at
+from cosmolith.functions.segments import under
+from cosmolith.functions.shared import finite, written
 
 INF = float("inf")
 
@@ -35,14 +40,14 @@ def parse_thresholds(text: str) -> tuple[str, list]:
 
 def order_values(df: DataFrame, x: str, at) -> list[float]:
     """The finite values of x at the 0-based ranks that at(n) gives, clamped to the table."""
-    values = counted(df.where(finite(x)).select(F.col(x).cast("double").alias("v")), "v")
-    n = values.agg(F.sum("n")).first()[0]
+    values = written(df.where(finite(x)).select(F.col(x).cast("double").alias("v")))
+    n = values.count()
     if not n:
         return []
     want = [min(max(int(i), 0), n - 1) for i in at(n)]
     ranks = sorted(set(want))
-    found = dict(zip(ranks, values.agg(*(at_rank("v", F.lit(i)).alias(f"v{i}") for i in ranks)).first(), strict=True))
-    return [found[i] for i in want]
+    found = values_at(values, "v", [], {f"v{i}": F.lit(i) for i in ranks}).first()
+    return [found[f"v{i}"] for i in want]
 
 
 def bin_edges(df: DataFrame, x: str, thresholds: str) -> list[tuple[float, float]]:
@@ -65,10 +70,47 @@ def bin_edges(df: DataFrame, x: str, thresholds: str) -> list[tuple[float, float
     return list(zip(e[:-1], e[1:], strict=True))
 
 
+def interval_index(edges: list[tuple[float, float]]) -> tuple[list[float], list[list[int]]]:
+    """(ends, nodes) of ranges lo < x <= hi that may overlap: the ends in order cut the axis into elementary intervals, the
+    leaves of a binary tree. Each range is entered at the nodes that make it up, two a level at most, so the index grows
+    as n log n however ranges overlap; the ranges that hold x are those at its leaf's ancestors. Node 1 is the root."""
+    real = [(float(a), float(b), i) for i, (a, b) in enumerate(edges) if a < b]
+    ends = sorted({v for a, b, _ in real for v in (a, b)})
+    leaves = 1 << len(ends).bit_length()  # more than there are elementary intervals, len(ends) + 1
+    nodes: list[list[int]] = [[] for _ in range(2 * leaves)]
+    for a, b, i in real:
+        lo, hi = leaves + bisect.bisect_left(ends, a) + 1, leaves + bisect.bisect_left(ends, b) + 1  # leaf k holds ends[k - 1] < x <= ends[k]
+        while lo < hi:
+            if lo & 1:
+                nodes[lo].append(i)
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                nodes[hi].append(i)
+            lo, hi = lo >> 1, hi >> 1
+    return ends, nodes
+
+
+def _constant(value, kind: str) -> Column:
+    """A nested list as one literal of the plan."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def assign_bins(df: DataFrame, x: str, edges: list[tuple[float, float]]) -> DataFrame:
-    """df with bin_id, lo, hi: a row joins every bin with lo < x <= hi, so the global minimum lies in none."""
-    bins = df.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(edges)], "bin_id int, lo double, hi double")
-    return df.join(F.broadcast(bins), (F.col(x) > F.col("lo")) & (F.col(x) <= F.col("hi")))
+    """df with bin_id, lo, hi: a row joins every bin with lo < x <= hi, so the global minimum lies in none.
+
+    No join: the row's elementary interval is found by bisection, and what its ancestors in interval_index() hold is
+    put out. So thousands of overlapping bins cost a row a few steps and no other row.
+    """
+    ends, nodes = interval_index(edges)
+    if not ends:
+        return df.withColumns({"bin_id": F.lit(0), "lo": F.lit(0.0), "hi": F.lit(0.0)}).where("false")
+    levels = (len(nodes) // 2).bit_length()
+    leaf = under(_constant(ends, "array<double>"), F.col(x).cast("double"), len(ends)) + len(nodes) // 2
+    held = F.flatten(F.transform(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda k: F.call_function("shiftright", leaf, k)), lambda n: F.get(_constant(nodes, "array<array<int>>"), n)))
+    rows = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).withColumn("bin_id", F.explode(held))
+    side = lambda k: F.get(_constant([float(e[k]) for e in edges], "array<double>"), F.col("bin_id"))
+    return rows.withColumns({"lo": side(0), "hi": side(1)})
 
 
 def bucket(df: DataFrame, x: str, n_bins: int, lo: float, hi: float, name: str = "bin_id") -> DataFrame:

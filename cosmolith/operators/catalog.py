@@ -100,10 +100,11 @@ def spine_slab(df: DataFrame, index: DataFrame, row: str, z_below: float = 10) -
 
 
 def mass_window(df: DataFrame, mass: str, reference: DataFrame, ref_mass: str, id_: str) -> DataFrame:
-    """Rows with a mass strictly between the 5 % and 95 % order statistics of a reference, by id."""
+    """Rows with a mass strictly between the 5 % and 95 % order statistics of a reference, by id; none if that has no mass."""
     import math
 
     from cosmolith.operators.binning import order_values
 
-    lo, hi = order_values(reference, ref_mass, lambda n: [math.floor(0.05 * n), math.ceil(0.95 * n)])
+    ends = order_values(reference, ref_mass, lambda n: [math.floor(0.05 * n), math.ceil(0.95 * n)])
+    lo, hi = ends or (math.inf, -math.inf)
     return df.where((F.col(mass) > lo) & (F.col(mass) < hi)).orderBy(id_)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cosmolith.functions.shared import finite
+from cosmolith.functions.segments import Segments, bordered, segmented, small
+from cosmolith.functions.shared import finite, written
 
 
 def _w(track: str, order: str):
@@ -27,43 +28,90 @@ def normalised(df: DataFrame, track: str, t: str, columns: list[str]) -> DataFra
     return df.withColumns({f"{c}_norm": F.try_divide(F.col(c), F.first(c).over(last)) for c in columns})
 
 
-def running_peak(df: DataFrame, track: str, t: str, m: str) -> DataFrame:
-    """peak so far, its time, and the least m / peak since the peak was last raised."""
-    w = _w(track, t)
-    full = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("peak", F.max(m).over(full))
-    rows = rows.withColumn("_epoch", F.sum((F.col(m) == F.col("peak")).cast("int")).over(full))
-    since = Window.partitionBy(track, "_epoch").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("peak_time", F.first(t).over(since)).withColumn("since_peak_min", F.min(F.try_divide(F.col(m), F.col("peak"))).over(since)).drop("_epoch")
+def _so_far(w):
+    return w.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _before(w):
+    return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def moving_average(df: DataFrame, track: str, t: str, m: str, reach: int = 10) -> DataFrame:
-    """Mean of 2 * reach rows around each, with the window growing from the start and shrinking to the end of a track."""
-    return df.withColumn("smooth", F.avg(m).over(_w(track, t).rowsBetween(-reach, reach - 1)))
+def _peaks(cut: Segments, m: str) -> Segments:
+    """With peak: the greatest m so far; a long track's segments carry the greatest of those before."""
+    cut = cut.carried({"_m": F.max(m)}, lambda w: {"_carried": F.max("_m").over(_before(w))})
+    own = F.max(m).over(_so_far(cut.window()))
+    return cut.having(cut.rows.withColumn("peak", F.greatest(own, "_carried")).drop("_carried"))
 
 
-def flag_back(df: DataFrame, track: str, t: str, value: str, least: float) -> DataFrame:
+def running_peak(df: DataFrame, track: str, t: str, m: str, longest: int | None = None) -> DataFrame:
+    """peak so far, its time, and the least m / peak since the peak was last raised (or met again).
+
+    A long track is cut: what goes on over a segment's start is carried, the peak, when it was, and the least m since.
+    """
+    cut = _peaks(segmented(df, track, t, longest), m)
+    raised = F.coalesce(F.col(m) == F.col("peak"), F.lit(False))
+    cut = cut.having(cut.rows.withColumn("_epoch", F.sum(raised.cast("int")).over(_so_far(cut.window()))))
+    since = cut.window("_epoch")
+    cut = cut.having(cut.rows.withColumns({"peak_time": F.first(t).over(_so_far(since)), "_least": F.min(m).over(_so_far(since))}))
+    if cut.long:  # of a segment: the last time that the peak was raised, and the least m since or, if it was not, of all
+        ends = cut.rows.where("_long").withColumn("_i", F.row_number().over(cut.window()))
+        ends = ends.groupBy(F.col(track).alias("_track"), F.col("_seg").alias("_s")).agg(F.max_by(F.struct(F.when(F.col("_epoch") > 0, F.col("peak_time")).alias("at"), F.col("_least").alias("least")), "_i").alias("_e"))
+        ends = ends.select("_track", "_s", F.col("_e.at").alias("_at"), F.col("_e.least").alias("_end"))
+        by_seg = Window.partitionBy("_track").orderBy("_s")
+        ends = ends.withColumn("_raised", F.count("_at").over(_so_far(by_seg)))
+        group = _so_far(Window.partitionBy("_track", "_raised").orderBy("_s"))
+        ends = ends.withColumns({"_time": F.first("_at", ignorenulls=True).over(group), "_low": F.min("_end").over(group)})
+        ends = ends.select("_track", "_s", F.lag("_time").over(by_seg).alias("_time"), F.lag("_low").over(by_seg).alias("_low"))
+        on = F.col(track).eqNullSafe(F.col("_track")) & (F.col("_seg") == F.col("_s"))
+        open_ = (F.col("_epoch") == 0) & F.col("_time").isNotNull()  # the peak of an earlier segment still stands
+        rows = cut.rows.join(small(written(ends)), on, "left").withColumns({"peak_time": F.when(open_, F.col("_time")).otherwise(F.col("peak_time")), "_least": F.when(open_, F.least("_least", "_low")).otherwise(F.col("_least"))})
+        cut = cut.having(rows.drop("_track", "_s", "_time", "_low"))
+    return cut.having(cut.rows.withColumn("since_peak_min", F.try_divide(F.col("_least"), F.col("peak")))).done("_epoch", "_least")
+
+
+def moving_average(df: DataFrame, track: str, t: str, m: str, reach: int = 10, longest: int | None = None) -> DataFrame:
+    """Mean of 2 * reach rows around each, with the window growing from the start and shrinking to the end of a track. Blocks of
+    long tracks get the rows around their borders as ghosts."""
+    rows, w = bordered(df, track, t, reach, reach - 1, longest)
+    return rows.withColumn("smooth", F.avg(m).over(w.rowsBetween(-reach, reach - 1))).where("not _ghost").select(*df.columns, "smooth")
+
+
+def flag_back(df: DataFrame, track: str, t: str, value: str, least: float, longest: int | None = None) -> DataFrame:
     """flag is 1 where this or any later row of the track falls under least."""
-    later = _w(track, t).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn("flag", F.max((F.col(value) < least).cast("int")).over(later))
+    low = (F.col(value) < least).cast("int")
+    cut = segmented(df, track, t, longest).carried({"_low": F.max(low)}, lambda w: {"_later": F.max("_low").over(w.rowsBetween(1, Window.unboundedFollowing))})
+    own = F.max(low).over(cut.window().rowsBetween(0, Window.unboundedFollowing))
+    return cut.having(cut.rows.withColumn("flag", F.greatest(own, "_later"))).done("_later")
 
 
-def pass_through(df: DataFrame, track: str, t: str, inside: str) -> DataFrame:
+def pass_through(df: DataFrame, track: str, t: str, inside: str, longest: int | None = None) -> DataFrame:
     """npt: how often the track has left the inside (a boolean column) so far."""
-    w = _w(track, t)
-    out = (~F.col(inside)) & F.coalesce(F.lag(inside).over(w), F.lit(False))
-    return df.withColumn("_out", out.cast("int")).withColumn("npt", F.sum("_out").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_out")
+    cut = segmented(df, track, t, longest)
+    cut = cut.carried({"_end": F.max_by(F.struct(F.col(inside).alias("v")), F.col(t))}, lambda w: {"_last": F.lag("_end").over(w)["v"]})
+    first = F.row_number().over(cut.window()) == 1
+    back = F.when(first, F.col("_last")).otherwise(F.lag(inside).over(cut.window()))
+    cut = cut.having(cut.rows.withColumn("_out", ((~F.col(inside)) & F.coalesce(back, F.lit(False))).cast("int")))
+    cut = cut.carried({"_sum": F.sum("_out")}, lambda w: {"_earlier": F.sum("_sum").over(_before(w))})
+    return cut.having(cut.rows.withColumn("npt", F.sum("_out").over(_so_far(cut.window())) + F.coalesce("_earlier", F.lit(0)))).done("_last", "_out", "_earlier")
+
 
+def _forward(cut: Segments, column: str) -> Segments:
+    """column, null replaced by the last value before that is not; segments carry the last one of those before."""
+    cut = cut.carried({"_v": F.max_by(F.struct(F.col(column).alias("v")), F.when(F.col(column).isNotNull(), F.col(cut.t)))}, lambda w: {"_held": F.last("_v", ignorenulls=True).over(_before(w))["v"]})
+    own = F.last(column, ignorenulls=True).over(_so_far(cut.window()))
+    return cut.having(cut.rows.withColumn(column, F.coalesce(own, "_held")).drop("_held"))
 
-def carry_forward(df: DataFrame, track: str, t: str, column: str) -> DataFrame:
-    return df.withColumn(column, F.last(column, ignorenulls=True).over(_w(track, t).rowsBetween(Window.unboundedPreceding, 0)))
 
+def carry_forward(df: DataFrame, track: str, t: str, column: str, longest: int | None = None) -> DataFrame:
+    return _forward(segmented(df, track, t, longest), column).done()
 
-def high_tide_flag(df: DataFrame, track: str, t: str, force: str, m: str) -> DataFrame:
+
+def high_tide_flag(df: DataFrame, track: str, t: str, force: str, m: str, longest: int | None = None) -> DataFrame:
     """1 if the force is over 1; else 0 at a new peak of m; else what the row before has (0 at the start)."""
-    rows = running_peak(df, track, t, m)
+    cut = _peaks(segmented(df, track, t, longest), m)
     set_ = F.when(F.col(force) > 1, 1).when(F.col(m) == F.col("peak"), 0)
-    return rows.withColumn("high_tf", set_).transform(lambda d: carry_forward(d, track, t, "high_tf")).na.fill(0, ["high_tf"]).drop("peak", "peak_time", "since_peak_min")
+    cut = _forward(cut.having(cut.rows.withColumn("high_tf", set_)), "high_tf")
+    return cut.done("peak").na.fill(0, ["high_tf"])
 
 
 def dynamical_rate(df: DataFrame, track: str, t: str, m: str, span: float) -> DataFrame:
@@ -90,26 +138,24 @@ def lag2_derivative(df: DataFrame, series: str, t: str, m: str) -> DataFrame:
     return df.withColumn("derivative", d).transform(lambda x: carry_forward(x, series, t, "derivative"))
 
 
-def gaussian_smooth(df: DataFrame, series: str, t: str, columns: list[str], sigma: float) -> DataFrame:
+def gaussian_smooth(df: DataFrame, series: str, t: str, columns: list[str], sigma: float, longest: int | None = None) -> DataFrame:
     """series, t and {c}_smooth: each column convolved with a Gaussian cut at 4 sigma, ends mirrored (the end value repeats).
 
-    A series is gathered into one array, so it must fit in a row: it is an epoch list, not a table.
+    Series of any length: blocks of long ones get the rows within 4 sigma of their borders as ghosts, and a series' true
+    ends their mirror images. A value that is null adds nothing. t must not repeat within a series.
     """
     reach = int(4 * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
     kernel = F.array(*(F.lit(w / sum(raw)) for w in raw))
-    row = F.struct(F.col(t).alias("t"), *(F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(columns)))
-    arr = df.groupBy(series).agg(F.array_sort(F.collect_list(row)).alias("_a")).withColumn("_n", F.size("_a"))
-
-    def at(i, name):  # reflect: d c b a | a b c d | d c b a
-        j = F.pmod(i, 2 * F.col("_n"))
-        return F.get("_a", F.when(j < F.col("_n"), j).otherwise(2 * F.col("_n") - 1 - j).cast("int"))[name]
+    rows, w = bordered(df.select(series, t, *(F.col(c).cast("double").alias(c) for c in columns)), series, t, reach, reach, longest, mirrored=True)
+    near = w.rowsBetween(-reach, reach)
 
-    def made(i, name):
-        return F.aggregate(F.transform(kernel, lambda w, k: w * at(i + k - reach, name)), F.lit(0.0), lambda a, v: a + v)
+    def smooth(c: str):
+        values = F.collect_list(F.coalesce(F.col(c), F.lit(0.0))).over(near)  # 2 * reach + 1 values
+        return F.aggregate(F.zip_with(kernel, values, lambda k, v: k * v), F.lit(0.0), lambda a, v: a + v)
 
-    smooth = F.transform("_a", lambda x, i: F.struct(x["t"].alias(t), *(made(i, f"m{k}").alias(f"{c}_smooth") for k, c in enumerate(columns))))
-    return arr.select(series, F.explode(smooth).alias("s")).select(series, "s.*")
+    made = rows.withColumns({f"{c}_smooth": smooth(c) for c in columns})
+    return made.where("not _ghost").select(series, t, *(f"{c}_smooth" for c in columns))
 
 
 def trim_trailing_zeros(df: DataFrame, series: str, t: str, m: str) -> DataFrame:
