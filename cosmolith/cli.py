@@ -242,7 +242,7 @@ def _window(spark: SparkSession, df: DataFrame, o: dict) -> DataFrame:
 
 def _nearest(spark: SparkSession, df: DataFrame, o: dict) -> DataFrame:
     points = forest_of(df).select("id", "x", "y", "z")
-    return grid.nearest_structure(points, _voxels(spark, o["mergeTo"], o), o["box"], 64)
+    return grid.nearest_structure(points, _voxels(spark, o["mergeTo"], o), o["box"])
 
 
 def _full(spark: SparkSession, df: DataFrame, o: dict) -> DataFrame:

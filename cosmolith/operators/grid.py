@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cosmolith.functions.astro import gaussian_kernel
-from cosmolith.functions.shared import written
+from cosmolith.functions.segments import small
+from cosmolith.functions.shared import with_groups, written
 
 AXES = ("ix", "iy", "iz")
 
@@ -54,31 +57,35 @@ def smooth_axis(cube: DataFrame, axis: str, dim: int, kernel: list[tuple[int, fl
 
 
 def smooth(cube: DataFrame, dim: int, fwhm: float, over_mean: bool = True) -> DataFrame:
-    """Gaussian smoothing as three passes, over the mean of the dim**3 voxels if over_mean. Empty voxels may be left out."""
-    kernel = gaussian_kernel(fwhm)
+    """Gaussian smoothing as three passes, over the mean of the dim**3 voxels if over_mean. Empty voxels may be left out.
+    The kernel sums to 1 on a periodic box, so the mean is that of the input."""
+    kernel, out = gaussian_kernel(fwhm), cube
     for axis in AXES:
-        cube = smooth_axis(cube, axis, dim, kernel)
+        out = smooth_axis(out, axis, dim, kernel)
     if not over_mean:
-        return cube
+        return out
     mean = cube.agg((F.sum("v") / float(dim**3)).alias("_m"))
-    return cube.crossJoin(F.broadcast(mean)).select(*AXES, (F.col("v") / F.col("_m")).alias("v"))  # one row
+    return out.crossJoin(F.broadcast(mean)).select(*AXES, (F.col("v") / F.col("_m")).alias("v"))  # one row
 
 
 def local_density(df: DataFrame, cube: DataFrame, box: float, dim: int, reach: int, fwhm: float) -> DataFrame:
-    """Kernel-weighted cube around each row's voxel, without the voxel itself, over offsets [-reach, reach) on each axis."""
-    import math
+    """Kernel-weighted cube around each row's voxel, without the voxel itself, over offsets [-reach, reach) on each axis.
 
+    The kernel is a product over the axes, so the whole sum is three passes along lines, and the voxel's own term is then
+    taken off: a voxel is exchanged three times, whatever the reach. The last pass is over the rows' own lines only.
+    """
     s2 = 2 * (fwhm / (2 * math.sqrt(2 * math.log(2)))) ** 2
-    raw = [(i, j, k, math.exp(-(i * i + j * j + k * k) / s2)) for i in range(-reach, reach) for j in range(-reach, reach) for k in range(-reach, reach) if (i, j, k) != (0, 0, 0)]
-    total = sum(r[3] for r in raw)
-    offsets = df.sparkSession.createDataFrame([(i, j, k, w / total) for i, j, k, w in raw], "dx int, dy int, dz int, w double")
-    cells = voxelise(df, box, dim).select(*AXES).distinct()  # a voxel's sum is worked out once
-    near = cells.crossJoin(F.broadcast(offsets))  # (2 reach)**3 offsets a voxel, a fixed stencil
-    for a, d in zip(AXES, ("dx", "dy", "dz"), strict=True):
-        near = near.withColumn(f"_{a}", F.pmod(F.col(a) + F.col(d), F.lit(dim)).cast("int"))
-    there = cube.select(*(F.col(a).alias(f"_{a}") for a in AXES), "v")
-    sums = near.join(there, [f"_{a}" for a in AXES]).groupBy(*AXES).agg(F.sum(F.col("v") * F.col("w")).alias("local_density"))
-    return voxelise(df, box, dim).join(sums, list(AXES), "left").na.fill(0.0, ["local_density"])
+    taps = [(d, math.exp(-d * d / s2)) for d in range(-reach, reach)]
+    total = sum(w for _, w in taps) ** 3 - 1
+    kernel = [(-d, w) for d, w in taps]  # a line is moved back by d to bring what stands d on to a voxel
+    rows = voxelise(df, box, dim)
+    near = smooth_axis(smooth_axis(cube, "ix", dim, kernel), "iy", dim, kernel)
+    near = smooth_axis(near.join(rows.select("ix", "iy").distinct(), ["ix", "iy"], "left_semi"), "iz", dim, kernel)
+    around = near.select(*AXES, F.col("v").alias("_around"))
+    own = cube.select(*AXES, F.col("v").cast("double").alias("_own"))
+    cells = rows.select(*AXES).distinct().join(around, list(AXES), "left").join(own, list(AXES), "left")  # a voxel's sum is looked up once
+    density = (F.coalesce("_around", F.lit(0.0)) - F.coalesce("_own", F.lit(0.0))) / total
+    return rows.join(cells.select(*AXES, F.greatest(density, F.lit(0.0)).alias("local_density")), list(AXES))
 
 
 def structures(voxels: DataFrame, cell: float) -> DataFrame:
@@ -93,7 +100,39 @@ def structures(voxels: DataFrame, cell: float) -> DataFrame:
     return out.withColumn("volume", extent * cell**3).withColumn("radius", cell * F.sqrt("n") / F.lit(3.141592653589793))
 
 
-FINE = 4
+def structure_extents(voxels: DataFrame, cell: float, dim: int) -> DataFrame:
+    """Per structure on a periodic box: n, and on each axis the rounded mean (center), the median and the ends (min, max) of its
+    voxels; the volume of its ends and its radius.
+
+    A structure that lies at both faces of an axis crosses it, and is put together again: its largest gap tells the part at
+    the low face from that at the high one (the middle of the box does if it fills the axis), and the part that is farther from
+    the mean is moved by the box, so ends may be below 0 or above dim. All is read off counts of voxels by structure, axis and
+    index, so a structure of a third of all voxels is dim rows an axis.
+    """
+    axes = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).cast("int").alias("i")) for a in AXES)))
+    c = voxels.where("structure > -1").select("structure", axes.alias("s")).groupBy("structure", "s.axis", "s.i").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("structure", "axis")
+    c = c.withColumn("_gap", F.col("i") - F.lag("i").over(by.orderBy("i")))
+    mean = lambda i: F.ceil(F.sum(i * F.col("n")).over(by) / F.sum("n").over(by) - 0.5)
+    c = c.withColumns({"_wide": F.max("_gap").over(by), "_edge": F.max_by("i", F.struct("_gap", -F.col("i"))).over(by), "_mean": mean(F.col("i")), "_across": F.max("i").over(by) - F.min("i").over(by) == dim - 1})
+    low = F.col("i") < F.when(F.coalesce(F.col("_wide"), F.lit(1)) > 1, F.col("_edge")).otherwise(dim // 2)
+    moved = F.when(~F.col("_across"), 0).when((F.col("_mean") >= dim // 2) & low, dim).when((F.col("_mean") < dim // 2) & ~low, -dim).otherwise(0)
+    c = c.select("structure", "axis", "n", (F.col("i") + moved).alias("i"))
+    run, all_ = F.sum("n").over(by.orderBy("i")), F.sum("n").over(by)
+    c = c.withColumns({"_run": run, "_all": all_, "center": mean(F.col("i"))})
+    at = lambda r: F.max(F.when((F.col("_run") - F.col("n") <= r) & (r < F.col("_run")), F.col("i")))
+    half = (at(F.floor((F.col("_all") - 1) / 2)) + at(F.floor(F.col("_all") / 2))) / 2
+    rows = c.groupBy("structure", "axis").agg(F.max("_all").alias("n"), F.max("center").cast("int").alias("center"), half.cast("int").alias("median"), F.min("i").alias("min"), F.max("i").alias("max"))
+    pick = lambda a, k: F.max(F.when(F.col("axis") == a, F.col(k))).alias(f"{k}_{a}")
+    out = rows.groupBy("structure").agg(F.max("n").alias("n"), *(pick(a, k) for a in AXES for k in ("center", "median", "min", "max")))
+    volume = F.lit(cell**3)
+    for a in AXES:
+        volume = volume * (F.col(f"max_{a}") - F.col(f"min_{a}"))
+    return out.withColumn("volume", volume).withColumn("radius", cell * F.sqrt("n") / F.lit(math.pi))
+
+
+LEAF = 32  # voxels that a box of the tree is not divided under
+DEEPEST = 16  # levels; boxes there are leaves whatever they hold
 
 
 def _apart(p: Column, lo: Column, hi: Column, box: float) -> Column:
@@ -101,21 +140,48 @@ def _apart(p: Column, lo: Column, hi: Column, box: float) -> Column:
     return F.least(*(F.greatest(lo - (p + s), (p + s) - hi, F.lit(0.0)) for s in (-box, 0.0, box)))
 
 
-def nearest_structure(points: DataFrame, voxels: DataFrame, box: float, sectors: int) -> DataFrame:
+def box_tree(voxels: DataFrame, box: float) -> tuple[list[DataFrame], DataFrame]:
+    """(levels, leaves) of a tree of boxes over voxels(vx, vy, vz, ...), each box cut in half on each axis.
+
+    levels[d]: parent, node (numbers of boxes), leaf, the box's voxels' own bounds and one of them. leaves: the voxels
+    with the node of their leaf. A box of at most LEAF voxels is a leaf; only voxels of larger ones go on to the next level.
+    """
+    cells = 1 << DEEPEST
+    place = lambda a: F.greatest(F.least(F.floor(F.col(f"v{a}") / box * cells), F.lit(cells - 1)), F.lit(0)).cast("long")
+    left = voxels.withColumns({f"_{a}": place(a) for a in "xyz"})
+    levels, leaves = [], None
+    for depth in range(DEEPEST + 1):
+
+        def node(d: int) -> Column:
+            """The box at depth d: a leading 1, then d bits of each axis."""
+            part = lambda a, k: F.shiftright(f"_{a}", DEEPEST - d) * (1 << d * k)
+            return F.lit(1 << 3 * d) + part("x", 2) + part("y", 1) + part("z", 0)
+
+        left = left.withColumns({"node": node(depth), "parent": node(max(0, depth - 1))})
+        ends = [f(f"v{a}").alias(f"_{n}{a}") for a in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]
+        at = written(left.groupBy("parent", "node").agg(F.count("*").alias("_n"), F.min(F.struct("vx", "vy", "vz")).alias("_one"), *ends))
+        leaf = (F.col("_n") <= LEAF) | F.lit(depth == DEEPEST)
+        levels.append(at.select("parent", "node", leaf.alias("leaf"), "_one", *(f"_{n}{a}" for a in "xyz" for n in ("lo", "hi"))))
+        kinds = left.join(small(at.select("node", leaf.alias("_leaf"))), "node")
+        done = kinds.where("_leaf").select(*voxels.columns, "node")
+        leaves = done if leaves is None else leaves.unionByName(done)
+        if at.where(~leaf).isEmpty():
+            break
+        left = written(kinds.where("not _leaf").drop("_leaf"))
+    return levels, written(leaves)
+
+
+def nearest_structure(points: DataFrame, voxels: DataFrame, box: float) -> DataFrame:
     """Per point(id, x, y, z): dist to, position and structure of the nearest voxel(structure, x, y, z) on the periodic box.
 
-    Rings of sectors around a point are searched outward; a point is settled once its best distance is within the ring that
-    was searched whole. Sectors hold FINE**3 blocks, each known by its bounding box and one of its voxels: a point meets
-    the blocks first, and then the voxels only of blocks that may hold one nearer than the voxels it has seen, so a
-    dense sector is not compared as a whole. Ties go to the structure of more voxels, then the least id.
+    A point goes down a tree of boxes, all boxes of a level at a time. Of each it knows how near its voxels can be, by their
+    bounds, and of one voxel how far it is; the least of those bounds the search, and boxes beyond it are left before they
+    are opened. So a point carries a few boxes from level to level, however dense the voxels, and meets voxels in the last
+    ones only. Exact; ties go to the structure of more voxels, then the least id. Ids must not repeat.
     """
-    cell, fine = box / sectors, box / (sectors * FINE)
-    at = lambda d, name, width, n: d.withColumns({f"_{name}{a}": F.pmod(F.floor(F.col(a) / width), F.lit(n)).cast("int") for a in "xyz"})
     size = voxels.groupBy("structure").agg(F.count("*").alias("_size"))
-    v = at(at(voxels.where("structure > -1").join(size, "structure"), "s", cell, sectors), "f", fine, sectors * FINE)
-    v = written(v.select("structure", "_size", *(F.col(a).alias(f"v{a}") for a in "xyz"), "_sx", "_sy", "_sz", "_fx", "_fy", "_fz"))
-    one = F.min(F.struct("vx", "vy", "vz"))
-    blocks = written(v.groupBy("_sx", "_sy", "_sz", "_fx", "_fy", "_fz").agg(one.alias("_one"), *(f(f"v{a}").alias(f"_{n}{a}") for a in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi")))))
+    v = with_groups(voxels.where("structure > -1"), size, ["structure"]).select("structure", "_size", *(F.col(a).cast("double").alias(f"v{a}") for a in "xyz"))
+    levels, leaves = box_tree(written(v), box)
 
     def squared(there) -> Column:
         out = F.lit(0.0)
@@ -125,22 +191,15 @@ def nearest_structure(points: DataFrame, voxels: DataFrame, box: float, sectors:
         return out
 
     least = sum((F.pow(_apart(F.col(a), F.col(f"_lo{a}"), F.col(f"_hi{a}"), box), F.lit(2.0)) for a in "xyz"), F.lit(0.0))
-    left, out, ring = written(points), None, 1
-    while True:
-        steps = min(2 * ring + 1, sectors)
-        offs = F.sequence(F.lit(-(steps // 2)), F.lit(steps - steps // 2 - 1))
-        near = at(left, "s", cell, sectors)
-        for a in "xyz":
-            near = near.withColumn("_o", F.explode(offs)).withColumn(f"_s{a}", F.pmod(F.col(f"_s{a}") + F.col("_o"), F.lit(sectors)).cast("int")).drop("_o")
-        met = written(near.join(blocks, ["_sx", "_sy", "_sz"]).select("id", "x", "y", "z", "_fx", "_fy", "_fz", least.alias("_least"), squared(lambda a: f"_one.v{a}").alias("_seen")))
-        bound = met.groupBy("id").agg((F.min("_seen") * (1 + 1e-9)).alias("_bound"))
-        kept = met.join(bound, "id").where("_least <= _bound").drop("_least", "_seen", "_bound")
-        best = kept.join(v, ["_fx", "_fy", "_fz"]).withColumn("_d2", squared(lambda a: f"v{a}")).groupBy("id", "x", "y", "z").agg(F.min(F.struct(F.col("_d2").alias("d2"), (-F.col("_size")).alias("s"), "structure", "vx", "vy", "vz")).alias("b"))
-        found = best.select("id", "x", "y", "z", F.sqrt("b.d2").alias("dist"), "b.vx", "b.vy", "b.vz", "b.structure")
-        whole = steps >= sectors
-        found = written(found if whole else found.where(F.col("dist") <= ring * cell))
-        out = found if out is None else out.unionByName(found)
-        left = written(left.join(found.select("id"), "id", "left_anti"))
-        if whole or left.isEmpty():
-            return out
-        ring *= 2
+    open_ = points.select("id", "x", "y", "z", F.lit(1).cast("long").alias("parent"), F.lit(float("inf")).alias("_bound"))
+    held = None  # leaves that a point may have to look into
+    for boxes in levels:
+        met = open_.join(small(boxes), "parent").select("id", "x", "y", "z", "node", "leaf", least.alias("_least"), F.least("_bound", squared(lambda a: f"_one.v{a}") * (1 + 1e-9)).alias("_bound"))
+        if held is not None:
+            met = met.unionByName(held)
+        met = met.withColumn("_bound", F.min("_bound").over(Window.partitionBy("id"))).where("_least <= _bound")  # over a point's few boxes
+        met = written(met)
+        held = met.where("leaf")
+        open_ = met.where("not leaf").select("id", "x", "y", "z", F.col("node").alias("parent"), "_bound")
+    best = held.join(leaves, "node").withColumn("_d2", squared(lambda a: f"v{a}")).groupBy("id").agg(F.first(F.struct("x", "y", "z")).alias("p"), F.min(F.struct(F.col("_d2").alias("d2"), (-F.col("_size")).alias("s"), "structure", "vx", "vy", "vz")).alias("b"))
+    return best.select("id", "p.x", "p.y", "p.z", F.sqrt("b.d2").alias("dist"), "b.vx", "b.vy", "b.vz", "b.structure")

@@ -240,10 +240,10 @@ def merge_mismatches(spark, d):
     return catalog.not_one_to_one(_t(spark, d, "orders").select(F.col("o_custkey").alias("id")), _t(spark, d, "customer").select(F.col("c_custkey").alias("id")))
 
 
-@query("SELECT event_id, round(value * power(1 + z, 1), 9) AS value, z FROM events JOIN (VALUES ('click', 0.0::double), ('view', 1.0), ('purchase', 2.0)) t(k, z) ON event_type = k")
+@query("SELECT event_id, round(value * power(1 + z, 1), 9) AS value, z FROM events JOIN (VALUES ('click', 0.0::double), ('view', 1.0), ('purchase', 2.0), ('signup', 3.0), ('error', 4.0)) t(k, z) ON event_type = k")
 def stack_rescale(spark, d):
     e = _t(spark, d, "events").select("event_id", "value", "event_type")
-    return catalog.stack({z: e.where(F.col("event_type") == k).drop("event_type") for k, z in (("click", 0), ("view", 1), ("purchase", 2))}, {"value": 1}).withColumn("value", F.round("value", 9))
+    return catalog.stack({z: e.where(F.col("event_type") == k).drop("event_type") for k, z in (("click", 0), ("view", 1), ("purchase", 2), ("signup", 3), ("error", 4))}, {"value": 1}).withColumn("value", F.round("value", 9))
 
 
 @query("SELECT p_partkey, p_name, p_type, p_retailprice, p_size, p_brand FROM part")
@@ -493,7 +493,7 @@ _D = " + ".join(f"power(least(abs(a.{c} - b.{c}), 100 - abs(a.{c} - b.{c})), 2)"
 @query(f"WITH {_POS}, j AS (SELECT a.id, {_D} d2 FROM p a JOIN p b ON b.structure < 5 WHERE a.structure >= 5) SELECT id, round(sqrt(min(d2)), 6) dist FROM j GROUP BY 1")
 def nearest_structure(spark, d):
     p = _positions(spark, d)
-    return grid.nearest_structure(p.where("structure >= 5").drop("structure"), p.where("structure < 5").drop("id"), BOX, 8).select("id", F.round("dist", 6).alias("dist"))
+    return grid.nearest_structure(p.where("structure >= 5").drop("structure"), p.where("structure < 5").drop("id"), BOX).select("id", F.round("dist", 6).alias("dist"))
 
 
 @query(f"WITH {_POS}, v AS (SELECT structure, " + ", ".join(f"{_CELL.format(a)} i{a}" for a in "xyz") + " FROM p) SELECT structure, count(*) n, cast(floor(sum(ix) / count(*)) AS int) center_ix, min(iy) min_iy, max(iz) max_iz, round((max(ix) - min(ix)) * (max(iy) - min(iy)) * (max(iz) - min(iz)) * power(6.25, 3), 4) volume, round(6.25 * sqrt(count(*)) / pi(), 6) radius FROM v GROUP BY 1")

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cosmolith.functions.shared import shared_dir
+from cosmolith.functions.shared import finite, shared_dir
 from cosmolith.operators import binning, catalog, grid
 from cosmolith.plans.catalogue import _TREE, _VOX, _bins_sql, _cube, _nodes, _round, _t, query
 from cosmolith.sources import legacy
@@ -35,6 +35,19 @@ def text_scan(spark, d):
     return legacy.read_text(spark, path, df.columns)
 
 
+@query("""WITH t AS (SELECT l_orderkey::double id, l_quantity q, l_extendedprice m FROM lineitem)
+SELECT id, CASE WHEN q IN (1, 4) THEN 'nan' WHEN q = 2 THEN 'inf' WHEN q = 3 THEN '-inf' ELSE 'finite' END kind, CASE WHEN q > 4 THEN m ELSE 0 END mass FROM t""")
+def text_odd_values(spark, d):
+    """A text table with values that aren't numbers, infinite ones and nulls is read back whole; filters are an operator's choice."""
+    q, m = F.col("l_quantity"), F.col("l_extendedprice")
+    odd = F.when(q == 1, float("nan")).when(q == 2, float("inf")).when(q == 3, float("-inf")).when(q == 4, F.lit(None)).otherwise(m)
+    path = _path(spark, "odd")
+    legacy.write_text(_t(spark, d, "lineitem").select(F.col("l_orderkey").cast("double").alias("id"), odd.cast("double").alias("mass")), path, digits=17)
+    got, m = legacy.read_text(spark, path, ["id", "mass"]), F.col("mass")
+    kind = F.when(F.isnan(m), "nan").when(m == float("inf"), "inf").when(m == float("-inf"), "-inf").otherwise("finite")
+    return got.select("id", kind.alias("kind"), F.when(finite("mass"), m).otherwise(0.0).alias("mass"))
+
+
 @query(f"SELECT id, radius FROM ({_LINES})")
 def bin_scan(spark, d):
     path, df = _path(spark, "catalogue.bin"), _lines(spark, d)
@@ -139,10 +152,10 @@ def galaxy_files(spark, d):
     return joined.join(halos.select("halo_id", "m_vir"), "halo_id").select("halo_id", "gal_id", "mstar", "sfr_ave", "m_vir", "m_star")
 
 
-@query("SELECT event_type AS value, event_type || '.dat' file_name, event_id::double AS id, value AS y FROM events WHERE event_type IN ('click', 'view', 'error')")
+@query("SELECT event_type AS value, event_type || '.dat' file_name, event_id::double AS id, value AS y FROM events")
 def many_files(spark, d):
     """Text tables at the paths of a template, in one scan."""
-    kinds, folder = ["click", "view", "error"], os.path.dirname(_path(spark, "x"))
+    kinds, folder = ["click", "view", "error", "purchase", "signup"], os.path.dirname(_path(spark, "x"))
     for k in kinds:
         df = _t(spark, d, "events").where(F.col("event_type") == k).select(F.col("event_id").cast("double").alias("id"), F.col("value").alias("y"))
         legacy.write_text(df.coalesce(1), f"{folder}/{k}.dat", digits=17)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cosmolith.operators import aggregates as agg
-from cosmolith.operators import binning, tracks
-from cosmolith.plans.catalogue import _events, _round, _t, query
+from cosmolith.operators import binning, grid, tracks
+from cosmolith.plans.catalogue import _CELL, _POS, BOX, _events, _positions, _round, _t, query
 
 # ---- tracks of a third of all rows, cut every 500 rows ----------------------------------------------------------
 
@@ -74,3 +74,47 @@ def group_order_stats(spark, d):
     """Groups by supplier, one of them (without a name) a third of all rows."""
     rows = _t(spark, d, "lineitem").select(F.when(F.col("l_suppkey") % 3 > 0, F.col("l_suppkey")).alias("k"), "l_extendedprice")
     return _round(agg.order_stats(rows, ["k"], "l_extendedprice").select("k", "n", "median", "d20", "mad"))
+
+
+# ---- grids: extents across faces, wide kernels, dense boxes ------------------------------------------------------
+
+_AXIS = """{a}c AS (SELECT structure, {a} i, count(*) n FROM v GROUP BY 1, 2), {a}g AS (SELECT *, i - lag(i) OVER (PARTITION BY structure ORDER BY i) gap FROM {a}c),
+ {a}e AS (SELECT structure, max(gap) wide, arg_max(i, gap * 1000 - i) edge, ceil(sum(i * n) / cast(sum(n) AS double) - 0.5) mean, max(i) - min(i) = 15 across FROM {a}g GROUP BY 1),
+ {a}m AS (SELECT c.structure, n, i + CASE WHEN NOT across THEN 0 WHEN mean >= 8 AND i < low THEN 16 WHEN mean < 8 AND i >= low THEN -16 ELSE 0 END i FROM {a}c c JOIN (SELECT *, CASE WHEN coalesce(wide, 1) > 1 THEN edge ELSE 8 END low FROM {a}e) e USING (structure)),
+ {a}l AS (SELECT structure, i FROM {a}m, range(n) r), {a}r AS (SELECT *, row_number() OVER (PARTITION BY structure ORDER BY i) - 1 r, count(*) OVER (PARTITION BY structure) k FROM {a}l),
+ {a}o AS (SELECT structure, count(*) n, cast(ceil(avg(i) - 0.5) AS int) center_{a}, cast(trunc((max(CASE WHEN r = (k - 1) // 2 THEN i END) + max(CASE WHEN r = k // 2 THEN i END)) / 2.0) AS int) median_{a}, cast(min(i) AS int) min_{a}, cast(max(i) AS int) max_{a} FROM {a}r GROUP BY structure)"""
+
+
+@query(f"""WITH {_POS}, v AS (SELECT least(structure, 4) + CASE WHEN y < 30 AND z > 40 THEN 10 ELSE 0 END structure, {", ".join(f"{_CELL.format(f'(({a} + 50) % 100)')} i{a}" for a in "xyz")} FROM p), {", ".join(_AXIS.format(a=a) for a in ("ix", "iy", "iz"))}
+SELECT structure, ixo.n, {", ".join(f"{k}_{a}" for a in ("ix", "iy", "iz") for k in ("center", "median", "min", "max"))}, round(power(6.25, 3) * (max_ix - min_ix) * (max_iy - min_iy) * (max_iz - min_iz), 4) volume, round(6.25 * sqrt(ixo.n) / pi(), 6) radius
+FROM ixo JOIN iyo USING (structure) JOIN izo USING (structure)""")
+def structure_extents(spark, d):
+    """Structures that cross faces of the box, with rounded means, medians and extents of what is put together."""
+    p = _positions(spark, d)
+    p = p.withColumn("structure", F.least(F.col("structure"), F.lit(4)) + F.when((F.col("y") < 30) & (F.col("z") > 40), 10).otherwise(0))
+    p = p.withColumns({a: (F.col(a) + 50) % 100 for a in "xyz"})
+    return grid.structure_extents(grid.voxelise(p, BOX, 16), BOX / 16, 16).withColumns({"volume": F.round("volume", 4), "radius": F.round("radius", 6)})
+
+
+@query(f"""WITH {_POS}, v AS (SELECT id, {", ".join(f"least(greatest(cast(floor({a} / (100.0::double / 64)) AS int), 0), 63) i{a}" for a in "xyz")} FROM p), cube AS MATERIALIZED (SELECT ix, iy, iz, cast(count(*) AS double) v FROM v GROUP BY 1, 2, 3),
+ k AS (SELECT d, exp(-(d * d) / (2 * power(12.0::double / (2 * sqrt(2 * ln(2))), 2))) w FROM range(-32, 32) r(d)), s AS (SELECT power(sum(w), 3) - 1 total FROM k),
+ a AS MATERIALIZED (SELECT (ix - d + 128) % 64 ix, iy, iz, sum(v * w) v FROM cube, k GROUP BY 1, 2, 3), b AS MATERIALIZED (SELECT ix, (iy - d + 128) % 64 iy, iz, sum(v * w) v FROM a, k GROUP BY 1, 2, 3),
+ l AS MATERIALIZED (SELECT b.* FROM b JOIN (SELECT DISTINCT ix, iy FROM v) USING (ix, iy)), c AS MATERIALIZED (SELECT ix, iy, (iz - d + 128) % 64 iz, sum(v * w) v FROM l, k GROUP BY 1, 2, 3)
+SELECT v.id, round((c.v - cube.v) / total, 6) local_density FROM v JOIN c USING (ix, iy, iz) JOIN cube USING (ix, iy, iz), s""")
+def local_density_wide(spark, d):
+    """A reach of 32 voxels, 262 144 offsets, by three passes."""
+    p = _positions(spark, d)
+    cube = grid.voxelise(p, BOX, 64).groupBy("ix", "iy", "iz").agg(F.count("*").cast("double").alias("v"))
+    return _round(grid.local_density(p, cube, BOX, 64, 32, 12.0).select("id", "local_density"))
+
+
+_DENSE = "l_orderkey % 7 structure, 40 + l_extendedprice % 5 x, 40 + l_quantity / 20 y, 95 + (l_partkey % 1000) / 200.0::double z"
+_FAR = " + ".join(f"power(least(abs(a.{c} - b.{c}), 100 - abs(a.{c} - b.{c})), 2)" for c in "xyz")
+
+
+@query(f"WITH {_POS}, v AS (SELECT DISTINCT x, y, z FROM (SELECT {_DENSE} FROM lineitem)) SELECT a.id, round(sqrt(min({_FAR})), 6) dist FROM p a, v b GROUP BY 1")
+def nearest_dense(spark, d):
+    """All voxels in a dense corner of the box, at its face."""
+    line = _t(spark, d, "lineitem")
+    v = line.select((F.col("l_orderkey") % 7).alias("structure"), (40 + F.col("l_extendedprice") % 5).alias("x"), (40 + F.col("l_quantity") / 20).alias("y"), (95 + (F.col("l_partkey") % 1000) / 200.0).alias("z"))
+    return grid.nearest_structure(_positions(spark, d).drop("structure"), v, BOX).select("id", F.round("dist", 6).alias("dist"))

@@ -374,7 +374,7 @@ _D = " + ".join(f"power(least(abs(a.{c} - b.{c}), 100 - abs(a.{c} - b.{c})), 2)"
 SELECT id, structure, round(x, 6) vx, round(y, 6) vy, round(z, 6) vz, round(sqrt(d2), 6) dist FROM j WHERE r = 1""")
 def nearest_structure_rows(spark, d):
     p = _positions(spark, d)
-    return _round(grid.nearest_structure(p.where("structure >= 5").drop("structure"), p.where("structure < 5").drop("id"), BOX, 8).select("id", "structure", "vx", "vy", "vz", "dist"))
+    return _round(grid.nearest_structure(p.where("structure >= 5").drop("structure"), p.where("structure < 5").drop("id"), BOX).select("id", "structure", "vx", "vy", "vz", "dist"))
 
 
 _ENCLOSED = """q AS (SELECT l_suppkey id, least(cast(floor(l_extendedprice / 8000) AS bigint) + 1, 12) k, sum(l_quantity) q FROM lineitem GROUP BY 1, 2), c AS (SELECT id, k::double x, sum(q) OVER (PARTITION BY id ORDER BY k) y, row_number() OVER (PARTITION BY id ORDER BY k) i, count(*) OVER (PARTITION BY id) n, sum(q) OVER (PARTITION BY id) mass FROM q)"""
@@ -424,10 +424,10 @@ def profile_fit_known(spark, d):
     return f.select("id", F.round("rs2", 3).alias("rs2"), F.round("c02", 2).alias("c02"), F.round("rs3", 2).alias("rs3"), F.round("gamma3", 2).alias("gamma3"))
 
 
-@query(f"SELECT o.v optimiser, s_suppkey id, round(rs, 2) rs2 FROM (SELECT s_suppkey, {_KNOWN} FROM supplier WHERE s_suppkey % 5 = 0), (VALUES {', '.join(f'({o!r})' for o in sorted(profiles.OPTIMISERS))}) o(v)")
+@query(f"SELECT o.v optimiser, s_suppkey id, round(rs, 2) rs2 FROM (SELECT s_suppkey, {_KNOWN} FROM supplier), (VALUES {', '.join(f'({o!r})' for o in sorted(profiles.OPTIMISERS))}) o(v)")
 def profile_optimisers(spark, d):
     """Each of the optimisers finds the scale radius."""
-    known, out = _known(spark, d, 2.0).where("id % 5 = 0"), None
+    known, out = _known(spark, d, 2.0), None
     for o in sorted(profiles.OPTIMISERS):
         f = profiles.fit_profiles(known, 0.01, optimiser=o).select(F.lit(o).alias("optimiser"), "id", F.round("rs2", 2).alias("rs2"))
         out = f if out is None else out.unionByName(f)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -27,27 +27,43 @@ from pyspark.sql.window import Window
 from cosmolith.functions.shared import ranked, written
 
 BATCH = 1 << 16
-_NUMERIC = r"^[0-9.eE+\-, infa\t]*$"
+
+
+def _fields(line: str, delimiter: str, n: int) -> tuple[Column, Column]:
+    """(the numbers of a line, whether the line is malformed): n fields, each of which is read as a number. `nan`, `inf` and
+    `-inf` are numbers; Java's own notations (a type letter behind, hexadecimal) are not."""
+    parts = F.split(F.trim(line), delimiter)
+    number = lambda p: F.when(~p.rlike("(?i)[0-9.][df]$|x"), p.try_cast("double"))
+    values = F.transform(parts, number)
+    return values, (F.size(parts) != n) | F.exists(values, lambda v: v.isNull())
 
 
 def read_text(spark: SparkSession, path: str, names: list[str], delimiter: str = r"\s+", mode: str = "DROPMALFORMED") -> DataFrame:
-    """Rows of doubles. Lines with other characters, or too few or too many fields, are dropped (DROPMALFORMED), kept
-    with nulls and the line in _corrupt (PERMISSIVE), or stop the read (FAILFAST)."""
+    """Rows of doubles. Lines with a field that is no number, or too few or too many fields, are dropped (DROPMALFORMED), kept
+    with nulls and the line in _corrupt (PERMISSIVE), or stop the read (FAILFAST). What isn't finite is read as it is."""
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    parts = F.split(F.trim("value"), delimiter)
-    bad = ~F.col("value").rlike(_NUMERIC) | (F.size(parts) != len(names))
+    values, bad = _fields("value", delimiter, len(names))
+    lines = lines.withColumns({"_v": values, "_bad": bad})
     if mode == "FAILFAST":
-        lines = lines.withColumn("value", F.when(bad, F.raise_error(F.concat(F.lit("malformed line: "), F.col("value"))).cast("string")).otherwise(F.col("value")))
+        lines = lines.withColumn("_v", F.when(F.col("_bad"), F.raise_error(F.concat(F.lit("malformed line: "), F.col("value"))).cast("array<double>")).otherwise(F.col("_v")))
     elif mode == "DROPMALFORMED":
-        lines = lines.where(~bad)
-    cols = [F.when(~bad, F.get(parts, i).try_cast("double")).alias(n) for i, n in enumerate(names)]
-    return lines.select(*cols, *([F.when(bad, F.col("value")).alias("_corrupt")] if mode == "PERMISSIVE" else []))
+        lines = lines.where("not _bad")
+    cols = [F.when(~F.col("_bad"), F.get("_v", i)).alias(n) for i, n in enumerate(names)]
+    return lines.select(*cols, *([F.when(F.col("_bad"), F.col("value")).alias("_corrupt")] if mode == "PERMISSIVE" else []))
 
 
 def write_text(df: DataFrame, path: str, digits: int = 10, delimiter: str = " ") -> None:
-    """One line per row; doubles with `digits` significant digits."""
-    cast = [F.format_string(f"%.{digits}g", F.col(c)) if t in ("double", "float") else F.col(c).cast("string") for c, t in df.dtypes]
-    df.select(F.concat_ws(delimiter, *cast).alias("value")).write.text(path)
+    """One line per row; doubles with `digits` significant digits, `nan`, `inf` and `-inf` by name, null as `nan`, so that every
+    row has all its fields and is read again."""
+
+    def field(c: str, kind: str) -> Column:
+        v = F.col(c)
+        if kind not in ("double", "float"):
+            return F.coalesce(v.cast("string"), F.lit("nan"))
+        number = F.format_string(f"%.{digits}g", v)
+        return F.when(v.isNull() | F.isnan(v), F.lit("nan")).when(F.abs(v) == float("inf"), F.when(v > 0, F.lit("inf")).otherwise(F.lit("-inf"))).otherwise(number)
+
+    df.select(F.concat_ws(delimiter, *(field(c, t) for c, t in df.dtypes)).alias("value")).write.text(path)
 
 
 def _located(path: str):
@@ -224,12 +240,12 @@ def read_many(spark: SparkSession, template: str, values: list, names: list[str]
     """The text tables at the template's paths (%d or %s stands for a value), in one scan, with file_name and value."""
     paths = {template % v: str(v) for v in values}
     lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("_path"))
-    parts = F.split(F.trim("value"), delimiter)
-    good = lines.where(~F.col("value").startswith("#") & F.col("value").rlike(_NUMERIC) & (F.size(parts) == len(names)))
+    values, bad = _fields("value", delimiter, len(names))
+    good = lines.where(~F.col("value").startswith("#")).withColumns({"_v": values, "_bad": bad}).where("not _bad")
     which = F.lit(None).cast("string")
     for p, v in paths.items():
         which = F.when(F.endswith("_path", F.lit(p.rsplit(":", 1)[-1].lstrip("/"))) | F.contains("_path", F.lit(p.rsplit(":", 1)[-1].lstrip("/") + "/")), v).otherwise(which)
-    return good.select(which.alias("value"), F.element_at(F.split("_path", "/"), -1).alias("file_name"), *(F.get(parts, i).try_cast("double").alias(n) for i, n in enumerate(names)))
+    return good.select(which.alias("value"), F.element_at(F.split("_path", "/"), -1).alias("file_name"), *(F.get("_v", i).alias(n) for i, n in enumerate(names)))
 
 
 # The number of fields of the three files of a galaxy catalogue, and the positions of those that are named.

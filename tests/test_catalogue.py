@@ -5,7 +5,7 @@ import pytest
 
 from cosmolith.plans.registered import ORACLE_SQL, QUERIES
 
-TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events embeddings documents".split()
 
 
 @pytest.fixture(scope="module")

@@ -76,7 +76,7 @@ def test_overlapping_ranges_repeat_rows_and_minimum_is_left_out(spark):
 def test_periodic_nearest(spark):
     p = spark.createDataFrame([(1, 0.5, 50.0, 50.0), (2, 50.0, 50.0, 50.0)], "id long, x double, y double, z double")
     v = spark.createDataFrame([(7, 99.5, 50.0, 50.0), (8, 20.0, 50.0, 50.0), (8, 20.0, 51.0, 50.0)], "structure int, x double, y double, z double")
-    got = {r.id: (r.structure, r.dist) for r in grid.nearest_structure(p, v, 100.0, 10).collect()}
+    got = {r.id: (r.structure, r.dist) for r in grid.nearest_structure(p, v, 100.0).collect()}
     assert got == {1: (7, 1.0), 2: (8, 30.0)}
 
 
@@ -285,7 +285,7 @@ def test_nearest_of_many_voxels_equals_brute_force(spark):
     want = np.sqrt((np.minimum(d, 10 - d) ** 2).sum(axis=2)).min(axis=1)
     points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "id long, x double, y double, z double")
     voxels = spark.createDataFrame([(i % 7, *map(float, x)) for i, x in enumerate(v)], "structure int, x double, y double, z double")
-    got = {r.id: r.dist for r in grid.nearest_structure(points, voxels, 10.0, 5).collect()}
+    got = {r.id: r.dist for r in grid.nearest_structure(points, voxels, 10.0).collect()}
     assert np.allclose([got[i] for i in range(60)], want)
 
 
