@@ -229,7 +229,8 @@ def history_table(rows: DataFrame, track: str, step: str, z: str, table: Table =
     for each mobile property the value at 20 to 80 % of three populations.
 
     A property given by its mean has mean, mean -+ deviation and mean -+ deviation / sqrt(n). With balanced, a track that
-    ends takes the track of the opposite rank with it, property by property.
+    ends takes the track of the opposite rank at that step with it, property by property (tree.balance). tree.living()
+    says when a track begins and ends.
     """
     t = table
     names = [*t.ordered, *t.means]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cosmolith.functions.shared import written, written_by
+from cosmolith.functions.shared import counted, ranked, with_groups, written, written_by
 
 
 def with_links(nodes: DataFrame) -> DataFrame:
@@ -113,12 +113,36 @@ def tracks(nodes: DataFrame, mass: str = "mass", max_levels: int = 200) -> DataF
     return nodes.join(heads, "id")
 
 
-def track_numbers(nodes: DataFrame, mass: str = "mass") -> DataFrame:
-    """tracks() with track: branches of a tree numbered from 1, newest and most massive head first."""
-    t = tracks(nodes, mass)
-    head = t.where("id = track_head").select("track_head", "tree_id", F.col("epoch").alias("_e"), F.col(mass).alias("_m"))
-    n = head.withColumn("track", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("_e"), F.desc("_m"), "track_head")))
-    return t.join(n.select("track_head", "track"), "track_head")
+def track_numbers(nodes: DataFrame, mass: str = "mass", max_levels: int = 1000) -> DataFrame:
+    """tracks() with track: a tree's branches numbered breadth first. The root has 1; level by level, in the order of their
+    descendants and then of mass (least id among equals), a main progenitor has its descendant's number, any other a new one.
+
+    A level's places are prefix sums over the places of the level before, and its new numbers prefix sums over its own
+    places, both by ranges of places: a tree of a third of all nodes is spread like any other. nodes has tree_id.
+    """
+    t = written(tracks(nodes, mass))
+    order = Window.partitionBy("desc_id").orderBy(F.desc(mass), "id")  # over a node's own progenitors
+    kids = written(most_massive(nodes, mass).select("id", "desc_id", "is_mmp", (F.row_number().over(order) - 1).alias("_nth")))
+    ids = nodes.select(F.col("id").alias("desc_id"))
+    first = nodes.join(ids, "desc_id", "left_anti").select("id", "tree_id")
+    base = written(first.select("tree_id", F.lit(1).cast("long").alias("_base")))  # numbers that a tree has used; it has one root
+    level = written(first.select("id", "tree_id", F.lit(0).cast("long").alias("_place"), F.lit(1).cast("long").alias("track")))
+    heads = [level.select("id", "track")]
+    for _ in range(max_levels):
+        below = written(kids.join(level.select(F.col("id").alias("desc_id"), "tree_id", F.col("_place").alias("_up"), F.col("track").alias("_own")), "desc_id"))
+        if below.isEmpty():
+            found = reduce(DataFrame.unionByName, heads)
+            return t.join(found.withColumnRenamed("id", "track_head"), "track_head").select(*t.columns, F.col("track").cast("int").alias("track"))
+        starts = counted(below, "_up", ["tree_id"]).select("tree_id", "_up", "before")
+        below = written(below.join(starts, ["tree_id", "_up"]).withColumn("_place", F.col("before") + F.col("_nth")).drop("before"))
+        new = written(counted(below.where("not is_mmp"), "_place", ["tree_id"]).select("tree_id", "_place", "before", "total"))
+        named = below.join(base, "tree_id").join(new.drop("total"), ["tree_id", "_place"], "left")
+        level = written(named.select("id", "tree_id", "_place", "is_mmp", F.when(F.col("is_mmp"), F.col("_own")).otherwise(F.col("_base") + F.col("before") + 1).alias("track")))
+        heads.append(level.where("not is_mmp").select("id", "track"))
+        level = level.drop("is_mmp")
+        more = new.groupBy("tree_id").agg(F.max("total").alias("_more"))
+        base = written(base.join(more, "tree_id", "left").select("tree_id", (F.col("_base") + F.coalesce("_more", F.lit(0))).alias("_base")))
+    raise RuntimeError(f"a tree is deeper than {max_levels}, or has a cycle")
 
 
 def accretion(nodes: DataFrame, mass: str = "mass") -> DataFrame:
@@ -192,21 +216,39 @@ def history(rows: DataFrame, track: str, step: str, columns: list[str]) -> DataF
     return order_stats(long, [step, "prop"], "v", mad=False)
 
 
+def living(rows: DataFrame, track: str, step: str, mass: str, least: float = 1e10, epoch: str | None = None) -> DataFrame:
+    """rows of aligned tracks (step 0 the newest) while they live: a track ends before the first step with a mass under
+    `least`, or without a row; with `epoch`, tracks whose newest epoch is not over 1 don't begin."""
+    low = rows.where(~(F.col(mass) >= least) | F.col(mass).isNull()).groupBy(track).agg(F.min(step).alias("_low"))
+    out = rows.join(low, track, "left").where(F.col("_low").isNull() | (F.col(step) < F.col("_low"))).drop("_low")
+    gap = F.col(step) - F.row_number().over(Window.partitionBy(track).orderBy(step)) + 1  # over a track's steps
+    out = out.withColumn("_gap", gap).where("_gap = 0").drop("_gap")
+    if epoch:
+        begun = out.where((F.col(step) == 0) & (F.col(epoch) > 1)).select(track)
+        out = out.join(begun, track, "left_semi")
+    return out
+
+
 def balance(rows: DataFrame, track: str, step: str, value: str, by: list[str] | None = None) -> DataFrame:
-    """Tracks that stay, by step (within `by`): when a track ends, the one of the opposite rank at step 0 ends with it.
+    """rows without those older than where their track was dropped: at each step at which a living track ends, the track of
+    the opposite rank among those alive at that step, by their value there (then by track), goes too (within `by`).
 
-    Ranks come from a range exchange, so no task holds all tracks.
+    The loop is over the steps at which tracks end, on a slim table (track and until when it is kept); ranks come from a
+    range exchange, so no task holds all tracks. A step has a folder of its own, so a round reads that step only.
     """
-    from cosmolith.functions.shared import ranked, with_groups
-
     by = by or []
-    first = ranked(rows.where(F.col(step) == 0).select(*by, track, value), [value, track], "_rank", by).select(*by, track, "_rank")
-    size = first.groupBy(*by).agg(F.count("*").alias("_n"))
-    first = with_groups(first, size, by) if by else first.crossJoin(F.broadcast(size))  # one row
-    ranks = first.join(rows.groupBy(*by, track).agg(F.max(step).alias("_end")), [*by, track])
-    mirror = ranks.select(*by, (F.col("_n") - 1 - F.col("_rank")).alias("_rank"), F.col("_end").alias("_mirror_end"))
-    keep = ranks.join(mirror, [*by, "_rank"]).select(*by, track, F.least("_end", "_mirror_end").alias("_until"))
-    return rows.join(keep, [*by, track]).where(F.col(step) <= F.col("_until")).drop("_until")
+    rows_at = written_by(rows.select(*by, track, step, value), step, track)
+    state = written(rows_at.groupBy(*by, track).agg(F.max(step).alias("_until")))
+    deaths = sorted(r[0] for r in state.select("_until").distinct().collect())  # steps: a few hundred
+    for s in deaths[:-1]:  # after the last nothing is left to balance
+        alive = rows_at.where(F.col(step) == s).join(state.where(F.col("_until") >= s), [*by, track]).select(*by, track, value, (F.col("_until") == s).alias("_ends"))
+        order = written(ranked(alive, [value, track], "_rank", by))
+        size = order.groupBy(*by).agg(F.count("*").alias("_n"))
+        gone = with_groups(order.where("_ends"), size, by) if by else order.where("_ends").crossJoin(F.broadcast(size))  # one row
+        mirror = gone.select(*by, (F.col("_n") - 1 - F.col("_rank")).alias("_rank"))
+        dropped = order.join(mirror, [*by, "_rank"]).select(*by, track).withColumn("_drop", F.lit(True))
+        state = written(state.join(dropped, [*by, track], "left").select(*by, track, F.when(F.col("_drop"), F.least("_until", F.lit(s))).otherwise(F.col("_until")).alias("_until")))
+    return rows.join(state, [*by, track]).where(F.col(step) <= F.col("_until")).drop("_until")
 
 
 def mobility(rows: DataFrame, track: str, step: str, value: str) -> DataFrame:

@@ -394,10 +394,27 @@ def mobility(spark, d):
     return tree.mobility(_steps(spark, d), "user_id", "step", "value")
 
 
-@query(f"""{_EV}, r AS (SELECT user_id, row_number() OVER (ORDER BY value, user_id) k, count(*) OVER () n FROM f WHERE step = 0), e2 AS (SELECT user_id, max(step) m FROM f GROUP BY 1), x AS (SELECT r.*, m FROM r JOIN e2 USING (user_id)),
- u AS (SELECT a.user_id, least(a.m, b.m) until FROM x a JOIN x b ON b.k = a.n + 1 - a.k) SELECT step, count(*) n FROM f JOIN u USING (user_id) WHERE step <= until GROUP BY 1""")
+_OCT = "SELECT user_id, step // 8 AS step, avg(value) AS value, 2 * max(value) AS doubled, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::double errors FROM f GROUP BY 1, 2"
+
+
+def _octets(spark, d) -> DataFrame:
+    """Tracks of users in steps of eight events."""
+    s = F.floor(F.col("step") / 8).cast("int")
+    return _steps(spark, d).groupBy("user_id", s.alias("step")).agg(F.avg("value").alias("value"), (2 * F.max("value")).alias("doubled"), F.count_if(F.col("event_type") == "error").cast("double").alias("errors"))
+
+
+def _balance_sql(columns: list[str]) -> str:
+    """prop, step, user_id of the rows that are left: step by step, a track that ends takes the one of opposite rank with it."""
+    return f"""oc AS ({_OCT}), pv AS (SELECT user_id, step, unnest({columns}) prop, unnest([{", ".join(f"{c}::double" for c in columns)}]) v FROM oc), pd AS (SELECT *, lead(step) OVER (PARTITION BY prop, user_id ORDER BY step) IS NULL ends FROM pv),
+ al AS (SELECT 0::bigint step, prop, user_id FROM pd WHERE step = 0 UNION ALL SELECT step + 1, prop, user_id FROM (SELECT step, prop, user_id, ends, n, k, list(ends) OVER (PARTITION BY prop ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) every
+   FROM (SELECT al.step, al.prop, al.user_id, ends, row_number() OVER (PARTITION BY al.prop ORDER BY v, al.user_id) k, count(*) OVER (PARTITION BY al.prop) n FROM al JOIN pd ON pd.step = al.step AND pd.prop = al.prop AND pd.user_id = al.user_id)) WHERE NOT ends AND NOT every[n + 1 - k])"""
+
+
+@query(f"{_EV.replace('WITH', 'WITH RECURSIVE', 1)}, {_balance_sql(['value', 'doubled'])} SELECT prop, cast(step AS int) step, count(*) n, cast(sum(user_id) AS bigint) ids FROM al GROUP BY 1, 2")
 def balanced_tracks(spark, d):
-    return tree.balance(_steps(spark, d), "user_id", "step", "value").groupBy("step").agg(F.count("*").alias("n"))
+    o = _octets(spark, d)
+    long = o.select("user_id", "step", F.explode(F.array(*(F.struct(F.lit(c).alias("prop"), F.col(c).alias("v")) for c in ("value", "doubled")))).alias("s")).select("user_id", "step", "s.*")
+    return tree.balance(long, "user_id", "step", "v", ["prop"]).groupBy("prop", "step").agg(F.count("*").alias("n"), F.sum("user_id").alias("ids"))
 
 
 # ---- trees: orders -> customers -> nations -> regions as four levels ---------------------------------------------
@@ -576,7 +593,9 @@ def tree_histories(spark, d):
 
 @query(f"""{_TREE}, {_HEADS}, r AS (SELECT id, id root FROM nodes WHERE desc_id = -1 UNION ALL SELECT n.id, r.root FROM nodes n JOIN r ON n.desc_id = r.id),
  o AS (SELECT id root, row_number() OVER (ORDER BY mass DESC, id) tree_count FROM nodes WHERE desc_id = -1),
- k AS (SELECT w.head, row_number() OVER (PARTITION BY root ORDER BY epoch DESC, mass DESC, w.head) track FROM w JOIN r ON r.id = w.id JOIN nodes n ON n.id = w.id WHERE w.id = w.head)
+ g AS (SELECT n.id, n.desc_id, row_number() OVER (PARTITION BY n.desc_id ORDER BY mass DESC, n.id) nth, is_mmp FROM nodes n JOIN best b ON b.id = n.id),
+ bf AS (SELECT id, id root, 0 AS level, [0::bigint] path, false AS main FROM nodes WHERE desc_id = -1 UNION ALL SELECT g.id, bf.root, level + 1, list_append(path, nth), is_mmp FROM g JOIN bf ON g.desc_id = bf.id),
+ k AS (SELECT id head, row_number() OVER (PARTITION BY root ORDER BY level, path) track FROM bf WHERE NOT main)
 SELECT n.id, cast(epoch AS int) list_count, tree_count, track, round(coalesce(mass - lag(mass) OVER (PARTITION BY w.head ORDER BY epoch), 0), 2) mar, round(CASE WHEN degrees(acos(z / sqrt(1 + z * z))) > 90 THEN 90 - degrees(acos(z / sqrt(1 + z * z))) ELSE degrees(acos(z / sqrt(1 + z * z))) END, 2) xrot, 0.0::double zrot
 FROM (SELECT *, mass / 1000.0 - 50 z FROM nodes) n JOIN w ON w.id = n.id JOIN k ON k.head = w.head JOIN r ON r.id = n.id JOIN o ON o.root = r.root""")
 def viewer_export(spark, d):

@@ -103,6 +103,57 @@ def test_small_tree(spark):
     assert {r.id: r.track for r in got} == {1: 1, 2: 1, 3: 2, 4: 1}
 
 
+def test_breadth_first_numbers(spark):
+    """Against the queue itself, on a tree where a deep, light branch comes before a later, heavy one, and on many trees."""
+    import random
+
+    rng, rows = random.Random(4), [(1, -1, 5.0, 1), (2, 1, 4.0, 1), (3, 1, 3.0, 1), (4, 3, 9.0, 1), (5, 3, 1.0, 1), (6, 2, 2.0, 1), (7, 2, 1.0, 1)]
+    for t in range(2, 8):
+        ids = [100 * t]
+        rows.append((100 * t, -1, 1.0, t))
+        for i in range(1, 60 if t == 2 else 12):
+            rows.append((100 * t + i, rng.choice(ids), float(rng.randint(1, 4)), t))
+            ids.append(100 * t + i)
+    kids = {}
+    for i, d, m, _ in sorted(rows, key=lambda r: (-r[2], r[0])):
+        kids.setdefault(d, []).append(i)
+    want = {}
+    for root in kids[-1]:
+        want[root], used, level = 1, 1, [root]
+        while level:
+            below = [(k, d, n) for d in level for n, k in enumerate(kids.get(d, []))]
+            for k, d, n in below:
+                used += n > 0
+                want[k] = want[d] if n == 0 else used
+            level = [k for k, _, _ in below]
+    nodes = spark.createDataFrame(rows, "id long, desc_id long, mass double, tree_id int").withColumns({"epoch": F.lit(1.0), "upid": F.lit(-1)})
+    got = {r.id: r.track for r in tree.track_numbers(nodes).collect()}
+    assert got == want and [got[i] for i in range(1, 8)] == [1, 1, 2, 2, 4, 1, 3]
+
+
+def test_balance_step_by_step(spark):
+    """Against the loop over steps: the partner is the track of the opposite rank at the step where a track ends."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(prop, t, s, float(rng.randint(0, 6))) for prop in "ab" for t in range(21) for s in range(rng.choice([2, 3, 3, 5, 8]) + (t % 3))]
+    want = set()
+    for prop in "ab":
+        at = {(t, s): v for p, t, s, v in rows if p == prop}
+        alive, s = sorted(t for t, k in at if k == 0), 0
+        while alive:
+            order = sorted(alive, key=lambda t: (at[t, s], t))  # noqa: B023
+            want |= {(prop, t, s) for t in order}
+            dead = {i for i, t in enumerate(order) if (t, s + 1) not in at}
+            alive = [t for i, t in enumerate(order) if i not in dead and len(order) - 1 - i not in dead]
+            s += 1
+    got = tree.balance(spark.createDataFrame(rows, "prop string, t int, s int, v double"), "t", "s", "v", ["prop"]).collect()
+    assert {(r.prop, r.t, r.s) for r in got} == want and len(got) == len(want)
+    mass = spark.createDataFrame([(1, 0, 2e10, 1.002), (1, 1, 1e11, 0.9), (1, 2, 9e9, 0.8), (1, 3, 5e10, 0.7), (2, 0, 1e10, 0.99), (3, 0, 3e10, 1.002), (3, 2, 3e10, 0.8), (4, 0, None, 1.002)], "t int, s int, m double, a double")
+    assert sorted((r.t, r.s) for r in tree.living(mass, "t", "s", "m").collect()) == [(1, 0), (1, 1), (2, 0), (3, 0)]
+    assert sorted((r.t, r.s) for r in tree.living(mass, "t", "s", "m", epoch="a").collect()) == [(1, 0), (1, 1), (3, 0)]
+
+
 def test_spline_hits_its_knots():
     x, y = np.array([0.0, 1, 3, 4]), np.array([1.0, 2, 0, 5])
     assert np.allclose(profiles.spline_at(x, y, x), y)
