@@ -21,6 +21,7 @@ from cosmolith.llm.common import buffers, delete, runs, table, words, written
 BUCKETS = 1 << 16
 ROUNDS, TOLERANCE = 100, 1e-3  # of EM: at most so many rounds, until no share moves by more
 MOST = 2000  # languages; a model of 1 GB on the driver and 0.5 GB in a worker
+CELLS = 16 << 20  # bytes of text times languages that are worked on at a time (a longer text is a turn of its own)
 UNKNOWN = "und"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -152,7 +153,7 @@ def predict(docs: DataFrame, keep: list[str], names: list[str], model: np.ndarra
         names, model = shared.value
         for batch in batches:
             buf, offsets = buffers(batch.column("text"))
-            parts = [infer(buf, offsets[lo : hi + 1], model) for lo, hi in runs(offsets)]
+            parts = [infer(buf, offsets[lo : hi + 1], model) for lo, hi in runs(offsets, CELLS // max(1, len(model)))]
             share = np.concatenate(parts) if parts else np.zeros((0, len(names)), np.float32)
             letter = batch.column("_letter").to_numpy(zero_copy_only=False) & (share.sum(axis=1) > 0)
             at = share.argmax(axis=1) if len(names) else np.zeros(len(share), int)
