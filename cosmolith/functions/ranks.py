@@ -10,19 +10,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cosmolith.functions.segments import small
 from cosmolith.functions.shared import at_rank, counted, same_keys, written
 
 GRID = 500  # steps of the sketch; a bracket spans four of them
+FEW_ROWS = 1 << 21  # of a table, counted, that is sorted without a sketch: a task could hold them all
 ACCURACY = 10_000  # the sketch's rank error is at most a row in so many
 
 
-def values_at(df: DataFrame, y: str, by: list[str], ranks: dict[str, Column]) -> DataFrame:
+def values_at(df: DataFrame, y: str, by: list[str], ranks: dict[str, Column], rows: int, few: int = FEW_ROWS) -> DataFrame:
     """by, n (the group's rows) and the value of y at each 0-based rank, a column of `ranks` in terms of the column n.
 
-    df is a written table whose y are finite doubles; ranks lie within the group.
+    df is a written table of `rows` rows whose y are finite doubles; ranks lie within the group. Up to `few` rows, whatever
+    their groups, are sorted as they are: a sketch would cost more than it saves.
     """
+    if rows <= few:
+        placed = df.select(*by, y, (F.row_number().over(Window.partitionBy(*by).orderBy(y)) - 1).alias("_i"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
+        return placed.groupBy(*by, "n").agg(*(F.max(F.when(F.col("_i") == r.cast("long"), F.col(y))).alias(k) for k, r in ranks.items()))
     at = ", ".join(f"{i / GRID!r}D" for i in range(GRID + 1))
     sketch = df.groupBy(*by).agg(F.count("*").alias("n"), F.expr(f"percentile_approx(`{y}`, array({at}), {ACCURACY})").alias("_q")).where("n > 0")
     wanted = {k: r.cast("long").alias(f"_r{i}") for i, (k, r) in enumerate(ranks.items())}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cosmolith.functions.ranks import values_at
+from cosmolith.functions.ranks import FEW_ROWS, values_at
 from cosmolith.functions.segments import small
 from cosmolith.functions.shared import counted, finite, ranked, same_keys, with_groups, written
 from cosmolith.operators.binning import bucket, order_values, span
@@ -35,16 +35,17 @@ def _indices(n):
     }
 
 
-def order_stats(df: DataFrame, by: list[str], y: str, mad: bool = True) -> DataFrame:
-    """by, n, median, d20, d80, ci_lo, ci_hi (and mad) of the finite y of each group. Each rank is bracketed by a sketch, so that
-    only values near the wanted ones are exchanged; the deviations are bracketed in the same way."""
+def order_stats(df: DataFrame, by: list[str], y: str, mad: bool = True, few: int = FEW_ROWS) -> DataFrame:
+    """by, n, median, d20, d80, ci_lo, ci_hi (and mad) of the finite y of each group. In a table of more than `few` rows each
+    rank is bracketed by a sketch, so that only values near the wanted ones are exchanged; the deviations likewise."""
     values = written(df.where(finite(y)).select(*by, F.col(y).cast("double").alias("_y")))
-    stats = values_at(values, "_y", by, _indices(F.col("n")))
+    rows = values.count()
+    stats = values_at(values, "_y", by, _indices(F.col("n")), rows, few)
     stats = stats.withColumn("median", (F.col("m_lo") + F.col("m_hi")) / 2).drop("m_lo", "m_hi")
     if mad:
         stats = written(stats)
         dev = same_keys(values, small(stats.select(*by, "median")), by, "inner").select(*by, F.abs(F.col("_y") - F.col("median")).alias("_d"))
-        stats = same_keys(stats, values_at(dev, "_d", by, {"mad": F.floor(F.col("n") * F.lit(0.5))}).drop("n"), by)
+        stats = same_keys(stats, values_at(dev, "_d", by, {"mad": F.floor(F.col("n") * F.lit(0.5))}, rows, few).drop("n"), by)
     return stats
 
 

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cosmolith.functions.ranks import values_at
+from cosmolith.functions.ranks import FEW_ROWS, values_at
 from cosmolith.functions.segments import under
 from cosmolith.functions.shared import finite, written
 
@@ -38,7 +38,7 @@ def parse_thresholds(text: str) -> tuple[str, list]:
     return kind, [parse_range(x) for x in items] if "r" in head else [float(x) for x in items]
 
 
-def order_values(df: DataFrame, x: str, at) -> list[float]:
+def order_values(df: DataFrame, x: str, at, few: int = FEW_ROWS) -> list[float]:
     """The finite values of x at the 0-based ranks that at(n) gives, clamped to the table."""
     values = written(df.where(finite(x)).select(F.col(x).cast("double").alias("v")))
     n = values.count()
@@ -46,7 +46,7 @@ def order_values(df: DataFrame, x: str, at) -> list[float]:
         return []
     want = [min(max(int(i), 0), n - 1) for i in at(n)]
     ranks = sorted(set(want))
-    found = values_at(values, "v", [], {f"v{i}": F.lit(i) for i in ranks}).first()
+    found = values_at(values, "v", [], {f"v{i}": F.lit(i) for i in ranks}, n, few).first()
     return [found[f"v{i}"] for i in want]
 
 

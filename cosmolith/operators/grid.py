@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cosmolith.functions.astro import gaussian_kernel
-from cosmolith.functions.segments import small
+from cosmolith.functions.segments import FEW
 from cosmolith.functions.shared import with_groups, written
 
 AXES = ("ix", "iy", "iz")
@@ -131,8 +131,8 @@ def structure_extents(voxels: DataFrame, cell: float, dim: int) -> DataFrame:
     return out.withColumn("volume", volume).withColumn("radius", cell * F.sqrt("n") / F.lit(math.pi))
 
 
-LEAF = 32  # voxels that a box of the tree is not divided under
-DEEPEST = 16  # levels; boxes there are leaves whatever they hold
+LEAF = 64  # voxels that a box of the tree is not divided under
+BITS, DEEPEST = 2, 16  # each level divides an axis by 2 ** BITS; at DEEPEST bits a box is a leaf, whatever it holds
 
 
 def _apart(p: Column, lo: Column, hi: Column, box: float) -> Column:
@@ -140,35 +140,38 @@ def _apart(p: Column, lo: Column, hi: Column, box: float) -> Column:
     return F.least(*(F.greatest(lo - (p + s), (p + s) - hi, F.lit(0.0)) for s in (-box, 0.0, box)))
 
 
-def box_tree(voxels: DataFrame, box: float) -> tuple[list[DataFrame], DataFrame]:
-    """(levels, leaves) of a tree of boxes over voxels(vx, vy, vz, ...), each box cut in half on each axis.
+def box_tree(voxels: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(levels, leaves) of a tree of boxes over voxels(vx, vy, vz, ...), each axis of a box cut in 2 ** BITS, from their bounds on.
 
     levels[d]: parent, node (numbers of boxes), leaf, the box's voxels' own bounds and one of them. leaves: the voxels
     with the node of their leaf. A box of at most LEAF voxels is a leaf; only voxels of larger ones go on to the next level.
     """
     cells = 1 << DEEPEST
-    place = lambda a: F.greatest(F.least(F.floor(F.col(f"v{a}") / box * cells), F.lit(cells - 1)), F.lit(0)).cast("long")
-    left = voxels.withColumns({f"_{a}": place(a) for a in "xyz"})
-    levels, leaves = [], None
-    for depth in range(DEEPEST + 1):
-
-        def node(d: int) -> Column:
-            """The box at depth d: a leading 1, then d bits of each axis."""
-            part = lambda a, k: F.shiftright(f"_{a}", DEEPEST - d) * (1 << d * k)
-            return F.lit(1 << 3 * d) + part("x", 2) + part("y", 1) + part("z", 0)
-
-        left = left.withColumns({"node": node(depth), "parent": node(max(0, depth - 1))})
-        ends = [f(f"v{a}").alias(f"_{n}{a}") for a in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]
-        at = written(left.groupBy("parent", "node").agg(F.count("*").alias("_n"), F.min(F.struct("vx", "vy", "vz")).alias("_one"), *ends))
+    ends = voxels.agg(*(f(f"v{a}").cast("double") for a in "xyz" for f in (F.min, F.max))).first()
+    lo, wide = {a: ends[2 * i] or 0.0 for i, a in enumerate("xyz")}, {a: (ends[2 * i + 1] or 0.0) - (ends[2 * i] or 0.0) or 1.0 for i, a in enumerate("xyz")}
+    place = lambda a: F.greatest(F.least(F.floor((F.col(f"v{a}") - lo[a]) / wide[a] * cells), F.lit(cells - 1)), F.lit(0)).cast("long")
+    left, levels = voxels.withColumns({f"_{a}": place(a) for a in "xyz"}).withColumn("node", F.lit(None).cast("long")), []
+
+    def box(depth: int) -> Column:
+        """The box at a depth: a leading 1, then as many bits of each axis."""
+        part = lambda a, k: F.shiftright(f"_{a}", DEEPEST - depth) * (1 << depth * k)
+        return F.lit(1 << 3 * depth) + part("x", 2) + part("y", 1) + part("z", 0)
+
+    for depth in range(BITS, DEEPEST + 1, BITS):
+        found = [f(f"v{a}").alias(f"_{n}{a}") for a in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))]
+        at = written(left.where("node is null").groupBy(box(depth - BITS).alias("parent"), box(depth).alias("node")).agg(F.count("*").alias("_n"), F.min(F.struct("vx", "vy", "vz")).alias("_one"), *found))
         leaf = (F.col("_n") <= LEAF) | F.lit(depth == DEEPEST)
-        levels.append(at.select("parent", "node", leaf.alias("leaf"), "_one", *(f"_{n}{a}" for a in "xyz" for n in ("lo", "hi"))))
-        kinds = left.join(small(at.select("node", leaf.alias("_leaf"))), "node")
-        done = kinds.where("_leaf").select(*voxels.columns, "node")
-        leaves = done if leaves is None else leaves.unionByName(done)
-        if at.where(~leaf).isEmpty():
+        boxes, most = at.agg(F.count("*"), F.max("_n")).first()
+        near = F.broadcast if boxes <= FEW else (lambda x: x)
+        levels.append(near(at.select("parent", "node", leaf.alias("leaf"), "_one", *(f"_{n}{a}" for a in "xyz" for n in ("lo", "hi")))))
+        closed = near(at.where(leaf).select(F.col("node").alias("_closed")))
+        left = left.withColumn("_box", F.when(F.col("node").isNull(), box(depth))).join(closed, F.col("_box") == F.col("_closed"), "left")
+        left = left.withColumn("node", F.coalesce("node", "_closed")).drop("_box", "_closed")
+        if (most or 0) <= LEAF:
             break
-        left = written(kinds.where("not _leaf").drop("_leaf"))
-    return levels, written(leaves)
+        if depth % (4 * BITS) == 0:  # some levels are one plan
+            left = written(left)
+    return levels, written(left.select(*voxels.columns, "node"))
 
 
 def nearest_structure(points: DataFrame, voxels: DataFrame, box: float) -> DataFrame:
@@ -181,7 +184,7 @@ def nearest_structure(points: DataFrame, voxels: DataFrame, box: float) -> DataF
     """
     size = voxels.groupBy("structure").agg(F.count("*").alias("_size"))
     v = with_groups(voxels.where("structure > -1"), size, ["structure"]).select("structure", "_size", *(F.col(a).cast("double").alias(f"v{a}") for a in "xyz"))
-    levels, leaves = box_tree(written(v), box)
+    levels, leaves = box_tree(written(v))
 
     def squared(there) -> Column:
         out = F.lit(0.0)
@@ -193,12 +196,12 @@ def nearest_structure(points: DataFrame, voxels: DataFrame, box: float) -> DataF
     least = sum((F.pow(_apart(F.col(a), F.col(f"_lo{a}"), F.col(f"_hi{a}"), box), F.lit(2.0)) for a in "xyz"), F.lit(0.0))
     open_ = points.select("id", "x", "y", "z", F.lit(1).cast("long").alias("parent"), F.lit(float("inf")).alias("_bound"))
     held = None  # leaves that a point may have to look into
-    for boxes in levels:
-        met = open_.join(small(boxes), "parent").select("id", "x", "y", "z", "node", "leaf", least.alias("_least"), F.least("_bound", squared(lambda a: f"_one.v{a}") * (1 + 1e-9)).alias("_bound"))
+    for depth, boxes in enumerate(levels):
+        met = open_.join(boxes, "parent").select("id", "x", "y", "z", "node", "leaf", least.alias("_least"), F.least("_bound", squared(lambda a: f"_one.v{a}") * (1 + 1e-9)).alias("_bound"))
         if held is not None:
             met = met.unionByName(held)
         met = met.withColumn("_bound", F.min("_bound").over(Window.partitionBy("id"))).where("_least <= _bound")  # over a point's few boxes
-        met = written(met)
+        met = written(met) if depth % 4 == 3 else met  # some levels are one plan
         held = met.where("leaf")
         open_ = met.where("not leaf").select("id", "x", "y", "z", F.col("node").alias("parent"), "_bound")
     best = held.join(leaves, "node").withColumn("_d2", squared(lambda a: f"v{a}")).groupBy("id").agg(F.first(F.struct("x", "y", "z")).alias("p"), F.min(F.struct(F.col("_d2").alias("d2"), (-F.col("_size")).alias("s"), "structure", "vx", "vy", "vz")).alias("b"))

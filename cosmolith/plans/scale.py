@@ -71,9 +71,9 @@ def many_range_bins(spark, d):
  dv AS (SELECT r.k, r.n, row_number() OVER (PARTITION BY r.k ORDER BY abs(y - median)) - 1 i, abs(y - median) dev FROM r JOIN st ON r.k IS NOT DISTINCT FROM st.k)
 SELECT st.k, st.n, round(median, 6) median, round(d20, 6) d20, round(dev, 6) mad FROM st JOIN dv ON st.k IS NOT DISTINCT FROM dv.k AND i = st.n // 2""")
 def group_order_stats(spark, d):
-    """Groups by supplier, one of them (without a name) a third of all rows."""
+    """Groups by supplier, one of them (without a name) a third of all rows; always by sketched brackets."""
     rows = _t(spark, d, "lineitem").select(F.when(F.col("l_suppkey") % 3 > 0, F.col("l_suppkey")).alias("k"), "l_extendedprice")
-    return _round(agg.order_stats(rows, ["k"], "l_extendedprice").select("k", "n", "median", "d20", "mad"))
+    return _round(agg.order_stats(rows, ["k"], "l_extendedprice", few=0).select("k", "n", "median", "d20", "mad"))
 
 
 # ---- grids: extents across faces, wide kernels, dense boxes ------------------------------------------------------
@@ -118,3 +118,12 @@ def nearest_dense(spark, d):
     line = _t(spark, d, "lineitem")
     v = line.select((F.col("l_orderkey") % 7).alias("structure"), (40 + F.col("l_extendedprice") % 5).alias("x"), (40 + F.col("l_quantity") / 20).alias("y"), (95 + (F.col("l_partkey") % 1000) / 200.0).alias("z"))
     return grid.nearest_structure(_positions(spark, d).drop("structure"), v, BOX).select("id", F.round("dist", 6).alias("dist"))
+
+
+@query("""WITH s AS (SELECT o_totalprice v, row_number() OVER (ORDER BY o_totalprice) - 1 r, count(*) OVER () n FROM orders), p AS (SELECT * FROM (VALUES (0.0), (1.0), (33.3), (50.0), (99.9)) t(percent))
+SELECT cast(percent AS double) percent, v AS value FROM s JOIN p ON r = least(cast(floor(n * percent / 100) AS bigint), n - 1)""")
+def price_percentiles(spark, d):
+    """Ranks of a whole table by sketched brackets."""
+    ask = [0.0, 1.0, 33.3, 50.0, 99.9]
+    found = binning.order_values(_t(spark, d, "orders"), "o_totalprice", lambda n: [int(n * p / 100) for p in ask], few=0)
+    return spark.createDataFrame(list(zip(ask, found, strict=True)), "percent double, value double")

@@ -37,10 +37,10 @@ def test_a_point_carries_few_boxes(spark):
     rng = random.Random(3)
     for n in (2_000, 40_000):
         v = spark.createDataFrame([(1, *(rng.uniform(4, 5) for _ in "xyz")) for _ in range(n)], "structure int, vx double, vy double, vz double")
-        levels, leaves = grid.box_tree(v, 10.0)
+        levels, leaves = grid.box_tree(v)
         sizes = [r["count"] for r in leaves.groupBy("node").count().collect()]
         assert max(sizes) <= grid.LEAF and sum(sizes) == n
-        assert sum(x.count() for x in levels) < n / 2
+        assert sum(x.count() for x in levels) < n / 4
 
 
 def test_structures_across_faces(spark):
