@@ -28,9 +28,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
-def under(edges: Column, x: Column, most: int) -> Column:
-    """How many of a rising array's elements (at most `most`) are less than x, by bisection."""
-    start = F.struct(F.lit(0).alias("lo"), F.size(edges).alias("hi"))
+def under(edges: Column, x: Column, most: int, between: tuple[Column, Column] | None = None) -> Column:
+    """How many of a rising array's elements are less than x, by bisection; between: that number is known to lie between
+    these, at most `most` apart (else in the whole array, of at most `most` elements)."""
+    lo, hi = between or (F.lit(0), F.size(edges))
+    start = F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
 
     def step(acc: Column, _: Column) -> Column:
         mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")

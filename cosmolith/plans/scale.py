@@ -120,10 +120,10 @@ def nearest_dense(spark, d):
     return grid.nearest_structure(_positions(spark, d).drop("structure"), v, BOX).select("id", F.round("dist", 6).alias("dist"))
 
 
-@query("""WITH s AS (SELECT o_totalprice v, row_number() OVER (ORDER BY o_totalprice) - 1 r, count(*) OVER () n FROM orders), p AS (SELECT * FROM (VALUES (0.0), (1.0), (33.3), (50.0), (99.9)) t(percent))
+@query("""WITH s AS (SELECT o_totalprice v, row_number() OVER (ORDER BY o_totalprice) - 1 r, count(*) OVER () n FROM orders), p AS (SELECT * FROM (VALUES (0.0), (1.0), (33.5), (50.0), (99.5)) t(percent))
 SELECT cast(percent AS double) percent, v AS value FROM s JOIN p ON r = least(cast(floor(n * percent / 100) AS bigint), n - 1)""")
 def price_percentiles(spark, d):
     """Ranks of a whole table by sketched brackets."""
-    ask = [0.0, 1.0, 33.3, 50.0, 99.9]
+    ask = [0.0, 1.0, 33.5, 50.0, 99.5]
     found = binning.order_values(_t(spark, d, "orders"), "o_totalprice", lambda n: [int(n * p / 100) for p in ask], few=0)
     return spark.createDataFrame(list(zip(ask, found, strict=True)), "percent double, value double")

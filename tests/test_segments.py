@@ -85,3 +85,16 @@ def test_bisection(spark):
     for edges in ([], [3.0], [0.0, 1.0, 1.5, 4.0, 9.0, 11.0, 11.5]):
         arr = F.lit(edges).cast("array<double>") if edges else F.array().cast("array<double>")
         assert [r.n for r in d.select(under(arr, F.col("x"), len(edges)).alias("n"), "x").orderBy("x").collect()] == [sum(e < x for e in edges) for x in range(-2, 14)]
+
+
+def test_ranges_that_overlap(spark):
+    """Every row in every range that holds it: infinite, empty, repeated and crowded ranges, values at their ends."""
+    from cosmolith.operators.binning import assign_bins
+
+    rng, inf = random.Random(2), float("inf")
+    for n in (0, 1, 40, 400):
+        edges = [(rng.choice([-inf, rng.randint(0, 50), 20 + rng.randint(0, 40) / 1e6]), rng.choice([inf, rng.randint(0, 50), 20 + rng.randint(0, 40) / 1e6])) for _ in range(n)] + [(-1e300, 1e300)] * (n > 1)
+        xs = [-inf, inf, float("nan"), None, -1e308, 1e308] + [float(x) for x in range(-1, 52)] + [20 + i / 2e6 for i in range(90)]
+        d = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
+        got = sorted((r.i, r.bin_id, r.lo, r.hi) for r in assign_bins(d, "x", edges).collect())
+        assert got == sorted((i, k, float(a), float(b)) for i, x in enumerate(xs) if x is not None for k, (a, b) in enumerate(edges) if a < x <= b)
