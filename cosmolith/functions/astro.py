@@ -111,9 +111,34 @@ def scale_radius_jiang(rvir, rs) -> Column:
     return safe_log10(_c(rs) * F.pow(_c(rvir) / _c(rs) / 7.0, F.lit(0.4)))
 
 
-def dyn_ssfr(sfr, log_mass, draw) -> Column:
-    """Specific rate; a quiescent galaxy gets 10 ** (-12 + 0.2 draw) from a given normal draw."""
-    return F.when(_c(sfr) == 0, F.pow(F.lit(10.0), -12 + 0.2 * _c(draw))).otherwise(_c(sfr) / F.pow(F.lit(10.0), _c(log_mass)))
+RETRIES = 64  # points drawn for a variate at most; a chance of 1e-43 finds none within the circle
+
+
+def normal(*key, seed: int = 0, mean: float = 0.0, deviation: float = 1.0) -> Column:
+    """A normal variate that depends on the key columns and the seed alone: the same in any partition and on any retry.
+
+    The polar rule on points of the square whose coordinates are 52 bits each of a hash of key, seed and the number of
+    the try; the first point within the unit circle counts. Rows alike in key have the same variate.
+    """
+    name = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in key))
+
+    def unit(h: Column, at: int) -> Column:
+        return F.conv(F.substring(h, at, 13), 16, 10).cast("double") * F.lit(2.0**-51) - 1
+
+    def step(acc: Column, i: Column) -> Column:
+        h = F.transform(F.array(F.md5(F.concat_ws("|", name, i.cast("string")).cast("binary"))), lambda h: F.struct(unit(h, 1).alias("x"), unit(h, 14).alias("y")))
+        drawn = F.get(F.transform(h, lambda p: F.struct(p["x"].alias("x"), (p["x"] * p["x"] + p["y"] * p["y"]).alias("w"))), 0)
+        return F.when((acc["w"] > 0) & (acc["w"] < 1), acc).otherwise(drawn)  # nothing is drawn once a point has been found
+
+    start = F.struct(F.lit(0.0).alias("x"), F.lit(2.0).alias("w"))
+    z = F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES)), start, step, lambda p: p["x"] * F.sqrt(-2 * F.log(p["w"]) / p["w"]))
+    return F.lit(float(mean)) + F.lit(float(deviation)) * z
+
+
+def dyn_ssfr(sfr, log_mass, draw=None, key: tuple = (), seed: int = 0) -> Column:
+    """Specific rate; a quiescent galaxy gets 10 ** (-12 + 0.2 draw), of a normal draw by its key columns if none is given."""
+    z = normal(*key, seed=seed) if draw is None else _c(draw)
+    return F.when(_c(sfr) == 0, F.pow(F.lit(10.0), -12 + 0.2 * z)).otherwise(_c(sfr) / F.pow(F.lit(10.0), _c(log_mass)))
 
 
 def gaussian_kernel(fwhm: float, cutoff: float = 1e-5) -> list[tuple[int, float]]:

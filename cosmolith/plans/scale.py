@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cosmolith.functions import astro
 from cosmolith.operators import aggregates as agg
 from cosmolith.operators import binning, grid, tracks
 from cosmolith.plans.catalogue import _CELL, _POS, BOX, _events, _positions, _round, _t, query
@@ -127,3 +128,17 @@ def price_percentiles(spark, d):
     ask = [0.0, 1.0, 33.5, 50.0, 99.5]
     found = binning.order_values(_t(spark, d, "orders"), "o_totalprice", lambda n: [int(n * p / 100) for p in ask], few=0)
     return spark.createDataFrame(list(zip(ask, found, strict=True)), "percent double, value double")
+
+
+# ---- normal variates by key --------------------------------------------------------------------------------------
+
+_DRAWN = "list_transform(range(1, 65), lambda i: md5('7|' || event_id || '|' || user_id || '|' || i))"
+_UNIT = "(cast('0x' || substr(h, {0}, 13) AS bigint) * power(2.0::double, -51) - 1)"
+
+
+@query(f"""WITH d AS (SELECT event_id, value, list_filter(list_transform({_DRAWN}, lambda h: struct_pack(x := {_UNIT.format(1)}, w := power({_UNIT.format(1)}, 2) + power({_UNIT.format(14)}, 2))), lambda p: p.w > 0 AND p.w < 1)[1] p FROM events),
+ z AS (SELECT event_id, value, p.x * sqrt(-2 * ln(p.w) / p.w) z FROM d) SELECT event_id, round(z, 6) draw, round(CASE WHEN value < 20 THEN -12 + 0.2 * z ELSE log10(value) - 9 END, 6) log_ssfr FROM z""")
+def normal_draws(spark, d):
+    """Specific rates with a normal draw for each galaxy at rest, the same under any partitioning."""
+    e, key = _t(spark, d, "events").withColumns({"sfr": F.when(F.col("value") < 20, 0.0).otherwise(F.col("value")), "log_mass": F.lit(9.0)}), ("event_id", "user_id")
+    return e.select("event_id", F.round(astro.normal(*key, seed=7), 6).alias("draw"), F.round(F.log10(astro.dyn_ssfr("sfr", "log_mass", key=key, seed=7)), 6).alias("log_ssfr"))

@@ -354,3 +354,16 @@ def test_merger_epochs_are_inherited(spark):
     assert {r.id: r.almms for r in tree.stellar_merger(t).collect()} == {1: 0.8, 2: 0.8, 3: -1.0, 4: -1.0}
     assert {r.id: r.almms for r in tree.stellar_merger(t, 3.0, pairwise=True).collect()} == {1: 0.8, 2: 0.8, 3: 0.6, 4: 0.6}
     assert {r.id: (r.almm2, r.alminm) for r in tree.subhalo_mergers(t).collect()} == {1: (0.8, 0.8), 2: (0.8, 0.8), 3: (0.6, 0.6), 4: (0.6, 0.6)}
+
+
+def test_normal_variates(spark):
+    """Moments and tails of a standard normal; the same under any partitioning; keys, nulls and seeds tell draws apart."""
+    d = spark.range(20_000).withColumn("k", F.when(F.col("id") % 3 > 0, F.col("id") % 7))
+    draw = lambda rows, seed=1: {r.id: r.z for r in rows.select("id", astro.normal("id", "k", seed=seed).alias("z")).collect()}
+    one = draw(d)
+    z = np.array(list(one.values()))
+    assert abs(z.mean()) < 0.03 and abs(z.std() - 1) < 0.03 and abs((z**3).mean()) < 0.08 and abs((z**4).mean() - 3) < 0.25
+    assert abs((np.abs(z) < 1.96).mean() - 0.95) < 0.006 and len(set(one.values())) == len(one)
+    assert draw(d.repartition(7, "k")) == one and draw(d, 2)[5] != one[5]
+    moved = d.select(astro.normal("id", "k", seed=1, mean=3.0, deviation=2.0).alias("z"), "id").where("id = 9").first()
+    assert moved.z == pytest.approx(3 + 2 * one[9])
