@@ -9,7 +9,7 @@ row for each segment of a long track, whose own scan is over as many rows as the
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, WindowSpec
@@ -50,9 +50,14 @@ class Segments:
     track: str
     t: str
     long: bool
+    ties: Sequence[str] = ()
 
     def window(self, *also: str) -> WindowSpec:
-        return Window.partitionBy(self.track, "_seg", *also).orderBy(self.t)
+        return Window.partitionBy(self.track, "_seg", *also).orderBy(self.t, *self.ties)
+
+    def place(self) -> Column:
+        """A row's place in its track, for max_by."""
+        return F.struct(self.t, *self.ties)
 
     def _summed(self, **states: Column) -> DataFrame:
         """track, _seg and the states of each segment of a long track."""
@@ -71,19 +76,20 @@ class Segments:
         return self.having(self.rows.join(found, on, "left").drop("_track", "_s"))
 
     def having(self, rows: DataFrame) -> Segments:
-        return Segments(rows, self.track, self.t, self.long)
+        return Segments(rows, self.track, self.t, self.long, self.ties)
 
     def done(self, *drop: str) -> DataFrame:
         return self.rows.drop("_seg", "_long", *drop)
 
 
-def segmented(df: DataFrame, track: str, t: str, longest: int | None = None) -> Segments:
-    """df cut into segments of about `longest` rows; equal values of t are in one segment. t is a number, date or timestamp."""
+def segmented(df: DataFrame, track: str, t: str, longest: int | None = None, ties: Sequence[str] = ()) -> Segments:
+    """df cut into segments of about `longest` rows; equal values of t are in one segment, where the columns `ties` order them.
+    t is a number, date or timestamp."""
     longest = longest or LONGEST
     counts = df.groupBy(F.col(track).alias("_track")).count()
     most = counts.agg(F.max("count")).first()[0] or 0
     if most <= longest:
-        return Segments(df.withColumns({"_seg": F.lit(0), "_long": F.lit(False)}), track, t, False)
+        return Segments(df.withColumns({"_seg": F.lit(0), "_long": F.lit(False)}), track, t, False, ties)
     counts = written(counts.where(F.col("count") > longest))
     n = min(MOST_CUTS, math.ceil(most / longest))
     same = F.col(track).eqNullSafe(F.col("_track"))
@@ -91,10 +97,10 @@ def segmented(df: DataFrame, track: str, t: str, longest: int | None = None) ->
     cuts = df.join(small(counts.select("_track")), same).groupBy("_track").agg(F.expr(f"array_distinct(percentile_approx(`{t}`, array({at})))").alias("_cuts"))
     rows = df.join(small(written(cuts)), same, "left").withColumn("_long", F.col("_cuts").isNotNull())
     rows = rows.withColumn("_seg", F.when(F.col("_long"), F.coalesce(under(F.col("_cuts"), F.col(t), n), F.lit(0))).otherwise(0).cast("int"))
-    return Segments(rows.drop("_track", "_cuts"), track, t, True)
+    return Segments(rows.drop("_track", "_cuts"), track, t, True, ties)
 
 
-def bordered(df: DataFrame, track: str, t: str, before: int, after: int, longest: int | None = None, mirrored: bool = False) -> tuple[DataFrame, WindowSpec]:
+def bordered(df: DataFrame, track: str, t: str, before: int, after: int, longest: int | None = None, mirrored: bool = False, ties: Sequence[str] = ()) -> tuple[DataFrame, WindowSpec]:
     """(rows, window): rows of df with _ghost, and a window over them whose frames reach `before` rows back and `after` on.
 
     Long tracks are numbered through by their segments' counts and cut into blocks of `longest` rows; the rows within reach
@@ -102,9 +108,9 @@ def bordered(df: DataFrame, track: str, t: str, before: int, after: int, longest
     in mirrored order (d c b a | a b c d | d c b a), again and again where it has fewer rows than the reach. t must not repeat.
     """
     longest = max(longest or LONGEST, before, after, 1)
-    cut = segmented(df, track, t, longest)
+    cut = segmented(df, track, t, longest, ties)
     if not cut.long and not mirrored:
-        return cut.rows.withColumns({"_ghost": F.lit(False), "_block": F.lit(0)}), Window.partitionBy(track, "_block").orderBy(t)
+        return cut.rows.withColumns({"_ghost": F.lit(False), "_block": F.lit(0)}), Window.partitionBy(track, "_block").orderBy(t, *ties)
     counted = cut.carried({"_n": F.count(F.lit(1))}, lambda w: {"_earlier": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_all": F.sum("_n").over(Window.partitionBy("_track"))})
     own = F.row_number().over(counted.window()) - 1
     whole = F.count(F.lit(1)).over(Window.partitionBy(track, "_seg"))

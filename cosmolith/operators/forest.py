@@ -6,6 +6,7 @@ it, in joins and aggregates by id, and are written, so a lost executor costs one
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -96,21 +97,22 @@ def accreted(nodes: DataFrame, names: Names = Names()) -> DataFrame:
     return per.withColumns({"lumpy_share": F.try_divide(F.col("lumpy"), total), "smooth_share": F.try_divide(F.col("smooth"), total), "merger_mean": F.coalesce(F.try_divide(F.col("lumpy"), F.col("n_mergers")), F.lit(0.0))})
 
 
-def span_rates(rows: DataFrame, track: str, t: str, columns: list[str], span: Column, per: float = 1.0) -> DataFrame:
+def span_rates(rows: DataFrame, track: str, t: str, columns: list[str], span: Column, per: float = 1.0, ties: Sequence[str] = ()) -> DataFrame:
     """rows with {c}_dyn: the change of c over a span back, over the span times `per`. The span is an expression of the row.
 
     The value a span back is interpolated between the track's neighbouring rows. A row younger than its span is compared
     with the track's first row; the first row has the rate of the one after it. A track is exchanged once: each row is
     doubled into a sample at t and a question at t - span, and a window hands every question the sample before it.
+    Rows alike in t are ordered by the columns `ties`.
     """
     names = rows.columns
-    w = Window.partitionBy(track).orderBy(t)
+    w = Window.partitionBy(track).orderBy(t, *ties)
     pack = lambda f: F.struct(f(F.col(t)).cast("double").alias("t"), *(f(F.col(c)).cast("double").alias(c) for c in columns))
     own = rows.withColumn("_span", span.cast("double")).withColumn("_first", pack(lambda c: F.first(c).over(w)))
     own = own.withColumn("_sample", F.struct(pack(lambda c: c).alias("a"), pack(lambda c: F.lead(c).over(w)).alias("b")))
     doubled = own.withColumn("_k", F.explode(F.array(F.lit(0), F.lit(1))))
     doubled = doubled.withColumn("_at", F.col(t).cast("double") - F.when(F.col("_k") == 1, F.col("_span")).otherwise(0.0))
-    before = F.last(F.when(F.col("_k") == 0, F.col("_sample")), ignorenulls=True).over(Window.partitionBy(track).orderBy("_at", "_k").rowsBetween(Window.unboundedPreceding, 0))
+    before = F.last(F.when(F.col("_k") == 0, F.col("_sample")), ignorenulls=True).over(Window.partitionBy(track).orderBy("_at", "_k", *ties).rowsBetween(Window.unboundedPreceding, 0))
     asked = doubled.withColumn("_s", before).where("_k = 1")
     share = F.coalesce(F.try_divide(F.col("_at") - F.col("_s.a.t"), F.col("_s.b.t") - F.col("_s.a.t")), F.lit(0.0))
     rates = {}

@@ -1,8 +1,9 @@
-"""Window operators along tracks: a track is the rows of one object, ordered by time."""
+"""Window operators along tracks: a track is the rows of one object, ordered by time and, among equal times, by the columns `ties`."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,19 +13,19 @@ from cosmolith.functions.segments import Segments, bordered, segmented, small
 from cosmolith.functions.shared import finite, written
 
 
-def _w(track: str, order: str):
-    return Window.partitionBy(track).orderBy(order)
+def _w(track: str, order: str, ties: Sequence[str] = ()):
+    return Window.partitionBy(track).orderBy(order, *ties)
 
 
-def differences(df: DataFrame, track: str, t: str, m: str) -> DataFrame:
+def differences(df: DataFrame, track: str, t: str, m: str, ties: Sequence[str] = ()) -> DataFrame:
     """rate: (m_j - m_{j+1}) / (t_j - t_{j+1}) to the next row of the track; null at its end."""
-    w = _w(track, t)
+    w = _w(track, t, ties)
     return df.withColumn("rate", F.try_divide(F.col(m) - F.lead(m).over(w), F.col(t) - F.lead(t).over(w)))
 
 
-def normalised(df: DataFrame, track: str, t: str, columns: list[str]) -> DataFrame:
+def normalised(df: DataFrame, track: str, t: str, columns: list[str], ties: Sequence[str] = ()) -> DataFrame:
     """Each column over its value at the track's last time."""
-    last = Window.partitionBy(track).orderBy(F.desc(t)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = Window.partitionBy(track).orderBy(F.desc(t), *(F.desc(c) for c in ties)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return df.withColumns({f"{c}_norm": F.try_divide(F.col(c), F.first(c).over(last)) for c in columns})
 
 
@@ -43,12 +44,12 @@ def _peaks(cut: Segments, m: str) -> Segments:
     return cut.having(cut.rows.withColumn("peak", F.greatest(own, "_carried")).drop("_carried"))
 
 
-def running_peak(df: DataFrame, track: str, t: str, m: str, longest: int | None = None) -> DataFrame:
+def running_peak(df: DataFrame, track: str, t: str, m: str, longest: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """peak so far, its time, and the least m / peak since the peak was last raised (or met again).
 
     A long track is cut: what goes on over a segment's start is carried, the peak, when it was, and the least m since.
     """
-    cut = _peaks(segmented(df, track, t, longest), m)
+    cut = _peaks(segmented(df, track, t, longest, ties), m)
     raised = F.coalesce(F.col(m) == F.col("peak"), F.lit(False))
     cut = cut.having(cut.rows.withColumn("_epoch", F.sum(raised.cast("int")).over(_so_far(cut.window()))))
     since = cut.window("_epoch")
@@ -69,25 +70,25 @@ def running_peak(df: DataFrame, track: str, t: str, m: str, longest: int | None
     return cut.having(cut.rows.withColumn("since_peak_min", F.try_divide(F.col("_least"), F.col("peak")))).done("_epoch", "_least")
 
 
-def moving_average(df: DataFrame, track: str, t: str, m: str, reach: int = 10, longest: int | None = None) -> DataFrame:
+def moving_average(df: DataFrame, track: str, t: str, m: str, reach: int = 10, longest: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """Mean of 2 * reach rows around each, with the window growing from the start and shrinking to the end of a track. Blocks of
     long tracks get the rows around their borders as ghosts."""
-    rows, w = bordered(df, track, t, reach, reach - 1, longest)
+    rows, w = bordered(df, track, t, reach, reach - 1, longest, ties=ties)
     return rows.withColumn("smooth", F.avg(m).over(w.rowsBetween(-reach, reach - 1))).where("not _ghost").select(*df.columns, "smooth")
 
 
-def flag_back(df: DataFrame, track: str, t: str, value: str, least: float, longest: int | None = None) -> DataFrame:
+def flag_back(df: DataFrame, track: str, t: str, value: str, least: float, longest: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """flag is 1 where this or any later row of the track falls under least."""
     low = (F.col(value) < least).cast("int")
-    cut = segmented(df, track, t, longest).carried({"_low": F.max(low)}, lambda w: {"_later": F.max("_low").over(w.rowsBetween(1, Window.unboundedFollowing))})
+    cut = segmented(df, track, t, longest, ties).carried({"_low": F.max(low)}, lambda w: {"_later": F.max("_low").over(w.rowsBetween(1, Window.unboundedFollowing))})
     own = F.max(low).over(cut.window().rowsBetween(0, Window.unboundedFollowing))
     return cut.having(cut.rows.withColumn("flag", F.greatest(own, "_later"))).done("_later")
 
 
-def pass_through(df: DataFrame, track: str, t: str, inside: str, longest: int | None = None) -> DataFrame:
+def pass_through(df: DataFrame, track: str, t: str, inside: str, longest: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """npt: how often the track has left the inside (a boolean column) so far."""
-    cut = segmented(df, track, t, longest)
-    cut = cut.carried({"_end": F.max_by(F.struct(F.col(inside).alias("v")), F.col(t))}, lambda w: {"_last": F.lag("_end").over(w)["v"]})
+    cut = segmented(df, track, t, longest, ties)
+    cut = cut.carried({"_end": F.max_by(F.struct(F.col(inside).alias("v")), cut.place())}, lambda w: {"_last": F.lag("_end").over(w)["v"]})
     first = F.row_number().over(cut.window()) == 1
     back = F.when(first, F.col("_last")).otherwise(F.lag(inside).over(cut.window()))
     cut = cut.having(cut.rows.withColumn("_out", ((~F.col(inside)) & F.coalesce(back, F.lit(False))).cast("int")))
@@ -97,32 +98,33 @@ def pass_through(df: DataFrame, track: str, t: str, inside: str, longest: int |
 
 def _forward(cut: Segments, column: str) -> Segments:
     """column, null replaced by the last value before that is not; segments carry the last one of those before."""
-    cut = cut.carried({"_v": F.max_by(F.struct(F.col(column).alias("v")), F.when(F.col(column).isNotNull(), F.col(cut.t)))}, lambda w: {"_held": F.last("_v", ignorenulls=True).over(_before(w))["v"]})
+    cut = cut.carried({"_v": F.max_by(F.struct(F.col(column).alias("v")), F.when(F.col(column).isNotNull(), cut.place()))}, lambda w: {"_held": F.last("_v", ignorenulls=True).over(_before(w))["v"]})
     own = F.last(column, ignorenulls=True).over(_so_far(cut.window()))
     return cut.having(cut.rows.withColumn(column, F.coalesce(own, "_held")).drop("_held"))
 
 
-def carry_forward(df: DataFrame, track: str, t: str, column: str, longest: int | None = None) -> DataFrame:
-    return _forward(segmented(df, track, t, longest), column).done()
+def carry_forward(df: DataFrame, track: str, t: str, column: str, longest: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
+    return _forward(segmented(df, track, t, longest, ties), column).done()
 
 
-def high_tide_flag(df: DataFrame, track: str, t: str, force: str, m: str, longest: int | None = None) -> DataFrame:
+def high_tide_flag(df: DataFrame, track: str, t: str, force: str, m: str, longest: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """1 if the force is over 1; else 0 at a new peak of m; else what the row before has (0 at the start)."""
-    cut = _peaks(segmented(df, track, t, longest), m)
+    cut = _peaks(segmented(df, track, t, longest, ties), m)
     set_ = F.when(F.col(force) > 1, 1).when(F.col(m) == F.col("peak"), 0)
     cut = _forward(cut.having(cut.rows.withColumn("high_tf", set_)), "high_tf")
     return cut.done("peak").na.fill(0, ["high_tf"])
 
 
-def dynamical_rate(df: DataFrame, track: str, t: str, m: str, span: float) -> DataFrame:
+def dynamical_rate(df: DataFrame, track: str, t: str, m: str, span: float, ties: Sequence[str] = ()) -> DataFrame:
     """rate over one span back: (m - m at t - span) / span, m interpolated on the track; from the first row if it is younger.
 
     The rows at or before t - span are found by a range frame, those after by the row that follows, so a track is read once.
     """
-    w = _w(track, t)
+    w, by_time = _w(track, t, ties), _w(track, t)
     rows = df.withColumn("_next", F.struct(F.lead(t).over(w).alias("t"), F.lead(m).over(w).alias("m")))
-    back = w.rangeBetween(Window.unboundedPreceding, -int(span)) if float(span).is_integer() else w.rangeBetween(Window.unboundedPreceding, -span)
-    rows = rows.withColumn("_b", F.last(F.struct(F.col(t).alias("t"), F.col(m).alias("m"), F.col("_next").alias("n"))).over(back))
+    back = by_time.rangeBetween(Window.unboundedPreceding, -int(span)) if float(span).is_integer() else by_time.rangeBetween(Window.unboundedPreceding, -span)
+    row = F.struct(F.col(t).alias("t"), *(F.col(c).alias(f"_tie{i}") for i, c in enumerate(ties)), F.col(m).alias("m"), F.col("_next").alias("n"))
+    rows = rows.withColumn("_b", F.max(row).over(back))  # a range frame is ordered by t alone: of equal times the last by ties
     rows = rows.withColumn("_f", F.first(F.struct(F.col(t).alias("t"), F.col(m).alias("m"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     at = F.col(t) - F.lit(span)
     share = F.try_divide((at - F.col("_b.t")).cast("double"), (F.col("_b.n.t") - F.col("_b.t")).cast("double"))
@@ -131,11 +133,11 @@ def dynamical_rate(df: DataFrame, track: str, t: str, m: str, span: float) -> Da
     return rows.withColumn("dyn_rate", rate).drop("_next", "_b", "_f")
 
 
-def lag2_derivative(df: DataFrame, series: str, t: str, m: str) -> DataFrame:
+def lag2_derivative(df: DataFrame, series: str, t: str, m: str, ties: Sequence[str] = ()) -> DataFrame:
     """Difference to the row two on; the last rows repeat the last derivative."""
-    w = _w(series, t)
+    w = _w(series, t, ties)
     d = F.try_divide(F.lead(m, 2).over(w) - F.col(m), F.lead(t, 2).over(w) - F.col(t))
-    return df.withColumn("derivative", d).transform(lambda x: carry_forward(x, series, t, "derivative"))
+    return df.withColumn("derivative", d).transform(lambda x: carry_forward(x, series, t, "derivative", ties=ties))
 
 
 def gaussian_smooth(df: DataFrame, series: str, t: str, columns: list[str], sigma: float, longest: int | None = None) -> DataFrame:

@@ -304,58 +304,61 @@ _US = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
 _EV = "WITH e AS (SELECT event_id, user_id, event_type, value, cast(epoch_us(ts) // 1000000 AS bigint) t FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 step FROM e)"
 
 
+_TIES = ("event_id",)  # orders the events of a user and second, as in the SQL of steps
+
+
 def _events(spark, d) -> DataFrame:
     return _t(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.floor(F.expr(_US) / 1000000).cast("long").alias("t"))
 
 
 @query(f"{_EV} SELECT event_id, round((value - lead(value) OVER w) / nullif(t - lead(t) OVER w, 0), 9) rate FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)")
 def progenitor_diff(spark, d):
-    return tracks.differences(_events(spark, d), "user_id", "t", "value").select("event_id", F.round("rate", 9).alias("rate"))
+    return tracks.differences(_events(spark, d), "user_id", "t", "value", ties=_TIES).select("event_id", F.round("rate", 9).alias("rate"))
 
 
 @query(f"""{_EV}, p AS (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) peak FROM e), q AS (SELECT *, sum(CASE WHEN value = peak THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) k FROM p)
 SELECT event_id, peak, first(t) OVER w peak_time, round(min(value / nullif(peak, 0)) OVER w, 9) since_peak_min FROM q WINDOW w AS (PARTITION BY user_id, k ORDER BY t ROWS UNBOUNDED PRECEDING)""")
 def running_peak(spark, d):
-    return tracks.running_peak(_events(spark, d), "user_id", "t", "value").select("event_id", "peak", "peak_time", F.round("since_peak_min", 9).alias("since_peak_min"))
+    return tracks.running_peak(_events(spark, d), "user_id", "t", "value", ties=_TIES).select("event_id", "peak", "peak_time", F.round("since_peak_min", 9).alias("since_peak_min"))
 
 
 @query(f"{_EV} SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING), 6) smooth FROM e")
 def moving_avg(spark, d):
-    return tracks.moving_average(_events(spark, d), "user_id", "t", "value").select("event_id", F.round("smooth", 6).alias("smooth"))
+    return tracks.moving_average(_events(spark, d), "user_id", "t", "value", ties=_TIES).select("event_id", F.round("smooth", 6).alias("smooth"))
 
 
 @query(f"{_EV} SELECT event_id, max(CASE WHEN value < 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) flag FROM e")
 def flag_back(spark, d):
-    return tracks.flag_back(_events(spark, d), "user_id", "t", "value", 1.0).select("event_id", "flag")
+    return tracks.flag_back(_events(spark, d), "user_id", "t", "value", 1.0, ties=_TIES).select("event_id", "flag")
 
 
 @query(f"{_EV}, o AS (SELECT *, CASE WHEN event_type <> 'error' AND lag(event_type) OVER (PARTITION BY user_id ORDER BY t) = 'error' THEN 1 ELSE 0 END x FROM e) SELECT event_id, sum(x) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) npt FROM o")
 def passthrough_count(spark, d):
-    return tracks.pass_through(_events(spark, d).withColumn("inside", F.col("event_type") == "error"), "user_id", "t", "inside").select("event_id", "npt")
+    return tracks.pass_through(_events(spark, d).withColumn("inside", F.col("event_type") == "error"), "user_id", "t", "inside", ties=_TIES).select("event_id", "npt")
 
 
 @query(f"""{_EV}, n AS (SELECT *, lead(t) OVER w nt, lead(value) OVER w nv, first(t) OVER w ft, first(value) OVER w fv FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
  j AS (SELECT a.event_id, a.t, a.value, a.ft, a.fv, b.t bt, b.value bv, b.nt, b.nv FROM n a ASOF LEFT JOIN n b ON a.user_id = b.user_id AND a.t - 86400 >= b.t)
 SELECT event_id, round(CASE WHEN bt IS NOT NULL THEN (value - (bv + (nv - bv) * (t - 86400 - bt) / (nt - bt))) / 86400.0 ELSE (value - fv) / nullif(t - ft, 0) END, 9) dyn_rate FROM j""")
 def dyn_time_avg(spark, d):
-    return tracks.dynamical_rate(_events(spark, d), "user_id", "t", "value", 86400).select("event_id", F.round("dyn_rate", 9).alias("dyn_rate"))
+    return tracks.dynamical_rate(_events(spark, d), "user_id", "t", "value", 86400, ties=_TIES).select("event_id", F.round("dyn_rate", 9).alias("dyn_rate"))
 
 
 @query(f"{_EV}, l AS (SELECT event_id, value / nullif(first(value) OVER (PARTITION BY user_id ORDER BY t DESC), 0) v FROM e) SELECT event_id, round(v, 9) value_norm FROM l")
 def normalise_last(spark, d):
-    return tracks.normalised(_events(spark, d), "user_id", "t", ["value"]).select("event_id", F.round("value_norm", 9).alias("value_norm"))
+    return tracks.normalised(_events(spark, d), "user_id", "t", ["value"], ties=_TIES).select("event_id", F.round("value_norm", 9).alias("value_norm"))
 
 
 @query(f"{_EV}, g AS (SELECT *, (lead(value, 2) OVER w - value) / nullif(lead(t, 2) OVER w - t, 0) dd FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)) SELECT event_id, round(last_value(dd IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING), 9) derivative FROM g")
 def lag2_derivative(spark, d):
-    return tracks.lag2_derivative(_events(spark, d), "user_id", "t", "value").select("event_id", F.round("derivative", 9).alias("derivative"))
+    return tracks.lag2_derivative(_events(spark, d), "user_id", "t", "value", ties=_TIES).select("event_id", F.round("derivative", 9).alias("derivative"))
 
 
 @query(f"""{_EV}, p AS (SELECT *, max(value) OVER w peak FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING)), s AS (SELECT *, CASE WHEN event_type = 'error' THEN 1 WHEN value = peak THEN 0 END h FROM p)
 SELECT event_id, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING), 0) high_tf FROM s""")
 def high_tide(spark, d):
     e = _events(spark, d).withColumn("force", F.when(F.col("event_type") == "error", 2.0).otherwise(0.0))
-    return tracks.high_tide_flag(e, "user_id", "t", "force", "value").select("event_id", "high_tf")
+    return tracks.high_tide_flag(e, "user_id", "t", "force", "value", ties=_TIES).select("event_id", "high_tf")
 
 
 @query(f"{_EV}, v AS (SELECT * FROM f WHERE value > 0), a AS (SELECT *, (step - lag(step) OVER w) * (least(value, lag(value) OVER w) + abs(value - lag(value) OVER w) / 2) area FROM v WINDOW w AS (PARTITION BY user_id ORDER BY step)) SELECT event_id, round(value / nullif(sum(area) OVER (PARTITION BY user_id), 0), 9) y_norm FROM a")
@@ -548,7 +551,7 @@ def profile_chi2(spark, d):
 SELECT event_id, round(coalesce(x, lead(x) OVER (PARTITION BY user_id ORDER BY t)), 9) value_dyn FROM r""")
 def span_rates(spark, d):
     span = 3600 * (1 + F.col("event_id") % 24)
-    return forest.span_rates(_events(spark, d), "user_id", "t", ["value"], span).select("event_id", F.round("value_dyn", 9).alias("value_dyn"))
+    return forest.span_rates(_events(spark, d), "user_id", "t", ["value"], span, ties=_TIES).select("event_id", F.round("value_dyn", 9).alias("value_dyn"))
 
 
 _HEADS = "h AS (SELECT n.id, CASE WHEN b.is_mmp AND n.desc_id <> -1 THEN n.desc_id END up FROM nodes n JOIN best b ON b.id = n.id), w AS (SELECT id, id head FROM h WHERE up IS NULL UNION ALL SELECT h.id, w.head FROM h JOIN w ON h.up = w.id)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cosmolith.functions.segments import bordered, segmented, under
-from cosmolith.operators import tracks
+from cosmolith.operators import forest, tracks
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +98,29 @@ def test_ranges_that_overlap(spark):
         d = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
         got = sorted((r.i, r.bin_id, r.lo, r.hi) for r in assign_bins(d, "x", edges).collect())
         assert got == sorted((i, k, float(a), float(b)) for i, x in enumerate(xs) if x is not None for k, (a, b) in enumerate(edges) if a < x <= b)
+
+
+def test_rows_alike_in_time_are_ordered_by_ties(spark):
+    """Two rows at every time: whatever their order in the input, a track is read by time and number."""
+    rng = random.Random(3)
+    rows = [(k % 2, 10 * (k // 4), k, float(rng.randint(0, 9)), rng.random() < 0.5) for k in range(80)]
+    plain = [(a, 1000 * t + k, k, m, i) for a, t, k, m, i in rows]
+    names, ties, cut = "track int, t long, k long, m double, inside boolean", ["k"], {"longest": 20}
+    rng.shuffle(rows)
+    tied, apart = spark.createDataFrame(rows, names).repartition(3), spark.createDataFrame(plain, names)
+    force = lambda d: d.withColumn("f", F.col("inside").cast("int") * 2)
+    flagged = lambda d: d.withColumn("h", F.when(F.col("inside"), F.col("m")))
+    for run in (
+        lambda d, o: tracks.running_peak(d, "track", "t", "m", **o).drop("peak_time"), lambda d, o: tracks.flag_back(d, "track", "t", "m", 1.0, **o), lambda d, o: tracks.pass_through(d, "track", "t", "inside", **o),
+        lambda d, o: tracks.carry_forward(flagged(d), "track", "t", "h", **o), lambda d, o: tracks.high_tide_flag(force(d), "track", "t", "f", "m", **o), lambda d, o: tracks.moving_average(d, "track", "t", "m", 3, **o).withColumn("smooth", F.round("smooth", 9)),
+    ):
+        same(run(tied, {**cut, "ties": ties}).drop("t"), run(apart, cut).drop("t"))
+    at = {r["k"]: r for r in tracks.dynamical_rate(tied, "track", "t", "m", 10, ties).collect()}
+    two = {r["k"]: r["d"] for r in tracks.lag2_derivative(tied, "track", "t", "m", ties).select("k", F.col("derivative").alias("d")).collect()}
+    step = {r["k"]: r["rate"] for r in tracks.differences(tied, "track", "t", "m", ties).collect()}
+    spans = {r["k"]: r["m_dyn"] for r in forest.span_rates(tied, "track", "t", ["m"], F.lit(10.0), ties=ties).collect()}
+    m = {k: v for _, _, k, v, _ in rows}
+    for k in range(4, 76):  # the row of a time that is later by k stands for its span back
+        back = k - k % 4 - 4 + 2 + k % 2
+        assert at[k]["dyn_rate"] == pytest.approx((m[k] - m[back]) / 10) and spans[k] == pytest.approx((m[k] - m[back]) / 10)
+        assert two[k] == pytest.approx((m[k + 4] - m[k]) / 10) and (step[k] is None if k % 4 < 2 else step[k] == pytest.approx((m[k + 2] - m[k]) / 10))
