@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cosmolith.functions.ranks import FEW_ROWS
 from cosmolith.functions.shared import counted, ranked, with_groups, written, written_by
 
 
@@ -233,20 +234,25 @@ def balance(rows: DataFrame, track: str, step: str, value: str, by: list[str] |
     """rows without those older than where their track was dropped: at each step at which a living track ends, the track of
     the opposite rank among those alive at that step, by their value there (then by track), goes too (within `by`).
 
-    The loop is over the steps at which tracks end, on a slim table (track and until when it is kept); ranks come from a
-    range exchange, so no task holds all tracks. A step has a folder of its own, so a round reads that step only.
+    The loop is over the steps at which tracks end, on a slim table (track and until when it is kept); ranks of more
+    than FEW_ROWS tracks come from a range exchange, so no task holds all of them. A step has a folder of its own, so a round reads that step only.
     """
     by = by or []
     rows_at = written_by(rows.select(*by, track, step, value), step, track)
     state = written(rows_at.groupBy(*by, track).agg(F.max(step).alias("_until")))
+    few = state.count() <= FEW_ROWS
     deaths = sorted(r[0] for r in state.select("_until").distinct().collect())  # steps: a few hundred
     for s in deaths[:-1]:  # after the last nothing is left to balance
         alive = rows_at.where(F.col(step) == s).join(state.where(F.col("_until") >= s), [*by, track]).select(*by, track, value, (F.col("_until") == s).alias("_ends"))
-        order = written(ranked(alive, [value, track], "_rank", by))
-        size = order.groupBy(*by).agg(F.count("*").alias("_n"))
-        gone = with_groups(order.where("_ends"), size, by) if by else order.where("_ends").crossJoin(F.broadcast(size))  # one row
-        mirror = gone.select(*by, (F.col("_n") - 1 - F.col("_rank")).alias("_rank"))
-        dropped = order.join(mirror, [*by, "_rank"]).select(*by, track).withColumn("_drop", F.lit(True))
+        if few:  # tracks that a task could hold are ranked by a window
+            order = alive.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(value, track)) - 1)
+            order = order.withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
+        else:
+            order = written(ranked(alive, [value, track], "_rank", by))
+            size = order.groupBy(*by).agg(F.count("*").alias("_n"))
+            order = with_groups(order, size, by) if by else order.crossJoin(F.broadcast(size))  # one row
+        pair = Window.partitionBy(*by, F.least(F.col("_rank"), F.col("_n") - 1 - F.col("_rank")))
+        dropped = order.select(*by, track, F.max("_ends").over(pair).alias("_drop")).where("_drop")
         state = written(state.join(dropped, [*by, track], "left").select(*by, track, F.when(F.col("_drop"), F.least("_until", F.lit(s))).otherwise(F.col("_until")).alias("_until")))
     return rows.join(state, [*by, track]).where(F.col(step) <= F.col("_until")).drop("_until")
 

@@ -367,3 +367,12 @@ def test_normal_variates(spark):
     assert draw(d.repartition(7, "k")) == one and draw(d, 2)[5] != one[5]
     moved = d.select(astro.normal("id", "k", seed=1, mean=3.0, deviation=2.0).alias("z"), "id").where("id = 9").first()
     assert moved.z == pytest.approx(3 + 2 * one[9])
+
+
+def test_history_table_query_keeps_every_step(spark, sf_dir):
+    """A row for each step of the users' events that has five users, not for each eight steps."""
+    from cosmolith.plans.catalogue import _steps
+    from cosmolith.plans.registered import QUERIES
+
+    steps = {r[0] for r in _steps(spark, sf_dir).groupBy("step").count().where("count >= 5").collect()}
+    assert {r["step"] for r in QUERIES["history_table"](spark, sf_dir).select("step").collect()} == steps
