@@ -144,7 +144,7 @@ def galaxy_files(spark, d):
     paths = {}
     for kind, (df, given) in at.items():
         paths[kind] = _path(spark, f"{kind}.dat")
-        legacy.write_text(df.select(*(F.expr(given.get(c, "0")).cast("double").alias(c) for c in legacy.galaxy_names(kind))), paths[kind], digits=17)
+        legacy.write_text(df.select(*(F.expr(given.get(c, "0")).cast("double").alias(c) for c in legacy.galaxy_names(kind))), paths[kind], digits=17, compression="gzip")
     t = legacy.read_galaxies(spark, **paths)
     galaxies = t["galprop"].select("halo_id", "gal_id", "mstar", "sfr_ave", "mbh")
     halos, mock = t["halos"].select("halo_id", "halo_id_nbody", "m_vir", "sfr"), t["mock"].select("halo_id_nbody", "m_star")

@@ -52,9 +52,13 @@ def read_text(spark: SparkSession, path: str, names: list[str], delimiter: str =
     return lines.select(*cols, *([F.when(F.col("_bad"), F.col("value")).alias("_corrupt")] if mode == "PERMISSIVE" else []))
 
 
-def write_text(df: DataFrame, path: str, digits: int = 10, delimiter: str = " ") -> None:
+PACKED_ROWS = 1_000_000  # of a compressed text file
+
+
+def write_text(df: DataFrame, path: str, digits: int = 10, delimiter: str = " ", compression: str | None = None) -> None:
     """One line per row; doubles with `digits` significant digits, `nan`, `inf` and `-inf` by name, null as `nan`, so that every
-    row has all its fields and is read again."""
+    row has all its fields and is read again. compression: a codec of Spark's text writer; as such files aren't split by a
+    reader, a file then has at most PACKED_ROWS rows."""
 
     def field(c: str, kind: str) -> Column:
         v = F.col(c)
@@ -63,7 +67,7 @@ def write_text(df: DataFrame, path: str, digits: int = 10, delimiter: str = " ")
         number = F.format_string(f"%.{digits}g", v)
         return F.when(v.isNull() | F.isnan(v), F.lit("nan")).when(F.abs(v) == float("inf"), F.when(v > 0, F.lit("inf")).otherwise(F.lit("-inf"))).otherwise(number)
 
-    df.select(F.concat_ws(delimiter, *(field(c, t) for c, t in df.dtypes)).alias("value")).write.text(path)
+    df.select(F.concat_ws(delimiter, *(field(c, t) for c, t in df.dtypes)).alias("value")).write.option("maxRecordsPerFile", PACKED_ROWS if compression else 0).text(path, compression=compression)
 
 
 def _located(path: str):

@@ -376,3 +376,18 @@ def test_history_table_query_keeps_every_step(spark, sf_dir):
 
     steps = {r[0] for r in _steps(spark, sf_dir).groupBy("step").count().where("count >= 5").collect()}
     assert {r["step"] for r in QUERIES["history_table"](spark, sf_dir).select("step").collect()} == steps
+
+
+def test_galaxy_text_files_are_packed(spark, tmp_path):
+    """A packed text table is read back whole and takes a small part of the plain one's bytes."""
+    import os
+
+    from cosmolith.sources import legacy
+
+    df = spark.range(5000).select(F.col("id").cast("double").alias("id"), *(F.lit(0.0).alias(f"c{i}") for i in range(38)))
+    size = lambda d: sum(os.path.getsize(f"{d}/{f}") for f in os.listdir(d))
+    for name, codec in (("plain", None), ("packed", "gzip")):
+        legacy.write_text(df, f"{tmp_path}/{name}", digits=17, compression=codec)
+    assert size(f"{tmp_path}/packed") * 5 < size(f"{tmp_path}/plain")
+    back = legacy.read_text(spark, f"{tmp_path}/packed", df.columns)
+    assert back.count() == 5000 and back.agg(F.sum("id"), F.sum("c37")).first() == (5000 * 4999 / 2, 0.0)
