@@ -9,7 +9,7 @@ than LIST rows is cut into blocks, so no task gets it whole; when classes are kn
 blocks.
 
 The pipeline stage links texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, which 64 bits tell
-too coarsely. Candidates are pairs that agree in one of 20 bands of 4 minima (MinHash: a pair of similarity s is missed with
+too coarsely to decide. Candidates are the pairs that op3's fingerprints and index link, and those that agree in one of 20 bands of 4 minima (MinHash: a pair of similarity s is missed with
 probability (1 - s^4)^20, 3e-5 at 0.8), in 48 of all 80 minima, and in size to 0.8; each is then verified on the shingles of
 the two texts. A first round verifies a spanning forest of each list of candidates. Where links of it prove false, the
 forest may have gone through them, so in a second round the texts of a family (what the forest's pairs join, true or not) meet
@@ -259,12 +259,13 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _sketches(how: NearDuplicates):
-    """Of each text: how many distinct shingles, a byte of each minimum, and the key of each band."""
+    """Of each text: its SimHash fingerprint, how many distinct shingles, a byte of each minimum, and the key of each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, low, keys = [], np.zeros((batch.num_rows, how.minima), np.uint8), np.zeros((batch.num_rows, how.bands), np.uint64)
+            prints, sizes, low, keys = [], [], np.zeros((batch.num_rows, how.minima), np.uint8), np.zeros((batch.num_rows, how.bands), np.uint64)
             for i, text in enumerate(batch.column("text")):
+                prints.append(fingerprint(shingle_hashes(text.as_py(), CONTRACT.shingle)))
                 h = np.unique(shingle_hashes(text.as_py(), how.shingle))
                 sizes.append(len(h))
                 least = minima(h, how.minima)
@@ -273,7 +274,7 @@ def _sketches(how: NearDuplicates):
                 for part in least.reshape(how.bands, how.rows).T:
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + part)
                 keys[i] = key
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), _fixed(low), _fixed(keys.view(np.uint8))], ["node", "n", "low", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), _fixed(low), _fixed(keys.view(np.uint8))], ["node", "fp", "n", "low", "keys"])
 
     return run
 
@@ -461,6 +462,16 @@ def forest_pairs(prints: DataFrame, how: NearDuplicates) -> tuple[DataFrame, Dat
     return lists.mapInArrow(_search_bands(how), "u binary, v binary").distinct(), long
 
 
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (u, v) that join the texts of prints(node, fp) which op3's index links: those of one fingerprint with its least
+    text, and the least texts of fingerprints that differ in few enough bits."""
+    least, _ = written(prints.groupBy("fp").agg(F.min("node").alias("u")), "fingerprints")
+    same = prints.select("fp", "node").join(least, "fp").where("node <> u").select("u", F.col("node").alias("v"))
+    edges = fingerprint_links(least, CONTRACT).distinct().withColumnsRenamed({"u": "_a", "v": "_b"})
+    near = edges.join(least.select(F.col("fp").alias("_a"), "u"), "_a").join(least.select(F.col("fp").alias("_b"), F.col("u").alias("v")), "_b")
+    return same.union(near.select(F.least("u", "v"), F.greatest("u", "v")))
+
+
 def family_links(families: DataFrame, prints: DataFrame, texts: DataFrame, links: DataFrame, how: NearDuplicates) -> DataFrame:
     """Similar pairs (u, v) that join the classes links(node, component) of each family(node, component) of candidates.
 
@@ -479,10 +490,10 @@ def family_links(families: DataFrame, prints: DataFrame, texts: DataFrame, links
 def near_classes(docs: DataFrame, how: NearDuplicates = STAGE) -> DataFrame:
     """(node, label) of every text that has near duplicates; the label is the least node of its class."""
     keyed = docs.select(text_node().alias("node"), "text")
-    sketches = keyed.mapInArrow(_sketches(how), "node binary, n int, low binary, keys binary")
+    sketches = keyed.mapInArrow(_sketches(how), "node binary, fp binary, n int, low binary, keys binary")
     prints, prints_at = written(sketches.dropDuplicates(["node"]), "prints")
     found, long = forest_pairs(prints, how)
-    pairs, pairs_at = written(found, "pairs")
+    pairs, pairs_at = written(found.union(fingerprint_pairs(prints)).distinct(), "pairs")
     related = pairs
     if long is not None:  # all of a long list are one family, as its blocks have not met
         listed = _posted(prints, how).select("key", "node").join(by_size(long, MOST), "key")

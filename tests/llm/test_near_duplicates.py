@@ -111,3 +111,16 @@ def test_long_lists_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(simhash, "FAMILY", 5)
     assert kept(spark, texts) == want and len(want) == 21
     assert classes(links()) == whole and whole
+
+
+def test_candidates_come_from_fingerprints_too(spark, monkeypatch):
+    """Without any band, texts of one SimHash, or of SimHashes a few bits apart, are candidates; the shingles decide."""
+    words = [f"w{i}" for i in range(400)]
+    a, other = " ".join(words), " ".join(f"v{i}" for i in range(400))
+    docs = spark.createDataFrame([(1, a), (2, a.upper()), (3, f"{a} end"), (4, other), (5, None), (6, " ")], "doc_id long, text string")
+    none = spark.createDataFrame([], "u binary, v binary")
+    monkeypatch.setattr(simhash, "forest_pairs", lambda prints, how: (none, None))
+    found = {bytes(r["node"]): bytes(r["label"]) for r in simhash.near_classes(docs).collect()}
+    node = {r["doc_id"]: bytes(r["n"]) for r in docs.select("doc_id", simhash.text_node().alias("n")).collect()}
+    assert found[node[1]] == found[node[2]] and found[node[5]] == found[node[6]]
+    assert node[4] not in found or len([n for n in found if found[n] == found[node[4]]]) == 1
