@@ -35,136 +35,162 @@ def spline_at(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     return a[i] + t * (b[i] + t * (c[i] + t * d[i]))
 
 
-def enclosed(r: np.ndarray, rs: float, outer: float = 2.0) -> np.ndarray:
+def enclosed(r: np.ndarray, rs: float | np.ndarray, outer: float | np.ndarray = 2.0) -> np.ndarray:
     """Shape of the mass within r for a density (r / rs)**-1 (1 + r / rs)**-outer; 2 is the Navarro-Frenk-White profile.
 
     The whole mass is c0 rs**3 times this. The integral is closed, with limits of its own at outer = 1 and 2.
     """
-    x = r / rs
-    if abs(outer - 1) < 1e-6:
-        return x - np.log1p(x)
-    if abs(outer - 2) < 1e-6:
+    x, outer = r / rs, np.asarray(outer, float)
+    one, two = np.abs(outer - 1) < 1e-6, np.abs(outer - 2) < 1e-6
+    if two.all():
         return np.log1p(x) - x / (1 + x)
-    return (1 - (1 + x) ** (1 - outer) * (1 + (outer - 1) * x)) / ((outer - 1) * (outer - 2))
-
+    with np.errstate(all="ignore"):
+        out = (1 - (1 + x) ** (1 - outer) * (1 + (outer - 1) * x)) / ((outer - 1) * (outer - 2))
+    if one.any() or two.any():
+        out = np.where(two, np.log1p(x) - x / (1 + x), np.where(one, x - np.log1p(x), out))
+    return out
 
-Residuals = Callable[[np.ndarray], np.ndarray]
-Bounds = list[tuple[float, float]]
 
+# Optimisers work on many profiles at once: a row of parameters each, with a state of its own, so a fit does not depend on
+# which others it is made with. Rows that have ended leave the rounds.
 
-def _cost(f: Residuals, p: np.ndarray) -> float:
-    v = f(p)
-    c = float(v @ v)
-    return c if np.isfinite(c) else float("inf")
+Residuals = Callable[[np.ndarray, np.ndarray], np.ndarray]  # numbers of profiles and their parameters -> a row of residuals each
+Found = tuple[np.ndarray, np.ndarray]  # parameters and cost of each
 
 
-def _jacobian(f: Residuals, p: np.ndarray, bounds: Bounds) -> np.ndarray:
-    """Forward differences, backward at an upper bound."""
-    base, columns = f(p), []
-    for k in range(len(p)):
-        h = 1e-6 * max(abs(p[k]), 1e-3)
-        h = h if p[k] + h <= bounds[k][1] else -h
-        q = p.copy()
-        q[k] += h
-        columns.append((f(q) - base) / h)
-    return np.stack(columns, axis=1)
+def _cost(v: np.ndarray) -> np.ndarray:
+    c = (v * v).sum(axis=1)
+    return np.where(np.isfinite(c), c, np.inf)
 
 
-def _held(p: np.ndarray, bounds: Bounds) -> np.ndarray:
-    return np.array([min(max(v, lo), hi) for v, (lo, hi) in zip(p, bounds, strict=True)])
+def _jacobian(f: Residuals, rows: np.ndarray, p: np.ndarray, v: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Forward differences from the residuals v at p, backward at an upper bound."""
+    columns = []
+    for k in range(p.shape[1]):
+        h = 1e-6 * np.maximum(np.abs(p[:, k]), 1e-3)
+        h = np.where(p[:, k] + h <= hi[rows, k], h, -h)
+        q = p.copy()
+        q[:, k] += h
+        columns.append((f(rows, q) - v) / h[:, None])
+    return np.stack(columns, axis=2)
 
 
-def descend(f: Residuals, start: np.ndarray, bounds: Bounds, rounds: int = 400) -> tuple[np.ndarray, float]:
+def descend(f: Residuals, start: np.ndarray, lo: np.ndarray, hi: np.ndarray, rounds: int = 400) -> Found:
     """Bounded descent, each parameter with a rate of its own that doubles after a gain and falls to a fifth after a loss."""
-    p = np.array(start, float)
-    step, best, still = np.abs(p) * 0.1 + 1e-3, _cost(f, p), 0
+    p, rows = np.array(start, float), np.arange(len(start))
+    step, best, still = np.abs(p) * 0.1 + 1e-3, _cost(f(rows, p)), np.zeros(len(p), int)
     for _ in range(rounds):
-        before = best
-        for k in range(len(p)):
+        if not len(rows):
+            break
+        before = best[rows]
+        for k in range(p.shape[1]):
+            left = rows
             for sign in (1, -1):
-                q = p.copy()
-                q[k] = min(max(q[k] + sign * step[k], bounds[k][0]), bounds[k][1])
-                value = _cost(f, q)
-                if value < best:
-                    p, best = q, value
-                    step[k] *= 2
+                q = p[left]
+                q[:, k] = np.clip(q[:, k] + sign * step[left, k], lo[left, k], hi[left, k])
+                value = _cost(f(left, q))
+                better = value < best[left]
+                won = left[better]
+                p[won], best[won] = q[better], value[better]
+                step[won, k] *= 2
+                left = left[~better]
+                if not len(left):
                     break
-            else:
-                step[k] /= 5
-        still = still + 1 if before - best <= 1e-9 * max(abs(best), 1e-300) else 0
-        if still >= 5:
-            break
+            step[left, k] /= 5
+        still[rows] = np.where(before - best[rows] <= 1e-9 * np.maximum(np.abs(best[rows]), 1e-300), still[rows] + 1, 0)
+        rows = rows[still[rows] < 5]
     return p, best
 
 
-def levenberg_marquardt(f: Residuals, start: np.ndarray, bounds: Bounds, rounds: int = 200) -> tuple[np.ndarray, float]:
+def levenberg_marquardt(f: Residuals, start: np.ndarray, lo: np.ndarray, hi: np.ndarray, rounds: int = 200) -> Found:
     """Damped least squares; the damping falls after a gain and rises after a loss."""
-    p, damping = np.array(start, float), 1e-3
-    best = _cost(f, p)
+    p, rows = np.array(start, float), np.arange(len(start))
+    damping, best, eps = np.full(len(p), 1e-3), _cost(f(rows, p)), np.finfo(float).eps * p.shape[1]
     for _ in range(rounds):
-        j = _jacobian(f, p, bounds)
-        g, h = j.T @ f(p), j.T @ j
-        if not (np.isfinite(g).all() and np.isfinite(h).all()):
-            break
-        while damping < 1e12:
-            q = _held(p - np.linalg.lstsq(h + damping * np.diag(np.diag(h) + 1e-12), g, rcond=None)[0], bounds)
-            value = _cost(f, q)
-            if value < best:
-                break
-            damping *= 4
-        else:
-            break
-        gain, p, best, damping = best - value, q, value, max(damping / 9, 1e-12)
-        if gain <= 1e-12 * max(best, 1e-300):
+        v = f(rows, p[rows])
+        j = _jacobian(f, rows, p[rows], v, hi)
+        g, h = np.einsum("nbk,nb->nk", j, v), np.einsum("nbk,nbl->nkl", j, j)
+        ok = np.isfinite(g).all(axis=1) & np.isfinite(h).all(axis=(1, 2))
+        rows, g, h = rows[ok], g[ok], h[ok]
+        eye, going, left = np.eye(p.shape[1]), np.zeros(len(p), bool), np.arange(len(rows))
+        while len(left):
+            at = rows[left]
+            held = h[left] + damping[at, None, None] * eye * (np.einsum("nkk->nk", h[left]) + 1e-12)[:, None, :]
+            q = np.clip(p[at] - np.einsum("nkl,nl->nk", np.linalg.pinv(held, rcond=eps), g[left]), lo[at], hi[at])
+            value = _cost(f(at, q))
+            better = value < best[at]
+            won = at[better]
+            going[won] = best[won] - value[better] > 1e-12 * np.maximum(value[better], 1e-300)
+            p[won], best[won], damping[won] = q[better], value[better], np.maximum(damping[won] / 9, 1e-12)
+            lost = at[~better]
+            damping[lost] *= 4
+            left = left[~better][damping[lost] < 1e12]
+        rows = rows[going[rows]]
+        if not len(rows):
             break
     return p, best
 
 
-def adadelta(f: Residuals, start: np.ndarray, bounds: Bounds, rounds: int = 4000, decay: float = 0.95) -> tuple[np.ndarray, float]:
+def adadelta(f: Residuals, start: np.ndarray, lo: np.ndarray, hi: np.ndarray, rounds: int = 4000, decay: float = 0.95) -> Found:
     """Gradient steps scaled by running means of squared gradients and steps (Zeiler, 2012), in units of the start."""
-    p = np.array(start, float)
-    unit = np.abs(p) + 1e-3
-    seen, moved, best, at = np.zeros(len(p)), np.full(len(p), 1e-6), _cost(f, p), p
+    p, rows = np.array(start, float), np.arange(len(start))
+    unit, v = np.abs(p) + 1e-3, f(rows, p)
+    seen, moved, best, found = np.zeros(p.shape), np.full(p.shape, 1e-6), _cost(v), p.copy()
     for _ in range(rounds):
-        g = 2 * (_jacobian(f, p, bounds).T @ f(p)) * unit
-        if not np.isfinite(g).all():
-            break
+        g = 2 * np.einsum("nbk,nb->nk", _jacobian(f, rows, p, v, hi), v) * unit
+        on = np.isfinite(g).all(axis=1)
+        if not on.all():
+            rows, p, g, unit, seen, moved = (a[on] for a in (rows, p, g, unit, seen, moved))
         seen = decay * seen + (1 - decay) * g * g
         d = -np.sqrt((moved + 1e-8) / (seen + 1e-8)) * g
         moved = decay * moved + (1 - decay) * d * d
-        p = _held(p + d * unit, bounds)
-        if (value := _cost(f, p)) < best:
-            best, at = value, p
-        if np.abs(d).max() < 1e-9:
+        p = np.clip(p + d * unit, lo[rows], hi[rows])
+        v = f(rows, p)
+        value = _cost(v)
+        better = value < best[rows]
+        best[rows[better]], found[rows[better]] = value[better], p[better]
+        on = np.abs(d).max(axis=1) >= 1e-9
+        if not on.all():
+            rows, p, v, unit, seen, moved = (a[on] for a in (rows, p, v, unit, seen, moved))
+        if not len(rows):
             break
-    return at, best
+    return found, best
 
 
-def newton(f: Residuals, start: np.ndarray, bounds: Bounds, rounds: int = 100) -> tuple[np.ndarray, float]:
+def newton(f: Residuals, start: np.ndarray, lo: np.ndarray, hi: np.ndarray, rounds: int = 100) -> Found:
     """Gauss-Newton steps, halved until they gain."""
-    p = np.array(start, float)
-    best = _cost(f, p)
+    p, rows = np.array(start, float), np.arange(len(start))
+    best = _cost(f(rows, p))
     for _ in range(rounds):
-        j = _jacobian(f, p, bounds)
-        if not np.isfinite(j).all():
+        v = f(rows, p[rows])
+        j = _jacobian(f, rows, p[rows], v, hi)
+        ok = np.isfinite(j).all(axis=(1, 2)) & np.isfinite(v).all(axis=1)
+        rows, j, v = rows[ok], j[ok], v[ok]
+        if not len(rows):
             break
-        d = np.linalg.lstsq(j, f(p), rcond=None)[0]
+        d = np.einsum("nkb,nb->nk", np.linalg.pinv(j, rcond=np.finfo(float).eps * max(j.shape[1:])), v)
+        going, left = np.zeros(len(p), bool), np.arange(len(rows))
         for k in range(30):
-            q = _held(p - d * 0.5**k, bounds)
-            if (value := _cost(f, q)) < best:
+            at = rows[left]
+            q = np.clip(p[at] - d[left] * 0.5**k, lo[at], hi[at])
+            value = _cost(f(at, q))
+            better = value < best[at]
+            won = at[better]
+            going[won] = best[won] - value[better] > 1e-12 * np.maximum(value[better], 1e-300)
+            p[won], best[won] = q[better], value[better]
+            left = left[~better]
+            if not len(left):
                 break
-        else:
-            break
-        gain, p, best = best - value, q, value
-        if gain <= 1e-12 * max(best, 1e-300):
+        rows = rows[going[rows]]
+        if not len(rows):
             break
     return p, best
 
 
-def combined(f: Residuals, start: np.ndarray, bounds: Bounds) -> tuple[np.ndarray, float]:
+def combined(f: Residuals, start: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Found:
     """A short descent, then Newton steps from where it ends, then a short run of adadelta."""
-    p, _ = newton(f, descend(f, start, bounds, rounds=40)[0], bounds)
-    return adadelta(f, p, bounds, rounds=100)
+    p, _ = newton(f, descend(f, start, lo, hi, rounds=40)[0], lo, hi)
+    return adadelta(f, p, lo, hi, rounds=100)
 
 
 OPTIMISERS = {"descent": descend, "levenberg-marquardt": levenberg_marquardt, "adadelta": adadelta, "newton": newton, "combined": combined}
@@ -172,13 +198,8 @@ OPTIMISERS = {"descent": descend, "levenberg-marquardt": levenberg_marquardt, "a
 _FIT = "rs1 double, chi2_1 double, gof_1 double, rs2 double, c02 double, chi2_2 double, gof_2 double, rs3 double, c03 double, gamma3 double, chi2_3 double, gof_3 double, concentration double, nb_rvir int"
 
 
-def fit_profile(radius: float, r: np.ndarray, m: np.ndarray, resolution: float = FORCE_RESOLUTION, optimiser: str = "descent") -> tuple | None:
-    """Three fits in turn, each started from the one before; None for under 4 bins within the radius.
-
-    What is fitted is the mass of each shell over the observed one, less 1, with a weight of 0.1 under three resolutions.
-    The first fit takes its amplitude from the whole mass. Those of the others are linear, so the best one for a shape is
-    known, and only the scale radius (up to the radius) and the outer slope (0 to 100) are searched.
-    """
+def _shells(radius: float, r: np.ndarray, m: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Bins within the radius, and outer and inner radius and mass of each shell that is fitted; None for under 4 bins."""
     inside = r <= radius
     nb = int(inside.sum())
     if nb < 4:
@@ -186,33 +207,71 @@ def fit_profile(radius: float, r: np.ndarray, m: np.ndarray, resolution: float =
     r, m = r[inside], m[inside]
     shell, prior = np.diff(m, prepend=0.0), np.concatenate(([0.0], r[:-1]))
     use = (shell > 0) & (r > 0)
-    if use.sum() < 3:
-        return None
-    r, prior, shell = r[use], prior[use], shell[use]
-    w = np.where(r < 3 * resolution, 0.1, 1.0)
-    least, minimise = radius * 1e-4, OPTIMISERS[optimiser]
+    return (nb, r[use], prior[use], shell[use]) if use.sum() >= 3 else None
 
-    def ratio(rs: float, outer: float = 2.0) -> np.ndarray:
-        return (enclosed(r, rs, outer) - enclosed(prior, rs, outer)) / shell
 
-    def given(p: np.ndarray) -> np.ndarray:
-        x = ratio(p[0])
-        return w * (x * shell.sum() / (x * shell).sum() - 1)
+def _fit_alike(radius: np.ndarray, nb: np.ndarray, r: np.ndarray, prior: np.ndarray, shell: np.ndarray, resolution: float, optimiser: str) -> np.ndarray:
+    """The fits of profiles that have equally many shells: a row of radii and masses each."""
+    w, minimise = np.where(r < 3 * resolution, 0.1, 1.0), OPTIMISERS[optimiser]
+    lo, hi = np.stack([radius * 1e-4, np.zeros(len(radius))], 1), np.stack([radius, np.full(len(radius), 100.0)], 1)
 
-    def best(x: np.ndarray) -> float:
-        return max(0.0, float((w * w * x).sum() / (w * w * x * x).sum()))
+    def ratio(i: np.ndarray, p: np.ndarray) -> np.ndarray:
+        rs, outer = p[:, :1], p[:, 1:] if p.shape[1] > 1 else 2.0
+        return (enclosed(r[i], rs, outer) - enclosed(prior[i], rs, outer)) / shell[i]
 
-    def free(p: np.ndarray) -> np.ndarray:
-        x = ratio(*p)
-        return w * (x * best(x) - 1)
+    def given(i: np.ndarray, p: np.ndarray) -> np.ndarray:
+        x = ratio(i, p)
+        return w[i] * (x * (shell[i].sum(axis=1) / (x * shell[i]).sum(axis=1))[:, None] - 1)
+
+    def best(i: np.ndarray, x: np.ndarray) -> np.ndarray:
+        w2 = w[i] * w[i]
+        a = (w2 * x).sum(axis=1) / (w2 * x * x).sum(axis=1)
+        return np.where(a > 0, a, 0.0)
+
+    def free(i: np.ndarray, p: np.ndarray) -> np.ndarray:
+        x = ratio(i, p)
+        return w[i] * (x * best(i, x)[:, None] - 1)
 
     with np.errstate(all="ignore"):
-        (rs1,), c1 = minimise(given, np.array([radius / 12]), [(least, radius)])
-        (rs2,), c2 = minimise(free, np.array([rs1]), [(least, radius)])
-        (rs3, g3), c3 = minimise(free, np.array([rs2, 2.0]), [(least, radius), (0.0, 100.0)])
-        a2, a3 = best(ratio(rs2)) / rs2**3, best(ratio(rs3, g3)) / rs3**3
-    gof = lambda c, k: c / (nb - k) if nb > k else float("nan")
-    return rs1, c1, gof(c1, 1), rs2, a2, c2, gof(c2, 2), rs3, a3, g3, c3, gof(c3, 3), radius / rs2, nb
+        every = np.arange(len(radius))
+        p1, c1 = minimise(given, radius[:, None] / 12, lo[:, :1], hi[:, :1])
+        p2, c2 = minimise(free, p1, lo[:, :1], hi[:, :1])
+        p3, c3 = minimise(free, np.column_stack([p2, np.full(len(p2), 2.0)]), lo, hi)
+        rs1, rs2, rs3, g3 = p1[:, 0], p2[:, 0], p3[:, 0], p3[:, 1]
+        a2, a3 = best(every, ratio(every, p2)) / rs2**3, best(every, ratio(every, p3)) / rs3**3
+        gof = lambda c, k: np.where(nb > k, c / (nb - k), np.nan)
+        return np.column_stack([rs1, c1, gof(c1, 1), rs2, a2, c2, gof(c2, 2), rs3, a3, g3, c3, gof(c3, 3), radius / rs2, nb])
+
+
+TOGETHER = 1000  # profiles that are fitted at once
+
+
+def fit_many(profiles: list[tuple[float, np.ndarray, np.ndarray]], resolution: float = FORCE_RESOLUTION, optimiser: str = "descent") -> list[tuple | None]:
+    """fit_profile() of each (radius, radii, masses), those with equally many shells together."""
+    shells = [_shells(*p) for p in profiles]
+    out: list[tuple | None] = [None] * len(profiles)
+    alike: dict[int, list[int]] = {}
+    for i, s in enumerate(shells):
+        if s is not None:
+            alike.setdefault(len(s[1]), []).append(i)
+    for every in alike.values():
+        for at in range(0, len(every), TOGETHER):
+            which = every[at : at + TOGETHER]
+            nb, r, prior, shell = (np.array([shells[i][k] for i in which]) for k in range(4))
+            fits = _fit_alike(np.array([profiles[i][0] for i in which], float), nb, r, prior, shell, resolution, optimiser)
+            for i, f in zip(which, fits, strict=True):
+                out[i] = (*(float(x) for x in f[:-1]), int(f[-1]))
+    return out
+
+
+def fit_profile(radius: float, r: np.ndarray, m: np.ndarray, resolution: float = FORCE_RESOLUTION, optimiser: str = "descent") -> tuple | None:
+    """Three fits in turn, each started from the one before; None for under 4 bins within the radius.
+
+    What is fitted is the mass of each shell over the observed one, less 1, with a weight of 0.1 under three resolutions.
+    The first fit takes its amplitude from the whole mass. Those of the others are linear, so the best one for a shape is
+    known, and only the scale radius (up to the radius) and the outer slope (0 to 100) are searched.
+    """
+    return fit_many([(radius, r, m)], resolution, optimiser)[0]
 
 
 def fit_profiles(profiles: DataFrame, resolution: float = FORCE_RESOLUTION, least_particles: int = 100, optimiser: str = "descent") -> DataFrame:
@@ -220,13 +279,15 @@ def fit_profiles(profiles: DataFrame, resolution: float = FORCE_RESOLUTION, leas
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in _FIT.split(", ")]
         for rows in batches:
-            fits = [fit_profile(x.radius, np.asarray(x.radii, float), np.asarray(x.masses, float), resolution, optimiser) for x in rows.itertuples()]
+            fits = fit_many([(x.radius, np.asarray(x.radii, float), np.asarray(x.masses, float)) for x in rows.itertuples()], resolution, optimiser)
             ok = [f is not None for f in fits]
             out = rows.loc[ok, ["id", "mass", "radius"]].reset_index(drop=True)
             yield pd.concat([out, pd.DataFrame([f for f in fits if f is not None], columns=names)], axis=1)
 
-    # Fits cost far more than their bytes tell, so they are dealt to a fixed number of tasks that isn't coalesced.
-    n = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Fits cost far more than their bytes tell, so they are dealt to a fixed number of tasks that isn't coalesced: some for
+    # each core, no more, as many profiles that are fitted together cost little more than a few.
+    spark = profiles.sparkSession
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(32, 4 * spark.sparkContext.defaultParallelism))
     return profiles.where(F.col("np") >= least_particles).select("id", "mass", "radius", "radii", "masses").repartition(n, "id").mapInPandas(run, f"id long, mass double, radius double, {_FIT}")
 
 

@@ -168,6 +168,18 @@ def test_fit_finds_the_scale_radius(optimiser):
     assert profiles.fit_profile(0.4, r, r, optimiser=optimiser) is None
 
 
+@pytest.mark.parametrize("optimiser", sorted(profiles.OPTIMISERS))
+def test_profiles_are_fitted_together_as_alone(optimiser):
+    """300 profiles in turn took adadelta many minutes."""
+    given = []
+    for k in range(300):
+        r, rs = np.geomspace(0.5, 20, 20 + k % 2), 2 + k % 7 / 2
+        given.append((20.0, r, 3 * rs**3 * profiles.enclosed(r, rs)))
+    fits = profiles.fit_many([*given, (0.4, r, r)], 0.01, optimiser)
+    assert fits[-1] is None and [f[3] for f in fits[:-1]] == pytest.approx([2 + k % 7 / 2 for k in range(300)], rel=1e-2)
+    assert [fits[k] for k in (0, 5)] == [profiles.fit_profile(*given[k], 0.01, optimiser) for k in (0, 5)]
+
+
 def test_enclosed_is_the_integral_of_the_density():
     r = np.linspace(0, 3, 200_001)[1:]
     for outer in (0.5, 1.0, 1.5, 2.0, 3.0):
