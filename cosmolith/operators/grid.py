@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql.window import Window
 
 from cosmolith.functions.astro import gaussian_kernel
 from cosmolith.functions.segments import FEW
-from cosmolith.functions.shared import with_groups, written
+from cosmolith.functions.shared import ranked, with_groups, written
 
 AXES = ("ix", "iy", "iz")
 
@@ -180,10 +181,13 @@ def nearest_structure(points: DataFrame, voxels: DataFrame, box: float) -> DataF
     A point goes down a tree of boxes, all boxes of a level at a time. Of each it knows how near its voxels can be, by their
     bounds, and of one voxel how far it is; the least of those bounds the search, and boxes beyond it are left before they
     are opened. So a point carries a few boxes from level to level, however dense the voxels, and meets voxels in the last
-    ones only. Exact; ties go to the structure of more voxels, then the least id. Ids must not repeat.
+    ones only: first those of its nearest leaf, which bound the others. Voxels at one place are one, that of the structure
+    that ties go to. Exact; ties go to the structure of more voxels, then the least id. Ids must not repeat.
     """
-    size = voxels.groupBy("structure").agg(F.count("*").alias("_size"))
-    v = with_groups(voxels.where("structure > -1"), size, ["structure"]).select("structure", "_size", *(F.col(a).cast("double").alias(f"v{a}") for a in "xyz"))
+    size = voxels.where("structure > -1").groupBy("structure").agg((-F.count("*")).alias("_less"))
+    places = written(ranked(size, ["_less", "structure"], "_rank").select("structure", "_rank"))
+    v = with_groups(voxels.where("structure > -1"), places, ["structure"])
+    v = v.groupBy(*(F.col(a).cast("double").alias(f"v{a}") for a in "xyz")).agg(F.min("_rank").alias("_rank"))
     levels, leaves = box_tree(written(v))
 
     def squared(there) -> Column:
@@ -193,16 +197,27 @@ def nearest_structure(points: DataFrame, voxels: DataFrame, box: float) -> DataF
             out = out + F.pow(F.least(d, F.lit(box) - d), F.lit(2.0))
         return out
 
+    near = squared(lambda a: f"v{a}")
     least = sum((F.pow(_apart(F.col(a), F.col(f"_lo{a}"), F.col(f"_hi{a}"), box), F.lit(2.0)) for a in "xyz"), F.lit(0.0))
-    open_ = points.select("id", "x", "y", "z", F.lit(1).cast("long").alias("parent"), F.lit(float("inf")).alias("_bound"))
-    held = None  # leaves that a point may have to look into
-    for depth, boxes in enumerate(levels):
-        met = open_.join(boxes, "parent").select("id", "x", "y", "z", "node", "leaf", least.alias("_least"), F.least("_bound", squared(lambda a: f"_one.v{a}") * (1 + 1e-9)).alias("_bound"))
-        if held is not None:
-            met = met.unionByName(held)
-        met = met.withColumn("_bound", F.min("_bound").over(Window.partitionBy("id"))).where("_least <= _bound")  # over a point's few boxes
-        met = written(met) if depth % 4 == 3 else met  # some levels are one plan
-        held = met.where("leaf")
-        open_ = met.where("not leaf").select("id", "x", "y", "z", F.col("node").alias("parent"), "_bound")
-    best = held.join(leaves, "node").withColumn("_d2", squared(lambda a: f"v{a}")).groupBy("id").agg(F.first(F.struct("x", "y", "z")).alias("p"), F.min(F.struct(F.col("_d2").alias("d2"), (-F.col("_size")).alias("s"), "structure", "vx", "vy", "vz")).alias("b"))
-    return best.select("id", "p.x", "p.y", "p.z", F.sqrt("b.d2").alias("dist"), "b.vx", "b.vy", "b.vz", "b.structure")
+    # Rows with few bytes meet many boxes or voxels, so they are dealt to a fixed number of tasks that isn't coalesced. Each
+    # level is met twice, for the bound (a number, summed up by hash where it is met) and for the boxes within it: no task
+    # holds or exchanges the others.
+    spark = points.sparkSession
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(32, 4 * spark.sparkContext.defaultParallelism))
+    open_ = written(points.select("id", "x", "y", "z", F.lit(1).cast("long").alias("parent"), F.lit(float("inf")).alias("_bound")))
+    held = []  # leaves that a point may have to look into, by level
+    for boxes in levels:
+        met = lambda rows: rows.repartition(n, "id", "parent").join(boxes, "parent").withColumn("_least", least).where("_least <= _bound")  # noqa: B023, E731
+        bound = met(open_).groupBy("id").agg(F.min(F.least("_bound", squared(lambda a: f"_one.v{a}") * (1 + 1e-9))).alias("_bound"))
+        kept = written(met(open_.drop("_bound").join(bound, "id")).select("id", "x", "y", "z", "node", "leaf", "_least", "_bound"))
+        held.append(kept.where("leaf").drop("leaf"))
+        open_ = kept.where("not leaf").select("id", "x", "y", "z", F.col("node").alias("parent"), "_bound")
+    by = Window.partitionBy("id")  # over a point's few leaves
+    leaf = reduce(DataFrame.unionByName, held).withColumn("_bound", F.min("_bound").over(by)).where("_least <= _bound")
+    held = written(leaf.withColumn("_nth", F.row_number().over(by.orderBy("_least", "node"))).drop("_bound"))
+    inside = lambda rows: rows.repartition(n, "node").join(leaves, "node").withColumn("_d2", near)
+    first = inside(held.where("_nth = 1")).groupBy("id").agg(F.min("_d2").alias("_most"))  # a number, so it is summed up by hash
+    few = inside(held.join(first, "id").where("_least <= _most * (1 + 1e-9)")).where("_d2 <= _most")
+    best = few.groupBy("id").agg(F.first(F.struct("x", "y", "z")).alias("p"), F.min(F.struct(F.col("_d2").alias("d2"), "_rank", "vx", "vy", "vz")).alias("b"))
+    found = best.select("id", "p.x", "p.y", "p.z", F.sqrt("b.d2").alias("dist"), "b.vx", "b.vy", "b.vz", F.col("b._rank").alias("_rank"))
+    return with_groups(found, places, ["_rank"]).drop("_rank")

@@ -86,3 +86,14 @@ def test_local_density(spark, reach, dim):
     assert got == pytest.approx(want)
     mean = grid.smooth(c, dim, 2.0).agg(F.sum("v")).first()[0] / dim**3
     assert mean == pytest.approx(1)
+
+
+def test_copies_of_a_voxel_open_no_boxes(spark, monkeypatch):
+    """Voxels at one place are one: they were divided down to the deepest level, and each was met by each point."""
+    made, plain = [], grid.box_tree
+    monkeypatch.setattr(grid, "box_tree", lambda v: made.append((v.count(), plain(v))) or made[-1][1])
+    voxels = spark.createDataFrame([(i % 3, 1.0 + i % 2, 1.0, 1.0) for i in range(400)] + [(2, 1.0, 1.0, 1.0)] * 5, "structure int, x double, y double, z double")
+    points = spark.createDataFrame([(1, 0.5, 1.0, 1.0), (2, 9.5, 1.0, 1.0)], "id long, x double, y double, z double")
+    got = {r.id: (r.structure, r.vx, r.dist) for r in grid.nearest_structure(points, voxels, 10.0).collect()}
+    assert got == {1: (2, 1.0, 0.5), 2: (2, 1.0, 1.5)}
+    assert made[0][0] == 2 and len(made[0][1][0]) == 1
