@@ -48,8 +48,12 @@ def _pointers(nodes: DataFrame, mmp_only: bool, mass: str) -> DataFrame:
     """id and to, its descendant if that is among the nodes (and, with mmp_only, if the node is its main progenitor)."""
     rows = most_massive(nodes, mass) if mmp_only else nodes
     to = F.when(F.col("is_mmp"), F.col("desc_id")) if mmp_only else F.col("desc_id")
-    ids = nodes.select(F.col("id").alias("to"))
-    return rows.select("id", to.alias("_to")).join(ids, F.col("_to") == F.col("to"), "left").select("id", "to")
+    ids, rows = nodes.select(F.col("id").alias("to")), rows.select("id", to.alias("_to"))
+    if not mmp_only:
+        return rows.join(ids, F.col("_to") == F.col("to"), "left").select("id", "to")
+    rows = written(rows)  # most nodes are no main progenitor: they stay out of the join, which would send them all to one task
+    main = rows.where("_to is not null").join(ids, F.col("_to") == F.col("to"), "left").select("id", "to")
+    return main.unionByName(rows.where("_to is null").select("id", F.col("_to").alias("to")))
 
 
 def tree_walk(nodes: DataFrame, roots: DataFrame, max_levels: int = 200, mmp_only: bool = False, mass: str = "mass") -> DataFrame:

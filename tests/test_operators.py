@@ -403,3 +403,18 @@ def test_galaxy_text_files_are_packed(spark, tmp_path):
     assert size(f"{tmp_path}/packed") * 5 < size(f"{tmp_path}/plain")
     back = legacy.read_text(spark, f"{tmp_path}/packed", df.columns)
     assert back.count() == 5000 and back.agg(F.sum("id"), F.sum("c37")).first() == (5000 * 4999 / 2, 0.0)
+
+
+def test_nodes_without_a_pointer_are_spread(spark):
+    """Most nodes are no main progenitor; a join by their null pointers had sent them all to one task."""
+    rows = [(i, 10_000 + i % 100, float(i)) for i in range(500)] + [(10_000 + i, -1, 1.0) for i in range(100)]
+    nodes = spark.createDataFrame(rows, "id long, desc_id long, mass double")
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = tree._pointers(nodes, True, "mass").select("id", "to", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    assert {r.id: r.to for r in found if r.to is not None} == {400 + i: 10_000 + i for i in range(100)} and len(found) == 600
+    none = [r.p for r in found if r.to is None]
+    assert max(none.count(p) for p in set(none)) < 400
