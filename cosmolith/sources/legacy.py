@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -279,49 +280,68 @@ def tree_file(folder: str, k: int) -> str:
 def write_trees(nodes: DataFrame, folder: str, tree: str, order: str, columns: list[str], files: int) -> DataFrame:
     """Forest files, a line `#tree id` and the tree's lines by `order`, and their location table (id, file_no, byte_offset).
 
-    A tree goes to one file, whole; files are written in parallel, as streams, and are the same on every try.
+    A tree goes to one file, whole; files are written in parallel, one task each, as streams, and are the same on every try.
     """
     rows = nodes.select(F.pmod(F.xxhash64(tree), F.lit(files)).cast("int").alias("file_no"), F.col(tree).cast("long").alias("_tree"), F.col(order).alias("_order"), F.concat_ws(" ", *(F.col(c).cast("string") for c in columns)).alias("_line"))
-    rows = rows.repartition(files, "file_no").sortWithinPartitions("file_no", "_tree", "_order", "_line").select("file_no", "_tree", "_line")
+    rows = rows.repartitionById(files, "file_no").sortWithinPartitions("file_no", "_tree", "_order", "_line").select("file_no", "_tree", "_line")
 
     def run(batches):
-        import pandas as pd
-
-        now, f, out, at = None, None, [], 0
-        for b in batches:
-            for k, t, line in zip(b["file_no"], b["_tree"], b["_line"], strict=True):
-                if now is None or now[0] != k:
-                    if f:
-                        f.close()
-                    f, at = created(tree_file(folder, int(k))), 0
-                if now != (k, t):
-                    at += f.write(f"#tree {t}\n".encode())
-                    out.append((t, k, at))
-                    now = (k, t)
-                at += f.write(f"{line}\n".encode())
-            yield pd.DataFrame(out, columns=["id", "file_no", "byte_offset"])
-            out = []
+        f, last, at = None, None, 0
+        for b in batches:  # of one file
+            if not len(b):
+                continue
+            k, t = b.column(0)[0].as_py(), b.column(1).to_numpy(zero_copy_only=False)
+            f = f or created(tree_file(folder, k))
+            lines, sizes = b.column(2).to_pylist(), pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            starts = np.flatnonzero(np.append(t[0] != last, t[1:] != t[:-1]))
+            heads = [f"#tree {x}\n" for x in t[starts]]
+            for i, head in zip(starts.tolist(), heads, strict=True):
+                lines[i] = head + lines[i]
+            above = np.array([len(x) for x in heads], np.int64)
+            sizes[starts] += above
+            ends = at + np.cumsum(sizes)
+            f.write("\n".join([*lines, ""]).encode())
+            yield pa.RecordBatch.from_arrays([pa.array(t[starts], pa.int64()), pa.array(np.full(len(starts), k), pa.int32()), pa.array((ends - sizes)[starts] + above)], names=["id", "file_no", "byte_offset"])
+            at, last = int(ends[-1]), t[-1]
         if f:
             f.close()
 
-    return written(rows.mapInPandas(run, "id long, file_no int, byte_offset long"))
+    return written(rows.mapInArrow(run, "id long, file_no int, byte_offset long"))
+
+
+TREES_A_TASK = 1000
+LINES = 20_000  # of trees that are handed on at once
 
 
 def read_trees(spark: SparkSession, folder: str, locations: DataFrame, wanted: DataFrame, names: list[str]) -> DataFrame:
     """tree_id and the lines, as named doubles, of the wanted(id) trees only: a task seeks each by the location table and
-    reads up to the next line that starts with #."""
-    found = locations.join(wanted.select("id").distinct(), "id").repartition("file_no").sortWithinPartitions("file_no", "byte_offset")
+    reads up to the next line that starts with #. A task has TREES_A_TASK trees that lie one after another, and opens a file once."""
+    found = written(locations.join(wanted.select("id").distinct(), "id"))
+    found = found.repartitionByRange(max(1, math.ceil(found.count() / TREES_A_TASK)), "file_no", "byte_offset").sortWithinPartitions("file_no", "byte_offset")
 
     def run(batches):
         import pandas as pd
 
+        def table():
+            return pd.DataFrame(np.array([x.split() for x in lines], float).reshape(-1, len(names)), columns=names).assign(tree_id=np.array(of, np.int64))[["tree_id", *names]]
+
+        now, f, lines, of = None, None, [], []
         for b in batches:
-            for t, k, at in zip(b["id"], b["file_no"], b["byte_offset"], strict=True):
-                with opened(tree_file(folder, int(k))) as raw:
-                    raw.seek(int(at))
-                    with io.TextIOWrapper(io.BufferedReader(raw)) as f:
-                        rows = [line.split() for line in itertools.takewhile(lambda x: not x.startswith("#"), f)]
-                yield pd.DataFrame(np.array(rows, float).reshape(-1, len(names)), columns=names).assign(tree_id=t)[["tree_id", *names]]
+            for t, k, at in zip(b["id"].tolist(), b["file_no"].tolist(), b["byte_offset"].tolist(), strict=True):
+                if now != k:
+                    if f:
+                        f.close()
+                    now, f = k, io.BufferedReader(opened(tree_file(folder, k)), 1 << 18)
+                f.seek(at)
+                for line in itertools.takewhile(lambda x: not x.startswith(b"#"), f):
+                    lines.append(line)
+                    of.append(t)
+                    if len(lines) >= LINES:
+                        yield table()
+                        lines, of = [], []
+        if f:
+            f.close()
+        yield table()
 
     return found.mapInPandas(run, "tree_id long, " + ", ".join(f"`{n}` double" for n in names))
 

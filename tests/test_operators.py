@@ -418,3 +418,20 @@ def test_nodes_without_a_pointer_are_spread(spark):
     assert {r.id: r.to for r in found if r.to is not None} == {400 + i: 10_000 + i for i in range(100)} and len(found) == 600
     none = [r.p for r in found if r.to is None]
     assert max(none.count(p) for p in set(none)) < 400
+
+
+def test_forest_files_by_their_location_table(spark, tmp_path, monkeypatch):
+    """One tree of many lines and trees of one: a location is the place of a tree's first line, and a
+    task reads a few trees that lie one after another, so that many tasks read one file."""
+    rows = [(7, i, 1.5 * i) for i in range(50_000)] + [(100 + i, i, float(i)) for i in range(300)]
+    nodes = spark.createDataFrame(rows, "tree long, i long, v double")
+    where = legacy.write_trees(nodes, str(tmp_path), "tree", "i", ["i", "v"], 3)
+    for r in where.collect():
+        data = open(legacy.tree_file(str(tmp_path), r.file_no), "rb").read()
+        assert data[: r.byte_offset].endswith(b"#tree %d\n" % r.id) and not data[r.byte_offset :].startswith(b"#")
+    wanted = spark.createDataFrame([(7,)] + [(100 + i,) for i in range(0, 300, 3)] + [(999,)], "id long")
+    got = legacy.read_trees(spark, str(tmp_path), where, wanted, ["i", "v"]).collect()
+    assert sorted((r.tree_id, r.i, r.v) for r in got) == [(t, float(i), v) for t, i, v in rows if t == 7 or (t - 100) % 3 == 0]
+    monkeypatch.setattr(legacy, "TREES_A_TASK", 10)
+    tasks = legacy.read_trees(spark, str(tmp_path), where, wanted, ["i", "v"]).select("tree_id", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len({r.p for r in tasks}) > 5 and len({r.tree_id for r in tasks}) == len(tasks) == 101
