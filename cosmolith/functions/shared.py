@@ -59,6 +59,30 @@ def with_groups(df: DataFrame, groups: DataFrame, by: list[str], most: int = 100
     return same_keys(df, F.broadcast(kept) if kept.count() <= most else kept, by, "inner")
 
 
+FEW = 1_000_000  # rows of a table that is left to Spark's own exchanges
+ROWS_A_TASK = 100_000  # of a larger one
+HEAVY = 10_000  # rows of one key; in a table of n rows there are at most n / HEAVY such keys
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by keys over as many tasks as `rows` rows need at ROWS_A_TASK each: unlike an exchange that is made for a join and
+    merged to the number of cores, a task's share does not grow with the table. Two tables dealt alike are joined as they lie."""
+    return df if rows <= FEW else df.repartition(-(-rows // ROWS_A_TASK), *keys)
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
+    """left, written and without null keys, joined with right, of at most `rows` rows, one for each key. Keys that more than HEAVY rows of left
+    share are few: their rows of right are broadcast, so no task gathers them; all others are dealt."""
+    if rows <= FEW:
+        return left.join(right, key, how)
+    heavy = written(left.groupBy(key).count().where(F.col("count") > HEAVY).select(key))
+    if heavy.isEmpty():
+        return dealt(left, rows, key).join(dealt(right, rows, key), key, how)
+    many = F.broadcast(right.join(F.broadcast(heavy), key, "left_semi"))  # at most rows / HEAVY
+    rest = dealt(left.join(F.broadcast(heavy), key, "left_anti"), rows, key).join(dealt(right, rows, key), key, how)
+    return rest.unionByName(left.join(F.broadcast(heavy), key, "left_semi").join(many, key, how))
+
+
 def ranked(df: DataFrame, order: list[str], rank: str = "rank", by: list[str] | None = None) -> DataFrame:
     """df with the 0-based rank of each row by `order` (within `by`), in parallel: a range exchange sorts the rows, each
     partition numbers its own, and the partitions' counts (one row each) give where a partition starts. A group that

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cosmolith.functions.ranks import FEW_ROWS
-from cosmolith.functions.shared import counted, ranked, with_groups, written, written_by
+from cosmolith.functions.shared import counted, dealt, looked_up, ranked, with_groups, written, written_by
 
 
 def with_links(nodes: DataFrame) -> DataFrame:
@@ -23,8 +23,11 @@ def with_links(nodes: DataFrame) -> DataFrame:
 
 def most_massive(nodes: DataFrame, mass: str = "mass") -> DataFrame:
     """nodes with is_mmp: the descendant's most massive progenitor, the least id among equals."""
-    best = nodes.groupBy("desc_id").agg(F.max_by("id", F.struct(mass, -F.col("id"))).alias("_best"))
-    return nodes.join(best, "desc_id", "left").withColumn("is_mmp", F.col("id") == F.col("_best")).drop("_best")
+    slim = written(nodes.select("id", "desc_id", F.col(mass).alias("_mass")))
+    rows, key = slim.count(), ["id", "desc_id"]  # no two nodes share this key, but a third of all may share a descendant
+    best = dealt(slim, rows, "id").groupBy("desc_id").agg(F.max_by("id", F.struct("_mass", -F.col("id"))).alias("id")).where("desc_id is not null")
+    marked = dealt(nodes, rows, *key).join(dealt(best.withColumn("_best", F.lit(True)), rows, *key), key, "left")
+    return marked.select(*nodes.columns, F.when(F.col("desc_id").isNotNull(), F.col("_best").isNotNull()).alias("is_mmp"))
 
 
 def ends(edges: DataFrame, max_levels: int = 200) -> DataFrame:
@@ -34,12 +37,12 @@ def ends(edges: DataFrame, max_levels: int = 200) -> DataFrame:
     rounds get smaller and no end gathers its whole tree.
     """
     start = written(edges.select("id", F.coalesce("to", "id").alias("end"), F.col("to").isNotNull().cast("int").alias("steps"), F.col("to").isNull().alias("done")))
-    out, left = start.where("done"), start.where("not done")
+    rows, out, left = start.count(), start.where("done"), start.where("not done")
     for _ in range(max_levels.bit_length() + 2):
         if left.isEmpty():
             return out.drop("done")
         up = out.unionByName(left).select(F.col("id").alias("end"), F.col("end").alias("_up"), F.col("steps").alias("_more"), F.col("done").alias("_done"))
-        nxt = written(left.join(up, "end").select("id", F.col("_up").alias("end"), (F.col("steps") + F.col("_more")).alias("steps"), F.col("_done").alias("done")))
+        nxt = written(looked_up(left, up, "end", rows).select("id", F.col("_up").alias("end"), (F.col("steps") + F.col("_more")).alias("steps"), F.col("_done").alias("done")))
         out, left = out.unionByName(nxt.where("done")), nxt.where("not done")
     raise RuntimeError(f"a chain is longer than {max_levels} steps, or has a cycle")
 
@@ -48,12 +51,10 @@ def _pointers(nodes: DataFrame, mmp_only: bool, mass: str) -> DataFrame:
     """id and to, its descendant if that is among the nodes (and, with mmp_only, if the node is its main progenitor)."""
     rows = most_massive(nodes, mass) if mmp_only else nodes
     to = F.when(F.col("is_mmp"), F.col("desc_id")) if mmp_only else F.col("desc_id")
-    ids, rows = nodes.select(F.col("id").alias("to")), rows.select("id", to.alias("_to"))
-    if not mmp_only:
-        return rows.join(ids, F.col("_to") == F.col("to"), "left").select("id", "to")
-    rows = written(rows)  # most nodes are no main progenitor: they stay out of the join, which would send them all to one task
-    main = rows.where("_to is not null").join(ids, F.col("_to") == F.col("to"), "left").select("id", "to")
-    return main.unionByName(rows.where("_to is null").select("id", F.col("_to").alias("to")))
+    rows = written(rows.select("id", to.alias("to")))  # most nodes are no main progenitor: they stay out of the join, which would send them all to one task
+    ids = nodes.select(F.col("id").alias("to"), F.lit(True).alias("_known"))
+    main = looked_up(rows.where("to is not null"), ids, "to", rows.count(), "left").select("id", F.when(F.col("_known"), F.col("to")).alias("to"))
+    return main.unionByName(rows.where("to is null"))
 
 
 def tree_walk(nodes: DataFrame, roots: DataFrame, max_levels: int = 200, mmp_only: bool = False, mass: str = "mass") -> DataFrame:
@@ -70,7 +71,8 @@ def tree_walk(nodes: DataFrame, roots: DataFrame, max_levels: int = 200, mmp_onl
     pairs = last = found
     for _ in range(max_levels):
         if above.isEmpty() or last.isEmpty():
-            return nodes.join(pairs, "id")
+            rows = pairs.count()
+            return dealt(nodes, rows, "id").join(dealt(pairs, rows, "id"), "id")
         last = written(last.join(above, F.col("root_id") == F.col("_inner")).select("id", F.col("_outer").alias("root_id"), (F.col("level") + F.col("_more")).alias("level")))
         pairs = pairs.unionByName(last)
     raise RuntimeError(f"roots are nested deeper than {max_levels}, or have a cycle")
@@ -115,7 +117,8 @@ def peaks(nodes: DataFrame, mass: str = "mass", order: str = "epoch") -> DataFra
 def tracks(nodes: DataFrame, mass: str = "mass", max_levels: int = 200) -> DataFrame:
     """nodes with track_head: the newest node of the branch on which each is the main progenitor of the next."""
     heads = ends(_pointers(nodes, True, mass), max_levels).select("id", F.col("end").alias("track_head"))
-    return nodes.join(heads, "id")
+    rows = heads.count()
+    return dealt(nodes, rows, "id").join(dealt(heads, rows, "id"), "id")
 
 
 def track_numbers(nodes: DataFrame, mass: str = "mass", max_levels: int = 1000) -> DataFrame:
@@ -169,8 +172,8 @@ def merger_ratio(nodes: DataFrame, mass: str = "mass", major: float = 0.3, minor
 
 
 def second_progenitors(nodes: DataFrame, column: str, mass: str = "mass") -> DataFrame:
-    """id of each node with two progenitors or more, and the column's value of the second most massive one."""
-    others = most_massive(nodes, mass).where("not is_mmp")
+    """id of each node with two progenitors or more, and the column's value of the second most massive one. nodes may have is_mmp."""
+    others = (nodes if "is_mmp" in nodes.columns else most_massive(nodes, mass)).where("not is_mmp")
     return others.groupBy("desc_id").agg(F.max_by(column, F.struct(mass, -F.col("id"))).alias("_second")).withColumnRenamed("desc_id", "id")
 
 
@@ -189,13 +192,15 @@ def stellar_merger(nodes: DataFrame, ratio: float = 10.0, pairwise: bool = False
     from cosmolith.functions import astro
     from cosmolith.functions.shared import with_groups
 
-    star = nodes.withColumn("_star", astro.stellar_mass(peak))
-    rows = star.join(second_progenitors(star, "_star", mass), "id", "left")
+    star = written(nodes.withColumn("_star", astro.stellar_mass(peak)))
+    n, slim = star.count(), written(most_massive(star.select("id", "desc_id", mass, "_star"), mass))
+    rows = dealt(star, n, "id").join(dealt(second_progenitors(dealt(slim, n, "id"), "_star", mass), n, "id"), "id", "left")
     if pairwise:
-        first = most_massive(star, mass).where("is_mmp").select(F.col("desc_id").alias("id"), F.col("_star").alias("_other"))
-        rows = rows.join(first, "id", "left")
+        first = slim.where("is_mmp").select(F.col("desc_id").alias("id"), F.col("_star").alias("_other"))
+        rows = rows.join(dealt(first, n, "id"), "id", "left")
     else:
         rows = with_groups(rows, star.where("id = root_id").select("root_id", F.col("_star").alias("_other")), ["root_id"])
+    rows = dealt(rows, n, "track_head")
     oldest = F.first(order).over(Window.partitionBy("track_head").orderBy(order))
     major = F.col("_second").isNotNull() & (F.col("_other") < F.lit(ratio) * F.col("_second"))
     out = _inherited(rows, {"almms": major}, order, oldest if pairwise else F.lit(-1.0))
@@ -205,8 +210,10 @@ def stellar_merger(nodes: DataFrame, ratio: float = 10.0, pairwise: bool = False
 def subhalo_mergers(nodes: DataFrame, mass: str = "mass", order: str = "epoch", major: float = 0.3, minor: float = 0.2) -> DataFrame:
     """nodes(track_head, upid) with almm2 and alminm, the epochs of the last major and minor merger along the main branch,
     told by the largest subhalo over the rest of its host's mass; a branch starts with one of each at its leaf."""
-    subs = nodes.where("upid <> -1").groupBy("upid").agg(F.max(mass).alias("_largest")).withColumnRenamed("upid", "id")
-    rows = nodes.join(subs, "id", "left").withColumn("_share", F.try_divide(F.col("_largest"), F.col(mass) - F.col("_largest")))
+    nodes = written(nodes)
+    n, subs = nodes.count(), nodes.where("upid <> -1").groupBy("upid").agg(F.max(mass).alias("_largest")).withColumnRenamed("upid", "id")
+    rows = dealt(nodes, n, "id").join(dealt(subs, n, "id"), "id", "left")
+    rows = dealt(rows, n, "track_head").withColumn("_share", F.try_divide(F.col("_largest"), F.col(mass) - F.col("_largest")))
     leaf = F.row_number().over(Window.partitionBy("track_head").orderBy(order)) == 1
     rows = rows.withColumn("_leaf", leaf)
     out = _inherited(rows, {"almm2": F.col("_leaf") | (F.col("_share") > major), "alminm": F.col("_leaf") | (F.col("_share") > minor)}, order, F.lit(-1.0))

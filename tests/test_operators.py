@@ -435,3 +435,27 @@ def test_forest_files_by_their_location_table(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(legacy, "TREES_A_TASK", 10)
     tasks = legacy.read_trees(spark, str(tmp_path), where, wanted, ["i", "v"]).select("tree_id", F.spark_partition_id().alias("p")).distinct().collect()
     assert len({r.p for r in tasks}) > 5 and len({r.tree_id for r in tasks}) == len(tasks) == 101
+
+
+def test_large_trees_are_dealt_by_rows(spark, monkeypatch):
+    """Above FEW rows a task of the trees' joins has a fixed share of the nodes, however many they are and whatever descendant
+    they have in common; walks, tracks and mergers are those of a table left to Spark's own exchanges."""
+    from cosmolith.functions import shared
+
+    rows = [(100 + i, 10 + i % 3, 1.0, float(i * 7919 % 1009)) for i in range(2000)] + [(9000 + i, 100 + i, 0.0, float(i)) for i in range(200)] + [(10 + i, 1, 2.0, 900.0 + i) for i in range(3)] + [(1, -1, 3.0, 1000.0)]
+    nodes = spark.createDataFrame([(*r, r[1]) for r in rows], "id long, desc_id long, epoch double, mass double, upid long")
+
+    def run():
+        walked = tree.tree_walk(tree.tracks(nodes), nodes.where("id = 1")).withColumn("mpeak", F.lit(10.0) + F.col("id") % 31 / 10)
+        outs = [walked, tree.most_massive(nodes), tree.subhalo_mergers(walked), tree.stellar_merger(walked), tree.stellar_merger(walked, 3.0, True), tree.accretion(nodes)]
+        return [sorted(tuple(sorted(r.asDict().items(), key=lambda x: x[0])) for r in d.collect()) for d in outs]
+
+    want = run()
+    for name, value in (("FEW", 0), ("ROWS_A_TASK", 50), ("HEAVY", 20)):
+        monkeypatch.setattr(shared, name, value)
+    assert run() == want and len(want[0]) == len(rows)
+    shares = tree.tracks(nodes).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in shares) < 200  # else all rows are in a task or two
+    left = nodes.select("id", F.col("desc_id").alias("end")).where("end between 10 and 12")
+    found = shared.looked_up(shared.written(left), nodes.select(F.col("id").alias("end"), "mass"), "end", len(rows)).select("mass", F.spark_partition_id().alias("p")).collect()
+    assert len(found) == 2000 and {r.mass for r in found} == {900.0, 901.0, 902.0}
