@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,16 +98,19 @@ def _constant(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def assign_bins(df: DataFrame, x: str, edges: list[tuple[float, float]]) -> DataFrame:
-    """df with bin_id, lo, hi: a row joins every bin with lo < x <= hi, so the global minimum lies in none.
+LISTED = 1 << 16  # bins of all elementary intervals together, up to which each interval has a list of its bins
+
 
-    No join: the row's elementary interval is found in a grid of equal cells and by bisection within its cell, and what its ancestors in interval_index() hold is
-    put out. So thousands of overlapping bins cost a row a few steps and no other row.
+def _intervals(x: str, edges: list[tuple[float, float]]) -> tuple[Column, Callable[[Column], Column]] | None:
+    """(the elementary interval of x, the bins that hold an interval), or None where no bin can hold anything.
+
+    The interval is found in a grid of equal cells and among the few ends in its cell. Its bins are listed; if these lists
+    were too long, as with thousands of wide ranges, they are what its ancestors in interval_index() hold.
     """
     ends, nodes = interval_index(edges)
     if not ends:
-        return df.withColumns({"bin_id": F.lit(0), "lo": F.lit(0.0), "hi": F.lit(0.0)}).where("false")
-    levels = (len(nodes) // 2).bit_length()
+        return None
+    levels, leaves = (len(nodes) // 2).bit_length(), len(nodes) // 2
     # The axis in equal cells: a row's cell tells between which ends it lies, but for the few in that cell.
     real = [e for e in ends if math.isfinite(e)] or [0.0]
     cells, first = min(1 << 16, 4 * len(ends)), real[0]
@@ -117,14 +121,55 @@ def assign_bins(df: DataFrame, x: str, edges: list[tuple[float, float]]) -> Data
     starts = [bisect.bisect_left(at, c) for c in range(cells + 1)]
     v = F.col(x).cast("double")
     cell = F.greatest(F.least(F.floor((v - first) * scale), F.lit(cells - 1)), F.lit(0)).cast("int")
-    known = _constant(starts, "array<int>")
-    leaf = under(_constant(ends, "array<double>"), v, max(b - a for a, b in zip(starts, starts[1:])), (F.get(known, cell), F.get(known, cell + 1))) + len(nodes) // 2
-    held = F.flatten(F.transform(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda k: F.call_function("shiftright", leaf, k)), lambda n: F.get(_constant(nodes, "array<array<int>>"), n)))
-    rows = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).withColumn("bin_id", F.explode(held))
+    known, values = _constant(starts, "array<int>"), _constant(ends, "array<double>")
+    lo, hi, most = F.get(known, cell), F.get(known, cell + 1), max(b - a for a, b in zip(starts, starts[1:]))
+    if most <= 4:  # compared one by one, which is compiled; a bisection is not
+        leaf = lo
+        for j in range(most):
+            leaf = leaf + F.when((lo + j < hi) & (F.get(values, lo + j) < v), 1).otherwise(0)
+    else:
+        leaf = under(values, v, most, (lo, hi))
+    spans = [(bisect.bisect_left(ends, float(p)) + 1, bisect.bisect_left(ends, float(q)) + 1, i) for i, (p, q) in enumerate(edges) if p < q]
+    if sum(q - p for p, q, _ in spans) <= LISTED:
+        lists: list[list[int]] = [[] for _ in range(len(ends) + 1)]
+        for p, q, i in spans:
+            for k in range(p, q):
+                lists[k].append(i)
+        return leaf, lambda k: F.get(_constant(lists, "array<array<int>>"), k)
+    above = lambda k: F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda n: F.call_function("shiftright", k + leaves, n))
+    return leaf, lambda k: F.flatten(F.transform(above(k), lambda n: F.get(_constant(nodes, "array<array<int>>"), n)))
+
+
+def _numbers(df: DataFrame, x: str) -> DataFrame:
+    return df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")))
+
+
+def assign_bins(df: DataFrame, x: str, edges: list[tuple[float, float]]) -> DataFrame:
+    """df with bin_id, lo, hi: a row joins every bin with lo < x <= hi, so the global minimum lies in none.
+
+    No join: a row's elementary interval is looked up, and the bins that hold it are put out. So thousands of overlapping bins
+    cost a row a few steps and no other row.
+    """
+    found = _intervals(x, edges)
+    if not found:
+        return df.withColumns({"bin_id": F.lit(0), "lo": F.lit(0.0), "hi": F.lit(0.0)}).where("false")
+    leaf, held = found
+    rows = _numbers(df, x).withColumn("bin_id", F.explode(held(leaf)))
     side = lambda k: F.get(_constant([float(e[k]) for e in edges], "array<double>"), F.col("bin_id"))
     return rows.withColumns({"lo": side(0), "hi": side(1)})
 
 
+def bin_counts(df: DataFrame, x: str, edges: list[tuple[float, float]]) -> DataFrame:
+    """bin_id, n, x_min and x_max of the rows that assign_bins() gives each bin that has any. Rows are summed up by elementary
+    interval before these go to their bins, so a row is counted once, however many bins it lies in."""
+    found = _intervals(x, edges)
+    if not found:
+        return df.select(F.lit(0).alias("bin_id"), F.lit(0).cast("long").alias("n"), F.col(x).alias("x_min"), F.col(x).alias("x_max")).where("false")
+    leaf, held = found
+    own = _numbers(df, x).groupBy(leaf.alias("_leaf")).agg(F.count("*").alias("n"), F.min(x).alias("x_min"), F.max(x).alias("x_max"))
+    return own.withColumn("bin_id", F.explode(held(F.col("_leaf")))).groupBy("bin_id").agg(F.sum("n").alias("n"), F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max"))
+
+
 def bucket(df: DataFrame, x: str, n_bins: int, lo: float, hi: float, name: str = "bin_id") -> DataFrame:
     """Equal-width bins over [lo, hi]; the last holds its upper edge. Rows that aren't finite are left out."""
     width = (hi - lo) / n_bins or 1.0

@@ -60,7 +60,7 @@ def long_series_smooth(spark, d):
 SELECT cast(bin_id AS int) bin_id, count(*) n, min(l_extendedprice) x_min, max(l_extendedprice) x_max FROM lineitem JOIN b ON l_extendedprice > lo AND l_extendedprice <= hi GROUP BY 1""")
 def many_range_bins(spark, d):
     edges = [(10.0 * i, 10.0 * i + 5 + i * 7919 % 400) for i in range(10_000)]
-    return binning.assign_bins(_t(spark, d, "lineitem").select("l_extendedprice"), "l_extendedprice", edges).groupBy("bin_id").agg(F.count("*").alias("n"), F.min("l_extendedprice").alias("x_min"), F.max("l_extendedprice").alias("x_max"))
+    return binning.bin_counts(_t(spark, d, "lineitem"), "l_extendedprice", edges)
 
 
 # ---- order statistics of many groups -----------------------------------------------------------------------------

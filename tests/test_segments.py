@@ -124,3 +124,21 @@ def test_rows_alike_in_time_are_ordered_by_ties(spark):
         back = k - k % 4 - 4 + 2 + k % 2
         assert at[k]["dyn_rate"] == pytest.approx((m[k] - m[back]) / 10) and spans[k] == pytest.approx((m[k] - m[back]) / 10)
         assert two[k] == pytest.approx((m[k + 4] - m[k]) / 10) and (step[k] is None if k % 4 < 2 else step[k] == pytest.approx((m[k + 2] - m[k]) / 10))
+
+
+def test_rows_are_counted_by_interval(spark, monkeypatch):
+    """Counts of overlapping ranges against each row in each range, by lists and by the tree; a row goes into one sum only."""
+    from cosmolith.operators import binning
+
+    rng, inf = random.Random(4), float("inf")
+    xs = [-inf, inf, float("nan"), None, *(float(rng.randint(-5, 60)) for _ in range(300)), *(20 + i / 2e6 for i in range(90))]
+    d = spark.createDataFrame([(x,) for x in xs], "x double")
+    even = [(10.0 * i, 10.0 * i + 5 + i * 7 % 40) for i in range(6)]
+    crowded = [(rng.choice([-inf, rng.randint(0, 50), 20 + rng.randint(0, 40) / 1e6]), rng.choice([inf, rng.randint(0, 50), 20 + rng.randint(0, 40) / 1e6])) for _ in range(200)]
+    for listed in (1 << 20, 0):
+        monkeypatch.setattr(binning, "LISTED", listed)
+        for edges in (even, crowded, [], [(3.0, 3.0)]):
+            inside = {k: [x for x in xs if x is not None and a < x <= b] for k, (a, b) in enumerate(edges)}
+            assert {r.bin_id: (r.n, r.x_min, r.x_max) for r in binning.bin_counts(d, "x", edges).collect()} == {k: (len(v), min(v), max(v)) for k, v in inside.items() if v}
+            got = sorted((r.bin_id, r.x) for r in binning.assign_bins(d, "x", edges).collect())
+            assert got == sorted((k, x) for k, v in inside.items() for x in v)
