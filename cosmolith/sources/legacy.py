@@ -30,26 +30,39 @@ from cosmolith.functions.shared import ranked, written
 BATCH = 1 << 16
 
 
+_PLAIN = r"[+-]?+[0-9]++\.?+[0-9]*+(?:[eE][+-]?+[0-9]++)?+"  # a number as most are written
+_NAMED = rf"(?:{_PLAIN}|\.[0-9]++(?:[eE][+-]?+[0-9]++)?+|(?i:[+-]?+inf(?:inity)?+|nan))"
+
+
 def _fields(line: str, delimiter: str, n: int) -> tuple[Column, Column]:
-    """(the numbers of a line, whether the line is malformed): n fields, each of which is read as a number. `nan`, `inf` and
-    `-inf` are numbers; Java's own notations (a type letter behind, hexadecimal) are not."""
+    """(the fields of a line, whether the line is malformed): n fields, each of which is read as a number. `nan`, `inf` and
+    `-inf` are numbers; Java's own notations (a type letter behind, hexadecimal) are not. Fields between white space are
+    told by a pattern of the line; only lines that it doesn't match are looked at field by field."""
     parts = F.split(F.trim(line), delimiter)
     number = lambda p: F.when(~p.rlike("(?i)[0-9.][df]$|x"), p.try_cast("double"))
-    values = F.transform(parts, number)
-    return values, (F.size(parts) != n) | F.exists(values, lambda v: v.isNull())
+    good = (F.size(parts) == n) & ~F.exists(parts, lambda p: number(p).isNull())
+    if delimiter == r"\s+" and n:
+        plain, named = (F.trim(line).rlike(rf"\A{x}(?:\s++{x}){{{n - 1}}}\z") for x in (_PLAIN, _NAMED))
+        good = plain | named | good
+    return parts, ~good
+
+
+def _number(fields: str, i: int) -> Column:
+    """The i-th field of a line that is not malformed."""
+    return F.get(fields, i).try_cast("double")
 
 
 def read_text(spark: SparkSession, path: str, names: list[str], delimiter: str = r"\s+", mode: str = "DROPMALFORMED") -> DataFrame:
     """Rows of doubles. Lines with a field that is no number, or too few or too many fields, are dropped (DROPMALFORMED), kept
     with nulls and the line in _corrupt (PERMISSIVE), or stop the read (FAILFAST). What isn't finite is read as it is."""
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    values, bad = _fields("value", delimiter, len(names))
-    lines = lines.withColumns({"_v": values, "_bad": bad})
+    parts, bad = _fields("value", delimiter, len(names))
+    if mode == "DROPMALFORMED":
+        return lines.where(~bad).select(parts.alias("_v")).select(*(_number("_v", i).alias(n) for i, n in enumerate(names)))
+    lines = lines.withColumns({"_v": parts, "_bad": bad})
     if mode == "FAILFAST":
-        lines = lines.withColumn("_v", F.when(F.col("_bad"), F.raise_error(F.concat(F.lit("malformed line: "), F.col("value"))).cast("array<double>")).otherwise(F.col("_v")))
-    elif mode == "DROPMALFORMED":
-        lines = lines.where("not _bad")
-    cols = [F.when(~F.col("_bad"), F.get("_v", i)).alias(n) for i, n in enumerate(names)]
+        lines = lines.withColumn("_v", F.when(F.col("_bad"), F.raise_error(F.concat(F.lit("malformed line: "), F.col("value"))).cast("array<string>")).otherwise(F.col("_v")))
+    cols = [F.when(~F.col("_bad"), _number("_v", i)).alias(n) for i, n in enumerate(names)]
     return lines.select(*cols, *([F.when(F.col("_bad"), F.col("value")).alias("_corrupt")] if mode == "PERMISSIVE" else []))
 
 
@@ -57,15 +70,15 @@ PACKED_ROWS = 1_000_000  # of a compressed text file
 
 
 def write_text(df: DataFrame, path: str, digits: int = 10, delimiter: str = " ", compression: str | None = None) -> None:
-    """One line per row; doubles with `digits` significant digits, `nan`, `inf` and `-inf` by name, null as `nan`, so that every
-    row has all its fields and is read again. compression: a codec of Spark's text writer; as such files aren't split by a
-    reader, a file then has at most PACKED_ROWS rows."""
+    """One line per row; doubles with `digits` significant digits (17 or more: as few as give the same double again), `nan`,
+    `inf` and `-inf` by name, null as `nan`, so that every row has all its fields and is read again. compression: a codec of
+    Spark's text writer; as such files aren't split by a reader, a file then has at most PACKED_ROWS rows."""
 
     def field(c: str, kind: str) -> Column:
         v = F.col(c)
         if kind not in ("double", "float"):
             return F.coalesce(v.cast("string"), F.lit("nan"))
-        number = F.format_string(f"%.{digits}g", v)
+        number = v.cast("double").cast("string") if digits >= 17 else F.format_string(f"%.{digits}g", v)
         return F.when(v.isNull() | F.isnan(v), F.lit("nan")).when(F.abs(v) == float("inf"), F.when(v > 0, F.lit("inf")).otherwise(F.lit("-inf"))).otherwise(number)
 
     df.select(F.concat_ws(delimiter, *(field(c, t) for c, t in df.dtypes)).alias("value")).write.option("maxRecordsPerFile", PACKED_ROWS if compression else 0).text(path, compression=compression)
@@ -245,12 +258,12 @@ def read_many(spark: SparkSession, template: str, values: list, names: list[str]
     """The text tables at the template's paths (%d or %s stands for a value), in one scan, with file_name and value."""
     paths = {template % v: str(v) for v in values}
     lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("_path"))
-    values, bad = _fields("value", delimiter, len(names))
-    good = lines.where(~F.col("value").startswith("#")).withColumns({"_v": values, "_bad": bad}).where("not _bad")
+    parts, bad = _fields("value", delimiter, len(names))
+    good = lines.where(~F.col("value").startswith("#") & ~bad).withColumn("_v", parts)
     which = F.lit(None).cast("string")
     for p, v in paths.items():
         which = F.when(F.endswith("_path", F.lit(p.rsplit(":", 1)[-1].lstrip("/"))) | F.contains("_path", F.lit(p.rsplit(":", 1)[-1].lstrip("/") + "/")), v).otherwise(which)
-    return good.select(which.alias("value"), F.element_at(F.split("_path", "/"), -1).alias("file_name"), *(F.get("_v", i).alias(n) for i, n in enumerate(names)))
+    return good.select(which.alias("value"), F.element_at(F.split("_path", "/"), -1).alias("file_name"), *(_number("_v", i).alias(n) for i, n in enumerate(names)))
 
 
 # The number of fields of the three files of a galaxy catalogue, and the positions of those that are named.

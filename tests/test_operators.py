@@ -405,6 +405,30 @@ def test_galaxy_text_files_are_packed(spark, tmp_path):
     assert back.count() == 5000 and back.agg(F.sum("id"), F.sum("c37")).first() == (5000 * 4999 / 2, 0.0)
 
 
+def test_galaxy_text_is_read_by_line(spark, tmp_path):
+    """Only the fields that are asked are made numbers, once, and doubles are written as short as they are read again. What is a line of
+    numbers is told by a pattern of the line or, if that doesn't match, by field: both tell the same."""
+    from cosmolith.sources import legacy
+
+    fields = ["1", "-1.5", "+2.", ".5", "1e5", "1.5E-7", "1e999", "nan", "NaN", "+NaN", "inf", "-Infinity", "\x011", "1d", "0x1p3", "1_0", "", ".", "e5", "1e", "--1", "x", "1,5"]
+    lines = [f"{a} {b}" for a in fields for b in ("7", "inf", "y")] + ["1  2", "1\t2", "\t1 2", "1 2 3", "1", " 1 2 "]
+    (tmp_path / "t.txt").write_text("\n".join(lines) + "\n")
+    by_line, by_field = (legacy.read_text(spark, str(tmp_path / "t.txt"), ["a", "b"], delimiter=d, mode="PERMISSIVE") for d in (r"\s+", r"[\s]+"))
+    read = sorted(map(str, by_line.collect()))
+    assert read == sorted(map(str, by_field.collect())) and sum("_corrupt=None" in r for r in read) == 29
+    kept = legacy.read_text(spark, str(tmp_path / "t.txt"), ["a", "b"])
+    assert sorted(map(str, kept.collect())) == sorted(r.replace(", _corrupt=None", "") for r in read if "_corrupt=None" in r)
+
+    names = legacy.galaxy_names("galprop")
+    xs = [0.0, 0.1, 1 / 3, 1e22, 5e-324, 123456789.125]
+    legacy.write_text(spark.createDataFrame([(x,) * len(names) for x in xs], ", ".join(f"`{c}` double" for c in names)), f"{tmp_path}/g", digits=17)
+    assert "0.1 0.1" in "".join(r.value for r in spark.read.text(f"{tmp_path}/g").collect())
+    few = legacy.read_galaxies(spark, galprop=f"{tmp_path}/g")["galprop"].select("halo_id", "gal_id", "mstar")
+    assert sorted(few.collect()) == sorted((x,) * 3 for x in xs)
+    made = few._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+    assert made.count("as double") == 3 and "transform" not in made and "split" not in made
+
+
 def test_nodes_without_a_pointer_are_spread(spark):
     """Most nodes are no main progenitor; a join by their null pointers had sent them all to one task."""
     rows = [(i, 10_000 + i % 100, float(i)) for i in range(500)] + [(10_000 + i, -1, 1.0) for i in range(100)]
