@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cosmolith.functions import astro
-from cosmolith.functions.shared import ranked
+from cosmolith.functions.shared import finite, ranked
 from cosmolith.operators import aggregates as agg
 from cosmolith.operators import binning, catalog, forest, grid, profiles, tracks, tree
 
@@ -33,6 +33,14 @@ def _round(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
 
 
+def _rounded(name: str, digits: int) -> Column:
+    """A double rounded as the SQL's round does it: times 10**digits to the next whole number, halves away from zero, and back, the
+    sign of a zero kept. F.round goes by the shortest decimal instead, which tells other halves."""
+    c, m = F.col(name), F.lit(10.0**digits)
+    r = F.round(c * m) / m
+    return F.when(r == 0, c * F.lit(0.0)).when(finite(r), r).otherwise(c)
+
+
 # ---- binned averages, medians, histograms ------------------------------------------------------------------------
 
 
@@ -351,7 +359,7 @@ def normalise_last(spark, d):
 
 @query(f"{_EV}, g AS (SELECT *, (lead(value, 2) OVER w - value) / nullif(lead(t, 2) OVER w - t, 0) dd FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)) SELECT event_id, round(last_value(dd IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING), 9) derivative FROM g")
 def lag2_derivative(spark, d):
-    return tracks.lag2_derivative(_events(spark, d), "user_id", "t", "value", ties=_TIES).select("event_id", F.round("derivative", 9).alias("derivative"))
+    return tracks.lag2_derivative(_events(spark, d), "user_id", "t", "value", ties=_TIES).select("event_id", _rounded("derivative", 9).alias("derivative"))
 
 
 @query(f"""{_EV}, p AS (SELECT *, max(value) OVER w peak FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING)), s AS (SELECT *, CASE WHEN event_type = 'error' THEN 1 WHEN value = peak THEN 0 END h FROM p)

@@ -41,3 +41,21 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+HALVES = {  # tracks (event_id, second, value) with results half way between two roundings
+    "lag2_derivative": [(1, 1705419303, 68.91), (2, 1705459710, 12.16), (3, 1705483303, 29.65), (4, 1705483304, 68.91)],
+}
+
+
+@pytest.mark.parametrize("name", sorted(HALVES))
+def test_halves_are_rounded_as_in_the_sql(spark, tmp_path, name):
+    """Results that lie half way are the SQL's to the last digit, and to the sign of a zero."""
+    c = duckdb.connect()
+    c.execute("CREATE TABLE e (event_id bigint, t bigint, value double)")
+    c.executemany("INSERT INTO e VALUES (?, ?, ?)", HALVES[name])
+    c.execute(f"COPY (SELECT event_id, make_timestamp(t * 1000000) ts, 1::bigint user_id, 'view' event_type, value FROM e) TO '{tmp_path}/events.parquet'")
+    c.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    want = c.execute(ORACLE_SQL[name])
+    cols = [x[0] for x in want.description]
+    assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r)) for r in QUERIES[name](spark, str(tmp_path)).select(*cols).collect())
