@@ -321,7 +321,7 @@ def _events(spark, d) -> DataFrame:
 
 @query(f"{_EV} SELECT event_id, round((value - lead(value) OVER w) / nullif(t - lead(t) OVER w, 0), 9) rate FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)")
 def progenitor_diff(spark, d):
-    return tracks.differences(_events(spark, d), "user_id", "t", "value", ties=_TIES).select("event_id", F.round("rate", 9).alias("rate"))
+    return tracks.differences(_events(spark, d), "user_id", "t", "value", ties=_TIES).select("event_id", _rounded("rate", 9).alias("rate"))
 
 
 @query(f"""{_EV}, p AS (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) peak FROM e), q AS (SELECT *, sum(CASE WHEN value = peak THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) k FROM p)
