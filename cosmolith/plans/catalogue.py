@@ -327,7 +327,7 @@ def progenitor_diff(spark, d):
 @query(f"""{_EV}, p AS (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) peak FROM e), q AS (SELECT *, sum(CASE WHEN value = peak THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) k FROM p)
 SELECT event_id, peak, first(t) OVER w peak_time, round(min(value / nullif(peak, 0)) OVER w, 9) since_peak_min FROM q WINDOW w AS (PARTITION BY user_id, k ORDER BY t ROWS UNBOUNDED PRECEDING)""")
 def running_peak(spark, d):
-    return tracks.running_peak(_events(spark, d), "user_id", "t", "value", ties=_TIES).select("event_id", "peak", "peak_time", F.round("since_peak_min", 9).alias("since_peak_min"))
+    return tracks.running_peak(_events(spark, d), "user_id", "t", "value", ties=_TIES).select("event_id", "peak", "peak_time", _rounded("since_peak_min", 9).alias("since_peak_min"))
 
 
 @query(f"{_EV} SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING), 6) smooth FROM e")
