@@ -114,10 +114,10 @@ def span_rates(rows: DataFrame, track: str, t: str, columns: list[str], span: Co
     doubled = doubled.withColumn("_at", F.col(t).cast("double") - F.when(F.col("_k") == 1, F.col("_span")).otherwise(0.0))
     before = F.last(F.when(F.col("_k") == 0, F.col("_sample")), ignorenulls=True).over(Window.partitionBy(track).orderBy("_at", "_k", *ties).rowsBetween(Window.unboundedPreceding, 0))
     asked = doubled.withColumn("_s", before).where("_k = 1")
-    share = F.coalesce(F.try_divide(F.col("_at") - F.col("_s.a.t"), F.col("_s.b.t") - F.col("_s.a.t")), F.lit(0.0))
+    back, step = F.col("_at") - F.col("_s.a.t"), F.col("_s.b.t") - F.col("_s.a.t")
     rates = {}
     for c in columns:
-        then = F.col(f"_s.a.{c}") + F.coalesce((F.col(f"_s.b.{c}") - F.col(f"_s.a.{c}")) * share, F.lit(0.0))
+        then = F.col(f"_s.a.{c}") + F.coalesce(F.try_divide((F.col(f"_s.b.{c}") - F.col(f"_s.a.{c}")) * back, step), F.lit(0.0))
         whole = F.try_divide(F.col(c) - then, F.col("_span") * per)
         young = F.try_divide(F.col(c) - F.col(f"_first.{c}"), (F.col(t).cast("double") - F.col("_first.t")) * per)
         rates[f"{c}_dyn"] = F.when(F.col("_s").isNotNull(), whole).otherwise(young)

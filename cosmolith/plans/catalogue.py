@@ -559,7 +559,7 @@ def profile_chi2(spark, d):
 SELECT event_id, round(coalesce(x, lead(x) OVER (PARTITION BY user_id ORDER BY t)), 9) value_dyn FROM r""")
 def span_rates(spark, d):
     span = 3600 * (1 + F.col("event_id") % 24)
-    return forest.span_rates(_events(spark, d), "user_id", "t", ["value"], span, ties=_TIES).select("event_id", F.round("value_dyn", 9).alias("value_dyn"))
+    return forest.span_rates(_events(spark, d), "user_id", "t", ["value"], span, ties=_TIES).select("event_id", _rounded("value_dyn", 9).alias("value_dyn"))
 
 
 _HEADS = "h AS (SELECT n.id, CASE WHEN b.is_mmp AND n.desc_id <> -1 THEN n.desc_id END up FROM nodes n JOIN best b ON b.id = n.id), w AS (SELECT id, id head FROM h WHERE up IS NULL UNION ALL SELECT h.id, w.head FROM h JOIN w ON h.up = w.id)"

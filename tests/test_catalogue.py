@@ -44,6 +44,7 @@ def test_entry(spark):
 
 
 HALVES = {  # tracks (event_id, second, value) with results half way between two roundings
+    "span_rates": [(5001906, 1706228147, 20.9), (5081691, 1706262707, 6.05)],
     "running_peak": [(1, 1705323678, 256.0), (2, 1705323690, 2.01), (3, 1705323700, 4.05)],
     "progenitor_diff": [(1, 1705241264, 64.46), (2, 1705248944, 2.36), (3, 1705302239, 2.36)],
     "lag2_derivative": [(1, 1705419303, 68.91), (2, 1705459710, 12.16), (3, 1705483303, 29.65), (4, 1705483304, 68.91)],
