@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cosmolith.functions.shared import finite, shared_dir
+from cosmolith.functions.shared import finite, shared_dir, written
 from cosmolith.operators import binning, catalog, grid
 from cosmolith.plans.catalogue import _TREE, _VOX, _bins_sql, _cube, _nodes, _round, _t, query
 from cosmolith.sources import legacy
@@ -147,7 +147,7 @@ def galaxy_files(spark, d):
         legacy.write_text(df.select(*(F.expr(given.get(c, "0")).cast("double").alias(c) for c in legacy.galaxy_names(kind))), paths[kind], digits=17, compression="gzip")
     t = legacy.read_galaxies(spark, **paths)
     galaxies = t["galprop"].select("halo_id", "gal_id", "mstar", "sfr_ave", "mbh")
-    halos, mock = t["halos"].select("halo_id", "halo_id_nbody", "m_vir", "sfr"), t["mock"].select("halo_id_nbody", "m_star")
+    halos, mock = written(t["halos"].select("halo_id", "halo_id_nbody", "m_vir", "sfr")), t["mock"].select("halo_id_nbody", "m_star")
     joined = catalog.central_join(galaxies, halos, mock, "halo_id", "halo_id", "halo_id_nbody", "halo_id_nbody", F.col("mbh") == 1, "sfr")
     return joined.join(halos.select("halo_id", "m_vir"), "halo_id").select("halo_id", "gal_id", "mstar", "sfr_ave", "m_vir", "m_star")
 

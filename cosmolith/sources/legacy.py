@@ -7,9 +7,11 @@ cube dim**3 values, z fastest, after a header of given size. Files are read by r
 
 from __future__ import annotations
 
+import functools
 import io
 import itertools
 import math
+import operator
 import re
 import struct
 from collections.abc import Iterator
@@ -38,11 +40,14 @@ def _fields(line: str, delimiter: str, n: int) -> tuple[Column, Column]:
     """(the fields of a line, whether the line is malformed): n fields, each of which is read as a number. `nan`, `inf` and
     `-inf` are numbers; Java's own notations (a type letter behind, hexadecimal) are not. Fields between white space are
     told by a pattern of the line; only lines that it doesn't match are looked at field by field."""
-    parts = F.split(F.trim(line), delimiter)
+    line = F.trim(line)
+    parts = F.split(line, delimiter)
     number = lambda p: F.when(~p.rlike("(?i)[0-9.][df]$|x"), p.try_cast("double"))
     good = (F.size(parts) == n) & ~F.exists(parts, lambda p: number(p).isNull())
     if delimiter == r"\s+" and n:
-        plain, named = (F.trim(line).rlike(rf"\A{x}(?:\s++{x}){{{n - 1}}}\z") for x in (_PLAIN, _NAMED))
+        wide = functools.reduce(operator.or_, (F.contains(line, F.lit(x)) for x in ("  ", "\t", "\v", "\f", "\r")))
+        parts = F.when(wide, parts).otherwise(F.split(line, " "))  # without a pattern
+        plain, named = (line.rlike(rf"\A{x}(?:\s++{x}){{{n - 1}}}\z") for x in (_PLAIN, _NAMED))
         good = plain | named | good
     return parts, ~good
 
